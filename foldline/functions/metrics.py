@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from .text import normalize_text, tokens
+from .text import let, normalize_text, tokens
 
 # Answers that count only when both sides agree completely.
 CLOSED_ANSWERS = ("yes", "no", "noanswer")
@@ -14,32 +14,35 @@ CLOSED_ANSWERS = ("yes", "no", "noanswer")
 
 def accuracy(prediction: Column, answers: Column) -> Column:
     """1.0 if any normalised answer lies inside the normalised prediction."""
-    said = normalize_text(prediction)
-    return F.exists(answers, lambda a: said.contains(normalize_text(a))).cast("double")
+    return let(normalize_text(prediction), lambda said: F.exists(answers, lambda a: said.contains(normalize_text(a)))).cast("double")
 
 
 def exact_match(prediction: Column, answers: Column) -> Column:
     """1.0 if any normalised answer equals the normalised prediction."""
-    said = normalize_text(prediction)
-    return F.exists(answers, lambda a: said == normalize_text(a)).cast("double")
+    return let(normalize_text(prediction), lambda said: F.exists(answers, lambda a: said == normalize_text(a))).cast("double")
 
 
 def token_f1(prediction: Column, answers: Column) -> Column:
     """Harmonic mean of token precision and recall against the first answer; 0.0 without answers."""
-    said, truth = normalize_text(prediction), normalize_text(F.coalesce(F.get(answers, F.lit(0)), F.lit("")))
-    said_tokens, truth_tokens = tokens(said), tokens(truth)
+    first = F.coalesce(F.get(answers, F.lit(0)), F.lit(""))
+    sides = F.struct(normalize_text(prediction).alias("said"), normalize_text(first).alias("truth"))
 
     def times(where: Column, word: Column) -> Column:
         return F.size(F.filter(where, lambda w: w == word))
 
-    shared = F.aggregate(
-        F.array_distinct(truth_tokens), F.lit(0),
-        lambda acc, word: acc + F.least(times(said_tokens, word), times(truth_tokens, word)),
-    )
-    disagree = (said.isin(*CLOSED_ANSWERS) | truth.isin(*CLOSED_ANSWERS)) & (said != truth)
-    # 2PR / (P + R) with P = shared / said and R = shared / truth
-    score = 2.0 * shared / (F.size(said_tokens) + F.size(truth_tokens))
-    return F.when(disagree | (shared == 0), F.lit(0.0)).otherwise(score)
+    def score(side: Column) -> Column:
+        said, truth = side["said_tokens"], side["truth_tokens"]
+        shared = F.aggregate(F.array_distinct(truth), F.lit(0), lambda acc, word: acc + F.least(times(said, word), times(truth, word)))
+        # 2PR / (P + R) with P = shared / said and R = shared / truth
+        return let(shared, lambda n: F.when(n == 0, F.lit(0.0)).otherwise(2.0 * n / (F.size(said) + F.size(truth))))
+
+    def judged(side: Column) -> Column:
+        said, truth = side["said"], side["truth"]
+        disagree = (said.isin(*CLOSED_ANSWERS) | truth.isin(*CLOSED_ANSWERS)) & (said != truth)
+        words = F.struct(tokens(said).alias("said_tokens"), tokens(truth).alias("truth_tokens"))
+        return F.when(disagree, F.lit(0.0)).otherwise(let(words, score))
+
+    return let(sides, judged)
 
 
 METRICS: dict[str, Callable[[Column, Column], Column]] = {

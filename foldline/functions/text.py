@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The characters Python counts as whitespace, as one regex class.
@@ -14,6 +16,12 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = ("a", "an", "the")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` worked out once per row. An expression named inside a lambda of another
+    array function would be worked out again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """Whitespace tokens; an empty or blank text has none."""
     return F.array_remove(F.split(text, WHITESPACE), "")

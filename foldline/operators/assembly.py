@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import first_tokens, stable_draw, tokens
+from ..functions.text import first_tokens, let, stable_draw, tokens
 from .ordering import hashed_ranks, positions
 
 # Instruction and prefix texts by name.
@@ -136,15 +136,18 @@ def label_ids(total: Column, target: Column, target_mask: Column) -> Column:
 
 def next_token_pairs(ids: Column, labels: Column) -> Column:
     """(pos, id, label) with position t paired with label t + 1; the last position has none."""
-    n = F.size(ids) - 1
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda t: F.struct(
-        t.alias("pos"), F.get(ids, t).alias("id"), F.get(labels, t + 1).alias("label")))
+    def pairs(side: Column) -> Column:
+        n = F.size(side["ids"]) - 1
+        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(steps, lambda t: F.struct(
+            t.alias("pos"), F.get(side["ids"], t).alias("id"), F.get(side["labels"], t + 1).alias("label")))
+
+    return let(F.struct(ids.alias("ids"), labels.alias("labels")), pairs)
 
 
 def gather(items: Column, wanted: Column) -> Column:
     """The elements at 0-based positions, in the order asked for."""
-    return F.transform(wanted, lambda i: F.get(items, i))
+    return let(items, lambda all_items: F.transform(wanted, lambda i: F.get(all_items, i)))
 
 
 def replace_nested(value: Column, target: int, by: int, depth: int = 1) -> Column:

@@ -211,7 +211,7 @@ def token_labels(prompts: DataFrame, bos: str = "<s>") -> DataFrame:
     """Tokens of a rendered prompt with their label: the token's id, or -100 inside a masked span."""
     rows = prompts.select("conv_id", F.posexplode(F.concat(F.array(F.lit(bos)), tokens(F.col("prompt")))).alias("pos", "token"))
     masked = masked_spans(prompts).select(
-        "conv_id", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).cast("int").alias("pos")).distinct()
+        "conv_id", F.explode(F.sequence(F.col("start").cast("int"), (F.col("stop") - 1).cast("int"))).alias("pos")).distinct()
     return rows.join(masked.withColumn("_masked", F.lit(True)), ["conv_id", "pos"], "left").select(
         "conv_id", "pos", "token", F.when(F.col("_masked"), F.lit(IGNORED).cast("long")).otherwise(stable_hash(F.col("token"))).alias("label"))
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import stable_hash
+from ..functions.vectors import norm
 
 BROADCAST_BYTES = 256 << 20
 SALTS = 32
@@ -20,7 +21,7 @@ SALTS = 32
 
 @dataclass(frozen=True)
 class VectorTable:
-    """``frame`` has ``vec_id`` and ``vec array<double>``; ``rows`` and ``dim`` are its measured size."""
+    """``frame`` has ``vec_id``, ``vec array<double>`` and its length ``norm``; ``rows`` and ``dim`` are its measured size."""
 
     frame: DataFrame
     rows: int
@@ -37,7 +38,7 @@ def vector_table(frame: DataFrame, vec_id: str = "vec_id", vec: str = "embedding
     if one is None:
         raise ValueError("the vector table is empty")
     doubles = frame.select(F.col(vec_id).alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"))
-    return VectorTable(doubles, frame.count(), one[0])
+    return VectorTable(doubles.withColumn("norm", norm(F.col("vec"))), frame.count(), one[0])
 
 
 def token_vector_id(token: Column, rows: int) -> Column:
@@ -59,21 +60,19 @@ def attach_vectors(rows: DataFrame, table: VectorTable, keys: list[str]) -> Data
     return salted.join(copies, ["vec_id", "_salt"]).drop("_salt")
 
 
-def pooled_sum(vec: Column, weight: Column, dim: int) -> list[Column]:
-    """One sum per dimension; plain sums combine on the map side and stay inside code generation."""
-    return [F.sum(vec[i] * weight) for i in range(dim)]
-
-
 def weighted_mean(rows: DataFrame, keys: list[str], dim: int, weight: Column | None = None,
-                  divisor: Column | None = None, out: str = "vec", others: list[Column] | None = None) -> DataFrame:
-    """Sum of weight * vec per group over ``divisor`` (default: the sum of weights, at least 1e-9)."""
-    weight = F.col("cnt").cast("double") if weight is None else weight
-    sums = [c.alias(f"_s{i}") for i, c in enumerate(pooled_sum(F.col("vec"), weight, dim))]
-    grouped = rows.groupBy(*keys).agg(
-        F.sum("cnt").alias("n_tokens"), F.sum(weight).alias("_w"), *(others or []), *sums)
+                  divisor: Column | None = None, out: str = "vec") -> DataFrame:
+    """Sum of weight * vec per group over ``divisor`` (default: the sum of weights ``_w``, at least 1e-9).
+
+    One plain sum per dimension: these combine on the map side and stay inside code generation.
+    """
+    weighed = rows.withColumn("_wt", F.col("cnt").cast("double") if weight is None else weight)
+    grouped = weighed.groupBy(*keys).agg(
+        F.sum("cnt").alias("n_tokens"), F.sum("_wt").alias("_w"),
+        *[F.expr(f"sum(vec[{i}] * _wt) AS _s{i}") for i in range(dim)])
     by = F.greatest(F.col("_w"), F.lit(1e-9)) if divisor is None else divisor
-    extra = [c for c in grouped.columns if not c.startswith("_s") and c != "_w" and c not in keys]
-    return grouped.select(*keys, *extra, F.array(*[F.col(f"_s{i}") / by for i in range(dim)]).alias(out))
+    sums = F.array(*[f"_s{i}" for i in range(dim)])
+    return grouped.select(*keys, "n_tokens", F.transform(sums, lambda x: x / by).alias(out))
 
 
 def masked_mean(rows: DataFrame, keys: list[str], dim: int, mask: Column | None = None, guard: float = 1.0) -> DataFrame:
@@ -89,21 +88,17 @@ def chunk_pool(rows: DataFrame, key: str, merge: int, dim: int, padded: bool = F
     return weighted_mean(rows, [key, "chunk"], dim, F.col("cnt").cast("double"), divisor)
 
 
-def softmax_pool(rows: DataFrame, keys: list[str], score: Column, dim: int, out: str = "vec") -> DataFrame:
+def softmax_pool(rows: DataFrame, keys: list[str], score: Column, dim: int, out: str = "vec", bounded: bool = False) -> DataFrame:
     """Softmax-weighted mean of the vectors of a group.
 
-    Scores stay within the product of the norms, here at most 1 for unit vectors and a mean of them, so that
-    exp() needs no maximum taken off first; a wider range goes through ``stable_softmax_pool``.
+    The group's highest score is taken off first, unless scores are ``bounded`` like a cosine, when exp() cannot
+    overflow and a pass is saved.
     """
-    return weighted_mean(rows, keys, dim, F.exp(score) * F.col("cnt"), F.col("_w"), out)
-
-
-def stable_softmax_pool(rows: DataFrame, keys: list[str], score: Column, dim: int, out: str = "vec") -> DataFrame:
-    """Softmax pooling for scores of any size: the group's highest score is taken off first."""
     scored = rows.withColumn("_score", score)
-    top = scored.groupBy(*keys).agg(F.max("_score").alias("_top"))
-    return weighted_mean(scored.join(top, keys), keys, dim, F.exp(F.col("_score") - F.col("_top")) * F.col("cnt"),
-                         F.col("_w"), out)
+    if not bounded:
+        top = scored.groupBy(*keys).agg(F.max("_score").alias("_top"))
+        scored = scored.join(top, keys).withColumn("_score", F.col("_score") - F.col("_top"))
+    return weighted_mean(scored, keys, dim, F.exp("_score") * F.col("cnt"), F.col("_w"), out)
 
 
 def minmax_scale(rows: DataFrame, key: str, value: str, scale: float = 1.0, out: str = "scaled") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 
 # Tail slots by merge size.
 TAIL_SLOTS = {4: 128, 8: 64}
@@ -19,9 +19,13 @@ def segment_count(length: Column, size: int) -> Column:
 def slices(items: Column, size: int | Column) -> Column:
     """Consecutive slices of an array, the last one shorter; an empty array has none."""
     size = size if isinstance(size, Column) else F.lit(size)
-    n = F.ceil(F.size(items) / size).cast("int")
-    indexes = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(indexes, lambda i: F.slice(items, i * size + 1, size))
+
+    def cut(all_items: Column) -> Column:
+        n = F.ceil(F.size(all_items) / size).cast("int")
+        indexes = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(indexes, lambda i: F.slice(all_items, i * size + 1, size))
+
+    return let(items, cut)
 
 
 def split_segments(df: DataFrame, ids: str, size: int) -> DataFrame:
@@ -48,23 +52,26 @@ def tail_slots(ids: Column, first_slot: int, slots: int) -> Column:
 
 def valid_tokens(ids: Column, mask: Column) -> Column:
     """The tokens whose mask is 1, in order."""
-    return F.filter(ids, lambda t, i: F.get(mask, i) == 1)
-
-
-def token_rows(df: DataFrame, key: str, query: str, document: str, size: int, kept: list[str] | None = None) -> DataFrame:
-    """One row per token of a record: the query's tokens as segment -1, the document's from 0.
-
-    A record is one row, so its tokens are made in one task; the single shuffle on the key puts the
-    records where all later groupings and windows on the key find them without another one.
-    """
-    asked, text = F.col("_asked"), F.col("_text")
-    arrays = df.repartition(key).select(
-        key, *(kept or []), tokens(F.col(query)).alias("_asked"), tokens(F.col(document)).alias("_text"))
-    rows = arrays.select(key, *(kept or []), F.size(asked).alias("_n"), F.posexplode(F.concat(asked, text)).alias("_p", "token"))
-    place = (F.col("_p") - F.col("_n")).cast("long")
-    return rows.select(
-        key, *(kept or []),
-        F.when(place < 0, F.lit(-1)).otherwise((place / F.lit(size)).cast("long")).cast("long").alias("seg_idx"),
-        F.when(place < 0, F.col("_p")).otherwise(place).alias("pos"),
-        "token",
-    )
+    return let(mask, lambda m: F.filter(ids, lambda t, i: F.get(m, i) == 1))
+
+
+def place_records(df: DataFrame, key: str) -> DataFrame:
+    """The one shuffle of the compression: records go to the task of their key, and every later grouping, window
+    and join on the key finds them there. A record is one row, so it is never larger than a row can be."""
+    return df.repartition(key)
+
+
+def segment_rows(records: DataFrame, key: str, query: str, document: str, size: int, kept: list[str] | None = None) -> DataFrame:
+    """One row per segment with its ``words``: the query as segment -1, the document's segments from 0."""
+    asked = F.struct(F.lit(-1).cast("long").alias("seg_idx"), tokens(F.col(query)).alias("words"))
+    cut = F.transform(slices(tokens(F.col(document)), size), lambda w, i: F.struct(
+        i.cast("long").alias("seg_idx"), w.alias("words")))
+    return records.select(key, *(kept or []), F.inline(F.concat(F.array(asked), cut)))
+
+
+def token_rows(segments: DataFrame, size: int) -> DataFrame:
+    """One row per token; ``pos`` counts through the document, and from 0 again in the query."""
+    rest = [c for c in segments.columns if c != "words"]
+    rows = segments.select(*rest, F.posexplode("words").alias("_p", "token"))
+    pos = F.greatest(F.col("seg_idx"), F.lit(0)) * size + F.col("_p")
+    return rows.select(*rest, pos.alias("pos"), "token")

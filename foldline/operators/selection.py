@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.vectors import cosine, dot
+from ..functions.vectors import cosine, dot, norm
 from . import pooling
 from .pooling import VectorTable, attach_vectors, masked_mean
-from .segments import token_rows
+from .segments import segment_rows, token_rows
 
 TIE_DIGITS = 9
 
@@ -33,10 +33,10 @@ def with_query_vector(pooled: DataFrame, key: str = "example_id") -> DataFrame:
     return pooled.withColumn("query_vec", asked).where("seg_idx >= 0")
 
 
-def segment_similarity(pooled: DataFrame, dim: int, key: str = "example_id") -> DataFrame:
+def segment_similarity(pooled: DataFrame, key: str = "example_id") -> DataFrame:
     """Cosine of query and segment; an empty query is the zero vector and gives 0."""
     return with_query_vector(pooled, key).withColumn(
-        "sim", F.coalesce(cosine(F.col("query_vec"), F.col("vec"), dim), F.lit(0.0)))
+        "sim", F.coalesce(cosine(F.col("query_vec"), F.col("vec")), F.lit(0.0)))
 
 
 def ranked_segments(sims: DataFrame, key: str = "example_id") -> DataFrame:
@@ -86,32 +86,64 @@ def compression_per_example(ranked: DataFrame, ratios: list[float], key: str = "
     })
 
 
-def skim_vectors(tokens: DataFrame, ranked: DataFrame, ratio: float, table: VectorTable,
-                 key: str = "example_id") -> DataFrame:
+def choices(ranked: DataFrame, ratio: float, key: str = "example_id") -> DataFrame:
+    """One row per example: its query vector and the places of the kept segments, never more than the record has."""
+    return ranked.groupBy(key).agg(
+        F.first("query_vec").alias("query_vec"),
+        F.collect_list(F.when(keep_flag(ratio), F.col("seg_idx"))).alias("kept_segs"),
+    ).withColumn("query_norm", norm(F.col("query_vec")))
+
+
+def chosen_segments(records: DataFrame, chosen: DataFrame, size: int, key: str = "example_id", query: str = "question",
+                    document: str = "document") -> DataFrame:
+    """The document's segments with their words and a ``keep`` flag.
+
+    Records meet their choice one to one on the key by which both are already placed, so nothing is shuffled.
+    """
+    both = records.select(key, query, document).join(chosen, key)
+    rows = segment_rows(both, key, query, document, size, ["query_vec", "query_norm", "kept_segs"])
+    return rows.where("seg_idx >= 0").withColumn("keep", F.array_contains("kept_segs", F.col("seg_idx"))).drop("kept_segs")
+
+
+def _attended(rows: DataFrame, chosen: DataFrame, table: VectorTable, keys: list[str], key: str) -> DataFrame:
+    """Token rows with vectors and the weight exp(cos(token, query)). Cosines lie in [-1, 1]: no overflow."""
+    valued = vector_rows(rows, table, key, keys)
+    if "query_vec" not in valued.columns:  # the large table's join counts tokens first and drops it
+        valued = valued.join(chosen.select(key, "query_vec", "query_norm"), key)
+    cos = dot(F.col("vec"), F.col("query_vec")) / (F.col("norm") * F.col("query_norm"))
+    return valued.withColumn("attention", F.exp(F.coalesce(cos, F.lit(0.0))))
+
+
+def skim_vectors(segments: DataFrame, chosen: DataFrame, table: VectorTable, size: int, key: str = "example_id") -> DataFrame:
     """One vector per segment that is not kept: its tokens weighted by softmax of cos(token, query).
 
-    The choice is made first, so that tokens of kept segments never meet a vector. Cosines lie in
-    [-1, 1]; exp() cannot overflow.
+    The choice comes first, so that tokens of kept segments never meet a vector.
     """
-    chosen = ranked.where(~keep_flag(ratio)).select(key, "seg_idx", "query_vec")
-    rows = vector_rows(tokens.where("seg_idx >= 0"), table, key).join(chosen, [key, "seg_idx"])
-    score = F.coalesce(cosine(F.col("vec"), F.col("query_vec"), table.dim), F.lit(0.0))
-    return pooling.softmax_pool(rows, [key, "seg_idx"], score, table.dim, "skim_vec")
-
-
-def hybrid_rows(tokens: DataFrame, ranked: DataFrame, ratio: float, key: str = "example_id",
-                skims: DataFrame | None = None) -> DataFrame:
-    """Kept segments as their tokens, every other one as a single summary row, in segment order."""
-    kept = ranked.where(keep_flag(ratio)).select(key, "seg_idx")
-    read = tokens.where("seg_idx >= 0").join(kept, [key, "seg_idx"], "left_semi").select(
-        key, "seg_idx", F.col("pos").cast("long").alias("src_pos"), F.lit("token").alias("kind"), "token")
-    left = ranked.where(~keep_flag(ratio)).select(
+    keys = [key, "seg_idx"]
+    rows = _attended(token_rows(segments.where(~F.col("keep")).drop("keep"), size), chosen, table, keys, key)
+    return pooling.weighted_mean(rows, keys, table.dim, F.col("attention") * F.col("cnt"), F.col("_w"), "skim_vec")
+
+
+def hybrid_rows(segments: DataFrame, size: int, key: str = "example_id") -> DataFrame:
+    """Kept segments as their tokens, every other one as a single summary row (src_pos -1): a narrow step."""
+    start = F.col("seg_idx") * size
+    read = F.transform("words", lambda w, i: F.struct(
+        (start + i).alias("src_pos"), F.lit("token").alias("kind"), w.alias("token")))
+    summary = F.array(F.struct(F.lit(-1).cast("long").alias("src_pos"), F.lit("summary").alias("kind"),
+                               F.lit(None).cast("string").alias("token")))
+    return segments.select(key, "seg_idx", F.inline(F.when(F.col("keep"), read).otherwise(summary)))
+
+
+def hybrid_vectors(segments: DataFrame, chosen: DataFrame, table: VectorTable, size: int, key: str = "example_id") -> DataFrame:
+    """The hybrid sequence with a vector per row: a kept token has its own, a skimmed segment its summary."""
+    keys = [key, "seg_idx", "pos", "token"]
+    read = token_rows(segments.where("keep").select(key, "seg_idx", "words"), size)
+    kept = vector_rows(read, table, key, keys).select(
+        key, "seg_idx", F.col("pos").alias("src_pos"), F.lit("token").alias("kind"), "token", "vec")
+    skims = skim_vectors(segments, chosen, table, size, key).select(
         key, "seg_idx", F.lit(-1).cast("long").alias("src_pos"), F.lit("summary").alias("kind"),
-        F.lit(None).cast("string").alias("token"))
-    if skims is None:
-        return read.unionByName(left)
-    return read.withColumn("vec", F.lit(None).cast("array<double>")).unionByName(
-        left.join(skims.select(key, "seg_idx", F.col("skim_vec").alias("vec")), [key, "seg_idx"], "left"))
+        F.lit(None).cast("string").alias("token"), F.col("skim_vec").alias("vec"))
+    return kept.unionByName(skims)
 
 
 def compact(rows: DataFrame, order: list[str], key: str = "example_id", out: str = "new_pos") -> DataFrame:
@@ -144,9 +176,9 @@ def mean_loss(losses: DataFrame) -> DataFrame:
         (F.coalesce(F.sum("loss"), F.lit(0.0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("loss"))
 
 
-def infonce_loss(scored: DataFrame, positive: Column, dim: int, temperature: float = 0.1, key: str = "example_id") -> DataFrame:
+def infonce_loss(scored: DataFrame, positive: Column, temperature: float = 0.1, key: str = "example_id") -> DataFrame:
     """Cross-entropy of one positive against the other segments, on plain dot products."""
-    logits = scored.select(key, positive.alias("_is_pos"), (dot(F.col("query_vec"), F.col("vec"), dim) / temperature).alias("_x"))
+    logits = scored.select(key, positive.alias("_is_pos"), (dot(F.col("query_vec"), F.col("vec")) / temperature).alias("_x"))
     top = logits.withColumn("_top", F.max("_x").over(Window.partitionBy(key)))
     summed = top.groupBy(key).agg(
         F.first("_top").alias("_top"), F.sum(F.exp(F.col("_x") - F.col("_top"))).alias("_sum"),
@@ -154,9 +186,9 @@ def infonce_loss(scored: DataFrame, positive: Column, dim: int, temperature: flo
     return summed.where("_pos is not null").select(key, (F.log("_sum") + F.col("_top") - F.col("_pos")).alias("loss"))
 
 
-def similarity_share(scored: DataFrame, dim: int, key: str = "example_id") -> DataFrame:
+def similarity_share(scored: DataFrame, key: str = "example_id") -> DataFrame:
     """Dot product with the query over the sum of all dot products; null when that sum is 0."""
-    dots = scored.withColumn("_x", dot(F.col("query_vec"), F.col("vec"), dim))
+    dots = scored.withColumn("_x", dot(F.col("query_vec"), F.col("vec")))
     return dots.withColumn("share", F.try_divide(F.col("_x"), F.sum("_x").over(Window.partitionBy(key)))).drop("_x")
 
 
@@ -168,8 +200,3 @@ def allocate_budget(shares: DataFrame, budget: int, key: str = "example_id", ord
     own = shares.withColumn("_own", (F.coalesce(F.col(share), F.lit(0.0)) * budget).cast("long"))
     left = F.lit(budget) - F.coalesce(F.sum("_own").over(before), F.lit(0))
     return own.withColumn(out, F.when(F.col(order) == F.max(order).over(group), left).otherwise(F.col("_own"))).drop("_own")
-
-
-def examples_to_tokens(examples: DataFrame, size: int, key: str = "example_id") -> DataFrame:
-    """Token rows of examples that have ``question`` and ``document``."""
-    return token_rows(examples, key, "question", "document", size)

@@ -8,7 +8,7 @@ from ..functions.text import tokens
 from ..functions.vectors import dot, l2_normalize
 from ..operators import pooling as P, selection as R
 from ..operators.assembly import drawn_ratio, pad_memories as pad_lists
-from ..operators.segments import token_rows
+from ..operators.segments import place_records, segment_rows, token_rows
 from .catalog import query
 from .fixtures import (POOLED_SQL, RANK_SQL, RATIOS, SEGMENT, SIM_SQL, VECTOR_SQL, positives, qa, r4, sql_draw, sql_mean,
                        sql_vec, vec_text, vectors)
@@ -23,7 +23,18 @@ class Job:
     def __init__(self, spark, sf):
         self.table = vectors(spark, sf)
         self.examples = qa(spark, sf)
-        self.tokens = token_rows(self.examples, "example_id", "question", "document", SEGMENT)
+        self.records = place_records(self.examples.select("example_id", "question", "document"), "example_id")
+        self.tokens = token_rows(segment_rows(self.records, "example_id", "question", "document", SEGMENT), SEGMENT)
+
+    def chosen(self, ratio: float, shared: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The document segments with their keep flag, and the choices behind them.
+
+        ``shared`` puts an exchange of one row per example behind the choices, which both branches of a plan
+        that uses them twice then read, instead of ranking twice.
+        """
+        choices = R.choices(self.ranked, ratio)
+        choices = choices.repartition("example_id") if shared else choices
+        return R.chosen_segments(self.records, choices, SEGMENT), choices
 
     @property
     def dim(self) -> int:
@@ -35,7 +46,7 @@ class Job:
 
     @property
     def sims(self) -> DataFrame:
-        return R.segment_similarity(self.pooled, self.dim)
+        return R.segment_similarity(self.pooled)
 
     @property
     def ranked(self) -> DataFrame:
@@ -108,8 +119,8 @@ def weighted_chunk_pool(spark, sf):
     job = Job(spark, sf)
     asked = job.pooled.where("seg_idx = -1").select("example_id", F.col("vec").alias("query_vec"))
     rows = job.chunks(8).join(asked, "example_id")
-    score = dot(F.col("vec"), F.col("query_vec"), job.dim)
-    return chunk_rows(P.stable_softmax_pool(rows, ["example_id", "chunk"], score, job.dim))
+    score = dot(F.col("vec"), F.col("query_vec"))
+    return chunk_rows(P.softmax_pool(rows, ["example_id", "chunk"], score, job.dim))
 
 
 @query("cumulative_memory", f"""WITH {VECTOR_SQL}, n AS (SELECT example_id, seg_idx, (count(*) + 7) // 8 AS m FROM tv WHERE seg_idx >= 0 GROUP BY ALL)
@@ -146,7 +157,7 @@ def block_embedding(spark, sf):
 SELECT example_id, seg_idx::BIGINT AS seg_idx, {sql_vec('list_transform(vec, lambda y: y / len)')} AS vec FROM l""")
 def l2_normalized(spark, sf):
     job = Job(spark, sf)
-    return job.pooled.select("example_id", SEG, vec_text(l2_normalize(F.col("vec"), job.dim)).alias("vec"))
+    return job.pooled.select("example_id", SEG, vec_text(l2_normalize(F.col("vec"))).alias("vec"))
 
 
 @query("segment_similarity", f"WITH {SIM_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, n_tokens, round(sim, 4) AS sim FROM sims")
@@ -189,33 +200,28 @@ skim AS ({sql_mean('att', 'example_id, seg_idx', 'e', 'sum(wt)')})"""
 @query("skim_vector", f"WITH {SKIM_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, {sql_vec('vec')} AS vec FROM skim")
 def skim_vector(spark, sf):
     job = Job(spark, sf)
-    return R.skim_vectors(job.tokens, job.ranked, 0.25, job.table).select("example_id", SEG, vec_text(F.col("skim_vec")).alias("vec"))
+    return R.skim_vectors(*job.chosen(0.25), job.table, SEGMENT).select("example_id", SEG, vec_text(F.col("skim_vec")).alias("vec"))
 
 
 HYBRID_SQL = SKIM_SQL + """,
 hybrid AS (
-  SELECT example_id, seg_idx, pos AS src_pos, 'token' AS kind, token, NULL AS vec FROM tk JOIN ranked USING (example_id, seg_idx)
+  SELECT example_id, seg_idx, pos AS src_pos, 'token' AS kind, token, v AS vec FROM tv JOIN ranked USING (example_id, seg_idx)
   WHERE rank <= floor(0.25::DOUBLE * n_segments)
   UNION ALL
   SELECT example_id, seg_idx, -1, 'summary', NULL, vec FROM skim)"""
 
 
-def hybrid(job: Job, vectors_too: bool = True) -> DataFrame:
-    ranked = job.ranked
-    skims = R.skim_vectors(job.tokens, ranked, 0.25, job.table) if vectors_too else None
-    return R.hybrid_rows(job.tokens, ranked, 0.25, skims=skims)
-
-
 @query("hybrid_context", f"""WITH {HYBRID_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, src_pos::BIGINT AS src_pos, kind, token,
 {sql_vec('vec')} AS vec FROM hybrid""")
 def hybrid_context(spark, sf):
-    return hybrid(Job(spark, sf)).select("example_id", SEG, "src_pos", "kind", "token", vec_text(F.col("vec")).alias("vec"))
+    job = Job(spark, sf)
+    return R.hybrid_vectors(*job.chosen(0.25, shared=True), job.table, SEGMENT).select("example_id", SEG, "src_pos", "kind", "token", vec_text(F.col("vec")).alias("vec"))
 
 
 @query("compact_sequence", f"""WITH {HYBRID_SQL} SELECT example_id, row_number() OVER (PARTITION BY example_id ORDER BY seg_idx, src_pos) - 1 AS new_pos,
 seg_idx::BIGINT AS seg_idx, kind, token FROM hybrid""")
 def compact_sequence(spark, sf):
-    rows = hybrid(Job(spark, sf), vectors_too=False)
+    rows = R.hybrid_rows(Job(spark, sf).chosen(0.25)[0], SEGMENT)
     return R.compact(rows, ["seg_idx", "src_pos"]).select("example_id", "new_pos", SEG, "kind", "token")
 
 
@@ -274,7 +280,7 @@ SELECT example_id, round(ln(sum(exp(x))) - max(x) FILTER (seg_idx = 0), 4) + 0.0
 def infonce_loss(spark, sf):
     """The first segment is the positive, all others of the example are negatives."""
     job = Job(spark, sf)
-    return R.infonce_loss(job.sims, F.col("seg_idx") == 0, job.dim).select("example_id", (r4("loss") + F.lit(0.0)).alias("loss"))
+    return R.infonce_loss(job.sims, F.col("seg_idx") == 0).select("example_id", (r4("loss") + F.lit(0.0)).alias("loss"))
 
 
 SHARE_SQL = SIM_SQL + """,
@@ -284,7 +290,7 @@ share AS (SELECT example_id, seg_idx, x / nullif(sum(x) OVER (PARTITION BY examp
 
 def shares(spark, sf):
     job = Job(spark, sf)
-    return R.similarity_share(job.sims, job.dim).select(*KEY, "share")
+    return R.similarity_share(job.sims).select(*KEY, "share")
 
 
 @query("similarity_share", f"WITH {SHARE_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, round(share, 3) + 0.0 AS share FROM share")

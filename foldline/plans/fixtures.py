@@ -130,7 +130,8 @@ qa AS (
   SELECT d.doc_id AS example_id, d.lang AS dataset, d.text AS document,
          array_to_string(i.w[1:8], ' ') AS question,
          [array_to_string(i.w[1:3], ' '), array_to_string(i.w[4:5], ' ')] AS answers
-  FROM documents d JOIN items i ON i.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
+  FROM (SELECT *, doc_id % n AS item_id FROM documents CROSS JOIN (SELECT count(*) AS n FROM benchmark)) d
+  JOIN items i ON i.item_id = d.item_id)"""
 
 BUNDLE_SQL = """
 ctx AS (
@@ -142,17 +143,18 @@ ctx AS (
 TOKEN_SQL = QA_SQL + f""",
 asked AS (SELECT example_id, {sql_tokens('question')} AS w FROM qa),
 read AS (SELECT example_id, {sql_tokens('document')} AS w FROM qa),
-tk AS (
+tk AS MATERIALIZED (
   SELECT example_id, -1 AS seg_idx, unnest(generate_series(0, len(w) - 1)) AS pos, unnest(w) AS token FROM asked
   UNION ALL
   SELECT example_id, pos // {SEGMENT} AS seg_idx, pos, token FROM (
     SELECT example_id, unnest(generate_series(0, len(w) - 1)) AS pos, unnest(w) AS token FROM read))"""
 
 VECTOR_SQL = TOKEN_SQL + f""",
-ve AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-tv AS (
-  SELECT t.example_id, t.seg_idx, t.pos, t.token, ve.v FROM tk t
-  JOIN ve ON ve.vec_id = {sql_hash('t.token')} % (SELECT count(*) FROM embeddings))"""
+ve AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+tid AS (
+  SELECT t.*, {sql_hash('t.token')} % n AS vec_id FROM tk t CROSS JOIN (SELECT count(*) AS n FROM embeddings)),
+tv AS MATERIALIZED (
+  SELECT t.example_id, t.seg_idx, t.pos, t.token, ve.v FROM tid t JOIN ve ON ve.vec_id = t.vec_id)"""
 
 
 def sql_mean(source: str, keys: str, weight: str = "1.0", divisor: str = "greatest(sum(wt), 1.0)") -> str:
@@ -166,7 +168,7 @@ def sql_mean(source: str, keys: str, weight: str = "1.0", divisor: str = "greate
 
 
 POOLED_SQL = VECTOR_SQL + f""",
-pooled AS ({sql_mean('tv', 'example_id, seg_idx')})"""
+pooled AS MATERIALIZED ({sql_mean('tv', 'example_id, seg_idx')})"""
 
 SIM_SQL = POOLED_SQL + """,
 sims AS (
