@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# The characters Python counts as whitespace, as one regex class.
-WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# What Python counts as whitespace, which is Unicode's set and four control characters.
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 # The 32 ASCII punctuation characters.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -66,13 +66,11 @@ def weighted_mean(rows: DataFrame, keys: list[str], dim: int, weight: Column | N
 
     One plain sum per dimension: these combine on the map side and stay inside code generation.
     """
-    weighed = rows.withColumn("_wt", F.col("cnt").cast("double") if weight is None else weight)
-    grouped = weighed.groupBy(*keys).agg(
-        F.sum("cnt").alias("n_tokens"), F.sum("_wt").alias("_w"),
-        *[F.expr(f"sum(vec[{i}] * _wt) AS _s{i}") for i in range(dim)])
+    sums = ", ".join(f"sum(vec[{i}] * _wt)" for i in range(dim))
+    grouped = rows.withColumn("_wt", F.col("cnt").cast("double") if weight is None else weight).groupBy(*keys).agg(
+        F.sum("cnt").alias("n_tokens"), F.sum("_wt").alias("_w"), F.expr(f"array({sums})").alias("_sums"))
     by = F.greatest(F.col("_w"), F.lit(1e-9)) if divisor is None else divisor
-    sums = F.array(*[f"_s{i}" for i in range(dim)])
-    return grouped.select(*keys, "n_tokens", F.transform(sums, lambda x: x / by).alias(out))
+    return grouped.select(*keys, "n_tokens", F.transform("_sums", lambda x: x / by).alias(out))
 
 
 def masked_mean(rows: DataFrame, keys: list[str], dim: int, mask: Column | None = None, guard: float = 1.0) -> DataFrame:

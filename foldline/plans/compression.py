@@ -21,6 +21,7 @@ class Job:
     """The steps of the compression over one set of examples, each built from the one before."""
 
     def __init__(self, spark, sf):
+        self.spark = spark
         self.table = vectors(spark, sf)
         self.examples = qa(spark, sf)
         self.records = place_records(self.examples.select("example_id", "question", "document"), "example_id")
@@ -33,7 +34,8 @@ class Job:
         that uses them twice then read, instead of ranking twice.
         """
         choices = R.choices(self.ranked, ratio)
-        choices = choices.repartition("example_id") if shared else choices
+        if shared:  # with its number given, the exchange stays in the plan
+            choices = choices.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "example_id")
         return R.chosen_segments(self.records, choices, SEGMENT), choices
 
     @property
@@ -212,10 +214,13 @@ hybrid AS (
 
 
 @query("hybrid_context", f"""WITH {HYBRID_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, src_pos::BIGINT AS src_pos, kind, token,
-{sql_vec('vec')} AS vec FROM hybrid""")
+floor(vec[1] * 10000 + 0.5)::BIGINT AS first_value, CASE WHEN kind = 'summary' THEN {sql_vec('vec')} END AS summary FROM hybrid""")
 def hybrid_context(spark, sf):
+    """Vectors of kept tokens are those of the table, so that only their first value is written out."""
     job = Job(spark, sf)
-    return R.hybrid_vectors(*job.chosen(0.25, shared=True), job.table, SEGMENT).select("example_id", SEG, "src_pos", "kind", "token", vec_text(F.col("vec")).alias("vec"))
+    rows = R.hybrid_vectors(*job.chosen(0.25, shared=True), job.table, SEGMENT)
+    return rows.select("example_id", SEG, "src_pos", "kind", "token", F.floor(F.col("vec")[0] * 10000 + 0.5).alias("first_value"),
+                       F.when(F.col("kind") == "summary", vec_text(F.col("vec"))).alias("summary"))
 
 
 @query("compact_sequence", f"""WITH {HYBRID_SQL} SELECT example_id, row_number() OVER (PARTITION BY example_id ORDER BY seg_idx, src_pos) - 1 AS new_pos,

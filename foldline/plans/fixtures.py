@@ -85,7 +85,7 @@ def with_images(messages: DataFrame) -> DataFrame:
 
 def vec_text(vec: Column) -> Column:
     """A vector as whole ten-thousandths, so that both engines print it alike."""
-    return F.array_join(F.transform(vec, lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
+    return F.array_join(F.transform(vec, lambda x: F.floor(x * 10000 + 0.5).cast("string")), ",")
 
 
 def r4(value: Column | str) -> Column:
@@ -113,7 +113,7 @@ def sql_norm(expr: str) -> str:
 
 
 def sql_vec(expr: str) -> str:
-    return f"array_to_string(list_transform({expr}, lambda x: round(x * 10000)::BIGINT), ',')"
+    return f"array_to_string(list_transform({expr}, lambda x: floor(x * 10000 + 0.5)::BIGINT), ',')"
 
 
 def sql_hash(expr: str) -> str:
