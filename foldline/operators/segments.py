@@ -55,10 +55,14 @@ def valid_tokens(ids: Column, mask: Column) -> Column:
     return let(mask, lambda m: F.filter(ids, lambda t, i: F.get(m, i) == 1))
 
 
-def place_records(df: DataFrame, key: str) -> DataFrame:
-    """The one shuffle of the compression: records go to the task of their key, and every later grouping, window
-    and join on the key finds them there. A record is one row, so it is never larger than a row can be."""
-    return df.repartition(key)
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """Puts rows into the task of their key, in as many partitions as the session's shuffles have.
+
+    This is the one shuffle of the compression: every later grouping, window and join on the key finds its rows
+    in place. A record is one row, so a key is never larger than a row can be. The number is given, because
+    partitions sized by their bytes would be too few: a kilobyte of text becomes a hundred of vectors.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def segment_rows(records: DataFrame, key: str, query: str, document: str, size: int, kept: list[str] | None = None) -> DataFrame:

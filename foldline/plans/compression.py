@@ -8,7 +8,7 @@ from ..functions.text import tokens
 from ..functions.vectors import dot, l2_normalize
 from ..operators import pooling as P, selection as R
 from ..operators.assembly import drawn_ratio, pad_memories as pad_lists
-from ..operators.segments import place_records, segment_rows, token_rows
+from ..operators.segments import placed, segment_rows, token_rows
 from .catalog import query
 from .fixtures import (POOLED_SQL, RANK_SQL, RATIOS, SEGMENT, SIM_SQL, VECTOR_SQL, positives, qa, r4, sql_draw, sql_mean,
                        sql_vec, vec_text, vectors)
@@ -21,10 +21,9 @@ class Job:
     """The steps of the compression over one set of examples, each built from the one before."""
 
     def __init__(self, spark, sf):
-        self.spark = spark
         self.table = vectors(spark, sf)
         self.examples = qa(spark, sf)
-        self.records = place_records(self.examples.select("example_id", "question", "document"), "example_id")
+        self.records = placed(self.examples.select("example_id", "question", "document"), "example_id")
         self.tokens = token_rows(segment_rows(self.records, "example_id", "question", "document", SEGMENT), SEGMENT)
 
     def chosen(self, ratio: float, shared: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -34,8 +33,7 @@ class Job:
         that uses them twice then read, instead of ranking twice.
         """
         choices = R.choices(self.ranked, ratio)
-        if shared:  # with its number given, the exchange stays in the plan
-            choices = choices.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "example_id")
+        choices = placed(choices, "example_id") if shared else choices
         return R.chosen_segments(self.records, choices, SEGMENT), choices
 
     @property

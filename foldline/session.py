@@ -13,12 +13,12 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only when it is unset, as in local tests, a folder of this machine is taken instead.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="foldline-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foldline-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
