@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import first_tokens, let, stable_draw, tokens
+from .lookup import skew_join
 from .ordering import hashed_ranks, positions
 
 # Instruction and prefix texts by name.
@@ -93,10 +94,10 @@ def pad_ids(ids: Column, width: Column, pad: int = 0, side: str = "right") -> tu
     return F.concat(wide, pads), F.concat(ones, zeros)
 
 
-def pad_batches(df: DataFrame, ids: str, batch: str, side: str, pad: int = 0) -> DataFrame:
+def pad_batches(df: DataFrame, ids: str, batch: str, side: str, pad: int = 0, length: Column | None = None) -> DataFrame:
     """Pads to the longest sequence of the batch. The maximum combines on the map side and is joined back,
-    so that no batch has to fit into one task."""
-    widths = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_width"))
+    so that no batch has to fit into one task. ``length`` gives the length where it is known without the ids."""
+    widths = df.groupBy(batch).agg(F.max(F.size(ids) if length is None else length).alias("_width"))
     padded, mask = pad_ids(F.col(ids), F.col("_width"), pad, side)
     return df.join(widths, batch).withColumns({"padded": padded, "mask": mask}).drop("_width")
 
@@ -169,17 +170,12 @@ def generation_cap(tokens_col: Column, dataset: Column) -> Column:
 
 
 def vocabulary(texts: DataFrame, text: str) -> DataFrame:
-    """Distinct tokens with dense ids."""
-    words = texts.select(F.explode(tokens(F.col(text))).alias("token")).distinct()
+    """Distinct tokens with dense ids and how often each occurs."""
+    words = texts.select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return hashed_ranks(words, "token", "token_id")
 
 
 def encode(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """Token rows with ids. Equal tokens of a record are one row in the shuffle on the token, which is
-    salted by record, so that a word seen everywhere is spread over many tasks."""
-    salts = 16
+    """Token rows with ids; a word seen everywhere does not pile up in one task."""
     rows = df.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "token"))
-    packed = rows.groupBy(key, "token").agg(F.collect_list("pos").alias("at")).withColumn(
-        "_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    copies = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return packed.join(copies, ["token", "_salt"]).select(key, F.explode("at").alias("pos"), "token", "token_id")
+    return skew_join(rows, vocab.select("token", "token_id"), "token", vocab.select("token", "n"))

@@ -1,9 +1,9 @@
 """Token vectors and their pooled means.
 
 ``VectorTable`` is the lookup table token id -> vector. Its size is read before it is used: a table below
-``BROADCAST_BYTES`` is broadcast and token rows stay where they are; a larger one is joined by a shuffle
-on salted ids, after equal tokens of a group were counted on the map side, so that a word making up a
-third of all tokens is spread over many tasks.
+``BROADCAST_BYTES`` is broadcast and token rows stay where they are; a larger one is joined by a shuffle, after
+equal tokens of a group were counted on the map side, with the vectors of hot words broadcast, so that a word
+making up a third of all tokens does not pile up in one task.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import stable_hash
 from ..functions.vectors import norm
+from .lookup import skew_join
 
 BROADCAST_BYTES = 256 << 20
-SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -55,9 +55,7 @@ def attach_vectors(rows: DataFrame, table: VectorTable, keys: list[str]) -> Data
     if table.fits_broadcast:
         return rows.withColumn("cnt", F.lit(1).cast("long")).join(F.broadcast(table.frame), "vec_id")
     counted = rows.groupBy(*keys, "vec_id").agg(F.count(F.lit(1)).alias("cnt"))
-    salted = counted.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    copies = table.frame.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["vec_id", "_salt"]).drop("_salt")
+    return skew_join(counted, table.frame, "vec_id")
 
 
 def weighted_mean(rows: DataFrame, keys: list[str], dim: int, weight: Column | None = None,

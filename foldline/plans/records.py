@@ -193,8 +193,9 @@ SELECT doc_id, width, {{padded}} AS ids, {{mask}} AS mask FROM q"""
 
 def padded(spark, sf, side):
     docs = table(spark, sf, "documents").select(
-        "doc_id", F.expr("doc_id div 4").alias("batch"), ids(tokens(F.col("text"))).alias("ids"))
-    return A.pad_batches(docs, "ids", "batch", side).select(
+        "doc_id", F.expr("doc_id div 4").alias("batch"), ids(tokens(F.col("text"))).alias("ids"),
+        F.size(tokens(F.col("text"))).alias("n"))
+    return A.pad_batches(docs, "ids", "batch", side, length=F.col("n")).select(
         "doc_id", F.size("padded").cast("long").alias("width"), digest(F.col("padded")).alias("ids"), digest(F.col("mask")).alias("mask"))
 
 

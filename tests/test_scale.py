@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foldline.operators import ordering as O, pooling as P
+from foldline.operators import lookup as L, ordering as O, pooling as P
 from foldline.plans import compression
 from foldline.plans.catalog import QUERIES
 
@@ -31,6 +31,17 @@ def test_running_totals_match_a_plain_loop(spark):
     assert {(r.k, r.o): (r.pos, r.total) for r in ranked.collect()} == expected
 
 
+def test_a_join_with_hot_keys(spark):
+    """A third of the rows has one key; key 99 is in the rows only, key 9999 in the table only."""
+    rows = spark.range(30000).select("id", F.when(C("id") % 3 == 0, F.lit(7)).otherwise(C("id") % 5000).alias("k"))
+    table = spark.range(5000).where("id <> 99").select(C("id").alias("k"), (C("id") * 2).alias("twice")).union(
+        spark.createDataFrame([(9999, 0)], "k long, twice long"))
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert {r.k for r in L.hot_keys(counts, "k").collect()} == {7}
+    joined = {tuple(r) for r in L.skew_join(rows, table, "k").collect()}
+    assert joined == {tuple(r) for r in rows.join(table, "k").select("id", "k", "twice").collect()}
+
+
 def test_hashed_ranks_are_dense(spark):
     words = spark.range(5000).select(C("id").cast("string").alias("w"))
     ranks = sorted(r.n for r in O.hashed_ranks(words, "w", "n").collect())
