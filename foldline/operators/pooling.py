@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import stable_hash
 from ..functions.vectors import norm
@@ -98,7 +98,7 @@ def softmax_pool(rows: DataFrame, keys: list[str], score: Column, dim: int, out:
 
 
 def minmax_scale(rows: DataFrame, key: str, value: str, scale: float = 1.0, out: str = "scaled") -> DataFrame:
-    """scale * (x - min) / (max - min + 1e-8) over the values of a key; the extremes combine on the map side."""
-    ends = rows.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return rows.join(ends, key).withColumn(
-        out, F.lit(scale) * (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1e-8))).drop("_lo", "_hi")
+    """scale * (x - min) / (max - min + 1e-8) over the values of one sequence."""
+    sequence = Window.partitionBy(key)
+    low, high = F.min(value).over(sequence), F.max(value).over(sequence)
+    return rows.withColumn(out, F.lit(scale) * (F.col(value) - low) / (high - low + F.lit(1e-8)))

@@ -9,6 +9,7 @@ from ..functions.vectors import dot, l2_normalize
 from ..operators import pooling as P, selection as R
 from ..operators.assembly import drawn_ratio, pad_memories as pad_lists
 from ..operators.segments import placed, segment_rows, token_rows
+from ..session import stored
 from .catalog import query
 from .fixtures import (POOLED_SQL, RANK_SQL, RATIOS, SEGMENT, SIM_SQL, VECTOR_SQL, positives, qa, r4, sql_draw, sql_mean,
                        sql_vec, vec_text, vectors)
@@ -29,11 +30,11 @@ class Job:
     def chosen(self, ratio: float, shared: bool = False) -> tuple[DataFrame, DataFrame]:
         """The document segments with their keep flag, and the choices behind them.
 
-        ``shared`` puts an exchange of one row per example behind the choices, which both branches of a plan
-        that uses them twice then read, instead of ranking twice.
+        ``shared`` stores the choices, one row per example, for plans that use them twice: otherwise each use
+        would rank again.
         """
         choices = R.choices(self.ranked, ratio)
-        choices = placed(choices, "example_id") if shared else choices
+        choices = stored(choices, "choices") if shared else choices
         return R.chosen_segments(self.records, choices, SEGMENT), choices
 
     @property
