@@ -1,4 +1,4 @@
-"""The reference inputs derived from the test tables, in Spark and, word for word, in DuckDB SQL."""
+"""Inputs derived from the test tables, in Spark and, word for word, in DuckDB SQL."""
 
 from __future__ import annotations
 
