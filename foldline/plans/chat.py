@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import conversations as C
 from ..operators.prompts import STYLES, with_image_marks
+from ..session import stored
 from .catalog import query
 from .fixtures import CHAT_SQL, chats, sql_hash, sql_text, sql_tokens, with_images
 from .templates import REGISTRY
@@ -190,8 +191,9 @@ rows AS (SELECT conv_id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM t
 SELECT r.conv_id, r.pos, CASE WHEN EXISTS (SELECT 1 FROM spans s WHERE s.conv_id = r.conv_id AND r.pos >= s.start AND r.pos < s.stop)
 THEN -100 ELSE {sql_hash('r.token')} END::BIGINT AS label FROM rows r""")
 def turn_label_spans(spark, sf):
+    """The prompts are stored, because the spans, their running lengths and the tokens all read them."""
     messages, heads, templates = talk(spark, sf, CHAT_NAMES)
-    labels = C.token_labels(C.render(messages, heads, templates, ["LLAMA2", "LLAMA3"]))
+    labels = C.token_labels(stored(C.render(messages, heads, templates, ["LLAMA2", "LLAMA3"]), "prompts"))
     return labels.select("conv_id", F.col("pos").cast("long").alias("pos"), "label")
 
 

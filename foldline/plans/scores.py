@@ -8,7 +8,7 @@ from ..functions.metrics import METRICS
 from ..functions.text import normalize_text
 from ..operators import scoring as M, selection as R
 from ..operators.assembly import assign_batches
-from ..session import new_folder
+from ..session import new_folder, stored
 from ..sources import jsonl as S
 from .catalog import query
 from .compression import Job, STATS_SQL, light_ranked
@@ -64,7 +64,9 @@ SELECT dataset, batch_id, sum(n) OVER w::BIGINT AS n_so_far, round(sum(a) OVER w
 round(sum(e) OVER w / sum(n) OVER w, 4) AS em, round(sum(f) OVER w / sum(n) OVER w, 4) AS f1
 FROM s WINDOW w AS (PARTITION BY dataset ORDER BY batch_id)""")
 def running_metrics(spark, sf):
-    batched = assign_batches(scores(spark, sf), "dataset", "example_id", F.lit(8))
+    """The scores are stored, because batches and running sums read them several times."""
+    scored = stored(scores(spark, sf).select("example_id", "dataset", *METRICS), "scores")
+    batched = assign_batches(scored, "dataset", "example_id", F.lit(8))
     return M.running_metrics(batched, "dataset", "batch_id").select(
         "dataset", "batch_id", "n_so_far", *[r4(m).alias(m) for m in METRICS])
 
