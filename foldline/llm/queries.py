@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, simhash
+from . import packing, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut into pieces and packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by fixed patterns and by entropy."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
