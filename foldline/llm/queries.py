@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, packing, secrets, simhash
+from . import licenses, packing, secrets, simhash, sketches
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in all documents."""
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k sketches of all documents and of their edited texts."""
+    return sketches.digest(sketches.compare_with_edits(table(spark, sf_dir, "documents")))
