@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import licenses, packing, secrets, simhash, sketches
+from . import language, licenses, packing, secrets, simhash, sketches
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,9 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k sketches of all documents and of their edited texts."""
     return sketches.digest(sketches.compare_with_edits(table(spark, sf_dir, "documents")))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, by code length."""
+    return language.predict(table(spark, sf_dir, "documents"))
