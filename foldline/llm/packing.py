@@ -5,7 +5,7 @@ the number of documents. It runs on that histogram. A node takes the largest len
 undominated fillings around it, those of least waste first; a filling is used as often as the counts allow, so a node
 uses up one length at least. The first descent is a best-fit solution, the incumbent; a branch ends when the sequences
 so far and the waste bound of what is left cannot beat the incumbent, and the search ends at the lower bound or after
-``most_nodes`` nodes. It gives patterns (lengths, times). Pieces get their places by their rank among the pieces of the same
+``most_nodes`` more nodes. It gives patterns (lengths, times). Pieces get their places by their rank among the pieces of the same
 length, a distributed numbering in which no length is a hot key.
 
 Defined results: a null text counts as the empty one and has the closing id alone; rows with a null doc_id keep it and
@@ -14,8 +14,7 @@ are packed like any other; repeated rows are packed each; an empty table gives n
 
 from __future__ import annotations
 
-import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +25,11 @@ from .common import texts
 
 SIZE = 2048
 END_ID = 0
-CACHED_WORDS = 200_000
-CACHED_LENGTH = 48
-MOST_NODES = 20_000
+KEPT_WORDS = 400_000  # of about 200 bytes each, for each Python worker
+KEPT_LENGTH = 48
+PUNCTUATION = b'.,!?;:"()[]{}#$%&*+-/=@_~'
+MOST_NODES = 2_000  # after the first descent, of about 2 ms each
+WIDTH = 64  # fillings that a node may try
 MOST_BUCKETS = 1 << 16
 BUCKET_ROWS = 64
 
@@ -37,36 +38,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
     """(doc_id, piece, start, length, ids): a document's ids and the closing one, cut where they are more than ``size``.
 
     ``ids`` are unsigned little-endian 32-bit numbers. The tokenizer drops white space and never joins what it
-    separates, so the ids of a text are those of its parts between white space; a task keeps the ids of parts that come again.
+    separates, so the ids of a text are those of its parts between white space; a worker keeps the ids of parts that come again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        known: dict[bytes, bytes] = {}
-        closing = np.array([end_id], "<u4").tobytes()
-
-        def learn(parts: list[bytes]) -> None:
-            for part, found in zip(parts, tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)):
-                known[part] = np.array(found.ids, "<u4").tobytes()
-
-        def ids_of(text: str) -> bytes:
-            parts = text.encode("utf-8", "replace").split()
-            new = [p for p in dict.fromkeys(parts) if p not in known]
-            if new:
-                learn(new)
-            whole = b"".join(map(known.__getitem__, parts)) + closing
-            for part in new:
-                if len(part) > CACHED_LENGTH:
-                    del known[part]
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            return whole
-
+        ids_of = _encoder(tokenizer_path, end_id)
         step = 4 * size
         for batch in batches:
             out: list[tuple] = []
@@ -89,6 +65,69 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
         run, "doc_id long, piece int, start long, length long, ids binary")
 
 
+def _encoder(tokenizer_path: str, end_id: int) -> Callable[[str], bytes]:
+    """A function from a text to its ids and the closing one, as little-endian bytes.
+
+    What it learns about words serves all tasks of a worker process.
+    """
+    import os
+    import sys
+    import types
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    kept = sys.modules.setdefault("_kept_word_ids", types.ModuleType("_kept_word_ids")).__dict__
+    if kept.get("path") != tokenizer_path:
+        kept.update(path=tokenizer_path, tokenizer=Tokenizer.from_file(tokenizer_path), words={}, parts={})
+    tokenizer, words, parts = kept["tokenizer"], kept["words"], kept["parts"]
+    closing = np.array([end_id], "<u4").tobytes()
+    # the vocabulary is written in a letter for each byte: printable ones stand for themselves, the others follow from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    letters = {b: 256 + k for k, b in enumerate(others)}
+
+    def word(data: bytes) -> bytes:
+        """Ids of a string without white space."""
+        found = words.get(data)
+        if found is None:
+            text = data.decode()
+            low = text.lower()
+            # a word of Latin letters is one token before merging, whatever stands around it
+            if low.isalpha() and max(low) < "\u0250" and "\u0130" not in text:
+                ids = [t.id for t in tokenizer.model.tokenize(low.encode().decode("latin-1").translate(letters))]
+            else:
+                ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            found = np.array(ids, "<u4").tobytes()
+            if len(data) <= KEPT_LENGTH:
+                words[data] = found
+        return found
+
+    def learn(part: bytes) -> bytes:
+        """Ids of a string between white space; punctuation after an ASCII letter or digit is always a token of its own."""
+        head = part.rstrip(PUNCTUATION)
+        if head and head[-1:].isalnum() and len(head) < len(part):
+            return word(head) + word(part[len(head):])
+        return word(part)
+
+    def ids_of(text: str) -> bytes:
+        data = text.encode("utf-8", "replace")
+        # special tokens are written <|so|>, the only strings in which case matters
+        own = data.split() if b"<|" in data else data.lower().split()
+        if len(words) + len(parts) > KEPT_WORDS:
+            words.clear()
+            parts.clear()
+        long = {}
+        for part in set(own):
+            if part not in parts:
+                (parts if len(part) <= KEPT_LENGTH else long)[part] = learn(part)
+        if long:
+            return b"".join([long[p] if len(p) > KEPT_LENGTH else parts[p] for p in own]) + closing
+        return b"".join(map(parts.__getitem__, own)) + closing
+
+    return ids_of
+
+
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids", pa.binary())])
 
@@ -109,28 +148,31 @@ def least_sequences(counts: list[int], size: int) -> int:
     return bound
 
 
-def _exactly(total: int, top: int, have: list[int], lengths: list[int]) -> Iterator[tuple[int, ...]]:
-    """Multisets of the lengths at hand, none above ``top``, that add up to ``total``; large pieces first."""
-    if not total:
-        yield ()
-        return
-    at = bisect.bisect_right(lengths, min(total, top)) - 1
-    for i in range(at, -1, -1):
-        a = lengths[i]
-        if not have[a]:
-            continue
-        have[a] -= 1
-        rest = total - a
-        if not rest:
-            yield (a,)
-        elif rest <= a and have[rest]:
-            yield (a, rest)
-        elif lengths[0] <= rest:
-            # few pieces first: go deeper only where the largest next ones could do it
-            for more in _exactly(rest, a, have, lengths):
-                yield (a, *more)
-                break
-        have[a] += 1
+def _reachable(have: list[int], lengths: list[int], room: int) -> list[int]:
+    """For each prefix of the ascending lengths, the sums up to ``room`` that its pieces can make, as bits of a number."""
+    whole, sums, found = (1 << (room + 1)) - 1, 1, [1]
+    for a in lengths:
+        left, step = min(have[a], room // a), 1
+        while left:  # 1, 2, 4, ... pieces and the rest make every number of them
+            take = min(step, left)
+            sums |= (sums << (a * take)) & whole
+            left, step = left - take, 2 * step
+        found.append(sums)
+    return found
+
+
+def _exactly(total: int, have: list[int], lengths: list[int], reach: list[int]) -> Iterator[tuple[int, ...]]:
+    """Multisets of the pieces at hand that add up to ``total``, large pieces first; no branch of it ends in vain."""
+    waiting = [(total, len(lengths), ())]
+    while waiting:
+        rest, i, chosen = waiting.pop()
+        while rest and i:
+            i -= 1
+            a = lengths[i]
+            fits = [m for m in range(min(have[a], rest // a) + 1) if reach[i] >> (rest - m * a) & 1]
+            waiting += [(rest - m * a, i, chosen + (a,) * m) for m in fits[:-1]]
+            rest, chosen = rest - fits[-1] * a, chosen + (a,) * fits[-1]
+        yield chosen
 
 
 def _undominated(filling: tuple[int, ...], waste: int, have: list[int], lengths: list[int]) -> bool:
@@ -143,19 +185,22 @@ def _undominated(filling: tuple[int, ...], waste: int, have: list[int], lengths:
     return not any(left[b] > 0 for a in {0, *filling} for b in range(a + 1, a + waste + 1) if b < len(left))
 
 
-def fillings(largest: int, size: int, counts: list[int], most_waste: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """(waste, filling) around one piece of the largest length; least waste first, no more than ``most_waste``."""
-    have = list(counts)
+def fillings(largest: int, size: int, counts: list[int], most_waste: int, width: int = WIDTH) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, filling) around one piece of the largest length; least waste first, no more than ``most_waste``; no more than
+    ``width`` are looked at."""
+    have, room = list(counts), size - largest
     have[largest] -= 1
-    lengths = [a for a, n in enumerate(have) if n and a <= size - largest]
-    for waste in range(min(most_waste, size - largest) + 1):
-        total = size - largest - waste
-        if total and (not lengths or total < lengths[0]):
-            if not lengths or waste < size - largest:
-                continue
-        for filling in _exactly(total, total, have, lengths):
-            if _undominated(filling, waste, have, lengths):
-                yield waste, filling
+    lengths = [a for a, n in enumerate(have) if n and 0 < a <= room]
+    reach = _reachable(have, lengths, room)
+    looked = 0
+    for waste in range(min(most_waste, room) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            for filling in _exactly(room - waste, have, lengths, reach):
+                looked += 1
+                if _undominated(filling, waste, have, lengths):
+                    yield waste, filling
+                if looked >= width:
+                    return
 
 
 def patterns(counts: list[int], size: int = SIZE, most_nodes: int = MOST_NODES) -> list[tuple[tuple[int, ...], int]]:
