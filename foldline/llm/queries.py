@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, licenses, packing, secrets, simhash, sketches
+from . import ctw, language, licenses, neighbours, packing, secrets, simhash, sketches
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,15 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, by code length."""
     return language.predict(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of all documents by context-tree weighting, and the unigram base."""
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every twentieth one."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
