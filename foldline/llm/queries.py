@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ctw, language, licenses, neighbours, packing, secrets, simhash, sketches
+from . import ctw, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, sketches
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,17 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest embeddings of every twentieth one."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to flattened source weights: every copy taken and its place in its source's stream."""
+    taken, exponent = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.withColumn("exponent", F.lit(exponent))
+
+
+@query
+def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by fixed patterns and a skip-chain field."""
+    docs = table(spark, sf_dir, "documents")
+    return personal.detect(docs, personal.trained(docs))
