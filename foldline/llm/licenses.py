@@ -54,6 +54,8 @@ PHRASES = [Template.of(label, text, text) for text, label in (
 
 # The words of well-known public licence notices, and the phrases without which they aren't that licence.
 NOTICES = [
+    Template.of("mit", "mit license", "mit license"),
+    Template.of("apache-2.0", "apache license version 2 0", "apache license version 2 0"),
     Template.of("mit", "released under the mit license", "mit license"),
     Template.of("mit", "licensed under the mit license", "mit license"),
     Template.of("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "

@@ -111,9 +111,11 @@ def realise(counted: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     inside = Window.partitionBy("source", "block", "copy").orderBy(mixed("doc_id", "copy"), "doc_id", "tokens").rowsBetween(
         Window.unboundedPreceding, 0)
     placed = placed.withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
-    return placed.where((F.col("copy") < F.col("epochs")) | (F.col("upto") <= F.col("rest"))).select(
-        "doc_id", "source", "tokens", F.col("copy").cast("int").alias("copy"),
-        (F.col("copy") * F.col("whole") + F.col("upto") - F.col("tokens")).alias("start"), "weight")
+    shown = ["doc_id", "source", "tokens", F.col("copy").cast("int").alias("copy")]
+    taken = placed.where((F.col("tokens") > 0) & ((F.col("copy") < F.col("epochs")) | (F.col("upto") <= F.col("rest")))).select(
+        *shown, (F.col("copy") * F.col("whole") + F.col("upto") - F.col("tokens")).alias("start"), "weight")
+    free = rows.where("tokens = 0").join(dealt.select("_source", "weight"), source).withColumn("copy", F.lit(0))
+    return taken.unionByName(free.select(*shown, F.lit(0).cast("long").alias("start"), "weight"))
 
 
 def mix(docs: DataFrame, flatten: float = FLATTEN, repeat_limit: float = REPEAT_LIMIT, cover: bool = False) -> tuple[DataFrame, float]:

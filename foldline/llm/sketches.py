@@ -79,12 +79,13 @@ def _next_lower(keys: DataFrame, key: str, levels: int) -> DataFrame:
     the caller's ``levels`` leave so few for the last one."""
     if levels <= 0:
         return keys.select(key, F.lead(key).over(Window.orderBy(F.col(key).desc())).alias("lower"))
-    grouped = keys.withColumn("_group", F.shiftright(key, STEP_BITS))
-    inside = grouped.withColumn("_lower", F.lead(key).over(Window.partitionBy("_group").orderBy(F.col(key).desc())))
-    heads = grouped.groupBy("_group").agg(F.max(key).alias("_head"))
-    follow = _next_lower(heads.select("_group"), "_group", levels - 1).withColumnRenamed("lower", "_follow")
-    after = follow.join(heads.select(F.col("_group").alias("_follow"), "_head"), "_follow")
-    return inside.join(after, "_group", "left").select(key, F.coalesce("_lower", "_head").alias("lower"))
+    group = f"_group_{levels}"
+    grouped = keys.withColumn(group, F.shiftright(key, STEP_BITS))
+    inside = grouped.withColumn("_lower", F.lead(key).over(Window.partitionBy(group).orderBy(F.col(key).desc())))
+    heads = grouped.groupBy(group).agg(F.max(key).alias("_head"))
+    follow = _next_lower(heads.select(group), group, levels - 1).withColumnRenamed("lower", "_follow")
+    after = follow.join(heads.select(F.col(group).alias("_follow"), "_head"), "_follow").select(group, "_head")
+    return inside.join(after, group, "left").select(key, F.coalesce("_lower", "_head").alias("lower"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
