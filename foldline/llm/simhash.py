@@ -10,7 +10,7 @@ pairs: a node leaves the rest of its bucket when it is reached, so a bucket of n
 bucket beyond ``CELL`` fingerprints is dealt out as pairs of its parts, each pair to a task of its own.
 
 Defined results: a null text counts as the empty one, whose fingerprint is zero; rows with a null doc_id take no part;
-rows that share a doc_id count as one document; an empty table gives no rows.
+rows that share a doc_id count as one document and are each returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = components(links(nodes, radius))
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     # a class of thousands of copies is a hot fp: the join splits it
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id").distinct()
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
