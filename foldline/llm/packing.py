@@ -25,7 +25,7 @@ from .common import texts
 
 SIZE = 2048
 END_ID = 0
-KEPT_WORDS = 400_000  # of about 200 bytes each, for each Python worker
+KEPT_PARTS = 1_000_000  # of about 200 bytes each, for each Python worker
 KEPT_LENGTH = 48
 PUNCTUATION = b'.,!?;:"()[]{}#$%&*+-/=@_~'
 MOST_NODES = 2_000  # after the first descent, of about 2 ms each
@@ -71,59 +71,54 @@ def _encoder(tokenizer_path: str, end_id: int) -> Callable[[str], bytes]:
     What it learns about words serves all tasks of a worker process.
     """
     import os
+    import struct
     import sys
     import types
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    kept = sys.modules.setdefault("_kept_word_ids", types.ModuleType("_kept_word_ids")).__dict__
+    kept = sys.modules.setdefault("_kept_ids", types.ModuleType("_kept_ids")).__dict__
     if kept.get("path") != tokenizer_path:
-        kept.update(path=tokenizer_path, tokenizer=Tokenizer.from_file(tokenizer_path), words={}, parts={})
-    tokenizer, words, parts = kept["tokenizer"], kept["words"], kept["parts"]
-    closing = np.array([end_id], "<u4").tobytes()
+        kept.update(path=tokenizer_path, tokenizer=Tokenizer.from_file(tokenizer_path), ids={})
+    tokenizer, model = kept["tokenizer"], kept["tokenizer"].model
+    closing = struct.pack("<I", end_id)
     # the vocabulary is written in a letter for each byte: printable ones stand for themselves, the others follow from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
     letters = {b: 256 + k for k, b in enumerate(others)}
 
-    def word(data: bytes) -> bytes:
-        """Ids of a string without white space."""
-        found = words.get(data)
-        if found is None:
-            text = data.decode()
-            low = text.lower()
-            # a word of Latin letters is one token before merging, whatever stands around it
-            if low.isalpha() and max(low) < "\u0250" and "\u0130" not in text:
-                ids = [t.id for t in tokenizer.model.tokenize(low.encode().decode("latin-1").translate(letters))]
+    class Parts(dict):
+        """Ids of strings without white space; what isn't there is worked out, and kept unless it is long."""
+
+        def __missing__(self, part: bytes) -> bytes:
+            # punctuation after an ASCII letter or digit is always a token of its own
+            head = part.rstrip(PUNCTUATION)
+            if head[-1:].isalnum() and len(head) < len(part):
+                found = self[head] + self[part[len(head):]]
             else:
-                ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            found = np.array(ids, "<u4").tobytes()
-            if len(data) <= KEPT_LENGTH:
-                words[data] = found
-        return found
-
-    def learn(part: bytes) -> bytes:
-        """Ids of a string between white space; punctuation after an ASCII letter or digit is always a token of its own."""
-        head = part.rstrip(PUNCTUATION)
-        if head and head[-1:].isalnum() and len(head) < len(part):
-            return word(head) + word(part[len(head):])
-        return word(part)
+                text = part.decode()
+                low = text.lower()
+                # a word of Latin letters is one token before merging, whatever stands around it
+                if low.isalpha() and max(low) < "\u0250" and "\u0130" not in text:
+                    if not low.isascii():
+                        low = low.encode().decode("latin-1").translate(letters)
+                    ids = [t.id for t in model.tokenize(low)]
+                else:
+                    ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(part) <= KEPT_LENGTH:
+                self[part] = found
+            return found
+
+    parts = kept["ids"] = Parts(kept["ids"])
 
     def ids_of(text: str) -> bytes:
         data = text.encode("utf-8", "replace")
-        # special tokens are written <|so|>, the only strings in which case matters
-        own = data.split() if b"<|" in data else data.lower().split()
-        if len(words) + len(parts) > KEPT_WORDS:
-            words.clear()
+        if len(parts) > KEPT_PARTS:
             parts.clear()
-        long = {}
-        for part in set(own):
-            if part not in parts:
-                (parts if len(part) <= KEPT_LENGTH else long)[part] = learn(part)
-        if long:
-            return b"".join([long[p] if len(p) > KEPT_LENGTH else parts[p] for p in own]) + closing
-        return b"".join(map(parts.__getitem__, own)) + closing
+        # special tokens are written <|so|>, the only strings in which case matters
+        return b"".join(map(parts.__getitem__, (data if b"<|" in data else data.lower()).split())) + closing
 
     return ids_of
 
