@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from .text import let, normalize_text, tokens
+from .text import let, normalize_text, runs, tokens
 
 # Answers that count only when both sides agree completely.
 CLOSED_ANSWERS = ("yes", "no", "noanswer")
@@ -27,12 +27,18 @@ def token_f1(prediction: Column, answers: Column) -> Column:
     first = F.coalesce(F.get(answers, F.lit(0)), F.lit(""))
     sides = F.struct(normalize_text(prediction).alias("said"), normalize_text(first).alias("truth"))
 
-    def times(where: Column, word: Column) -> Column:
-        return F.size(F.filter(where, lambda w: w == word))
+    def overlap(both: Column) -> Column:
+        """Both sides' words with their counts, sorted: a word that both have stands twice in a row."""
+        def pair(n: Column, word: Column, i: Column) -> Column:
+            after = F.get(both, i + 1)
+            return n + F.when(after["item"] == word["item"], F.least(word["n"], after["n"])).otherwise(F.lit(0).cast("long"))
+
+        places = F.transform(both, lambda word, i: F.struct(word.alias("word"), i.alias("i")))
+        return F.aggregate(places, F.lit(0).cast("long"), lambda n, at: pair(n, at["word"], at["i"]))
 
     def score(side: Column) -> Column:
         said, truth = side["said_tokens"], side["truth_tokens"]
-        shared = F.aggregate(F.array_distinct(truth), F.lit(0), lambda acc, word: acc + F.least(times(said, word), times(truth, word)))
+        shared = let(F.array_sort(F.concat(runs(said), runs(truth))), overlap)
         # 2PR / (P + R) with P = shared / said and R = shared / truth
         return let(shared, lambda n: F.when(n == 0, F.lit(0.0)).otherwise(2.0 * n / (F.size(said) + F.size(truth))))
 

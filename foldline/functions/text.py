@@ -40,8 +40,20 @@ def normalize_text(text: Column) -> Column:
 
 
 def stable_hash(value: Column) -> Column:
-    """24-bit number from the MD5 of a string: equal in every engine, task and partitioning."""
-    return F.conv(F.left(F.md5(value), F.lit(6)), 16, 10).cast("long")
+    """60-bit number from the MD5 of a string: equal in every engine, task and partitioning."""
+    return F.conv(F.left(F.md5(value), F.lit(15)), 16, 10).cast("long")
+
+
+def runs(items: Column) -> Column:
+    """Distinct elements with how often each occurs, as (item, n) in ascending order; one sort, then one pass."""
+    def counted(sorted_items: Column) -> Column:
+        n = F.size(sorted_items)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda i: (i == 0) | (F.get(sorted_items, i) != F.get(sorted_items, i - 1)))
+        return let(first, lambda starts: F.transform(starts, lambda at, k: F.struct(
+            F.get(sorted_items, at).alias("item"), (F.coalesce(F.get(starts, k + 1), n) - at).cast("long").alias("n"))))
+
+    return let(F.array_sort(items), counted)
 
 
 def stable_draw(key: Column, seed: int, n: Column | int) -> Column:

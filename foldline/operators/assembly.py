@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import first_tokens, let, stable_draw, tokens
 from .lookup import skew_join
@@ -175,7 +175,9 @@ def vocabulary(texts: DataFrame, text: str) -> DataFrame:
     return hashed_ranks(words, "token", "token_id")
 
 
-def encode(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
-    """Token rows with ids; a word seen everywhere does not pile up in one task."""
+def encode(df: DataFrame, key: str, text: str, vocab: DataFrame, unknown: int = -1) -> DataFrame:
+    """Token rows with ids; a word seen everywhere is not shuffled. A word outside the vocabulary gets the id ``unknown``, so
+    that no position goes missing. Reads ``vocab`` (token, token_id, n) twice."""
     rows = df.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "token"))
-    return skew_join(rows, vocab.select("token", "token_id"), "token", vocab.select("token", "n"))
+    found = skew_join(rows, vocab.select("token", "token_id"), "token", vocab.select("token", "n"), how="left")
+    return found.withColumn("token_id", F.coalesce("token_id", F.lit(unknown).cast("long")))

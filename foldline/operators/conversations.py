@@ -8,10 +8,12 @@ spread over tasks; only the finished prompt, which is one value by definition, c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import stable_hash, tokens
-from .ordering import assemble_text, positions, running_totals
+from ..functions.text import let, tokens
+from .ordering import assemble_text, positions
 from .prompts import STYLES, by_style, context, finish, head, piece
 
 # The separators by which a rendered prompt is cut into turns again for its labels.
@@ -25,6 +27,7 @@ LABEL_RULES = {
     },
 }
 IGNORED = -100
+PLAIN = "no"  # fixed value: the name of the form without a template
 CHAT_ROLES = ("user", "assistant")
 
 
@@ -45,8 +48,9 @@ def alternation_violations(messages: DataFrame) -> DataFrame:
 
 
 def last_turn(messages: DataFrame) -> DataFrame:
-    """Position and role of the last turn of each conversation."""
-    return messages.groupBy("conv_id").agg(F.max("pos").alias("last_pos"), F.max_by("role", "pos").alias("last_role"))
+    """Position and role of the last turn of each conversation, and its template where the turns carry one."""
+    more = [F.max_by("template", "pos").alias("template")] if "template" in messages.columns else []
+    return messages.groupBy("conv_id").agg(F.max("pos").alias("last_pos"), F.max_by("role", "pos").alias("last_role"), *more)
 
 
 def generation_prompt(messages: DataFrame, strict: bool = False) -> DataFrame:
@@ -59,7 +63,7 @@ def generation_prompt(messages: DataFrame, strict: bool = False) -> DataFrame:
         allowed = last.withColumn("last_pos", check)
     waiting = allowed.select(
         "conv_id", (F.col("last_pos") + 1).alias("pos"), F.lit("assistant").alias("role"),
-        F.lit(None).cast("string").alias("text"))
+        F.lit(None).cast("string").alias("text"), *[c for c in allowed.columns if c == "template"])
     return messages.unionByName(waiting, allowMissingColumns=True)
 
 
@@ -89,6 +93,12 @@ def last_two(messages: DataFrame, count: int = 2) -> DataFrame:
     return messages.join(wanted, ["conv_id", "pos"]).withColumn("pos", F.col("_i").cast("long")).drop("_i")
 
 
+def template_role(role: Column, roles: Column) -> Column:
+    """The template's name of a role; another role than user and assistant is an error."""
+    unknown = F.raise_error(F.concat(F.lit("no such role: "), F.coalesce(role, F.lit("null")))).cast("string")
+    return F.when(role == "user", roles[0]).when(role == "assistant", roles[1]).otherwise(unknown)
+
+
 def prompt_pieces(messages: DataFrame, templates: DataFrame, styles: list[str] | None = None) -> DataFrame:
     """What every turn adds to its prompt, one row per turn: the form to use for further work at scale."""
     styles = styles or list(STYLES)
@@ -96,7 +106,7 @@ def prompt_pieces(messages: DataFrame, templates: DataFrame, styles: list[str] |
         raise ValueError("a style that shows the last turns only is rendered on its own")
     turns = last_two(messages) if styles == ["CLLM"] else messages
     dressed = turns.join(F.broadcast(templates), "template")  # at most one row per registered template
-    role = F.when(F.col("role") == "user", F.col("roles")[0]).otherwise(F.col("roles")[1])
+    role = template_role(F.col("role"), F.col("roles"))
     i = F.col("pos") + F.col("offset")
     c = context(i, role, F.col("text"), F.col("images") if "images" in turns.columns else None)
     return dressed.select("conv_id", "template", "pos", by_style(styles, lambda _, s: piece(s, c)).alias("piece"))
@@ -128,92 +138,132 @@ def render(messages: DataFrame, heads: DataFrame, templates: DataFrame, styles:
 
 def checked(messages: DataFrame, violations: DataFrame, mode: str = "fail") -> DataFrame:
     """Leaves out conversations with a violation (``quarantine``) or raises when one exists (``fail``)."""
-    bad = violations.select("conv_id").distinct()
     if mode == "quarantine":
-        return messages.join(bad, "conv_id", "left_anti")
-    flagged = messages.join(bad.withColumn("_bad", F.lit(True)), "conv_id", "left")
+        return messages.join(violations.select("conv_id").distinct(), "conv_id", "left_anti")
+    # a violation is found at its turn, so a long conversation stays spread out
+    flagged = messages.join(violations.select("conv_id", "pos", F.lit(True).alias("_bad")), ["conv_id", "pos"], "left")
     return flagged.withColumn("role", F.when(F.col("_bad"), F.raise_error(
         F.concat(F.lit("two turns in a row have one role in conversation "), F.col("conv_id").cast("string")))
-    ).otherwise(F.col("role"))).drop("_bad")
+    ).otherwise(F.col("role"))).select(*messages.columns)
+
+
+def supported(template: Column) -> Column:
+    """The template, or an error if neither a label rule nor the plain form knows it."""
+    return F.when(template.isin(PLAIN, *LABEL_RULES), template).otherwise(F.raise_error(
+        F.concat(F.lit("no chat template for labels: "), F.coalesce(template, F.lit("null")))).cast("string"))
 
 
 def apply_chat_template(messages: DataFrame, heads: DataFrame, templates: DataFrame, add_generation_prompt: bool = False,
                         mode: str = "fail") -> DataFrame:
-    """Checks the turns, adds the generation prompt where asked and allowed, and renders."""
-    sound = checked(messages, alternation_violations(messages), mode)
+    """Checks the turns, adds the generation prompt where asked and allowed, and renders.
+
+    Conversations of the template ``no`` come as ``plain_template`` writes them, without a system text; more than two turns are
+    an error there. A template that has no label rule is an error.
+    """
+    sound = checked(messages, alternation_violations(messages), mode).withColumn("template", supported(F.col("template")))
+    plain, dressed = sound.where(F.col("template") == PLAIN), sound.where(F.col("template") != PLAIN)
     if add_generation_prompt:
-        names = sound.select("conv_id", "template").distinct()
-        sound = generation_prompt(sound.drop("template")).join(names, "conv_id")
-    return render(sound, heads, templates, ["LLAMA2", "LLAMA3"])
+        dressed = generation_prompt(dressed)
+    rendered = render(dressed, heads.where(F.col("template") != PLAIN), templates, ["LLAMA2", "LLAMA3"])
+    written = plain_template(plain)
+    prompt = F.when(F.col("error").isNull(), F.col("raw")).otherwise(F.raise_error("error").cast("string"))
+    return rendered.unionByName(written.select("conv_id", F.lit(PLAIN).alias("template"), prompt.alias("prompt")))
 
 
 def plain_template(messages: DataFrame, eos: str = "</s>") -> DataFrame:
-    """User text, a space, assistant text and the end mark; more than two turns are an error, put in ``error``.
+    """User text, a space, assistant text and the end mark; more than two turns, or two of one role, are an error, put in ``error``.
 
-    ``n_masked`` tokens at the front have label -100, the ``n_kept`` tokens of the assistant keep theirs.
+    ``n_masked`` tokens at the front have label -100, the ``n_kept`` tokens of the assistant keep theirs. A conversation's first
+    two turns are all that is gathered of it.
     """
     two = messages.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns"),
-        F.max(F.when(F.col("pos") == 0, F.col("text"))).alias("_user"),
-        F.max(F.when(F.col("pos") == 1, F.col("text"))).alias("_answer"))
-    answer = F.concat(F.lit(" "), F.col("_answer"), F.lit(eos))
-    raw = F.when(F.col("n_turns") <= 2, F.concat(F.col("_user"), F.coalesce(answer, F.lit(""))))
-    kept = F.when(F.col("n_turns") <= 2, F.size(tokens(F.coalesce(answer, F.lit("")))))
+        *[F.max(F.when(F.col("pos") == i, F.col(c))).alias(f"_{c}{i}") for i in (0, 1) for c in ("role", "text")])
+    answer = F.concat(F.lit(" "), F.col("_text1"), F.lit(eos))
+    error = F.when(F.col("n_turns") > 2, F.lit("multi-turn conversation needs a chat template")).when(
+        F.col("_role0") == F.col("_role1"), F.lit("two turns in a row have one role"))
+    fine = error.isNull()
+    raw = F.when(fine, F.concat(F.col("_text0"), F.coalesce(answer, F.lit(""))))
+    kept = F.when(fine, F.size(tokens(F.coalesce(answer, F.lit("")))))
     return two.select(
-        "conv_id", "n_turns", raw.alias("raw"),
-        F.when(F.col("n_turns") > 2, F.lit("multi-turn conversation needs a chat template")).alias("error"),
+        "conv_id", "n_turns", raw.alias("raw"), error.alias("error"),
         (F.size(tokens(raw)) - kept).cast("long").alias("n_masked"), kept.cast("long").alias("n_kept"))
 
 
+def plain_labels(plain: DataFrame, ids: Callable[[Column], Column]) -> DataFrame:
+    """Tokens of what ``plain_template`` wrote, with their label: -100 for the user's, the token's id for the assistant's."""
+    rows = plain.where("error is null").select("conv_id", "n_masked", F.posexplode(tokens(F.col("raw"))).alias("pos", "token"))
+    masked = F.col("pos") < F.col("n_masked")
+    return rows.select("conv_id", "pos", "token", F.when(masked, F.lit(IGNORED).cast("long")).otherwise(ids(F.col("token"))).alias("label"))
+
+
 def _rule(name: str, of: Column) -> Column:
     return F.create_map(*[F.lit(x) for t, r in LABEL_RULES.items() for x in (t, r[name])])[of]
 
 
-def masked_spans(prompts: DataFrame) -> DataFrame:
-    """Token spans [start, stop) of a rendered prompt that carry no label.
+def masked_spans(prompt: Column, template: Column) -> Column:
+    """Token spans (start, stop) of a rendered prompt that carry no label, stop exclusive: an array, worked out inside the row.
 
     The prompt is cut at the turn separator. Up to the first turn that is empty or does not split into
     exactly two parts, the instruction part of every turn is masked; so is all that follows the last turn.
     """
-    template = F.col("template")
-    ruled = prompts.withColumns({
-        "_sep": _rule("turn_sep", template), "_role_sep": _rule("role_sep", template),
-        "_bos": _rule("bos", template), "_left": _rule("left", template)})
-
     def split_literal(text: Column, sep: Column) -> Column:
         return F.split(text, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1)
 
     def n_tokens(text: Column) -> Column:
         return F.size(tokens(text)).cast("long")
 
-    turns = ruled.select(
-        "conv_id", "_sep", "_role_sep", "_bos", "_left", (n_tokens(F.col("prompt")) + F.col("_bos")).alias("_total"),
-        F.posexplode(split_literal(F.col("prompt"), F.col("_sep"))).alias("_i", "_turn"))
-    parts = split_literal(F.col("_turn"), F.col("_role_sep"))
-    first = F.when(F.col("_i") == 0, F.col("_bos")).otherwise(0)
-    measured = turns.withColumns({
-        "_bad": ((F.col("_turn") == "") | (F.size(parts) != 2)).cast("long"),
-        "_len": n_tokens(F.col("_turn")) + first + n_tokens(F.col("_sep")),
-        "_instr": n_tokens(F.concat(parts[0], F.col("_role_sep"))) + first,
-    }).select("conv_id", "_i", "_left", "_total", "_bad", "_len", "_instr")
-    run = running_totals(measured, ["conv_id"], "_i", {"_bad_so_far": F.col("_bad"), "_end": F.col("_len")})
-    good = run.where("_bad_so_far = 0").select(
-        "conv_id", F.greatest(F.col("_end") - F.col("_len") + F.col("_left"), F.lit(0)).alias("start"),
-        F.least(F.col("_end") - F.col("_len") + F.col("_instr"), F.col("_total")).alias("stop"))
-    rest = run.groupBy("conv_id").agg(
-        F.max("_total").alias("stop"), F.max("_left").alias("_left"),
-        F.coalesce(F.max(F.when(F.col("_bad_so_far") == 0, F.col("_end"))), F.lit(0)).alias("_cur"),
-    ).select("conv_id", F.greatest(F.col("_cur") + F.col("_left"), F.lit(0)).alias("start"), "stop")
-    return good.unionByName(rest).where("start < stop")
-
-
-def token_labels(prompts: DataFrame, bos: str = "<s>") -> DataFrame:
-    """Tokens of a rendered prompt with their label: the token's id, or -100 inside a masked span."""
-    rows = prompts.select("conv_id", F.posexplode(F.concat(F.array(F.lit(bos)), tokens(F.col("prompt")))).alias("pos", "token"))
-    masked = masked_spans(prompts).select(
-        "conv_id", F.explode(F.sequence(F.col("start").cast("int"), (F.col("stop") - 1).cast("int"))).alias("pos")).distinct()
-    return rows.join(masked.withColumn("_masked", F.lit(True)), ["conv_id", "pos"], "left").select(
-        "conv_id", "pos", "token", F.when(F.col("_masked"), F.lit(IGNORED).cast("long")).otherwise(stable_hash(F.col("token"))).alias("label"))
+    def measured(rule: Column):
+        def turn(t: Column, i: Column) -> Column:
+            parts = split_literal(t, rule["role_sep"])
+            first = F.when(i == 0, rule["bos"]).otherwise(F.lit(0))
+            return let(parts, lambda p: F.struct(
+                ((t == "") | (F.size(p) != 2)).alias("bad"),
+                (n_tokens(t) + first + n_tokens(rule["sep"])).cast("long").alias("len"),
+                (n_tokens(F.concat(p[0], rule["role_sep"])) + first).cast("long").alias("instr")))
+        return turn
+
+    def spans(rule: Column) -> Column:
+        turns = F.transform(split_literal(prompt, rule["sep"]), measured(rule))
+        total = n_tokens(prompt) + rule["bos"]
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("open"), F.array().cast(SPANS).alias("spans"))
+
+        def step(state: Column, t: Column) -> Column:
+            good = state["open"] & ~t["bad"]
+            span = F.struct(F.greatest(state["at"] + rule["left"], F.lit(0)).cast("long").alias("start"),
+                            F.least(state["at"] + t["instr"], total).cast("long").alias("stop"))
+            return F.struct((state["at"] + F.when(good, t["len"]).otherwise(0)).alias("at"), good.alias("open"),
+                            F.when(good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+        def closed(state: Column) -> Column:
+            rest = F.struct(F.greatest(state["at"] + rule["left"], F.lit(0)).cast("long").alias("start"), total.cast("long").alias("stop"))
+            return F.filter(F.concat(state["spans"], F.array(rest)), lambda s: s["start"] < s["stop"])
+
+        return F.aggregate(turns, start, step, closed)
+
+    rule = F.struct(_rule("turn_sep", template).alias("sep"), _rule("role_sep", template).alias("role_sep"),
+                    _rule("bos", template).alias("bos"), _rule("left", template).alias("left"))
+    return let(rule, spans)
+
+
+SPANS = "array<struct<start:bigint,stop:bigint>>"
+
+
+def token_labels(prompts: DataFrame, ids: Callable[[Column], Column], bos: str = "<s>") -> DataFrame:
+    """Tokens of a rendered prompt with their label: the token's id, or -100 inside a masked span. Nothing leaves the prompt's row.
+
+    ``ids`` gives a token's id in the vocabulary at hand.
+    """
+    rows = prompts.select("conv_id", F.concat(F.array(F.lit(bos)), tokens(F.col("prompt"))).alias("_words"),
+                          masked_spans(F.col("prompt"), F.col("template")).alias("_spans"))
+    inside = F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"].cast("int"), s["stop"].cast("int") - 1)))
+    every = F.sequence(F.lit(0), F.size("_words") - 1)
+    masked = F.transform(F.array_intersect(every, inside), lambda i: F.struct(i.alias("pos"), F.lit(True).alias("masked")))
+    open_ = F.transform(F.array_except(every, inside), lambda i: F.struct(i.alias("pos"), F.lit(False).alias("masked")))
+    placed = rows.select("conv_id", "_words", F.inline(F.concat(masked, open_))).select(
+        "conv_id", "pos", "masked", F.get("_words", F.col("pos")).alias("token"))
+    return placed.select("conv_id", "pos", "token", F.when(
+        F.col("masked"), F.lit(IGNORED).cast("long")).otherwise(ids(F.col("token"))).alias("label"))
 
 
 def with_examples(messages: DataFrame, heads: DataFrame, templates: DataFrame) -> DataFrame:
@@ -258,8 +308,7 @@ def extract_text(messages: DataFrame) -> DataFrame:
 def conversation_record(messages: DataFrame, heads: DataFrame, templates: DataFrame) -> DataFrame:
     """A JSON summary per conversation: template, system text, roles, all messages with role names, offset."""
     fields = F.broadcast(templates.select("template", "roles", "offset", F.size("examples").alias("_shown")))
-    named = messages.join(fields, "template").withColumn(
-        "role", F.when(F.col("role") == "user", F.col("roles")[0]).otherwise(F.col("roles")[1]))
+    named = messages.join(fields, "template").withColumn("role", template_role(F.col("role"), F.col("roles")))
     lead = F.when(F.col("pos") + F.col("_shown") == 0, F.lit("")).otherwise(F.lit(","))
     pieces = named.withColumn("piece", F.concat(lead, F.to_json(F.array("role", "text"))))
     lists = assemble_text(pieces, ["conv_id"], "pos", "piece", "_messages")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 HOT_SHARE = 1000
-SPREAD = 1 << 16
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
@@ -15,24 +14,24 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     return counts.join(F.broadcast(total)).where(F.col(n) * HOT_SHARE >= F.col("_total")).select(key)
 
 
-def skew_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
-    """Inner join of rows with a table that has each key once.
+def skew_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with a table that has each key once.
 
-    Values of hot keys, a thousand at most, are broadcast to the rows. All other keys hold less than a
-    thousandth of the rows each and are shuffled; the hot rows go through that shuffle spread evenly.
-    ``counts`` (key, n) saves a pass where it is known.
+    Rows of hot keys get their values by broadcast, a thousand at most, and aren't shuffled. All other keys hold less
+    than a thousandth of the rows each and are joined by a shuffle; rows without a key have no match and aren't
+    shuffled either. ``counts`` (key, n) saves a pass where it is known.
     """
     if counts is None:
         counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     values = [c for c in table.columns if c != key]
     packed = table.select(key, F.struct(*values).alias("_value"))
-    hot = packed.join(F.broadcast(hot_keys(counts, key)), key).withColumnRenamed("_value", "_hot")
-    flagged = rows.join(F.broadcast(hot), key, "left")
-    is_hot = F.col("_hot").isNotNull()
-    left = flagged.withColumns({
-        "_key": F.when(~is_hot, F.col(key)),
-        "_spread": F.when(is_hot, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))).otherwise(F.lit(0)).cast("long"),
-    })
-    right = packed.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_spread"), "_value")
-    joined = left.join(right, ["_key", "_spread"], "left").withColumn("_value", F.coalesce("_hot", "_value"))
-    return joined.where("_value is not null").select(*rows.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
+    hot = hot_keys(counts.where(F.col(key).isNotNull()), key).withColumn("_is_hot", F.lit(True))
+    # a table without a hot key's row gives it a null value, as any other key
+    hot = F.broadcast(hot.join(packed, key, "left"))
+    flagged = rows.join(hot, key, "left")
+    aside = F.col("_is_hot").isNotNull() | F.col(key).isNull()
+    cold = flagged.where(~aside).drop("_is_hot", "_value").join(packed, key, "left")
+    joined = flagged.where(aside).drop("_is_hot").unionByName(cold)
+    if how == "inner":
+        joined = joined.where("_value is not null")
+    return joined.select(*rows.columns, *[F.col(f"_value.{v}").alias(v) for v in values])

@@ -1,9 +1,9 @@
 """Token vectors and their pooled means.
 
 ``VectorTable`` is the lookup table token id -> vector. Its size is read before it is used: a table below
-``BROADCAST_BYTES`` is broadcast and token rows stay where they are; a larger one is joined by a shuffle, after
-equal tokens of a group were counted on the map side, with the vectors of hot words broadcast, so that a word
-making up a third of all tokens does not pile up in one task.
+``BROADCAST_BYTES`` is broadcast; a larger one is joined by a shuffle, with the vectors of hot words broadcast, so that a
+word making up a third of all tokens does not pile up in one task. Equal tokens of a segment are counted inside its row
+before either join. Both ways give the same rows and columns.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import stable_hash
-from ..functions.vectors import norm
+from ..functions.vectors import EPS, norm
 from .lookup import skew_join
 
 BROADCAST_BYTES = 256 << 20
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -46,34 +47,56 @@ def token_vector_id(token: Column, rows: int) -> Column:
     return F.pmod(stable_hash(token), F.lit(rows).cast("long"))
 
 
-def attach_vectors(rows: DataFrame, table: VectorTable, keys: list[str]) -> DataFrame:
-    """Adds ``vec`` and ``cnt`` to token rows that carry ``vec_id``.
+def attach_vectors(rows: DataFrame, table: VectorTable, missing: str = "error") -> DataFrame:
+    """Adds ``vec``, ``norm`` and ``live`` to rows that carry ``vec_id`` and ``cnt``; every row stays one row.
 
-    With a broadcast table every row stays one row (``cnt`` = 1). With a large one, the rows are first counted
-    per (keys, vec_id), which keeps sums and means over the keys the same.
+    A row whose id has no vector is an error, or, with ``missing="zero"``, gets the zero vector and ``live`` = 0: it counts in
+    lengths and not in means. A row without an id, as a group without tokens has it, gets the same.
     """
+    if missing not in ("error", "zero"):
+        raise ValueError(f"missing is 'error' or 'zero', not {missing!r}")
     if table.fits_broadcast:
-        return rows.withColumn("cnt", F.lit(1).cast("long")).join(F.broadcast(table.frame), "vec_id")
-    counted = rows.groupBy(*keys, "vec_id").agg(F.count(F.lit(1)).alias("cnt"))
-    return skew_join(counted, table.frame, "vec_id")
+        joined = rows.join(F.broadcast(table.frame), "vec_id", "left")
+    else:
+        joined = skew_join(rows, table.frame, "vec_id", how="left")
+    found = F.col("vec").isNotNull()
+    absent = F.array_repeat(F.lit(0.0), table.dim)
+    if missing == "error":
+        said = F.concat(F.lit("no vector for id "), F.col("vec_id").cast("string"))
+        absent = F.when(F.col("vec_id").isNotNull(), F.raise_error(said).cast("array<double>")).otherwise(absent)
+    return joined.withColumns({
+        "live": F.when(found, F.col("cnt")).otherwise(F.lit(0).cast("long")),
+        "norm": F.coalesce("norm", F.lit(EPS)),
+        "vec": F.when(found, F.col("vec")).otherwise(absent),
+    })
 
 
 def weighted_mean(rows: DataFrame, keys: list[str], dim: int, weight: Column | None = None,
                   divisor: Column | None = None, out: str = "vec") -> DataFrame:
     """Sum of weight * vec per group over ``divisor`` (default: the sum of weights ``_w``, at least 1e-9).
 
-    One plain sum per dimension: these combine on the map side and stay inside code generation.
+    Vectors are cut into blocks of ``BLOCK`` values and summed per (group, block), one plain sum per place: these combine on
+    the map side and stay inside code generation at any width. A group's blocks are then put together again, where
+    its rows already lie.
     """
-    sums = ", ".join(f"sum(vec[{i}] * _wt)" for i in range(dim))
-    grouped = rows.withColumn("_wt", F.col("cnt").cast("double") if weight is None else weight).groupBy(*keys).agg(
-        F.sum("cnt").alias("n_tokens"), F.sum("_wt").alias("_w"), F.expr(f"array({sums})").alias("_sums"))
+    starts = F.sequence(F.lit(1), F.lit(dim), F.lit(BLOCK))
+    cut = rows.withColumn("_wt", F.col("live").cast("double") if weight is None else weight).select(
+        *keys, "cnt", "_wt", F.posexplode(F.transform(starts, lambda at: F.slice("vec", at, BLOCK))).alias("_block", "_part"))
+    sums = [F.sum(F.get("_part", F.lit(i)) * F.col("_wt")) for i in range(min(dim, BLOCK))]
+    summed = cut.groupBy(*keys, "_block").agg(
+        F.sum("cnt").alias("n_tokens"), F.sum("_wt").alias("_w"), F.array(*sums).alias("_sums"))
+    whole = summed.groupBy(*keys).agg(
+        F.max("n_tokens").alias("n_tokens"), F.max("_w").alias("_w"),
+        F.sort_array(F.collect_list(F.struct("_block", "_sums"))).alias("_blocks"))
     by = F.greatest(F.col("_w"), F.lit(1e-9)) if divisor is None else divisor
-    return grouped.select(*keys, "n_tokens", F.transform("_sums", lambda x: x / by).alias(out))
+    # the last block may be shorter: its other places are null
+    values = F.slice(F.flatten(F.col("_blocks._sums")), 1, dim)
+    return whole.select(*keys, "n_tokens", F.transform(values, lambda x: x / by).alias(out))
 
 
 def masked_mean(rows: DataFrame, keys: list[str], dim: int, mask: Column | None = None, guard: float = 1.0) -> DataFrame:
     """Mean over the tokens with mask 1, the divisor held at ``guard`` or above; no valid token gives zeros."""
-    weight = F.col("cnt").cast("double") * (F.lit(1.0) if mask is None else mask.cast("double"))
+    weight = F.col("live").cast("double") * (F.lit(1.0) if mask is None else mask.cast("double"))
     return weighted_mean(rows, keys, dim, weight, F.greatest(F.col("_w"), F.lit(guard)))
 
 
@@ -81,7 +104,7 @@ def chunk_pool(rows: DataFrame, key: str, merge: int, dim: int, padded: bool = F
     """Means of ``merge`` consecutive vectors. The tail is averaged over its own length, or over ``merge``
     when ``padded``, which is what zero vectors at its end amount to."""
     divisor = F.lit(float(merge)) if padded else F.greatest(F.col("_w"), F.lit(1.0))
-    return weighted_mean(rows, [key, "chunk"], dim, F.col("cnt").cast("double"), divisor)
+    return weighted_mean(rows, [key, "chunk"], dim, divisor=divisor)
 
 
 def softmax_pool(rows: DataFrame, keys: list[str], score: Column, dim: int, out: str = "vec", bounded: bool = False) -> DataFrame:
@@ -94,7 +117,7 @@ def softmax_pool(rows: DataFrame, keys: list[str], score: Column, dim: int, out:
     if not bounded:
         top = scored.groupBy(*keys).agg(F.max("_score").alias("_top"))
         scored = scored.join(top, keys).withColumn("_score", F.col("_score") - F.col("_top"))
-    return weighted_mean(scored, keys, dim, F.exp("_score") * F.col("cnt"), F.col("_w"), out)
+    return weighted_mean(scored, keys, dim, F.exp("_score") * F.col("live"), out=out)
 
 
 def minmax_scale(rows: DataFrame, key: str, value: str, scale: float = 1.0, out: str = "scaled") -> DataFrame:

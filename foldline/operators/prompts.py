@@ -150,10 +150,11 @@ def context(i: Column, role: Column, text: Column, images: Column | None = None)
 
 
 def piece(style: Style, c: SimpleNamespace) -> Column:
-    """What a turn adds to the prompt; null and empty text both count as pending."""
+    """What a turn adds to the prompt; null and empty text both count as pending, unless the style shows images and there are some."""
     filled = F.coalesce(c.text, F.lit("")) != ""
     if style.images and c.images is not None:
-        c = SimpleNamespace(**{**vars(c), "text": with_image_marks(c.text, c.images)})
+        filled = filled | (F.coalesce(F.size(c.images), F.lit(0)) > 0)
+        c = SimpleNamespace(**{**vars(c), "text": with_image_marks(F.coalesce(c.text, F.lit("")), c.images)})
     return F.when(filled, style.turn(c)).otherwise(style.pending(c))
 
 
@@ -168,7 +169,7 @@ def finish(name: str, text: Column) -> Column:
     """The last step over the whole prompt, which only one style has."""
     if name != "YUAN2":
         return text
-    return F.concat(F.regexp_replace(text, "[<n>]+$", ""), F.col("sep"))
+    return F.concat(F.regexp_replace(text, r"[<n>]+\z", ""), F.col("sep"))
 
 
 def by_style(names: list[str], build: Callable[[str, Style], Column]) -> Column:

@@ -60,22 +60,35 @@ def placed(df: DataFrame, key: str) -> DataFrame:
 
     This is the one shuffle of the compression: every later grouping, window and join on the key finds its rows
     in place. A record is one row, so a key is never larger than a row can be. The number is given, because
-    partitions sized by their bytes would be too few: a kilobyte of text becomes a hundred of vectors.
+    partitions sized by their bytes would be too few: a kilobyte of text becomes a hundred of vectors. A given number is
+    neither coalesced nor split later: set ``spark.sql.shuffle.partitions`` to the input's size over 32 MB or so.
+
+    Rows without a key are left out here, so that a later join adds no filter below the shuffle and finds it done.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.where(F.col(key).isNotNull()).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def segment_rows(records: DataFrame, key: str, query: str, document: str, size: int, kept: list[str] | None = None) -> DataFrame:
-    """One row per segment with its ``words``: the query as segment -1, the document's segments from 0."""
+    """One row per segment with its ``words``: the query as segment -1, the document's segments from 0.
+
+    A document without tokens has one segment without words.
+    """
     asked = F.struct(F.lit(-1).cast("long").alias("seg_idx"), tokens(F.col(query)).alias("words"))
-    cut = F.transform(slices(tokens(F.col(document)), size), lambda w, i: F.struct(
-        i.cast("long").alias("seg_idx"), w.alias("words")))
-    return records.select(key, *(kept or []), F.inline(F.concat(F.array(asked), cut)))
+    nothing = F.array(F.array().cast("array<string>"))
+    cut = let(slices(tokens(F.col(document)), size), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(nothing))
+    numbered = F.transform(cut, lambda w, i: F.struct(i.cast("long").alias("seg_idx"), w.alias("words")))
+    return records.select(key, *(kept or []), F.inline(F.concat(F.array(asked), numbered)))
 
 
 def token_rows(segments: DataFrame, size: int) -> DataFrame:
-    """One row per token; ``pos`` counts through the document, and from 0 again in the query."""
+    """One row per token; ``pos`` counts through the document, and from 0 again in the query. Segments without words have no row."""
     rest = [c for c in segments.columns if c != "words"]
     rows = segments.select(*rest, F.posexplode("words").alias("_p", "token"))
     pos = F.greatest(F.col("seg_idx"), F.lit(0)) * size + F.col("_p")
     return rows.select(*rest, pos.alias("pos"), "token")
+
+
+def inner_words(words: Column, cap: int | None = None) -> Column:
+    """The first ``cap`` words without the first and the last one."""
+    cut = words if cap is None else F.slice(words, 1, cap)
+    return let(cut, lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))

@@ -4,23 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import runs
 from ..functions.vectors import cosine, dot, norm
 from . import pooling
 from .pooling import VectorTable, attach_vectors, masked_mean
-from .segments import segment_rows, token_rows
+from .segments import inner_words, segment_rows, token_rows
 
 TIE_DIGITS = 9
 
 
-def vector_rows(tokens: DataFrame, table: VectorTable, key: str = "example_id", keys: list[str] | None = None) -> DataFrame:
-    """Token rows with ``vec_id``, ``vec`` and ``cnt``."""
-    named = tokens.withColumn("vec_id", pooling.token_vector_id(F.col("token"), table.rows))
-    return attach_vectors(named, table, keys or [key, "seg_idx"])
+def counted_rows(segments: DataFrame, table: VectorTable, parts: Column | None = None) -> DataFrame:
+    """One row per distinct vector of a segment, with its ``vec_id`` and how often it occurs (``cnt``); other columns stay.
+
+    The counting is done inside the segment's row, so nothing is grouped before the vectors come in. ``parts``: structs to
+    count instead of the words' ids, with a field ``vec_id``. A segment without words keeps one row with ``cnt`` 0.
+    """
+    rest = [c for c in segments.columns if c != "words"]
+    if parts is None:
+        parts = F.transform("words", lambda w: F.struct(pooling.token_vector_id(w, table.rows).alias("vec_id")))
+    rows = segments.select(*rest, F.explode_outer(runs(parts)).alias("_run"))
+    return rows.select(*rest, "_run.item.*", F.coalesce("_run.n", F.lit(0).cast("long")).alias("cnt"))
+
+
+def segment_vectors(segments: DataFrame, table: VectorTable, missing: str = "error", parts: Column | None = None) -> DataFrame:
+    """``counted_rows`` with their vectors: columns of the segment, vec_id, cnt, live, vec, norm."""
+    return attach_vectors(counted_rows(segments, table, parts), table, missing)
 
 
-def pooled_segments(tokens: DataFrame, table: VectorTable, key: str = "example_id") -> DataFrame:
-    """Mean vector per segment; the query is segment -1."""
-    return masked_mean(vector_rows(tokens, table, key), [key, "seg_idx"], table.dim)
+def pooled_segments(segments: DataFrame, table: VectorTable, key: str = "example_id", missing: str = "error") -> DataFrame:
+    """Mean vector per segment; the query is segment -1. A segment without words has the zero vector and no tokens."""
+    return masked_mean(segment_vectors(segments.select(key, "seg_idx", "words"), table, missing), [key, "seg_idx"], table.dim)
+
+
+def block_embeddings(segments: DataFrame, table: VectorTable, cap: int = 512, key: str = "example_id", missing: str = "error") -> DataFrame:
+    """Mean vector of each segment's first ``cap`` words without the first and the last one; with none left, the zero vector."""
+    inner = segments.select(key, "seg_idx", inner_words(F.col("words"), cap).alias("words"))
+    return pooled_segments(inner, table, key, missing)
 
 
 def with_query_vector(pooled: DataFrame, key: str = "example_id") -> DataFrame:
@@ -77,17 +96,20 @@ def compression_per_example(ranked: DataFrame, ratios: list[float], key: str = "
         F.avg("n_tokens").alias("avg_seg_len"),
         F.max("n_tokens").alias("max_seg_len"),
         F.sum("n_tokens").alias("org_len"),
-        F.sum(F.when(kept, F.col("n_tokens")).otherwise(F.lit(1))).alias("comp_len"),
+        F.sum(F.when(kept & (F.col("n_tokens") > 0), F.col("n_tokens")).otherwise(F.lit(1))).alias("comp_len"),
     )
     return grouped.withColumns({
         "n_compressed": F.col("n_segments") - F.col("n_kept"),
         "kept_rate": F.col("n_kept") / F.col("n_segments"),
-        "actual_compression": 1 - F.col("comp_len") / (F.col("n_segments") * F.col("max_seg_len")),
+        "actual_compression": 1 - F.try_divide(F.col("comp_len"), F.col("n_segments") * F.col("max_seg_len")),
     })
 
 
-def choices(ranked: DataFrame, ratio: float, key: str = "example_id") -> DataFrame:
-    """One row per example: its query vector and the places of the kept segments, never more than the record has."""
+def choices(ranked: DataFrame, ratio: Column | float, key: str = "example_id") -> DataFrame:
+    """One row per example: its query vector and the places of the kept segments, never more than the record has.
+
+    ``ratio``: one for all, or a column, such as a drawn one.
+    """
     return ranked.groupBy(key).agg(
         F.first("query_vec").alias("query_vec"),
         F.collect_list(F.when(keep_flag(ratio), F.col("seg_idx"))).alias("kept_segs"),
@@ -96,32 +118,25 @@ def choices(ranked: DataFrame, ratio: float, key: str = "example_id") -> DataFra
 
 def chosen_segments(records: DataFrame, chosen: DataFrame, size: int, key: str = "example_id", query: str = "question",
                     document: str = "document") -> DataFrame:
-    """The document's segments with their words and a ``keep`` flag.
+    """The document's segments with their words, a ``keep`` flag and the query's vector. A segment without words isn't kept.
 
     Records meet their choice one to one on the key by which both are already placed, so nothing is shuffled.
     """
     both = records.select(key, query, document).join(chosen, key)
     rows = segment_rows(both, key, query, document, size, ["query_vec", "query_norm", "kept_segs"])
-    return rows.where("seg_idx >= 0").withColumn("keep", F.array_contains("kept_segs", F.col("seg_idx"))).drop("kept_segs")
-
-
-def _attended(rows: DataFrame, chosen: DataFrame, table: VectorTable, keys: list[str], key: str) -> DataFrame:
-    """Token rows with vectors and the weight exp(cos(token, query)). Cosines lie in [-1, 1]: no overflow."""
-    valued = vector_rows(rows, table, key, keys)
-    if "query_vec" not in valued.columns:  # the large table's join counts tokens first and drops it
-        valued = valued.join(chosen.select(key, "query_vec", "query_norm"), key)
-    cos = dot(F.col("vec"), F.col("query_vec")) / (F.col("norm") * F.col("query_norm"))
-    return valued.withColumn("attention", F.exp(F.coalesce(cos, F.lit(0.0))))
+    keep = F.array_contains("kept_segs", F.col("seg_idx")) & (F.size("words") > 0)
+    return rows.where("seg_idx >= 0").withColumn("keep", keep).drop("kept_segs")
 
 
-def skim_vectors(segments: DataFrame, chosen: DataFrame, table: VectorTable, size: int, key: str = "example_id") -> DataFrame:
+def skim_vectors(segments: DataFrame, table: VectorTable, key: str = "example_id", missing: str = "error") -> DataFrame:
     """One vector per segment that is not kept: its tokens weighted by softmax of cos(token, query).
 
-    The choice comes first, so that tokens of kept segments never meet a vector.
+    The choice comes first, so that tokens of kept segments never meet a vector. Cosines lie in [-1, 1]: exp() cannot overflow.
     """
-    keys = [key, "seg_idx"]
-    rows = _attended(token_rows(segments.where(~F.col("keep")).drop("keep"), size), chosen, table, keys, key)
-    return pooling.weighted_mean(rows, keys, table.dim, F.col("attention") * F.col("cnt"), F.col("_w"), "skim_vec")
+    rows = segment_vectors(segments.where(~F.col("keep")).drop("keep"), table, missing)
+    cos = dot(F.col("vec"), F.col("query_vec")) / (F.col("norm") * F.col("query_norm"))
+    attention = F.exp(F.coalesce(cos, F.lit(0.0)))
+    return pooling.weighted_mean(rows.withColumn("_a", attention), [key, "seg_idx"], table.dim, F.col("_a") * F.col("live"), out="skim_vec")
 
 
 def hybrid_rows(segments: DataFrame, size: int, key: str = "example_id") -> DataFrame:
@@ -134,18 +149,27 @@ def hybrid_rows(segments: DataFrame, size: int, key: str = "example_id") -> Data
     return segments.select(key, "seg_idx", F.inline(F.when(F.col("keep"), read).otherwise(summary)))
 
 
-def hybrid_vectors(segments: DataFrame, chosen: DataFrame, table: VectorTable, size: int, key: str = "example_id") -> DataFrame:
+def hybrid_vectors(segments: DataFrame, table: VectorTable, size: int, key: str = "example_id", missing: str = "error") -> DataFrame:
     """The hybrid sequence with a vector per row: a kept token has its own, a skimmed segment its summary."""
-    keys = [key, "seg_idx", "pos", "token"]
-    read = token_rows(segments.where("keep").select(key, "seg_idx", "words"), size)
-    kept = vector_rows(read, table, key, keys).select(
+    read = token_rows(segments.where("keep").select(key, "seg_idx", "words"), size).withColumns({
+        "vec_id": pooling.token_vector_id(F.col("token"), table.rows), "cnt": F.lit(1).cast("long")})
+    kept = attach_vectors(read, table, missing).select(
         key, "seg_idx", F.col("pos").alias("src_pos"), F.lit("token").alias("kind"), "token", "vec")
-    skims = skim_vectors(segments, chosen, table, size, key).select(
+    skims = skim_vectors(segments, table, key, missing).select(
         key, "seg_idx", F.lit(-1).cast("long").alias("src_pos"), F.lit("summary").alias("kind"),
         F.lit(None).cast("string").alias("token"), F.col("skim_vec").alias("vec"))
     return kept.unionByName(skims)
 
 
+def visible_memories(memories: DataFrame, key: str = "example_id", order: tuple[str, str] = ("seg_idx", "chunk")) -> DataFrame:
+    """Memory rows of an example in order, with ``mem_pos`` from 0 and ``visible``: a segment sees the rows before it and its own,
+    which are those with mem_pos below the ``visible`` of its rows. The prefix stands for a copy of them per segment."""
+    through = Window.partitionBy(key).orderBy(*order)
+    numbered = memories.withColumn("mem_pos", (F.row_number().over(through) - 1).cast("long"))
+    upto = Window.partitionBy(key).orderBy(order[0]).rangeBetween(Window.unboundedPreceding, 0)
+    return numbered.withColumn("visible", F.count(F.lit(1)).over(upto))
+
+
 def compact(rows: DataFrame, order: list[str], key: str = "example_id", out: str = "new_pos") -> DataFrame:
     """Numbers the remaining rows of an example without gaps."""
     return rows.withColumn(out, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))

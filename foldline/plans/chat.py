@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import stable_hash
 from ..operators import conversations as C
 from ..operators.prompts import STYLES, with_image_marks
-from ..session import stored
 from .catalog import query
-from .fixtures import CHAT_SQL, chats, sql_hash, sql_text, sql_tokens, with_images
+from .fixtures import CHAT_SQL, chats, sql_hash, sql_text, sql_tokens, table, with_images
 from .templates import REGISTRY
 
 # Head, turn and pending text per style in SQL. s: system prompt, sys: system text, r: role, m: text, i: place.
@@ -78,6 +78,7 @@ def sql_render(names: list[str], styles: list[str], pending: bool = True, images
     cut = f"WHERE pos >= n - {last}" if last else ""
     place = f"pos - greatest(n - {last}, 0)" if last else "pos + n_ex"
     img = "repeat('$$<image>$$', CASE WHEN pos % 4 = 0 THEN 2 ELSE 0 END)" if images else "''"
+    said = "CASE WHEN pos % 8 = 4 THEN '' ELSE coalesce(text, '') END" if images else "coalesce(text, '')"
     done = "rtrim(head || coalesce(body, ''), '<n>') || sep" if styles == ["YUAN2"] else "head || coalesce(body, '')"
     if "YUAN2" in styles and len(styles) > 1:
         done = f"CASE WHEN style = 'YUAN2' THEN rtrim(head || coalesce(body, ''), '<n>') || sep ELSE {done} END"
@@ -88,22 +89,19 @@ hd AS (
 talk AS (SELECT conv_id, role, text, pos FROM msgs{waiting}),
 counted AS (SELECT *, max(pos) OVER (PARTITION BY conv_id) + 1 AS n FROM talk),
 turns AS (
-  SELECT c.conv_id, {place} AS i, CASE role WHEN 'user' THEN r0 ELSE r1 END AS r, coalesce(text, '') AS m, {img} AS img,
+  SELECT c.conv_id, {place} AS i, CASE role WHEN 'user' THEN r0 ELSE r1 END AS r, {said} AS m, {img} AS img,
          template, style, r0, r1, sep, sep2
   FROM counted c JOIN hd USING (conv_id) {cut}
   UNION ALL
   SELECT hd.conv_id, ex.i, ex.r, ex.m, '', hd.template, style, r0, r1, sep, sep2 FROM hd JOIN ex ON ex.template = hd.template),
-bodies AS (SELECT conv_id, string_agg(CASE WHEN m <> '' THEN {case(1)} ELSE {case(2)} END, '' ORDER BY i) AS body FROM turns GROUP BY conv_id),
+bodies AS (SELECT conv_id, string_agg(CASE WHEN m <> '' OR img <> '' THEN {case(1)} ELSE {case(2)} END, '' ORDER BY i) AS body FROM turns GROUP BY conv_id),
 rendered AS (SELECT conv_id, template, {done} AS prompt FROM (SELECT *, {case(0)} AS head FROM hd) LEFT JOIN bodies USING (conv_id))"""
 
 
 def talk(spark, sf, names: list[str], pending: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages with a waiting assistant turn after a last user turn, heads and the named templates."""
     messages, heads = chats(spark, sf, names)
-    if pending:
-        template = F.array(*[F.lit(n) for n in names])[F.pmod("conv_id", F.lit(len(names))).cast("int")]
-        messages = C.generation_prompt(messages).withColumn("template", template)
-    return messages, heads, REGISTRY.frame(spark, names)
+    return C.generation_prompt(messages) if pending else messages, heads, REGISTRY.frame(spark, names)
 
 
 for _style in STYLES:
@@ -113,6 +111,8 @@ for _style in STYLES:
     @query(f"render_prompt_{_style.lower()}", f"WITH {_sql} SELECT conv_id, template, prompt FROM rendered")
     def _render(spark, sf, style=_style, names=_names):
         messages, heads, templates = talk(spark, sf, names)
+        if STYLES[style].images:  # some turns have images alone
+            messages = messages.withColumn("text", F.when(F.col("pos") % 8 == 4, F.lit("")).otherwise(F.col("text")))
         return C.render(with_images(messages), heads, templates, [style])
 
 
@@ -139,6 +139,30 @@ def apply_chat_template(spark, sf):
     return C.apply_chat_template(messages, heads, templates, add_generation_prompt=True)
 
 
+PLAIN_SQL = f"""{CHAT_SQL},
+p AS (SELECT conv_id, max(text) FILTER (pos = 0) AS u, max(text) FILTER (pos = 1) AS a FROM msgs WHERE pos < 2 GROUP BY conv_id),
+r AS (SELECT conv_id, u || coalesce(' ' || a || '</s>', '') AS raw, {sql_tokens("u || coalesce(' ' || a || '</s>', '')")} AS w,
+      len({sql_tokens("coalesce(a || '</s>', '')")}) AS n_kept FROM p WHERE u IS NOT NULL)"""
+
+
+def first_exchange(spark, sf):
+    """The first two turns of every conversation: what the form without a template is for."""
+    messages, heads = chats(spark, sf, [C.PLAIN])
+    return messages.where("pos < 2"), heads
+
+
+@query("apply_no_template", f"WITH {PLAIN_SQL} SELECT conv_id, 'no' AS template, raw AS prompt FROM r")
+def apply_no_template(spark, sf):
+    return C.apply_chat_template(*first_exchange(spark, sf), REGISTRY.frame(spark, CHAT_NAMES))
+
+
+@query("plain_labels", f"""WITH {PLAIN_SQL}, t AS (SELECT conv_id, n_kept, len(w) AS n, unnest(range(len(w))) AS pos, unnest(w) AS token FROM r)
+SELECT conv_id, pos, token, CASE WHEN pos < n - n_kept THEN -100 ELSE {sql_hash('token')} END::BIGINT AS label FROM t""")
+def plain_labels(spark, sf):
+    messages, _ = first_exchange(spark, sf)
+    return C.plain_labels(C.plain_template(messages), stable_hash).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query("role_alternation", f"""WITH {CHAT_SQL}, folded AS (SELECT conv_id, pos, CASE WHEN pos % 5 = 3 THEN 'user' ELSE role END AS role FROM msgs)
 SELECT conv_id, pos, role, prev_role FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS prev_role FROM folded) WHERE role = prev_role""")
 def role_alternation(spark, sf):
@@ -191,9 +215,8 @@ rows AS (SELECT conv_id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM t
 SELECT r.conv_id, r.pos, CASE WHEN EXISTS (SELECT 1 FROM spans s WHERE s.conv_id = r.conv_id AND r.pos >= s.start AND r.pos < s.stop)
 THEN -100 ELSE {sql_hash('r.token')} END::BIGINT AS label FROM rows r""")
 def turn_label_spans(spark, sf):
-    """The prompts are stored, because the spans, their running lengths and the tokens all read them."""
     messages, heads, templates = talk(spark, sf, CHAT_NAMES)
-    labels = C.token_labels(stored(C.render(messages, heads, templates, ["LLAMA2", "LLAMA3"]), "prompts"))
+    labels = C.token_labels(C.render(messages, heads, templates, ["LLAMA2", "LLAMA3"]), stable_hash)
     return labels.select("conv_id", F.col("pos").cast("long").alias("pos"), "label")
 
 
@@ -215,10 +238,11 @@ def turn_pairs(spark, sf):
     return C.turn_pairs(chats(spark, sf)[0])
 
 
-@query("extract_text", f"WITH {CHAT_SQL} SELECT conv_id, pos, role, text FROM msgs")
+@query("extract_text", "SELECT conv_id, turn AS pos, role, text FROM conversations")
 def extract_text(spark, sf):
-    messages = with_images(chats(spark, sf)[0]).withColumn("msg", F.struct("text", "images"))
-    return C.extract_text(messages.drop("text"))
+    """Over the turns as they are: a projection."""
+    turns = with_images(table(spark, sf, "conversations").withColumnRenamed("turn", "pos"))
+    return C.extract_text(turns.withColumn("msg", F.struct("text", "images")).drop("text"))
 
 
 @query("image_refs", f"""WITH {CHAT_SQL}, m AS (SELECT conv_id, pos, ['img-' || conv_id, 'img-' || pos] AS images FROM msgs WHERE pos % 4 = 0)

@@ -8,11 +8,10 @@ from ..functions.text import tokens
 from ..functions.vectors import dot, l2_normalize
 from ..operators import pooling as P, selection as R
 from ..operators.assembly import drawn_ratio, pad_memories as pad_lists
-from ..operators.segments import placed, segment_rows, token_rows
-from ..session import stored
+from ..operators.segments import placed, segment_rows, slices, token_rows
 from .catalog import query
 from .fixtures import (POOLED_SQL, RANK_SQL, RATIOS, SEGMENT, SIM_SQL, VECTOR_SQL, positives, qa, r4, sql_draw, sql_mean,
-                       sql_vec, vec_text, vectors)
+                       sql_tokens, sql_vec, vec_text, vectors)
 
 SEG = "seg_idx"
 KEY = ["example_id", "seg_idx"]
@@ -25,17 +24,16 @@ class Job:
         self.table = vectors(spark, sf)
         self.examples = qa(spark, sf)
         self.records = placed(self.examples.select("example_id", "question", "document"), "example_id")
-        self.tokens = token_rows(segment_rows(self.records, "example_id", "question", "document", SEGMENT), SEGMENT)
+        self.segments = self.cut(SEGMENT)
+        self.tokens = token_rows(self.segments, SEGMENT)
 
-    def chosen(self, ratio: float, shared: bool = False) -> tuple[DataFrame, DataFrame]:
-        """The document segments with their keep flag, and the choices behind them.
+    def cut(self, size: int) -> DataFrame:
+        """The query as segment -1 and the document in segments of ``size``."""
+        return segment_rows(self.records, "example_id", "question", "document", size)
 
-        ``shared`` stores the choices, one row per example, for plans that use them twice: otherwise each use
-        would rank again.
-        """
-        choices = R.choices(self.ranked, ratio)
-        choices = stored(choices, "choices") if shared else choices
-        return R.chosen_segments(self.records, choices, SEGMENT), choices
+    def chosen(self, ratio: float) -> DataFrame:
+        """The document segments with their keep flag."""
+        return R.chosen_segments(self.records, R.choices(self.ranked, ratio), SEGMENT)
 
     @property
     def dim(self) -> int:
@@ -43,7 +41,7 @@ class Job:
 
     @property
     def pooled(self) -> DataFrame:
-        return R.pooled_segments(self.tokens, self.table)
+        return R.pooled_segments(self.segments, self.table)
 
     @property
     def sims(self) -> DataFrame:
@@ -54,9 +52,9 @@ class Job:
         return R.ranked_segments(self.sims)
 
     def chunks(self, merge: int) -> DataFrame:
-        """Document tokens with vectors, numbered by chunk."""
-        rows = self.tokens.where("seg_idx >= 0").withColumn("chunk", F.expr(f"cast(pos div {merge} as int)"))
-        return R.vector_rows(rows, self.table, keys=["example_id", "chunk"])
+        """Document tokens with vectors, by chunk: a chunk is a segment of ``merge`` tokens."""
+        rows = self.cut(merge).where("seg_idx >= 0").withColumnRenamed("seg_idx", "chunk")
+        return R.segment_vectors(rows, self.table)
 
 
 def flagship(spark, sf) -> DataFrame:
@@ -75,7 +73,9 @@ def mean_pool(spark, sf):
 SELECT example_id, seg_idx::BIGINT AS seg_idx, {sql_vec('vec')} AS vec FROM m""")
 def masked_mean_pool(spark, sf):
     job = Job(spark, sf)
-    rows = R.vector_rows(job.tokens.withColumn("mask", F.length("token") > 3), job.table, keys=[*KEY, "mask"])
+    parts = F.transform("words", lambda w: F.struct(
+        P.token_vector_id(w, job.table.rows).alias("vec_id"), (F.length(w) > 3).alias("mask")))
+    rows = R.segment_vectors(job.segments, job.table, parts=parts)
     return P.masked_mean(rows, KEY, job.dim, F.col("mask")).select("example_id", SEG, vec_text(F.col("vec")).alias("vec"))
 
 
@@ -124,14 +124,21 @@ def weighted_chunk_pool(spark, sf):
     return chunk_rows(P.softmax_pool(rows, ["example_id", "chunk"], score, job.dim))
 
 
-@query("cumulative_memory", f"""WITH {VECTOR_SQL}, n AS (SELECT example_id, seg_idx, (count(*) + 7) // 8 AS m FROM tv WHERE seg_idx >= 0 GROUP BY ALL)
-SELECT example_id, seg_idx::BIGINT AS seg_idx, m AS own, sum(m) OVER (PARTITION BY example_id ORDER BY seg_idx)::BIGINT AS total FROM n""")
+MEMORY_SQL = VECTOR_SQL + f""",
+ch AS (SELECT example_id, seg_idx, (pos - seg_idx * {SEGMENT}) // 8 AS chunk, v FROM tv WHERE seg_idx >= 0),
+m AS ({sql_mean('ch', 'example_id, seg_idx, chunk')})"""
+
+
+@query("cumulative_memory", f"""WITH {MEMORY_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx,
+row_number() OVER (PARTITION BY example_id ORDER BY seg_idx, chunk) - 1 AS mem_pos,
+count(*) OVER (PARTITION BY example_id ORDER BY seg_idx) AS visible, {sql_vec('vec')} AS vec FROM m""")
 def cumulative_memory(spark, sf):
-    """After segment i the memory is the first ``total`` memory vectors of the example: a count instead of i copies."""
-    rows = Job(spark, sf).tokens.where("seg_idx >= 0").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    own = rows.withColumn("own", F.ceil(F.col("n") / 8))
-    run = Window.partitionBy("example_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return own.select("example_id", SEG, "own", F.sum("own").over(run).alias("total"))
+    """A memory per eight tokens of a segment; after segment i those with mem_pos below its ``visible`` are seen."""
+    job = Job(spark, sf)
+    parts = F.transform(slices(F.col("words"), 8), lambda w, i: F.struct(i.alias("chunk"), w.alias("words")))
+    chunks = job.segments.where("seg_idx >= 0").select("example_id", SEG, F.inline(parts))
+    pooled = P.weighted_mean(R.segment_vectors(chunks, job.table), [*KEY, "chunk"], job.dim)
+    return R.visible_memories(pooled).select("example_id", SEG, "mem_pos", "visible", vec_text(F.col("vec")).alias("vec"))
 
 
 @query("minmax_scale", f"""WITH {SIM_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx,
@@ -141,17 +148,24 @@ def minmax_scale(spark, sf):
     return P.minmax_scale(sims, "example_id", "sim", 2.0).select("example_id", SEG, r4("scaled").alias("scaled"))
 
 
+# A block: the first 512 tokens of a segment, of the question or, as one segment, of the document, without the first and the last.
+BLOCK_SQL = VECTOR_SQL + f""",
+spot AS (SELECT *, pos - greatest(seg_idx, 0) * {SEGMENT} AS r, count(*) OVER (PARTITION BY example_id, seg_idx) AS n FROM tv),
+inner_tokens AS (SELECT example_id, seg_idx, v FROM spot WHERE r BETWEEN 1 AND least(n, 512) - 2),
+blocks AS MATERIALIZED ({sql_mean('inner_tokens', 'example_id, seg_idx')})"""
+
+
 @query("block_embedding", f"""WITH {VECTOR_SQL}, n AS (SELECT example_id, least(count(*), 512) AS n FROM tv WHERE seg_idx >= 0 GROUP BY 1),
 b AS (SELECT tv.example_id, v FROM tv JOIN n USING (example_id) WHERE seg_idx >= 0 AND pos BETWEEN 1 AND n - 2),
-m AS ({sql_mean('b', 'example_id')}) SELECT example_id, n_tokens, {sql_vec('vec')} AS vec FROM m""")
+m AS ({sql_mean('b', 'example_id')})
+SELECT example_id, coalesce(n_tokens, 0) AS n_tokens, CASE WHEN vec IS NULL
+THEN array_to_string(list_transform(range((SELECT max(len(v)) FROM ve)), lambda x: 0), ',') ELSE {sql_vec('vec')} END AS vec
+FROM n LEFT JOIN m USING (example_id)""")
 def block_embedding(spark, sf):
-    """Cut to 512 tokens, first and last dropped, mean of the rest."""
+    """The whole document as one segment, cut to 512 tokens, first and last dropped, mean of the rest; none left: the zero vector."""
     job = Job(spark, sf)
-    block = F.slice(tokens(F.col("document")), 1, 512)
-    inner = F.slice(block, F.lit(2), F.greatest(F.size(block) - 2, F.lit(0)))
-    rows = job.examples.select("example_id", F.explode(inner).alias("token"))
-    return P.masked_mean(R.vector_rows(rows, job.table, keys=["example_id"]), ["example_id"], job.dim).select(
-        "example_id", "n_tokens", vec_text(F.col("vec")).alias("vec"))
+    whole = job.records.select("example_id", F.lit(0).cast("long").alias(SEG), tokens(F.col("document")).alias("words"))
+    return R.block_embeddings(whole, job.table).select("example_id", "n_tokens", vec_text(F.col("vec")).alias("vec"))
 
 
 @query("l2_normalize", f"""WITH {POOLED_SQL}, l AS (SELECT *, greatest(sqrt(list_dot_product(vec, vec)), 1e-12) AS len FROM pooled)
@@ -179,6 +193,18 @@ def topk_keep(spark, sf):
     return flagship(spark, sf)
 
 
+DRAWN_RATIO = f"(1.0::DOUBLE - {sql_draw('example_id // 4', 42, 1 << 24)} / {float(1 << 24)}::DOUBLE)"
+
+
+@query("topk_keep_drawn", f"""WITH {RANK_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, rank,
+rank <= floor({DRAWN_RATIO} * n_segments) AS keep FROM ranked""")
+def topk_keep_drawn(spark, sf):
+    """The selection with a ratio drawn per batch of four, as training takes it."""
+    ratio = drawn_ratio(F.expr("example_id div 4"), 42)
+    return light_ranked(Job(spark, sf)).select(
+        "example_id", SEG, F.col("rank").cast("long").alias("rank"), R.keep_flag(ratio).alias("keep"))
+
+
 @query("all_compress", f"WITH {RANK_SQL} SELECT example_id, count(*) AS n_segments, 0::BIGINT AS n_kept, count(*) AS comp_len FROM ranked GROUP BY 1")
 def all_compress(spark, sf):
     """Keeps nothing: the same pipeline with ratio 0."""
@@ -191,41 +217,43 @@ def sample_ratio(spark, sf):
     return qa(spark, sf).select("example_id", F.round(drawn_ratio(F.expr("example_id div 4"), 42), 6).alias("ratio"))
 
 
+# Ranks without vectors, worked out once; the question's vector once per example.
 SKIM_SQL = RANK_SQL + f""",
-chosen AS (SELECT * FROM ranked WHERE rank > floor(0.25::DOUBLE * n_segments)),
-att AS (SELECT tv.example_id, tv.seg_idx, tv.v, exp(coalesce(list_cosine_similarity(tv.v, c.query_vec), 0)) AS e
-        FROM tv JOIN chosen c USING (example_id, seg_idx)),
-skim AS ({sql_mean('att', 'example_id, seg_idx', 'e', 'sum(wt)')})"""
+picked AS MATERIALIZED (SELECT example_id, seg_idx, rank <= floor(0.25::DOUBLE * n_segments) AS keep FROM ranked),
+att AS (SELECT tv.example_id, tv.seg_idx, tv.v, exp(coalesce(list_cosine_similarity(tv.v, q.vec), 0)) AS e
+        FROM tv JOIN picked c ON c.example_id = tv.example_id AND c.seg_idx = tv.seg_idx AND NOT c.keep
+        LEFT JOIN (SELECT example_id, vec FROM pooled WHERE seg_idx = -1) q ON q.example_id = tv.example_id),
+skim AS MATERIALIZED ({sql_mean('att', 'example_id, seg_idx', 'e', 'sum(wt)')})"""
 
 
 @query("skim_vector", f"WITH {SKIM_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, {sql_vec('vec')} AS vec FROM skim")
 def skim_vector(spark, sf):
     job = Job(spark, sf)
-    return R.skim_vectors(*job.chosen(0.25), job.table, SEGMENT).select("example_id", SEG, vec_text(F.col("skim_vec")).alias("vec"))
+    return R.skim_vectors(job.chosen(0.25), job.table).select("example_id", SEG, vec_text(F.col("skim_vec")).alias("vec"))
 
 
 HYBRID_SQL = SKIM_SQL + """,
 hybrid AS (
-  SELECT example_id, seg_idx, pos AS src_pos, 'token' AS kind, token, v AS vec FROM tv JOIN ranked USING (example_id, seg_idx)
-  WHERE rank <= floor(0.25::DOUBLE * n_segments)
+  SELECT example_id, seg_idx, pos AS src_pos, 'token' AS kind, token, v AS vec FROM tv JOIN picked USING (example_id, seg_idx) WHERE keep
   UNION ALL
   SELECT example_id, seg_idx, -1, 'summary', NULL, vec FROM skim)"""
 
 
 @query("hybrid_context", f"""WITH {HYBRID_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, src_pos::BIGINT AS src_pos, kind, token,
-floor(vec[1] * 10000 + 0.5)::BIGINT AS first_value, CASE WHEN kind = 'summary' THEN {sql_vec('vec')} END AS summary FROM hybrid""")
+list_sum(list_transform(vec, lambda x, i: floor(x * 10000 + 0.5)::BIGINT * i))::BIGINT AS digest FROM hybrid""")
 def hybrid_context(spark, sf):
-    """Vectors of kept tokens are those of the table, so that only their first value is written out."""
+    """``digest`` holds every value of a row's vector: whole ten-thousandths, each times its place."""
     job = Job(spark, sf)
-    rows = R.hybrid_vectors(*job.chosen(0.25, shared=True), job.table, SEGMENT)
-    return rows.select("example_id", SEG, "src_pos", "kind", "token", F.floor(F.col("vec")[0] * 10000 + 0.5).alias("first_value"),
-                       F.when(F.col("kind") == "summary", vec_text(F.col("vec"))).alias("summary"))
+    places = F.transform("vec", lambda x, i: F.floor(x * 10000 + 0.5) * (i + 1))
+    digest = F.aggregate(places, F.lit(0).cast("long"), lambda total, x: total + x)
+    return R.hybrid_vectors(job.chosen(0.25), job.table, SEGMENT).select(
+        "example_id", SEG, "src_pos", "kind", "token", digest.alias("digest"))
 
 
 @query("compact_sequence", f"""WITH {HYBRID_SQL} SELECT example_id, row_number() OVER (PARTITION BY example_id ORDER BY seg_idx, src_pos) - 1 AS new_pos,
 seg_idx::BIGINT AS seg_idx, kind, token FROM hybrid""")
 def compact_sequence(spark, sf):
-    rows = R.hybrid_rows(Job(spark, sf).chosen(0.25)[0], SEGMENT)
+    rows = R.hybrid_rows(Job(spark, sf).chosen(0.25), SEGMENT)
     return R.compact(rows, ["seg_idx", "src_pos"]).select("example_id", "new_pos", SEG, "kind", "token")
 
 
@@ -287,27 +315,64 @@ def infonce_loss(spark, sf):
     return R.infonce_loss(job.sims, F.col("seg_idx") == 0).select("example_id", (r4("loss") + F.lit(0.0)).alias("loss"))
 
 
-SHARE_SQL = SIM_SQL + """,
-x AS (SELECT example_id, seg_idx, list_dot_product(vec, query_vec) AS x FROM sims),
+SHARE_SQL = BLOCK_SQL + """,
+x AS (
+  SELECT s.example_id, s.seg_idx, coalesce(list_dot_product(b.vec, q.vec), 0) AS x
+  FROM (SELECT DISTINCT example_id, seg_idx FROM tk WHERE seg_idx >= 0) s
+  LEFT JOIN blocks b ON b.example_id = s.example_id AND b.seg_idx = s.seg_idx
+  LEFT JOIN blocks q ON q.example_id = s.example_id AND q.seg_idx = -1),
 share AS (SELECT example_id, seg_idx, x / nullif(sum(x) OVER (PARTITION BY example_id), 0) AS share FROM x)"""
 
 
 def shares(spark, sf):
+    """The allocator's first two steps: block embeddings of segments and question, and their dot shares."""
     job = Job(spark, sf)
-    return R.similarity_share(job.sims).select(*KEY, "share")
+    return R.similarity_share(R.with_query_vector(R.block_embeddings(job.segments, job.table))).select(*KEY, "share")
 
 
-@query("similarity_share", f"WITH {SHARE_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, round(share, 3) + 0.0 AS share FROM share")
+@query("similarity_share", f"WITH {SHARE_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, round(share, 4) + 0.0 AS share FROM share")
 def similarity_share(spark, sf):
-    return shares(spark, sf).select("example_id", SEG, (F.round("share", 3) + F.lit(0.0)).alias("share"))
+    return shares(spark, sf).select("example_id", SEG, (r4("share") + F.lit(0.0)).alias("share"))
 
 
-@query("allocate_budget", f"""WITH {SIM_SQL.replace('sims AS', 'sims0 AS')}, w AS (
-SELECT example_id, seg_idx, n_tokens::DOUBLE / sum(n_tokens) OVER (PARTITION BY example_id) AS share FROM sims0),
-o AS (SELECT *, trunc(share * 128)::BIGINT AS own, max(seg_idx) OVER (PARTITION BY example_id) AS last FROM w)
+@query("allocate_budget", f"""WITH {SHARE_SQL},
+o AS (SELECT *, trunc(coalesce(share, 0) * 128)::BIGINT AS own, max(seg_idx) OVER (PARTITION BY example_id) AS last FROM share)
 SELECT example_id, seg_idx::BIGINT AS seg_idx, CASE WHEN seg_idx = last THEN 128 - (sum(own) OVER (PARTITION BY example_id) - own) ELSE own END::BIGINT AS slots FROM o""")
 def allocate_budget(spark, sf):
-    """128 slots shared out by segment length."""
-    lengths = Job(spark, sf).tokens.where("seg_idx >= 0").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("example_id"))
-    return R.allocate_budget(lengths.withColumn("share", share), 128).select("example_id", SEG, "slots")
+    """128 slots shared out by the similarity of block embeddings: the whole chain of the allocator."""
+    return R.allocate_budget(shares(spark, sf), 128).select("example_id", SEG, "slots")
+
+
+HOLES_SQL = VECTOR_SQL + f""",
+half AS (SELECT example_id, seg_idx, token, CASE WHEN t.vec_id % 3 <> 0 THEN ve.v END AS v FROM tid t JOIN ve USING (vec_id)),
+lens AS (SELECT example_id, seg_idx, count(*) AS n_tokens FROM half GROUP BY ALL),
+known AS (SELECT example_id, seg_idx, v FROM half WHERE v IS NOT NULL),
+m AS ({sql_mean('known', 'example_id, seg_idx')})"""
+
+
+@query("mean_pool_holes", f"""WITH {HOLES_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, l.n_tokens, CASE WHEN vec IS NULL
+THEN array_to_string(list_transform(range((SELECT max(len(v)) FROM ve)), lambda x: 0), ',') ELSE {sql_vec('vec')} END AS vec
+FROM lens l LEFT JOIN m USING (example_id, seg_idx)""")
+def mean_pool_holes(spark, sf):
+    """A vector table without every third id: tokens without a vector count in the length and not in the mean."""
+    job = Job(spark, sf)
+    holed = P.VectorTable(job.table.frame.where("vec_id % 3 <> 0"), job.table.rows, job.table.dim)
+    return R.pooled_segments(job.segments, holed, missing="zero").select(
+        "example_id", SEG, "n_tokens", vec_text(F.col("vec")).alias("vec"))
+
+
+EMPTIED = "CASE WHEN example_id % 3 = 0 THEN '' ELSE document END"
+
+
+@query("compression_stats_empty", f"""WITH {STATS_SQL.replace("read AS (SELECT example_id, " + sql_tokens('document') + " AS w FROM qa)",
+"read AS (SELECT example_id, " + sql_tokens('document') + " AS w FROM qa WHERE example_id % 3 <> 0)")}
+SELECT example_id, n_segments, n_kept, org_len, comp_len FROM stats WHERE ratio = 1.0
+UNION ALL SELECT example_id, 1::BIGINT, 1::BIGINT, 0::BIGINT, 1::BIGINT FROM qa WHERE example_id % 3 = 0""")
+def compression_stats_empty(spark, sf):
+    """Every third document is empty: one segment without tokens, whose place in the sequence is one memory."""
+    job = Job(spark, sf)
+    records = job.records.withColumn("document", F.expr(EMPTIED))
+    segments = segment_rows(records, "example_id", "question", "document", SEGMENT)
+    ranked = R.ranked_segments(R.segment_similarity(R.pooled_segments(segments, job.table)))
+    return R.compression_per_example(ranked.select(*KEY, "n_tokens", "n_segments", "rank"), [1.0]).select(
+        "example_id", "n_segments", "n_kept", "org_len", "comp_len")

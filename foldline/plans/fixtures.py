@@ -117,7 +117,7 @@ def sql_vec(expr: str) -> str:
 
 
 def sql_hash(expr: str) -> str:
-    return f"('0x' || substr(md5({expr}), 1, 6))::BIGINT"
+    return f"('0x' || substr(md5({expr}), 1, 15))::BIGINT"
 
 
 def sql_draw(key: str, seed: int, n: int) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from ..functions.text import first_tokens, stable_hash, tokens
 from ..operators import assembly as A, segments as G
-from ..session import new_folder
+from ..session import new_folder, stored
 from ..sources import jsonl as S
 from .catalog import query
 from .fixtures import (BUNDLE_SQL, PREDICTION_SQL, QA_SQL, SEGMENT, bundles, predictions, qa, sql_draw, sql_hash, sql_text,
@@ -179,8 +179,9 @@ FROM (SELECT doc_id, {sql_tokens('text')} AS w FROM documents)),
 v AS (SELECT token, row_number() OVER (ORDER BY md5(token), token) - 1 AS token_id FROM (SELECT DISTINCT token FROM t))
 SELECT doc_id, pos, token_id FROM t JOIN v USING (token)""")
 def token_ids(spark, sf):
+    """The vocabulary is stored: choosing its hot words and joining it both read it."""
     docs = table(spark, sf, "documents")
-    return A.encode(docs, "doc_id", "text", A.vocabulary(docs, "text")).select(
+    return A.encode(docs, "doc_id", "text", stored(A.vocabulary(docs, "text"), "vocabulary")).select(
         "doc_id", F.col("pos").cast("long").alias("pos"), "token_id")
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from foldline.functions.text import stable_hash
 from foldline.operators import conversations as C
 from foldline.plans.templates import REGISTRY, TEMPLATES, Template, TemplateRegistry
 
@@ -69,7 +70,7 @@ def test_generation_prompt_only_after_the_user(spark):
 
 def test_labels_keep_the_assistant(spark):
     messages, heads, templates = talk(spark, "mistral", ["Hi you", "Yo man", "So", "ok"])
-    labels = C.token_labels(C.render(messages, heads, templates, ["LLAMA2"])).orderBy("pos").collect()
+    labels = C.token_labels(C.render(messages, heads, templates, ["LLAMA2"]), stable_hash).orderBy("pos").collect()
     kept = [r.token for r in labels if r.label != -100]
     # '<s> [INST] Hi you [/INST] Yo man</s>[INST] So [/INST] ok</s>': the first turn has 7 tokens with its start mark,
     # the separator counts as one more, so the second turn is taken to start at token 8
@@ -82,3 +83,45 @@ def test_image_rows_and_pairs(spark):
     assert [(r.user, r.assistant) for r in pairs] == [("a", "b"), ("c", None)]
     pictured = messages.withColumn("images", F.array(F.concat(F.lit("i"), "pos"), F.lit("z")))
     assert [r.image for r in C.image_refs(pictured).orderBy("pos", "place").collect()] == ["i0", "z", "i2", "z"]
+
+
+def test_a_turn_with_images_alone_is_shown(spark):
+    messages, heads, templates = talk(spark, "llava-chatml", [""])
+    pictured = messages.withColumn("images", F.array(F.lit("a"), F.lit("b")))
+    prompt = C.render(pictured, heads, templates, ["CHATML"]).first().prompt
+    assert prompt.endswith("<|im_start|>user\n$$<image>$$$$<image>$$<|im_end|>\n")
+
+
+def test_the_end_of_a_prompt_is_its_last_character(spark):
+    messages, heads, templates = talk(spark, "yuan2", [None], "Be human\n")
+    assert C.render(messages, heads, templates, ["YUAN2"]).first().prompt == "Be human\n<sep>"
+
+
+def test_another_role_is_an_error(spark):
+    messages, heads, templates = talk(spark, "vicuna_v1.1", ["a"])
+    with pytest.raises(Exception, match="no such role: tool"):
+        C.render(messages.withColumn("role", F.lit("tool")), heads, templates, ["ADD_COLON_TWO"]).collect()
+
+
+def test_templates_without_labels(spark):
+    messages, heads, templates = talk(spark, "vicuna_v1.1", ["a"])
+    with pytest.raises(Exception, match="no chat template for labels: vicuna_v1.1"):
+        C.apply_chat_template(messages, heads, templates).collect()
+    plain, heads, _ = [x.withColumn("template", F.lit("no")) for x in talk(spark, "llama-2", ["a b", "c d"])]
+    templates = REGISTRY.frame(spark, ["llama-2"])
+    assert [r.prompt for r in C.apply_chat_template(plain, heads, templates).collect()] == ["a b c d</s>"]
+    kept = [r.token for r in C.plain_labels(C.plain_template(plain), stable_hash).orderBy("pos").collect() if r.label != -100]
+    assert kept == ["c", "d</s>"]
+    folded = plain.withColumn("role", F.lit("assistant"))
+    assert C.plain_template(folded).first().error == "two turns in a row have one role"
+    longer, heads, _ = [x.withColumn("template", F.lit("no")) for x in talk(spark, "llama-2", ["a", "b", "c"])]
+    with pytest.raises(Exception, match="needs a chat template"):
+        C.apply_chat_template(longer, heads, templates).collect()
+
+
+def test_one_conversation_with_most_turns(spark):
+    texts = [f"t{i}" for i in range(3000)]
+    messages, heads, templates = talk(spark, "llama-2", texts)
+    prompt = C.apply_chat_template(messages, heads, templates).first().prompt
+    assert prompt.startswith("[INST] t0 [/INST] t1 </s><s>[INST] t2") and prompt.endswith("[/INST] t2999 </s><s>")
+    assert C.token_labels(C.apply_chat_template(messages, heads, templates), stable_hash).count() > 3000

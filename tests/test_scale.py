@@ -82,6 +82,26 @@ def test_the_compression_shuffles_records_once(spark, sf, name):
     assert len(moved) == 1, moved
 
 
+def ran_exchanges(df):
+    """Shuffles of whole records in the plan that ran; a reused one is not listed again."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line and "Exchange" in line and "Reused" not in line]
+
+
+@pytest.mark.parametrize("name", ["skim_vector", "compact_sequence", "hybrid_context"])
+def test_the_second_pass_reads_the_same_shuffle(spark, sf, name):
+    moved = ran_exchanges(QUERIES[name](spark, sf))
+    assert len({line.split("[plan_id")[-1] for line in moved}) == 1, moved
+
+
+def test_labels_stay_in_the_row(spark):
+    from foldline.functions.text import stable_hash
+    from foldline.operators.conversations import token_labels
+    prompts = spark.createDataFrame([(1, "llama-2", "[INST] a [/INST] b ")], "conv_id long, template string, prompt string")
+    assert "Exchange" not in token_labels(prompts, stable_hash)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_records_are_scanned_with_few_columns(spark, sf):
     plan = compression.flagship(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan

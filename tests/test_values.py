@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from foldline.functions import metrics
-from foldline.functions.text import let, normalize_text, tokens
+from foldline.functions.text import let, normalize_text, runs, tokens
 from foldline.functions.vectors import cosine, dot, l2_normalize
 from foldline.operators import assembly as A, pooling as P, selection as R
-from foldline.operators.segments import segment_count, segment_slots, slices, split_segments, tail_slots, valid_tokens
+from foldline.operators.segments import inner_words, segment_count, segment_slots, slices, split_segments, tail_slots, valid_tokens
 from foldline.sources.jsonl import dataset_from_path
 
 C = F.col
@@ -139,8 +139,8 @@ def test_vectors(one):
 
 
 def scalar_rows(spark):
-    rows = [(1, i, 1, [float(i + 1)]) for i in range(5)]
-    return spark.createDataFrame(rows, "example_id long, pos int, cnt long, vec array<double>").withColumn("chunk", F.expr("pos div 2"))
+    rows = [(1, i, 1, 1, [float(i + 1)]) for i in range(5)]
+    return spark.createDataFrame(rows, "example_id long, pos int, cnt long, live long, vec array<double>").withColumn("chunk", F.expr("pos div 2"))
 
 
 def test_chunk_pools(spark):
@@ -187,3 +187,52 @@ def test_contrastive_loss_skips_examples_without_positives(spark):
     assert [(r.example_id, r.n_positive) for r in rows] == [(1, 1)]
     from math import exp, log
     assert rows[0].loss == pytest.approx(-log(exp(10) / (exp(10) + exp(8))))
+
+
+def test_runs(one):
+    assert [tuple(r) for r in one(lambda: runs(C("a")), a=["b", "a", "b", "c", "b"])] == [("a", 1), ("b", 3), ("c", 1)]
+    assert one(lambda: runs(tokens(C("t"))), t=" ") == []
+
+
+def test_inner_words(one):
+    assert one(lambda: inner_words(C("a"), 4), a=list("abcdef")) == ["b", "c"]
+    assert one(lambda: inner_words(C("a")), a=["a", "b"]) == [] == one(lambda: inner_words(C("a")), a=["a"])
+
+
+@pytest.mark.parametrize("dim", [1, 64, 65, 512])
+def test_means_of_any_width(spark, dim):
+    rows = [(k % 2, 1, 1, [float(k * i % 7) for i in range(dim)]) for k in range(6)]
+    df = spark.createDataFrame(rows, "example_id long, cnt long, live long, vec array<double>")
+    for row in P.masked_mean(df, ["example_id"], dim).collect():
+        mine = [r[3] for r in rows if r[0] == row.example_id]
+        assert row.n_tokens == 3 and row.vec == pytest.approx([sum(x) / 3 for x in zip(*mine)])
+
+
+def vector_table_with_holes(spark):
+    frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    return P.vector_table(frame)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_a_token_without_a_vector(spark, limit, monkeypatch):
+    monkeypatch.setattr(P, "BROADCAST_BYTES", limit)
+    rows = spark.createDataFrame([(1, 1, 2), (1, 7, 3), (2, None, 0)], "example_id long, vec_id long, cnt long")
+    with pytest.raises(Exception, match="no vector for id 7"):
+        P.attach_vectors(rows, vector_table_with_holes(spark)).collect()
+    got = P.attach_vectors(rows, vector_table_with_holes(spark), "zero")
+    assert set(got.columns) == {"example_id", "vec_id", "cnt", "vec", "norm", "live"}
+    means = {r.example_id: (r.n_tokens, r.vec) for r in P.masked_mean(got, ["example_id"], 2).collect()}
+    assert means == {1: (5, [1.0, 0.0]), 2: (0, [0.0, 0.0])}
+
+
+def test_words_outside_the_vocabulary_keep_their_place(spark):
+    vocab = A.vocabulary(spark.createDataFrame([("a c",)], "t string"), "t")
+    rows = A.encode(spark.createDataFrame([(1, "a b c d")], "k long, t string"), "k", "t", vocab).orderBy("pos").collect()
+    assert [r.pos for r in rows] == [0, 1, 2, 3] and [r.token_id == -1 for r in rows] == [False, True, False, True]
+
+
+def test_f1_of_long_answers(one):
+    said, truth = " ".join(f"w{i % 700}" for i in range(3000)), " ".join(f"w{i % 900}" for i in range(3000))
+    from collections import Counter
+    shared = sum((Counter(said.split()) & Counter(truth.split())).values())
+    assert one(lambda: metrics.token_f1(C("p"), C("a")), p=said, a=[truth]) == pytest.approx(2 * shared / 6000)
