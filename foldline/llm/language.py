@@ -35,8 +35,12 @@ def sample(learn: DataFrame, docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_B
     """(lang, text): for each language its documents of least hash, within both bounds."""
     keyed = learn.select("doc_id", "lang", F.octet_length("text").cast("long").alias("size"),
                          F.xxhash64("doc_id", F.lit(7)).alias("mix"))
-    first = Window.partitionBy("lang").orderBy("mix", "doc_id")
-    chosen = keyed.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= docs).withColumn(
+    # a language may hold most rows: those of small hash are told by its number of rows, about four times as many as are wanted
+    share = F.pmod("mix", F.lit(1 << 30)) / (1 << 30)
+    small = keyed.join(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "lang").withColumn("share", share).where(
+        F.col("share") * F.col("rows") < 4 * docs)
+    first = Window.partitionBy("lang").orderBy("share", "mix", "doc_id")
+    chosen = small.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= docs).withColumn(
         "upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(
         (F.col("upto") <= most_bytes) | (F.col("rank") == 1)).select("doc_id").distinct()
     # a few thousand ids for each language: bounded by ``docs``
