@@ -166,7 +166,7 @@ def apply_chat_template(messages: DataFrame, heads: DataFrame, templates: DataFr
         dressed = generation_prompt(dressed)
     rendered = render(dressed, heads.where(F.col("template") != PLAIN), templates, ["LLAMA2", "LLAMA3"])
     written = plain_template(plain)
-    prompt = F.when(F.col("error").isNull(), F.col("raw")).otherwise(F.raise_error("error").cast("string"))
+    prompt = F.when(F.col("error").isNull(), F.col("raw")).otherwise(F.raise_error(F.col("error")).cast("string"))
     return rendered.unionByName(written.select("conv_id", F.lit(PLAIN).alias("template"), prompt.alias("prompt")))
 
 

@@ -93,7 +93,7 @@ def test_a_turn_with_images_alone_is_shown(spark):
 
 
 def test_the_end_of_a_prompt_is_its_last_character(spark):
-    messages, heads, templates = talk(spark, "yuan2", [None], "Be human\n")
+    messages, heads, templates = talk(spark, "yuan2", [None], "Be human")
     assert C.render(messages, heads, templates, ["YUAN2"]).first().prompt == "Be human\n<sep>"
 
 
