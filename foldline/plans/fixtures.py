@@ -20,20 +20,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> VectorTable:
     return vector_table(table(spark, sf_dir, "embeddings"))
 
 
-def first_words(words: Column, start: int, count: int) -> Column:
-    return F.array_join(F.slice(words, start, count), " ")
-
-
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One example per document: example_id, dataset, document, question, answers."""
+    """One example per document: example_id, dataset, document, question, answers.
+
+    The question is a whole benchmark text, the answers are its two halves.
+    """
     bench = table(spark, sf_dir, "benchmark")
-    items = bench.select("item_id", tokens(F.col("text")).alias("_w"))
+    words = tokens(F.col("text"))
+    items = bench.select("item_id", words.alias("_w"), F.floor(F.size(words) / 2).cast("int").alias("_half"))
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("example_id"), F.col("lang").alias("dataset"), F.col("text").alias("document"),
         F.pmod("doc_id", F.lit(bench.count())).alias("item_id"))
     return docs.join(items, "item_id").select(
-        "example_id", "dataset", "document", first_words(F.col("_w"), 1, 8).alias("question"),
-        F.array(first_words(F.col("_w"), 1, 3), first_words(F.col("_w"), 4, 2)).alias("answers"))
+        "example_id", "dataset", "document", F.array_join("_w", " ").alias("question"),
+        F.array(F.array_join(F.slice("_w", F.lit(1), F.col("_half")), " "),
+                F.array_join(F.slice("_w", F.col("_half") + 1, F.size("_w") - F.col("_half")), " ")).alias("answers"))
 
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,17 +49,17 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy(F.expr("doc_id div 5").alias("example_id")).agg(F.sort_array(F.collect_list(ctx)).alias("ctxs"))
 
 
-def predictions(examples: DataFrame) -> DataFrame:
-    """A made-up answer per example: near copies, wrapped answers, partial ones, and document text."""
+def predictions(examples: DataFrame, *kept: str) -> DataFrame:
+    """A made-up answer per example: near copies, wrapped answers, partial ones, and whole documents."""
     a1, a2 = F.col("answers")[0], F.col("answers")[1]
     kind = F.col("example_id") % 4
     said = (
         F.when(kind == 0, F.concat(F.lit("The "), F.upper(a1), F.lit("!")))
         .when(kind == 1, F.concat(F.lit("x "), a2, F.lit(" y")))
         .when(kind == 2, F.concat(F.split(a1, " ")[0], F.lit(" foo bar")))
-        .otherwise(first_words(tokens(F.col("document")), 1, 10))
+        .otherwise(F.array_join(tokens(F.col("document")), " "))
     )
-    return examples.select("example_id", said.alias("generation"))
+    return examples.select("example_id", *kept, said.alias("generation"))
 
 
 def positives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +129,8 @@ QA_SQL = f"""
 items AS (SELECT item_id, {sql_tokens('text')} AS w FROM benchmark),
 qa AS (
   SELECT d.doc_id AS example_id, d.lang AS dataset, d.text AS document,
-         array_to_string(i.w[1:8], ' ') AS question,
-         [array_to_string(i.w[1:3], ' '), array_to_string(i.w[4:5], ' ')] AS answers
+         array_to_string(i.w, ' ') AS question,
+         [array_to_string(i.w[1:len(i.w) // 2], ' '), array_to_string(i.w[len(i.w) // 2 + 1:], ' ')] AS answers
   FROM (SELECT *, doc_id % n AS item_id FROM documents CROSS JOIN (SELECT count(*) AS n FROM benchmark)) d
   JOIN items i ON i.item_id = d.item_id)"""
 
@@ -189,7 +190,7 @@ predictions AS (
     WHEN 0 THEN 'The ' || upper(answers[1]) || '!'
     WHEN 1 THEN 'x ' || answers[2] || ' y'
     WHEN 2 THEN string_split(answers[1], ' ')[1] || ' foo bar'
-    ELSE array_to_string({sql_tokens('document')}[1:10], ' ') END AS generation FROM qa),
+    ELSE array_to_string({sql_tokens('document')}, ' ') END AS generation FROM qa),
 normed AS (
   SELECT example_id, dataset, {sql_norm_tokens('generation')} AS p,
          list_transform(answers, lambda a: {sql_norm('a')}) AS g, {sql_norm_tokens('answers[1]')} AS t

@@ -71,11 +71,11 @@ def running_metrics(spark, sf):
         "dataset", "batch_id", "n_so_far", *[r4(m).alias(m) for m in METRICS])
 
 
-def lengths(spark, sf) -> DataFrame:
-    """Original and compressed length per example and ratio, with the data set."""
+def lengths(spark, sf, told: DataFrame | None = None) -> DataFrame:
+    """Original and compressed length per example and ratio, with the data set, or with what ``told`` says of each example."""
     job = Job(spark, sf)
     per_example = R.compression_per_example(light_ranked(job), REPORT_RATIOS)
-    return per_example.join(job.examples.select("example_id", "dataset"), "example_id")
+    return per_example.join(job.examples.select("example_id", "dataset") if told is None else told, "example_id")
 
 
 CORPUS_SQL = STATS_SQL + """,
@@ -113,8 +113,7 @@ round(infer_time, 4)::DOUBLE AS infer_time, round(compression_time + infer_time,
 
 def benchmark_rows(spark, sf) -> DataFrame:
     """Timings are inputs; here they stand in for measured ones."""
-    examples = qa(spark, sf)
-    rows = lengths(spark, sf).join(predictions(examples), "example_id").join(examples.select("example_id", "answers"), "example_id")
+    rows = lengths(spark, sf, predictions(qa(spark, sf), "dataset", "answers"))
     return M.result_rows(rows, F.col("org_len") / 1000.0, (F.col("example_id") % 7) / 10.0, F.lit(0.0), ["dataset", "ratio"])
 
 

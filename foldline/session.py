@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUNS: dict[str, str] = {}  # by application: the folder that holds its scratch files
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it in ``spark.checkpoint.dir``.
@@ -15,16 +19,33 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foldline-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm or spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+def _delete_at_exit(spark: SparkSession, folder: str) -> None:
+    try:
+        _delete(spark, folder)
+    except Exception:  # the session may be gone already; the folder's name says whose files these are
+        pass
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses. It is deleted when the driver's program ends."""
+    run = spark.sparkContext.applicationId
+    if run not in _RUNS:
+        _RUNS[run] = f"{shared_folder(spark)}/{run}-{uuid.uuid4().hex}"
+        atexit.register(_delete_at_exit, spark, _RUNS[run])
+    return f"{_RUNS[run]}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

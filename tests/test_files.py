@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foldline.operators.scoring import metric_averages
 from foldline.plans.scores import scores
 from foldline.plans.fixtures import predictions, qa
-from foldline.session import new_folder, shared_folder
+from foldline.session import _delete, new_folder, shared_folder
 from foldline.sources import jsonl as S
 from foldline.streaming.averages import start_averages, streaming_averages
 
@@ -37,7 +37,17 @@ def test_the_shared_folder_stays_the_same(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     folder = shared_folder(spark)
     assert folder == shared_folder(spark) and (named is None or folder == named.rstrip("/"))
-    assert new_folder(spark, "x").startswith(folder + "/x-") and new_folder(spark, "x") != new_folder(spark, "x")
+    mine, other = new_folder(spark, "x"), new_folder(spark, "x")
+    assert mine.startswith(folder + "/" + spark.sparkContext.applicationId) and "/x-" in mine and mine != other
+
+
+def test_scratch_folders_can_be_deleted(spark):
+    path = new_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    _delete(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
 
 
 def test_the_stream_ends_with_the_batch_averages(spark, sf, tmp_path):
