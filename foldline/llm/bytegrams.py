@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 END = 255  # no UTF-8 text holds this byte: it stands before a text, as context, and after it, as its end
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def framed(data: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:

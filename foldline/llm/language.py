@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytegrams import END, pieces
-from .common import id_remainder
+from .common import id_remainder, small
 
 ORDER = 3
 SAMPLE_DOCS = 2000
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, counts: DataFrame, depth: int = ORDER) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, trees = model.value
         known, lengths = np.zeros(0, np.uint64), np.zeros((0, len(names)))
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             data = [(t or "").lower().encode("utf-8", "replace") for t in texts]
             bits = np.zeros((len(data), len(names)))

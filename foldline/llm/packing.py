@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stored
-from .common import texts
+from .common import small, texts
 
 SIZE = 2048
 END_ID = 0
-KEPT_PARTS = 1_000_000  # of about 200 bytes each, for each Python worker
+KEPT_PARTS = 250_000  # of about 200 bytes each, for each Python worker
 KEPT_LENGTH = 48
 PUNCTUATION = b'.,!?;:"()[]{}#$%&*+-/=@_~'
 MOST_NODES = 2_000  # after the first descent, of about 2 ms each
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _encoder(tokenizer_path, end_id)
         step = 4 * size
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             held = 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts
+from .common import small, texts
 
 # Fixed values of the contract: kinds, in this order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -268,7 +268,7 @@ def detect(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
-        for batch in batches:
+        for batch in small(batches):
             counts = np.zeros((len(KINDS), batch.num_rows), np.int64)
             digests, found = [], []
             for i, text in enumerate(batch.column("text")):
@@ -309,7 +309,7 @@ def redacted(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
-        for batch in batches:
+        for batch in small(batches):
             columns = {n: batch.column(i) for i, n in enumerate(names)}
             before = columns["text"].to_pylist()
             after = [t if t is None else clean(t, find) for t in before]
