@@ -22,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import stored
 from .bytegrams import END, pieces
 from .common import id_remainder, small
 
 ORDER = 3
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 1 << 22
+FEW_LANGUAGES = 100_000
 UNKNOWN = "und"
 
 
@@ -37,10 +39,11 @@ def sample(learn: DataFrame, docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_B
                          F.xxhash64("doc_id", F.lit(7)).alias("mix"))
     # a language may hold most rows: those of small hash are told by its number of rows, about four times as many as are wanted
     share = F.pmod("mix", F.lit(1 << 30)) / (1 << 30)
-    small = keyed.join(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "lang").withColumn("share", share).where(
-        F.col("share") * F.col("rows") < 4 * docs)
+    sizes = stored(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes  # a few MB; with it, rows are told before they are shuffled
+    candidates = keyed.join(sizes, "lang").withColumn("share", share).where(F.col("share") * F.col("rows") < 4 * docs)
     first = Window.partitionBy("lang").orderBy("share", "mix", "doc_id")
-    chosen = small.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= docs).withColumn(
+    chosen = candidates.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= docs).withColumn(
         "upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(
         (F.col("upto") <= most_bytes) | (F.col("rank") == 1)).select("doc_id").distinct()
     # a few thousand ids for each language: bounded by ``docs``
