@@ -3,12 +3,13 @@
 The fixed patterns give the base spans. The field adds spans to them: it labels the tokens (runs without white space) that hold a
 digit or an @, each with one of the kinds or none. Its potentials are of a token's shape, of two neighbouring tokens' labels, and,
 by skip edges, of the labels of distant tokens that repeat or resemble each other: the same digits or letters, or the same last
-six digits. Tokens inside base spans are observed. Marginals come from loopy message passing over a document's tokens at
+six digits. Tokens inside base spans are observed. Marginals come from message passing over a document's tokens at
 once; a token whose marginal for a kind reaches ``SURE`` becomes a span. So a number that stands with its country code in
 one place is found without it in another. Tokens without a digit or an @ are never personal data of these kinds and hold no label.
 
-A token is linked to the one before and the one after it that share a key, so a document with many repeats has links in
-proportion to its tokens, and labels still travel from any of them to all.
+All tokens that share a key share one hub for each kind that is observed among them, and one of no kind if none is; the skip edges go
+from the hubs to the tokens. A hub's label is known, so distance and the number of other tokens don't matter, edges are in
+proportion to tokens, and without loops the marginals are exact.
 
 Weights are fitted by pseudo-likelihood on the tokens of ``SAMPLE_DOCS`` documents at most (those of least hash that hold a
 candidate, and ``SAMPLE_TOKENS`` of each at most), labelled by the patterns. Half of the examples hide whether a token is valid by
@@ -41,7 +42,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SAMPLE_DOCS = 4000
 SAMPLE_TOKENS = 64
 SURE = 0.5
-ROUNDS = 30
 N_LABELS = len(KINDS) + 1  # 0: none
 
 Span = tuple[int, int, int]  # start, index of the kind, end
@@ -94,13 +94,14 @@ SHAPES = ("bias", "at sign", "digits 1-3", "digits 4-6", "digits 7-8", "digits 9
 FIRST_VALID = SHAPES.index("valid email")
 
 
-def tokens_of(text: str, spans: list[Span], find: Callable[[str], list[Span]]) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
-    """(places, shapes, observed, edges) of a text's candidate tokens.
+def tokens_of(text: str, spans: list[Span], find: Callable[[str], list[Span]]) \
+        -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, shapes, observed, chain, groups) of a text's candidate tokens.
 
     places: without punctuation around them; shapes: one row each, by SHAPES; observed: the label of a token inside a base span, else
-    -1; edges: (first, second, 0 neighbours or 1 skip).
+    -1; chain: pairs of neighbours; groups: for each token a number, the same for those that share a key.
     """
-    places, shapes, observed, edges, last = [], [], [], [], {}
+    places, shapes, observed, chain, groups, first = [], [], [], [], [], {}
     before, k = -2, 0
     for n, m in enumerate(re.finditer(r"\S+", text)):
         word = m[0]
@@ -121,14 +122,26 @@ def tokens_of(text: str, spans: list[Span], find: Callable[[str], list[Span]]) -
         observed.append(1 + inside[0][1] if inside else -1)
         i = len(places) - 1
         if before == n - 1:
-            edges.append((i - 1, i, 0))
+            chain.append((i - 1, i))
         before = n
-        links = {digits[-6:], digits} if "@" not in core and len(digits) >= 6 else {core.lower()} if "@" in core else set()
-        for other in {last[x] for x in links if x in last}:
-            edges.append((other, i, 1))
-        for x in links:
-            last[x] = i
-    return places, np.array(shapes, float).reshape(-1, len(SHAPES)), np.array(observed, int), np.array(edges, int).reshape(-1, 3)
+        key = core.lower() if "@" in core else digits[-6:]
+        groups.append(first.setdefault(key, i) if "@" in core or len(digits) >= 6 else i)
+    return (places, np.array(shapes, float).reshape(-1, len(SHAPES)), np.array(observed, int), np.array(chain, int).reshape(-1, 2),
+            np.array(groups, int))
+
+
+def group_labels(observed: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """(group x labels): how many of its candidates have a label, none for those that aren't observed."""
+    counts = np.zeros((len(groups), N_LABELS))
+    np.add.at(counts, (groups, np.maximum(observed, 0)), 1)
+    return counts
+
+
+def hub_labels(counts: np.ndarray) -> np.ndarray:
+    """Which hubs there are: one for each kind in the group, of no kind if there is no other."""
+    hubs = counts > 0
+    hubs[:, 0] &= ~hubs[:, 1:].any(axis=1)
+    return hubs
 
 
 def examples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
@@ -141,15 +154,15 @@ def examples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                _, shapes, observed, edges = tokens_of(text, find(text), find)
+                _, shapes, observed, pairs, groups = tokens_of(text, find(text), find)
                 label = np.maximum(observed, 0)
-                around = np.zeros((2, len(label), N_LABELS))
-                for a, b, kind in edges:
-                    around[kind, a, label[b]] += 1
-                    around[kind, b, label[a]] += 1
+                chain, own = np.zeros((len(label), N_LABELS)), np.eye(N_LABELS)[label]
+                np.add.at(chain, pairs[:, 0], own[pairs[:, 1]])
+                np.add.at(chain, pairs[:, 1], own[pairs[:, 0]])
+                skip = hub_labels(group_labels(observed, groups)[groups] - own).astype(float)  # the hubs by all others
                 # linked and labelled tokens first: they are the rare ones
-                order = np.lexsort((np.arange(len(label)), -1.0 * (label > 0) - around[1].sum(axis=1)))[:sample_tokens]
-                out += [{"shape": shapes[i].tolist(), "chain": around[0, i].tolist(), "skip": around[1, i].tolist(), "label": int(label[i])}
+                order = np.lexsort((np.arange(len(label)), -1.0 * (label > 0) - skip.sum(axis=1)))[:sample_tokens]
+                out += [{"shape": shapes[i].tolist(), "chain": chain[i].tolist(), "skip": skip[i].tolist(), "label": int(label[i])}
                         for i in order]
             yield pa.RecordBatch.from_pylist(out, schema=EXAMPLE)
 
@@ -191,46 +204,67 @@ def fit(rows: pa.Table, steps: int = 400, rate: float = 0.5, ridge: float = 1e-3
     return {"unary": w[:n], "chain": (chain_w + chain_w.T) / 2, "skip": (skip_w + skip_w.T) / 2}
 
 
-def marginals(model: Model, shapes: np.ndarray, observed: np.ndarray, edges: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Each token's probability of each label, by loopy message passing; exact where the edges make no loop."""
+def marginals(model: Model, shapes: np.ndarray, observed: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Each token's probability of each label, by message passing; exact where the edges between unobserved tokens make no loop.
+
+    edges: (first, second, 0 neighbours or 1 skip).
+    """
     unary = shapes @ model["unary"]
     seen = observed >= 0
-    unary[seen] = np.where(np.arange(N_LABELS) == observed[seen][:, None], 0.0, -50.0)
-    unary -= unary.max(axis=1, keepdims=True)
+    unary[seen] = np.where(np.arange(N_LABELS) == observed[seen][:, None], 0.0, -np.inf)
     if len(edges):
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
-        back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        pair = np.stack([model["chain"], model["skip"]])[np.tile(edges[:, 2], 2)]
+        kind = np.tile(edges[:, 2], 2)
+        pair = np.stack([model["chain"], model["skip"]])
+        # an observed token says the same in every round
+        known = seen[source]
+        np.add.at(unary, target[known], pair[kind[known], observed[source[known]]])
+        free = ~seen[source] & ~seen[target]
+        source, target, pair = source[free], target[free], pair[kind[free]]
+        half = len(source) // 2
+        back = np.concatenate([np.arange(half) + half, np.arange(half)])
         message = np.zeros((len(source), N_LABELS))
         belief = unary
-        for _ in range(rounds):
+        for _ in range(half + 1):  # without loops no path is longer, and all have settled by then
             sent = belief[source] - message[back]
             new = np.logaddexp.reduce(sent[:, :, None] + pair, axis=1)
             new -= np.logaddexp.reduce(new, axis=1)[:, None]
-            new = (message + new) / 2 if _ else new
-            moved = np.abs(new - message).max()
+            moved = np.abs(new - message).max(initial=0)
             message = new
             belief = unary.copy()
             np.add.at(belief, target, message)
-            if moved < 1e-4:
+            if moved < 1e-9:
                 break
         unary = belief
     unary = np.exp(unary - unary.max(axis=1, keepdims=True))
     return unary / unary.sum(axis=1, keepdims=True)
 
 
+def with_hubs(shapes: np.ndarray, observed: np.ndarray, chain: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shapes, observed, edges) of the candidates and, behind them, the hubs of groups of two or more."""
+    counts = group_labels(observed, groups)
+    group, label = np.nonzero(hub_labels(counts) & (counts.sum(axis=1) > 1)[:, None])
+    number = np.full((len(groups), N_LABELS), -1)
+    number[group, label] = len(observed) + np.arange(len(group))
+    free = np.flatnonzero(observed < 0)
+    at, to = np.nonzero(number[groups[free]] >= 0)
+    skips = np.stack([number[groups[free[at]], to], free[at], np.ones(len(at), int)], axis=1)
+    edges = np.concatenate([np.hstack([chain, np.zeros((len(chain), 1), int)]), skips])
+    return np.concatenate([shapes, np.zeros((len(group), len(SHAPES)))]), np.concatenate([observed, label]), edges
+
+
 def added_spans(text: str, base: list[Span], find: Callable[[str], list[Span]], model: Model | None, sure: float = SURE) -> list[Span]:
     """Spans of tokens that the field is sure of; neighbouring ones of a kind are one span. None overlaps a base span."""
     if model is None or not base:  # what isn't linked to an observed token has the label of its shape alone: none, by the patterns
         return []
-    places, shapes, observed, edges = tokens_of(text, base, find)
-    if not (observed < 0).any():
+    places, shapes, observed, chain, groups = tokens_of(text, base, find)
+    linked = group_labels(observed, groups)[groups, 1:].any(axis=1)
+    if not (linked & (observed < 0)).any():
         return []
-    chance = marginals(model, shapes, observed, edges)
-    linked = _reached(observed, edges)
+    chance = marginals(model, *with_hubs(shapes, observed, chain, groups))[:len(places)]
     label = np.where((observed < 0) & linked & (chance.max(axis=1) >= sure), chance.argmax(axis=1), 0)
-    neighbours = {(a, b) for a, b, kind in edges.tolist() if kind == 0}
+    neighbours = set(map(tuple, chain.tolist()))
     out: list[Span] = []
     for i in np.flatnonzero(label):
         start, end = places[i]
@@ -242,19 +276,6 @@ def added_spans(text: str, base: list[Span], find: Callable[[str], list[Span]],
     return out
 
 
-def _reached(observed: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Tokens that skip edges connect to an observed one."""
-    reached, skips = observed > 0, edges[edges[:, 2] == 1]
-    for _ in range(len(skips)):
-        more = reached.copy()
-        np.logical_or.at(more, skips[:, 0], reached[skips[:, 1]])
-        np.logical_or.at(more, skips[:, 1], more[skips[:, 0]])
-        if (more == reached).all():
-            break
-        reached = more
-    return reached
-
-
 def trained(docs: DataFrame) -> Model | None:
     return fit(examples(docs).toArrow())  # bounded by SAMPLE_DOCS * SAMPLE_TOKENS rows
 

@@ -69,6 +69,42 @@ def test_consistency_across_a_text(model):
     assert added("card 4303624562121775, not 999.1.2.3") == []
 
 
+def spans_of(text, model):
+    find = personal.finder()
+    return [(text[a:b], personal.KINDS[k]) for a, k, b in personal.added_spans(text, find(text), find, model)]
+
+
+@pytest.mark.parametrize("between", [", ", " ", " and then some other words with 12 of 1999 things, ", "\n"])
+@pytest.mark.parametrize("bare", ["555-0742", "5550742"])
+def test_distant_mentions(model, bare, between):
+    def found(text):
+        spans = spans_of(text, model)
+        assert {kind for _, kind in spans} == {"phone"}
+        return sum(part.count(bare) for part, _ in spans)
+
+    for repeats in (1, 100, 2000):
+        assert found("+1 (702) 555-0742 is whole." + between + between.join([bare] * repeats)) == repeats
+    assert found(between.join([bare] * 100) + ", whole: +1 (702) 555-0742") == 100
+
+
+def test_distant_mentions_are_exact(model):
+    """100 bare mentions side by side: each one's marginal by sums over all labels along the chain, the hub's label given."""
+    find, text = personal.finder(), "+1 (702) 555-0742; " + " ".join(["555-0742"] * 100)
+    places, shapes, observed, chain, groups = personal.tokens_of(text, find(text), find)
+    n = len(places)
+    assert len(set(groups[-101:])) == 1 and len(chain) == n - 1 and (observed[-100:] < 0).all() and (observed[:-100] == 4).all()
+    got = personal.marginals(model, *personal.with_hubs(shapes, observed, chain, groups))[:n]
+    own = np.exp(shapes @ model["unary"] + model["skip"][4])
+    own[:-100] = np.eye(personal.N_LABELS)[4]
+    pair, ahead, back = np.exp(model["chain"]), [own[0]], [np.ones(personal.N_LABELS)]
+    for i in range(1, n):
+        ahead.append(own[i] * (ahead[-1] @ pair))
+        back.insert(0, pair @ (own[n - i] * back[0]))
+        ahead[-1], back[0] = ahead[-1] / ahead[-1].sum(), back[0] / back[0].sum()
+    want = np.array(ahead) * np.array(back)
+    assert got == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=1e-6)
+
+
 def test_marginals_without_loops_are_exact(model):
     draw = np.random.default_rng(5)
     shapes = np.eye(len(personal.SHAPES))[draw.integers(0, len(personal.SHAPES), 4)]
