@@ -1,19 +1,25 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-The fixed patterns give the base spans. The field adds spans to them: it labels the tokens (runs without white space) that hold a
-digit or an @, each with one of the kinds or none. Its potentials are of a token's shape, of two neighbouring tokens' labels, and,
-by skip edges, of the labels of distant tokens that repeat or resemble each other: the same digits or letters, or the same last
-six digits. Tokens inside base spans are observed. Marginals come from message passing over a document's tokens at
-once; a token whose marginal for a kind reaches ``SURE`` becomes a span. So a number that stands with its country code in
-one place is found without it in another. Tokens without a digit or an @ are never personal data of these kinds and hold no label.
-
-All tokens that share a key share one hub for each kind that is observed among them, and one of no kind if none is; the skip edges go
-from the hubs to the tokens. A hub's label is known, so distance and the number of other tokens don't matter, edges are in
-proportion to tokens, and without loops the marginals are exact.
+The fixed patterns give the base spans. The field adds spans to them: it labels the candidates, each with one of the kinds or none.
+Candidates are the base spans, which are observed; mentions of their numbers (below); and the remaining tokens (runs without white space)
+that hold a digit or an @. Potentials are of a candidate's shape, of two neighbouring candidates' labels, and, by skip edges, of the
+labels of distant candidates that resemble each other. So a number that stands with its country code in one place is found without
+it in another. Tokens without a digit or an @ are never personal data of these kinds and hold no label.
+
+A number is read over spaces, dots, brackets, dashes and slashes between its digit groups. Two resemble each other when their last
+``TAIL`` digits are the same; shorter ones are too often alike by chance and resemble nothing. A mention of an observed number takes in the
+groups before those digits as long as all its digits, without zeros in front, are the end of an observed number. E-mails and other tokens
+with an @ resemble each other by the same local part, domain or whole, in lower case.
+
+All candidates that resemble each other, directly or by way of others, share one hub for each kind that is observed among them, and one of no
+kind if none is; the skip edges go from the hubs to the candidates. A hub's label is known, so distance and the number of other
+candidates don't matter, edges are in proportion to candidates, and without loops the marginals are exact. A candidate with an
+observed one among those it resembles, whose marginal for a kind reaches ``SURE``, becomes a span.
 
 Weights are fitted by pseudo-likelihood on the tokens of ``SAMPLE_DOCS`` documents at most (those of least hash that hold a
-candidate, and ``SAMPLE_TOKENS`` of each at most), labelled by the patterns. Half of the examples hide whether a token is valid by
-its pattern, so that the weights of shapes and links are learned too. Detection reads every text whole.
+candidate, and ``SAMPLE_TOKENS`` of each at most), labelled by the patterns; the ends of an observed number, in
+several ways of writing, are examples of its mentions. Half of the examples hide whether a token is valid by its pattern, so that the weights of shapes and links are learned too. Detection reads every
+text whole.
 
 Defined results: a null text counts as the empty one; rows with a null doc_id keep it; repeated rows are searched each; a corpus
 without a candidate has no model and adds nothing; an empty table gives no rows.
@@ -42,6 +48,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SAMPLE_DOCS = 4000
 SAMPLE_TOKENS = 64
 SURE = 0.5
+TAIL = 6
 N_LABELS = len(KINDS) + 1  # 0: none
 
 Span = tuple[int, int, int]  # start, index of the kind, end
@@ -94,40 +101,169 @@ SHAPES = ("bias", "at sign", "digits 1-3", "digits 4-6", "digits 7-8", "digits 9
 FIRST_VALID = SHAPES.index("valid email")
 
 
+DIGITS = re.compile("[0-9]+")
+JOINT = re.compile(r"[\x20\u00a0().\-/]+")  # what may stand between a number's digit groups
+JOINTS = ("", " ", ".", "-", "/")
+WORD_BETWEEN = re.compile(r"\s\S+\s")
+AROUND_AT = re.compile(r"([A-Za-z0-9._%+-]*)@([A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*)")
+
+Place = tuple[int, int]
+Key = tuple[str, str]
+
+
+def digits_of(text: str) -> str:
+    return "".join(DIGITS.findall(text))
+
+
+def tails_of(text: str) -> set[Key]:
+    digits = digits_of(text)
+    return {("number", digits[-TAIL:])} if len(digits) >= TAIL else set()
+
+
+def address_keys(text: str) -> set[Key]:
+    """The local parts and domains around a text's @."""
+    return {(part, found.lower()) for m in AROUND_AT.finditer(text) for part, found in (("local", m[1]), ("domain", m[2])) if found}
+
+
+def shape(word: str, valid: set[int]) -> list[float]:
+    """One row, by SHAPES."""
+    digits = digits_of(word)
+    size = next((i for i, top in enumerate((3, 6, 8, 11, 19)) if len(digits) <= top), 5)
+    return [1, "@" in word, *[len(digits) > 0 and size == i for i in range(6)], "+" in word, "(" in word, any(map(str.isalpha, word)),
+            "-" in word, word.count(".") == 1, word.count(".") == 3, *[i in valid for i in range(len(KINDS))]]
+
+
+def number_place(text: str, start: int, end: int) -> Place:
+    """With a plus, or a bracket that is closed inside, before the first digit."""
+    if start and (text[start - 1] == "+" or text[start - 1] == "(" and ")" in text[start:end]):
+        return start - 1, end
+    return start, end
+
+
+def stretches(text: str, taken: list[Place]) -> Iterator[list[Place]]:
+    """The digit groups outside the taken places, those of one number or of several side by side together."""
+    found: list[Place] = []
+    k = 0
+    for m in DIGITS.finditer(text):
+        start, end = m.span()
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if k < len(taken) and taken[k][0] < end:
+            continue
+        if found and not JOINT.fullmatch(text, found[-1][1], start):
+            yield found
+            found = []
+        found.append((start, end))
+    if found:
+        yield found
+
+
+def readings(word: str, kind: int) -> set[str]:
+    """The digits of an observed number: all, and without what follows a space where the rest is a number by itself.
+
+    The patterns take in a number that stands behind: '+1 (702) 555-0742 12'. An address's parts are read without zeros in front.
+    """
+    if kind == 1:
+        return {"".join(p.lstrip("0") or "0" for p in word.split("."))}
+    out, whole = set(), ""
+    for piece in word.split(" "):
+        own = digits_of(piece)
+        whole += own
+        if len(own) >= TAIL or (9 <= len(whole) if kind == 3 else 12 <= len(whole) and luhn(whole)):
+            out.add(whole)
+    return out | {whole}
+
+
+def mentions(text: str, taken: list[Place], numbers: set[str]) -> Iterator[tuple[Place, set[Key]]]:
+    """Places outside the taken ones that end like one of the numbers, with their keys."""
+    tails = {n[-TAIL:] for n in numbers if len(n) >= TAIL}
+    ends = {n[-k:] for n in numbers for k in range(TAIL, len(n) + 1)}
+    if not tails:
+        return
+    for groups in stretches(text, taken):
+        hits: list[tuple[int, int, set[Key]]] = []  # first and last group
+        for last in range(len(groups)):
+            first, digits = last, text[slice(*groups[last])]
+            while len(digits) < TAIL and first:
+                first -= 1
+                digits = text[slice(*groups[first])] + digits
+            if digits[-TAIL:] not in tails or len(digits) < TAIL:
+                continue
+            keys = {("number", digits[-TAIL:])}
+            if digits.lstrip("0") in ends or digits in ends:
+                while first:
+                    more = text[slice(*groups[first - 1])] + digits
+                    if more not in ends and more.lstrip("0") not in ends:
+                        break
+                    first, digits = first - 1, more
+            while hits and hits[-1][1] >= first:
+                before = hits.pop()
+                first, keys = min(first, before[0]), keys | before[2]
+            hits.append((first, last, keys))
+        for first, last, keys in hits:
+            yield number_place(text, groups[first][0], groups[last][1]), keys
+
+
 def tokens_of(text: str, spans: list[Span], find: Callable[[str], list[Span]]) \
-        -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places, shapes, observed, chain, groups) of a text's candidate tokens.
+        -> tuple[list[Place], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, shapes, observed, chain, groups) of a text's candidates, by place.
 
-    places: without punctuation around them; shapes: one row each, by SHAPES; observed: the label of a token inside a base span, else
-    -1; chain: pairs of neighbours; groups: for each token a number, the same for those that share a key.
+    places: without punctuation around them; shapes: one row each, by SHAPES; observed: the label of a base span, else -1; chain: pairs
+    of neighbours; groups: for each candidate a number, the same for those that resemble each other.
     """
-    places, shapes, observed, chain, groups, first = [], [], [], [], [], {}
-    before, k = -2, 0
-    for n, m in enumerate(re.finditer(r"\S+", text)):
+    units: list[tuple[Place, int, set[Key]]] = []
+    numbers: set[str] = set()
+    for start, kind, end in spans:
+        word = text[start:end]
+        if kind == 0:
+            keys = address_keys(word)
+        else:
+            read = readings(word, kind)
+            keys = {key for n in read for key in tails_of(n)}
+            numbers |= read
+        if units and units[-1][0][1] > start:  # overlapping spans are one candidate, of the first one's kind
+            place, label, more = units[-1]
+            units[-1] = (place[0], max(place[1], end)), label, more | keys
+        else:
+            units.append(((start, end), 1 + kind, keys))
+    base = [place for place, _, _ in units]
+    units += [(place, -1, keys) for place, keys in mentions(text, base, numbers)]
+    units.sort(key=lambda u: u[0])
+    taken = [place for place, _, _ in units]
+    k = 0
+    for m in re.finditer(r"\S+", text):
         word = m[0]
-        if "@" not in word and not any("0" <= c <= "9" for c in word):
+        if "@" not in word and not DIGITS.search(word):
+            continue
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k < len(taken) and taken[k][0] < m.end():
             continue
         core = word.strip(".,;:!?\"'()[]{}<>|#$%&*")
         start = m.start() + word.find(core)
-        places.append((start, start + len(core)))
-        digits = "".join(c for c in core if "0" <= c <= "9")
-        valid = {kind for _, kind, _ in find(core)}
-        size = next((i for i, top in enumerate((3, 6, 8, 11, 19)) if len(digits) <= top), 5)
-        row = [1, "@" in core, *[len(digits) > 0 and size == i for i in range(6)], "+" in word, "(" in word, any(map(str.isalpha, core)),
-               "-" in core, core.count(".") == 1, core.count(".") == 3, *[i in valid for i in range(len(KINDS))]]
-        shapes.append(row)
-        while k < len(spans) and spans[k][2] <= m.start():
-            k += 1
-        inside = [s for s in spans[k:k + 4] if s[0] < m.end() and s[2] > m.start()]
-        observed.append(1 + inside[0][1] if inside else -1)
-        i = len(places) - 1
-        if before == n - 1:
-            chain.append((i - 1, i))
-        before = n
-        key = core.lower() if "@" in core else digits[-6:]
-        groups.append(first.setdefault(key, i) if "@" in core or len(digits) >= 6 else i)
-    return (places, np.array(shapes, float).reshape(-1, len(SHAPES)), np.array(observed, int), np.array(chain, int).reshape(-1, 2),
-            np.array(groups, int))
+        units.append(((start, start + len(core)), -1, address_keys(core) | {("token", core.lower())} if "@" in core else tails_of(core)))
+    units.sort(key=lambda u: u[0])
+
+    parent = list(range(len(units)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    first: dict[Key, int] = {}
+    for i, (_, _, keys) in enumerate(units):
+        for key in keys:
+            a, b = sorted((root(first.setdefault(key, i)), root(i)))
+            parent[b] = a
+    places = [place for place, _, _ in units]
+    shapes = []
+    for start, end in places:
+        core = text[start:end]
+        shapes.append(shape(core, {kind for _, kind, _ in find(core)}))
+    chain = [(i - 1, i) for i in range(1, len(places)) if not WORD_BETWEEN.search(text, places[i - 1][1], places[i][0])]
+    return (places, np.array(shapes, float).reshape(-1, len(SHAPES)), np.array([label for _, label, _ in units], int),
+            np.array(chain, int).reshape(-1, 2), np.array([root(i) for i in range(len(units))], int))
 
 
 def group_labels(observed: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -144,6 +280,23 @@ def hub_labels(counts: np.ndarray) -> np.ndarray:
     return hubs
 
 
+def number_ends(text: str, start: int, end: int) -> Iterator[str]:
+    """How a number may be mentioned: its last digit groups as they are, and written with another joint or zeros in front."""
+    groups = [m.span() for m in DIGITS.finditer(text, start, end)]
+    for k in range(len(groups)):
+        parts = [text[a:b] for a, b in groups[k:]]
+        digits = "".join(parts)
+        if len(digits) < TAIL:
+            break
+        if k:
+            a, b = number_place(text, groups[k][0], end)
+            yield text[a:b]
+        # the number itself says which, so that all ways are met evenly
+        choice, joint = divmod(int(digits) // 10, len(JOINTS))
+        zeros = "" if choice % 2 else "0" if k else "00"
+        yield zeros + JOINTS[joint].join(parts)
+
+
 def examples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
     """(shape, chain, skip, label): candidate tokens with the summed one-hot labels of their neighbours by either kind of edge."""
     candidates = texts(docs).where(F.col("text").rlike("[0-9@]"))
@@ -154,7 +307,7 @@ def examples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                _, shapes, observed, pairs, groups = tokens_of(text, find(text), find)
+                places, shapes, observed, pairs, groups = tokens_of(text, find(text), find)
                 label = np.maximum(observed, 0)
                 chain, own = np.zeros((len(label), N_LABELS)), np.eye(N_LABELS)[label]
                 np.add.at(chain, pairs[:, 0], own[pairs[:, 1]])
@@ -162,8 +315,13 @@ def examples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int
                 skip = hub_labels(group_labels(observed, groups)[groups] - own).astype(float)  # the hubs by all others
                 # linked and labelled tokens first: they are the rare ones
                 order = np.lexsort((np.arange(len(label)), -1.0 * (label > 0) - skip.sum(axis=1)))[:sample_tokens]
-                out += [{"shape": shapes[i].tolist(), "chain": chain[i].tolist(), "skip": skip[i].tolist(), "label": int(label[i])}
-                        for i in order]
+                rows = []
+                for i in order.tolist():
+                    rows.append((shapes[i].tolist(), chain[i].tolist(), skip[i].tolist(), int(label[i])))
+                    if label[i] > 2:
+                        rows += [(shape(end, {kind for _, kind, _ in find(end)}), [0.0] * N_LABELS, own[i].tolist(), int(label[i]))
+                                 for end in number_ends(text, *places[i])]
+                out += [{"shape": list(map(float, a)), "chain": b, "skip": c, "label": d} for a, b, c, d in rows[:sample_tokens]]
             yield pa.RecordBatch.from_pylist(out, schema=EXAMPLE)
 
     # at most ``sample_docs`` ids
@@ -255,7 +413,7 @@ def with_hubs(shapes: np.ndarray, observed: np.ndarray, chain: np.ndarray, group
 
 
 def added_spans(text: str, base: list[Span], find: Callable[[str], list[Span]], model: Model | None, sure: float = SURE) -> list[Span]:
-    """Spans of tokens that the field is sure of; neighbouring ones of a kind are one span. None overlaps a base span."""
+    """Spans of candidates that the field is sure of. None overlaps a base span."""
     if model is None or not base:  # what isn't linked to an observed token has the label of its shape alone: none, by the patterns
         return []
     places, shapes, observed, chain, groups = tokens_of(text, base, find)
@@ -264,16 +422,7 @@ def added_spans(text: str, base: list[Span], find: Callable[[str], list[Span]],
         return []
     chance = marginals(model, *with_hubs(shapes, observed, chain, groups))[:len(places)]
     label = np.where((observed < 0) & linked & (chance.max(axis=1) >= sure), chance.argmax(axis=1), 0)
-    neighbours = set(map(tuple, chain.tolist()))
-    out: list[Span] = []
-    for i in np.flatnonzero(label):
-        start, end = places[i]
-        if end > start and not any(s < end and start < e for s, _, e in base):
-            if out and (i - 1, i) in neighbours and label[i - 1] == label[i] and out[-1][2] == places[i - 1][1]:
-                out[-1] = (out[-1][0], out[-1][1], end)
-            else:
-                out.append((start, int(label[i]) - 1, end))
-    return out
+    return [(places[i][0], int(label[i]) - 1, places[i][1]) for i in np.flatnonzero(label).tolist() if places[i][0] < places[i][1]]
 
 
 def trained(docs: DataFrame) -> Model | None:

@@ -105,6 +105,19 @@ def test_distant_mentions_are_exact(model):
     assert got == pytest.approx(want / want.sum(axis=1, keepdims=True), abs=1e-6)
 
 
+@pytest.mark.parametrize("bare", ["030 123 4567", "123 4567", "030 1234567", "030/123-4567", "(030) 123.4567", "30 12 34 56 7", "0049 30 123 4567", "1234567"])
+def test_grouped_numbers(model, bare):
+    assert spans_of(f"ring +49 30 123 4567. In 2019 {bare}, of 17 rooms", model) == [(bare, "phone")]
+    assert spans_of(f"ring +49 30 123 4567 12, else {bare}", model) == [(bare, "phone")]
+    assert spans_of(f"ring {bare}", model) == []
+    assert spans_of("ring +49 30 123 4567, else 030 123 4568 or 4567", model) == []
+
+
+def test_similar_addresses(model):
+    assert spans_of("ask ann.lee@corp.example or ann.lee@corp or ANN.LEE@ or x@other", model) == [("ann.lee@corp", "email"), ("ANN.LEE@", "email")]
+    assert spans_of("ask ann.lee@corp.example or !@corp.example", model) == [("@corp.example", "email")]
+
+
 def test_marginals_without_loops_are_exact(model):
     draw = np.random.default_rng(5)
     shapes = np.eye(len(personal.SHAPES))[draw.integers(0, len(personal.SHAPES), 4)]
