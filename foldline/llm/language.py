@@ -8,7 +8,7 @@ length is exact. The language whose tree gives the shortest code is the predicti
 code length is read as a probability.
 
 The trees are fitted on a bounded sample, for each language the documents of least hash: ``SAMPLE_DOCS`` and ``SAMPLE_BYTES`` at
-most. Every text is scored whole, in lower case; code lengths are worked out once per distinct gram of a task.
+most. A document of more than an eighth of these bytes counts there with its beginning alone, so that none fills the sample. Every text is scored whole, in lower case; code lengths are worked out once per distinct gram of a task.
 
 Defined results: a null text or one without a letter, or a corpus without a labelled row, gives ``und`` and score 0; rows with a
 null doc_id are predicted, not learned from, and not held out; repeated rows are predicted each; an empty table gives no rows.
@@ -35,6 +35,10 @@ UNKNOWN = "und"
 
 def sample(learn: DataFrame, docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(lang, text): for each language its documents of least hash, within both bounds."""
+    slice_bytes = most_bytes // 8
+    # a character has four bytes at most
+    learn = learn.withColumn("text", F.when(F.octet_length("text") > slice_bytes, F.substring("text", 1, slice_bytes // 4)).otherwise(
+        F.col("text")))
     keyed = learn.select("doc_id", "lang", F.octet_length("text").cast("long").alias("size"),
                          F.xxhash64("doc_id", F.lit(7)).alias("mix"))
     # a language may hold most rows: those of small hash are told by its number of rows, about four times as many as are wanted

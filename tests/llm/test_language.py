@@ -75,6 +75,19 @@ def test_labels_of_asked_rows_are_no_input(spark, sf):
     assert a == b
 
 
+def test_long_documents_do_not_fill_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "en", f"short text {i}") for i in range(300)]
+    order = [r.doc_id for r in spark.createDataFrame(rows, "doc_id long, lang string, text string").orderBy(
+        F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))).collect()]
+    for place in (0, 1, 150):
+        rows[order[place]] = (order[place], "en", "long é " * 700_000)  # 5.6 MB
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
+    assert len(got) == 300 and sum(len(r.text.encode()) for r in got) <= language.SAMPLE_BYTES
+    assert {r.text for r in got} >= {f"short text {i}" for i in range(300) if i not in (order[0], order[1], order[150])}
+
+
 def test_edges(edges, empty):
     rows = language.predict(edges).collect()
     assert len(rows) == edges.count()
