@@ -11,7 +11,8 @@ The trees are fitted on a bounded sample, for each language the documents of lea
 most. A document of more than an eighth of these bytes counts there with its beginning alone, so that none fills the sample. Every text is scored whole, in lower case; code lengths are worked out once per distinct gram of a task.
 
 Defined results: a null text or one without a letter, or a corpus without a labelled row, gives ``und`` and score 0; rows with a
-null doc_id are predicted, not learned from, and not held out; repeated rows are predicted each; an empty table gives no rows.
+null doc_id are predicted, not learned from, and not held out; repeated rows are predicted each, and of a language's rows that share an id
+one is learned from, by least hash of the text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,19 +40,22 @@ def sample(learn: DataFrame, docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_B
     # a character has four bytes at most
     learn = learn.withColumn("text", F.when(F.octet_length("text") > slice_bytes, F.substring("text", 1, slice_bytes // 4)).otherwise(
         F.col("text")))
-    keyed = learn.select("doc_id", "lang", F.octet_length("text").cast("long").alias("size"),
+    learn = learn.withColumn("body", F.xxhash64("text"))
+    keyed = learn.select("doc_id", "lang", "body", F.octet_length("text").cast("long").alias("size"),
                          F.xxhash64("doc_id", F.lit(7)).alias("mix"))
-    # a language may hold most rows: those of small hash are told by its number of rows, about four times as many as are wanted
+    # a language may hold most rows: those of small hash are told by its number of ids, about four times as many as are wanted
     share = F.pmod("mix", F.lit(1 << 30)) / (1 << 30)
-    sizes = stored(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
-    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes  # a few MB; with it, rows are told before they are shuffled
-    candidates = keyed.join(sizes, "lang").withColumn("share", share).where(F.col("share") * F.col("rows") < 4 * docs)
+    sizes = stored(keyed.groupBy("lang").agg(F.approx_count_distinct("mix").alias("ids")), "languages")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes  # a few MB; with it, ids are told before they are shuffled
+    candidates = keyed.join(sizes, "lang").withColumn("share", share).where(F.col("share") * F.col("ids") < 4 * docs).groupBy(
+        "lang", "doc_id", "mix", "share").agg(F.min_by("size", "body").alias("size"), F.min("body").alias("body"))
     first = Window.partitionBy("lang").orderBy("share", "mix", "doc_id")
     chosen = candidates.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= docs).withColumn(
         "upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(
-        (F.col("upto") <= most_bytes) | (F.col("rank") == 1)).select("doc_id").distinct()
-    # a few thousand ids for each language: bounded by ``docs``
-    return learn.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+        (F.col("upto") <= most_bytes) | (F.col("rank") == 1)).select("lang", "doc_id", "body")
+    # a few thousand ids for each language: bounded by ``docs``; equal rows are one
+    return learn.join(F.broadcast(chosen), ["lang", "doc_id", "body"], "left_semi").groupBy("lang", "doc_id", "body").agg(
+        F.first("text").alias("text")).select("lang", "text")
 
 
 def gram_counts(learn: DataFrame, depth: int = ORDER) -> DataFrame:

@@ -21,7 +21,8 @@ candidate, and ``SAMPLE_TOKENS`` of each at most), labelled by the patterns; the
 several ways of writing, are examples of its mentions. Half of the examples hide whether a token is valid by its pattern, so that the weights of shapes and links are learned too. Detection reads every
 text whole.
 
-Defined results: a null text counts as the empty one; rows with a null doc_id keep it; repeated rows are searched each; a corpus
+Defined results: a null text counts as the empty one; rows with a null doc_id keep it and aren't learned from; repeated rows are searched
+each, and of those that share an id one is learned from, by least hash of the text; a corpus
 without a candidate has no model and adds nothing; an empty table gives no rows.
 """
 
@@ -299,8 +300,9 @@ def number_ends(text: str, start: int, end: int) -> Iterator[str]:
 
 def examples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
     """(shape, chain, skip, label): candidate tokens with the summed one-hot labels of their neighbours by either kind of edge."""
-    candidates = texts(docs).where(F.col("text").rlike("[0-9@]"))
-    chosen = candidates.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(sample_docs)
+    candidates = texts(docs).where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]")).withColumn("body", F.xxhash64("text"))
+    chosen = candidates.groupBy("doc_id").agg(F.min("body").alias("body")).orderBy(
+        F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
@@ -324,8 +326,9 @@ def examples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int
                 out += [{"shape": list(map(float, a)), "chain": b, "skip": c, "label": d} for a, b, c, d in rows[:sample_tokens]]
             yield pa.RecordBatch.from_pylist(out, schema=EXAMPLE)
 
-    # at most ``sample_docs`` ids
-    return candidates.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(
+    # at most ``sample_docs`` ids; equal rows are one
+    sample = candidates.join(F.broadcast(chosen), ["doc_id", "body"], "left_semi").groupBy("doc_id", "body").agg(F.first("text").alias("text"))
+    return sample.mapInArrow(
         run, "shape array<double>, chain array<double>, skip array<double>, label int")
 
 

@@ -88,6 +88,14 @@ def test_long_documents_do_not_fill_the_sample(spark):
     assert {r.text for r in got} >= {f"short text {i}" for i in range(300) if i not in (order[0], order[1], order[150])}
 
 
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    rows = [(7, "en", "the same text")] * 3000 + [(7, "en", "another text of it")] * 500 + [(i, "en", f"text {i}") for i in range(100, 150)]
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5), docs=30).collect()
+    assert len(got) == 30 == len({r.text for r in got})
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)).collect()
+    assert len(got) == 51 and {r.text for r in got} > {f"text {i}" for i in range(100, 150)}
+
+
 def test_edges(edges, empty):
     rows = language.predict(edges).collect()
     assert len(rows) == edges.count()

@@ -133,6 +133,13 @@ def test_marginals_without_loops_are_exact(model):
     assert got == pytest.approx(weight / weight.sum(axis=1, keepdims=True), abs=1e-3)
 
 
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    rows = [(7, "call 12 or 13")] * 500 + [(7, "call 14")] * 20 + [(None, "call 15")] * 20 + [(i, f"at {i}") for i in range(100, 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert personal.examples(docs).count() in (51, 52)
+    assert all(personal.examples(docs, sample_docs=n).count() <= 2 * n for n in (1, 10, 30))
+
+
 def test_edges(edges, empty, documents, model):
     rows = personal.detect(edges, personal.trained(edges)).collect()
     assert len(rows) == edges.count() and all(r.spans == "" for r in rows if r.doc_id in (1, 2, 3))
