@@ -8,7 +8,7 @@ A search has one priority queue for all trees of the forest: the key of a branch
 other side of a split above it, zero for the leaf that the query falls into. Leaves leave the queue in that order until
 ``SHARE`` of the shard's rows, and ``LEAST_MET`` of them, have been met; these are scored exactly, in double precision. It is done for a block of queries at a
 time: a row is met when the first of its leaves is, so its key is the least of its leaves' keys, and the rows with the least keys
-are the candidates. Equal keys are met together, so the result doesn't depend on an order of work.
+are the candidates. The products of a block with a shard are worked out together, also those of rows that are not met. Equal keys are met together, so the result doesn't depend on an order of work.
 
 Queries meet every shard in blocks of ``QUERY_ROWS``; a pair of a block and a shard gives its best rows, and the best of these are
 the result. Memory is bounded by one shard and one block. Splits are drawn from a seed by shard, tree and depth, so
@@ -91,12 +91,12 @@ def keys(forest: list[list[tuple]], n_rows: int, queries: np.ndarray) -> np.ndar
 
 
 def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, trees: int = TREES,
-           leaf: int = LEAF, share: float = SHARE, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+           leaf: int = LEAF, share: float = SHARE, seed: int = 0, least_met: int = LEAST_MET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of each query's k best candidates, and more where ids are shared."""
     longest = np.sqrt((rows * rows).sum(axis=1).max())
     lifted = np.column_stack((rows, np.sqrt(np.maximum(0, longest**2 - (rows * rows).sum(axis=1)))))
     forest = plant(lifted, trees, leaf, seed)
-    met = min(len(rows), max(LEAST_MET, 4 * k, int(np.ceil(share * len(rows)))))
+    met = min(len(rows), max(least_met, 4 * k, int(np.ceil(share * len(rows)))))
     spare = len(ids) - len(np.unique(ids))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), AT_ONCE):
@@ -114,7 +114,7 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
 
 
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, trees: int = TREES, leaf: int = LEAF,
-            share: float = SHARE, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+            share: float = SHARE, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, least_met: int = LEAST_MET) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``every``."""
     own = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(
         F.col("vec_id").isNotNull() & usable("vector"))
@@ -141,7 +141,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, trees: int = TR
             new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)))
             return ids[new], vectors[new]
 
-        query_id, vec_id, score = search(*parts(index), *parts(asked), k, trees, leaf, share, seed=key[0].as_py())
+        query_id, vec_id, score = search(*parts(index), *parts(asked), k, trees, leaf, share, seed=key[0].as_py(), least_met=least_met)
         return pa.table({"query_id": query_id, "vec_id": vec_id, "score": score})
 
     found = rows.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(run, "query_id long, vec_id long, score double")

@@ -36,6 +36,20 @@ def test_recall_and_exact_scores(table):
     assert hits >= 0.9 * 20 * len(by)
 
 
+def test_recall_of_the_partial_search(table):
+    frame, ids, rows = table
+    assert len(rows) > 200
+
+    def hits(share):
+        by = {}
+        for r in neighbours.nearest(frame, share=share, least_met=0).collect():
+            by.setdefault(r.query_id, set()).add(r.vec_id)
+        return sum(len(by[i] & {j for j, _ in plain(ids, rows, i)}) for i in by) / (20 * len(by))
+
+    partial = hits(neighbours.SHARE)
+    assert 0.9 <= partial < 1 == hits(1.0)
+
+
 def test_forest_search_is_partial_and_good(table):
     _, ids, rows = table
     asked = ids % 20 == 0
