@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ctw, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, sketches
+from . import bytepairs, ctw, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, sketches
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,11 @@ def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents, by fixed patterns and a skip-chain field."""
     docs = table(spark, sf_dir, "documents")
     return personal.detect(docs, personal.trained(docs))
+
+
+@query
+def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by byte-level BPE and decoded again, as digests."""
+    import public_tokenizers
+
+    return bytepairs.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
