@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytepairs, ctw, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, sketches
+from . import bytepairs, ctw, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, sketches, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,9 @@ def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bytepairs.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened to 32 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
