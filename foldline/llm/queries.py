@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytepairs, ctw, language, licenses, mixing, neighbours, packing, personal, secrets, simhash, sketches, whitening
+from . import bytepairs, ctw, language, licenses, mixing, neighbours, packing, personal, repair, secrets, simhash, sketches, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,9 @@ def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings whitened to 32 components."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged, and the cheapest repair of each."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
