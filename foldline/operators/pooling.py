@@ -1,23 +1,30 @@
 """Token vectors and their pooled means.
 
-``VectorTable`` is the lookup table token id -> vector. Its size is read before it is used: a table below
-``BROADCAST_BYTES`` is broadcast; a larger one is joined by a shuffle, with the vectors of hot words broadcast, so that a
-word making up a third of all tokens does not pile up in one task. Equal tokens of a segment are counted inside its row
-before either join. Both ways give the same rows and columns.
+``VectorTable`` is the lookup table token id -> vector. Its size is read before it is used. ``pool_groups`` takes one row per group
+with the ids of its tokens as an array. A table below ``BROADCAST_BYTES`` is sent to the workers once, and a group's vectors are
+gathered, weighed and summed where its row lies, an Arrow batch at a time: no row per token, no join, no aggregation, and the
+rows' partitioning stays. The time grows with the values summed, at any width. A larger table is joined by a shuffle, with the
+vectors of hot words broadcast, so that a word making up a third of all tokens does not pile up in one task; equal tokens of a
+group are counted inside its row before that. Both ways give the same rows and columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import stable_hash
-from ..functions.vectors import EPS, norm
+from ..functions.text import runs, stable_hash
+from ..functions.vectors import EPS, dot, norm
 from .lookup import skew_join
 
-BROADCAST_BYTES = 256 << 20
+BROADCAST_BYTES = 128 << 20
 BLOCK = 64
+VALUES_AT_ONCE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -32,6 +39,19 @@ class VectorTable:
     def fits_broadcast(self) -> bool:
         return self.rows * (self.dim * 8 + 64) <= BROADCAST_BYTES
 
+    @cached_property
+    def sent(self):
+        """A broadcast of (ids in ascending order, their vectors); only asked for when the measured size is within the bound."""
+        said = F.concat(F.lit("the vector of id "), F.col("vec_id").cast("string"), F.lit(f" does not have {self.dim} values"))
+        checked = F.when(F.size("vec") == self.dim, F.col("vec")).otherwise(F.raise_error(said).cast("array<double>"))
+        whole = self.frame.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), checked.alias("vec")).toArrow()
+        ids = whole.column("vec_id").to_numpy()
+        if not len(ids):
+            raise ValueError("the vector table is empty")
+        vectors = whole.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim)
+        order = np.argsort(ids, kind="stable")
+        return self.frame.sparkSession.sparkContext.broadcast((ids[order], vectors[order]))
+
 
 def vector_table(frame: DataFrame, vec_id: str = "vec_id", vec: str = "embedding") -> VectorTable:
     """Reads the number of rows (from file footers) and the length of one vector."""
@@ -75,12 +95,19 @@ def weighted_mean(rows: DataFrame, keys: list[str], dim: int, weight: Column | N
                   divisor: Column | None = None, out: str = "vec") -> DataFrame:
     """Sum of weight * vec per group over ``divisor`` (default: the sum of weights ``_w``, at least 1e-9).
 
-    Vectors are cut into blocks of ``BLOCK`` values and summed per (group, block), one plain sum per place: these combine on
-    the map side and stay inside code generation at any width. A group's blocks are then put together again, where
-    its rows already lie.
+    One plain sum per place, in one aggregation: these combine on the map side and stay inside code generation. Vectors of more
+    than ``BLOCK`` values are cut into blocks and summed per (group, block), and a group's blocks are then put together again,
+    where its rows already lie.
     """
+    by = F.greatest(F.col("_w"), F.lit(1e-9)) if divisor is None else divisor
+    weighed = rows.withColumn("_wt", F.col("live").cast("double") if weight is None else weight)
+    if dim <= BLOCK:
+        sums = [F.sum(F.get("vec", F.lit(i)) * F.col("_wt")) for i in range(dim)]
+        return weighed.groupBy(*keys).agg(
+            F.sum("cnt").alias("n_tokens"), F.sum("_wt").alias("_w"), F.array(*sums).alias("_sums")).select(
+            *keys, "n_tokens", F.transform("_sums", lambda x: x / by).alias(out))
     starts = F.sequence(F.lit(1), F.lit(dim), F.lit(BLOCK))
-    cut = rows.withColumn("_wt", F.col("live").cast("double") if weight is None else weight).select(
+    cut = weighed.select(
         *keys, "cnt", "_wt", F.posexplode(F.transform(starts, lambda at: F.slice("vec", at, BLOCK))).alias("_block", "_part"))
     sums = [F.sum(F.get("_part", F.lit(i)) * F.col("_wt")) for i in range(min(dim, BLOCK))]
     summed = cut.groupBy(*keys, "_block").agg(
@@ -88,7 +115,6 @@ def weighted_mean(rows: DataFrame, keys: list[str], dim: int, weight: Column | N
     whole = summed.groupBy(*keys).agg(
         F.max("n_tokens").alias("n_tokens"), F.max("_w").alias("_w"),
         F.sort_array(F.collect_list(F.struct("_block", "_sums"))).alias("_blocks"))
-    by = F.greatest(F.col("_w"), F.lit(1e-9)) if divisor is None else divisor
     # the last block may be shorter: its other places are null
     values = F.slice(F.flatten(F.col("_blocks._sums")), 1, dim)
     return whole.select(*keys, "n_tokens", F.transform(values, lambda x: x / by).alias(out))
@@ -120,6 +146,177 @@ def softmax_pool(rows: DataFrame, keys: list[str], score: Column, dim: int, out:
     return weighted_mean(scored, keys, dim, F.exp("_score") * F.col("live"), out=out)
 
 
+def _places(ids: np.ndarray, known: np.ndarray, missing: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each id's vector lies, and whether there is one."""
+    places = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    found = known[places] == ids
+    if missing == "error" and not found.all():
+        raise ValueError(f"no vector for id {ids[~found][0]}")
+    return places, found
+
+
+def _lists(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists one after the other, and the length of each."""
+    lengths = array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return array.flatten().to_numpy(zero_copy_only=False), lengths
+
+
+def _as_lists(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()))
+
+
+def _scores(vectors: np.ndarray, places: np.ndarray, owner: np.ndarray, queries: np.ndarray, cosine: bool) -> np.ndarray:
+    """The product of each token's vector with its group's query, or the cosine."""
+    step = max(1, VALUES_AT_ONCE // vectors.shape[1])
+    out = np.empty(len(places))
+    for at in range(0, len(places), step):
+        out[at:at + step] = np.einsum("ij,ij->i", vectors[places[at:at + step]], queries[owner[at:at + step]])
+    if cosine:
+        length = np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), EPS)
+        asked = np.maximum(np.sqrt(np.einsum("ij,ij->i", queries, queries)), EPS)
+        out /= length[places] * asked[owner]
+    return out
+
+
+def _sums(vectors: np.ndarray, places: np.ndarray, owner: np.ndarray, weights: np.ndarray, groups: int) -> np.ndarray:
+    """The weighted sum of each group's vectors, over slices of tokens of about ``VALUES_AT_ONCE`` values."""
+    out = np.zeros((groups, vectors.shape[1]))
+    step = max(1, VALUES_AT_ONCE // vectors.shape[1])
+    for at in range(0, len(places), step):
+        own = owner[at:at + step]
+        begins = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[begins]] += np.add.reduceat(vectors[places[at:at + step]] * weights[at:at + step, None], begins, axis=0)
+    return out
+
+
+def _queries(array: pa.Array, dim: int) -> np.ndarray:
+    """Queries as a matrix; a null one is the zero vector."""
+    if array.null_count:
+        array = pa.array([v if v is not None else [0.0] * dim for v in array.to_pylist()], pa.list_(pa.float64()))
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), dim)
+
+
+def gather_pool(table: VectorTable, score: str | None = None, guard: float = 1.0, fixed: float | None = None,
+                missing: str = "error") -> Callable[..., Column]:
+    """A column function of (ids[, weights][, query]) that gives a group's weighted mean.
+
+    ``score``: None, or 'cosine' or 'dot' of a token with the query, whose softmax is a weight too. The sum is divided by the sum of weights, held at
+    ``guard`` or above, or by ``fixed``.
+    """
+    sent, dim = table.sent, table.dim
+
+    def pool(ids: pa.Array, weights: pa.Array, query: pa.Array) -> pa.Array:
+        known, vectors = sent.value
+        flat, lengths = _lists(ids)
+        owner = np.repeat(np.arange(len(ids)), lengths)
+        places, found = _places(flat, known, missing)
+        weight = found.astype(np.float64)
+        if len(flat):
+            if weights.null_count < len(weights):
+                weight *= _lists(weights)[0]
+            if score:
+                scores = _scores(vectors, places, owner, _queries(query, dim), score == "cosine")
+                highest = np.full(len(ids), -np.inf)
+                np.maximum.at(highest, owner, scores)
+                weight *= np.exp(scores - highest[owner])
+        total = np.bincount(owner, weight, len(ids))
+        by = fixed if fixed is not None else np.maximum(total, 1e-300 if score else guard)[:, None]
+        sums = _sums(vectors, places, owner, weight, len(ids)) if len(flat) else np.zeros((len(ids), dim))
+        return _as_lists(sums / by)
+
+    column = F.arrow_udf(pool, "array<double>")
+    return lambda ids, weights=None, query=None: column(
+        ids, F.lit(None).cast("array<double>") if weights is None else weights, F.lit(None).cast("array<double>") if query is None else query)
+
+
+def gather_or_pool(table: VectorTable, missing: str = "error") -> Callable[[Column, Column, Column], Column]:
+    """A column function of (ids, keep, query): the vectors of a kept group's tokens, or a group's one mean, weighted by
+    the softmax of its tokens' cosines with the query."""
+    sent, dim = table.sent, table.dim
+
+    def both(ids: pa.Array, keep: pa.Array, query: pa.Array) -> pa.Array:
+        known, vectors = sent.value
+        flat, lengths = _lists(ids)
+        kept = keep.to_numpy(zero_copy_only=False).astype(bool)
+        owner = np.repeat(np.arange(len(ids)), lengths)
+        places, found = _places(flat, known, missing)
+        rows = np.where(kept, lengths, 1)
+        ends = np.concatenate(([0], np.cumsum(rows)))
+        out = np.zeros((ends[-1], dim))
+        read = kept[owner]
+        out[np.repeat(kept, rows)] = vectors[places[read]] * found[read, None]
+        rest = ~read
+        weight = found[rest].astype(np.float64)
+        if len(weight):
+            weight *= np.exp(_scores(vectors, places[rest], owner[rest], _queries(query, dim), True))
+            total = np.maximum(np.bincount(owner[rest], weight, len(ids)), 1e-9)[:, None]
+            means = _sums(vectors, places[rest], owner[rest], weight, len(ids)) / total
+            out[ends[:-1][~kept]] = means[~kept]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _as_lists(out))
+
+    return F.arrow_udf(both, "array<array<double>>")
+
+
+def gather_similarities(table: VectorTable, missing: str = "error") -> Callable[[Column, Column], Column]:
+    """A column function of (query's ids, ids by segment) that gives (query_vec, sims): means and their cosines, inside a record's row."""
+    sent, dim = table.sent, table.dim
+
+    def means(flat: np.ndarray, owner: np.ndarray, groups: int) -> np.ndarray:
+        known, vectors = sent.value
+        places, found = _places(flat, known, missing)
+        by = np.maximum(np.bincount(owner, found, groups), 1.0)[:, None]
+        return _sums(vectors, places, owner, found.astype(np.float64), groups) / by if len(flat) else np.zeros((groups, dim))
+
+    def compare(query: pa.Array, segments: pa.Array) -> pa.Array:
+        flat, lengths = _lists(query)
+        asked = means(flat, np.repeat(np.arange(len(query)), lengths), len(query))
+        of_record = segments.value_lengths().to_numpy(zero_copy_only=False)
+        flat, lengths = _lists(segments.flatten())
+        read = means(flat, np.repeat(np.arange(len(lengths)), lengths), len(lengths))
+        record = np.repeat(np.arange(len(query)), of_record)
+        size = [np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), EPS) for x in (asked, read)]
+        sims = np.einsum("ij,ij->i", read, asked[record]) / (size[1] * size[0][record])
+        ends = np.concatenate(([0], np.cumsum(of_record))).astype(np.int32)
+        return pa.StructArray.from_arrays(
+            [_as_lists(asked), pa.ListArray.from_arrays(pa.array(ends), pa.array(sims))], names=["query_vec", "sims"])
+
+    return F.arrow_udf(compare, "query_vec array<double>, sims array<double>")
+
+
+def pool_groups(groups: DataFrame, keys: list[str], table: VectorTable, ids: Column, weights: Column | None = None, query: str | None = None,
+                score: str | None = None, guard: float = 1.0, fixed: float | None = None, missing: str = "error", out: str = "vec") -> DataFrame:
+    """(keys, n_tokens, out) of rows that are a group each, with the ids of its tokens; the arguments are those of ``gather_pool``.
+
+    A group without tokens, or without one that has a vector and a weight, has the zero vector.
+    """
+    if missing not in ("error", "zero"):
+        raise ValueError(f"missing is 'error' or 'zero', not {missing!r}")
+    asked = [] if query is None else [query]
+    if table.fits_broadcast:
+        rows = groups.select(*keys, *asked, ids.alias("_ids"), (F.lit(None).cast("array<double>") if weights is None else weights).alias("_weights"))
+        pool = gather_pool(table, score, guard, fixed, missing)
+        return rows.select(*keys, F.size("_ids").cast("long").alias("n_tokens"),
+                           pool(F.col("_ids"), F.col("_weights"), F.col(query) if query else None).alias(out))
+    part = lambda i, w=None: F.struct(i.alias("vec_id"), (F.lit(1.0) if w is None else w).alias("_weight"))
+    parts = F.transform(ids, lambda i: part(i)) if weights is None else F.zip_with(ids, weights, part)
+    counted = groups.select(*keys, *asked, F.explode_outer(runs(parts)).alias("_run"))
+    counted = counted.select(*keys, *asked, "_run.item.*", F.coalesce("_run.n", F.lit(0).cast("long")).alias("cnt"))
+    rows = attach_vectors(counted, table, missing)
+    weight = F.col("live") * F.coalesce("_weight", F.lit(0.0))
+    divisor = F.lit(fixed) if fixed is not None else F.greatest(F.col("_w"), F.lit(1e-300 if score else guard))
+    if score:
+        value = dot(F.col("vec"), F.col(query))
+        value = F.coalesce(value / (F.col("norm") * norm(F.col(query))) if score == "cosine" else value, F.lit(0.0))
+        rows = rows.withColumn("_score", value)
+        top = rows.groupBy(*keys).agg(F.max("_score").alias("_top"))
+        # the highest score is taken off first, so that exp() can't overflow; a cosine can't
+        rows = rows.withColumn("_top", F.lit(1.0)) if score == "cosine" else rows.join(top, keys)
+        weight = weight * F.exp(F.col("_score") - F.col("_top"))
+    return weighted_mean(rows, keys, table.dim, weight, divisor, out)
+
+
 def minmax_scale(rows: DataFrame, key: str, value: str, scale: float = 1.0, out: str = "scaled") -> DataFrame:
     """scale * (x - min) / (max - min + 1e-8) over the values of one sequence."""
     sequence = Window.partitionBy(key)

@@ -4,36 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import runs
-from ..functions.vectors import cosine, dot, norm
+from ..functions.text import let, tokens
+from ..functions.vectors import cosine, dot
 from . import pooling
-from .pooling import VectorTable, attach_vectors, masked_mean
-from .segments import inner_words, segment_rows, token_rows
+from .pooling import VectorTable, attach_vectors
+from .segments import inner_words, segment_rows, slices, token_rows
 
 TIE_DIGITS = 9
 
 
-def counted_rows(segments: DataFrame, table: VectorTable, parts: Column | None = None) -> DataFrame:
-    """One row per distinct vector of a segment, with its ``vec_id`` and how often it occurs (``cnt``); other columns stay.
-
-    The counting is done inside the segment's row, so nothing is grouped before the vectors come in. ``parts``: structs to
-    count instead of the words' ids, with a field ``vec_id``. A segment without words keeps one row with ``cnt`` 0.
-    """
-    rest = [c for c in segments.columns if c != "words"]
-    if parts is None:
-        parts = F.transform("words", lambda w: F.struct(pooling.token_vector_id(w, table.rows).alias("vec_id")))
-    rows = segments.select(*rest, F.explode_outer(runs(parts)).alias("_run"))
-    return rows.select(*rest, "_run.item.*", F.coalesce("_run.n", F.lit(0).cast("long")).alias("cnt"))
-
-
-def segment_vectors(segments: DataFrame, table: VectorTable, missing: str = "error", parts: Column | None = None) -> DataFrame:
-    """``counted_rows`` with their vectors: columns of the segment, vec_id, cnt, live, vec, norm."""
-    return attach_vectors(counted_rows(segments, table, parts), table, missing)
+def word_ids(table: VectorTable, words: str = "words") -> Column:
+    return F.transform(words, lambda w: pooling.token_vector_id(w, table.rows))
 
 
 def pooled_segments(segments: DataFrame, table: VectorTable, key: str = "example_id", missing: str = "error") -> DataFrame:
     """Mean vector per segment; the query is segment -1. A segment without words has the zero vector and no tokens."""
-    return masked_mean(segment_vectors(segments.select(key, "seg_idx", "words"), table, missing), [key, "seg_idx"], table.dim)
+    return pooling.pool_groups(segments, [key, "seg_idx"], table, word_ids(table), missing=missing)
 
 
 def block_embeddings(segments: DataFrame, table: VectorTable, cap: int = 512, key: str = "example_id", missing: str = "error") -> DataFrame:
@@ -58,6 +44,33 @@ def segment_similarity(pooled: DataFrame, key: str = "example_id") -> DataFrame:
         "sim", F.coalesce(cosine(F.col("query_vec"), F.col("vec")), F.lit(0.0)))
 
 
+def record_similarities(records: DataFrame, table: VectorTable, size: int, key: str = "example_id", query: str = "question",
+                        document: str = "document", missing: str = "error") -> DataFrame:
+    """One row per record: ``words`` by segment, the query's vector and ``sims`` by segment. Nothing is shuffled.
+
+    For a table that is sent to the workers; a document without tokens has one segment without words.
+    """
+    nothing = F.array(F.array().cast("array<string>"))
+    cut = let(slices(tokens(F.col(document)), size), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(nothing))
+    rows = records.where(F.col(key).isNotNull()).select(key, cut.alias("words"), tokens(F.col(query)).alias("_asked"))
+    each = F.transform("words", lambda part: F.transform(part, lambda w: pooling.token_vector_id(w, table.rows)))
+    compare = pooling.gather_similarities(table, missing)
+    found = rows.select(key, "words", word_ids(table, "_asked").alias("_asked"), each.alias("_ids"))
+    return found.select(key, "words", compare("_asked", "_ids").alias("_found")).select(key, "words", "_found.query_vec", "_found.sims")
+
+
+def similarities(records: DataFrame, table: VectorTable, size: int, key: str = "example_id", query: str = "question",
+                 document: str = "document", missing: str = "error") -> DataFrame:
+    """(key, seg_idx, n_tokens, sim) of every document segment: light rows, without a vector."""
+    if table.fits_broadcast:
+        found = record_similarities(records, table, size, key, query, document, missing)
+        rows = F.arrays_zip(F.transform("words", lambda w: F.size(w).cast("long")).alias("n_tokens"), F.col("sims").alias("sim"))
+        return found.select(key, F.posexplode(rows).alias("seg_idx", "_row")).select(
+            key, F.col("seg_idx").cast("long").alias("seg_idx"), "_row.n_tokens", "_row.sim")
+    segments = segment_rows(records, key, query, document, size)
+    return segment_similarity(pooled_segments(segments, table, key, missing), key)
+
+
 def ranked_segments(sims: DataFrame, key: str = "example_id") -> DataFrame:
     """Adds ``n_segments`` and ``rank`` (1 = closest; ties at nine digits go to the earlier segment).
 
@@ -113,17 +126,35 @@ def choices(ranked: DataFrame, ratio: Column | float, key: str = "example_id") -
     return ranked.groupBy(key).agg(
         F.first("query_vec").alias("query_vec"),
         F.collect_list(F.when(keep_flag(ratio), F.col("seg_idx"))).alias("kept_segs"),
-    ).withColumn("query_norm", norm(F.col("query_vec")))
+    )
 
 
-def chosen_segments(records: DataFrame, chosen: DataFrame, size: int, key: str = "example_id", query: str = "question",
-                    document: str = "document") -> DataFrame:
+def chosen_segments(records: DataFrame, table: VectorTable, ratio: float, size: int, key: str = "example_id", query: str = "question",
+                    document: str = "document", missing: str = "error") -> DataFrame:
     """The document's segments with their words, a ``keep`` flag and the query's vector. A segment without words isn't kept.
 
-    Records meet their choice one to one on the key by which both are already placed, so nothing is shuffled.
+    With a table that is sent to the workers, similarity, order and choice stay in the record's row and nothing is shuffled. Otherwise
+    records meet their choice one to one on the key by which both are already placed.
     """
-    both = records.select(key, query, document).join(chosen, key)
-    rows = segment_rows(both, key, query, document, size, ["query_vec", "query_norm", "kept_segs"])
+    if table.fits_broadcast:
+        found = record_similarities(records, table, size, key, query, document, missing)
+        order = F.array_sort(F.transform("sims", lambda s, i: F.struct((-F.round(s, TIE_DIGITS)).alias("away"), i.alias("seg"))))
+        count = keep_count(F.lit(float(ratio)), F.size("sims")).cast("int")
+        kept = F.transform(F.slice(order, F.lit(1), count), lambda o: o["seg"])
+        rows = found.select(key, "words", "query_vec", kept.alias("_kept"))
+        every = F.sequence(F.lit(0), F.size("words") - 1)
+
+        def flagged(places: Column | str, keep: bool) -> Column:
+            return F.transform(places, lambda i: F.struct(i.alias("seg_idx"), F.lit(keep).alias("_keep")))
+
+        both = F.concat(flagged("_kept", True), flagged(F.array_except(every, "_kept"), False))
+        rows = rows.select(key, "words", "query_vec", F.inline(both))
+        rows = rows.select(key, F.col("seg_idx").cast("long").alias("seg_idx"), F.get("words", F.col("seg_idx")).alias("words"), "query_vec", "_keep")
+        return rows.withColumn("keep", F.col("_keep") & (F.size("words") > 0)).drop("_keep")
+    segments = segment_rows(records, key, query, document, size)
+    ranked = ranked_segments(segment_similarity(pooled_segments(segments, table, key, missing), key), key)
+    both = records.select(key, query, document).join(choices(ranked, ratio, key), key)
+    rows = segment_rows(both, key, query, document, size, ["query_vec", "kept_segs"])
     keep = F.array_contains("kept_segs", F.col("seg_idx")) & (F.size("words") > 0)
     return rows.where("seg_idx >= 0").withColumn("keep", keep).drop("kept_segs")
 
@@ -131,12 +162,11 @@ def chosen_segments(records: DataFrame, chosen: DataFrame, size: int, key: str =
 def skim_vectors(segments: DataFrame, table: VectorTable, key: str = "example_id", missing: str = "error") -> DataFrame:
     """One vector per segment that is not kept: its tokens weighted by softmax of cos(token, query).
 
-    The choice comes first, so that tokens of kept segments never meet a vector. Cosines lie in [-1, 1]: exp() cannot overflow.
+    The choice comes first, so that tokens of kept segments never meet a vector.
     """
-    rows = segment_vectors(segments.where(~F.col("keep")).drop("keep"), table, missing)
-    cos = dot(F.col("vec"), F.col("query_vec")) / (F.col("norm") * F.col("query_norm"))
-    attention = F.exp(F.coalesce(cos, F.lit(0.0)))
-    return pooling.weighted_mean(rows.withColumn("_a", attention), [key, "seg_idx"], table.dim, F.col("_a") * F.col("live"), out="skim_vec")
+    skimmed = segments.where(~F.col("keep"))
+    return pooling.pool_groups(skimmed, [key, "seg_idx"], table, word_ids(table), query="query_vec", score="cosine",
+                               missing=missing, out="skim_vec")
 
 
 def hybrid_rows(segments: DataFrame, size: int, key: str = "example_id") -> DataFrame:
@@ -150,14 +180,24 @@ def hybrid_rows(segments: DataFrame, size: int, key: str = "example_id") -> Data
 
 
 def hybrid_vectors(segments: DataFrame, table: VectorTable, size: int, key: str = "example_id", missing: str = "error") -> DataFrame:
-    """The hybrid sequence with a vector per row: a kept token has its own, a skimmed segment its summary."""
+    """The hybrid sequence with a vector per row: a kept token has its own, a skimmed segment its summary.
+
+    With a table that is sent to the workers, one pass over the segments gives both.
+    """
+    summary = [F.lit(-1).cast("long").alias("src_pos"), F.lit("summary").alias("kind"), F.lit(None).cast("string").alias("token")]
+    if table.fits_broadcast:
+        vectors = pooling.gather_or_pool(table, missing)
+        with_ids = segments.select(key, "seg_idx", "keep", "words", "query_vec", word_ids(table).alias("_ids"))
+        found = with_ids.select(key, "seg_idx", "keep", "words", F.posexplode(vectors("_ids", "keep", "query_vec")).alias("_p", "vec"))
+        return found.select(
+            key, "seg_idx", F.when(F.col("keep"), F.col("seg_idx") * size + F.col("_p")).otherwise(summary[0]).alias("src_pos"),
+            F.when(F.col("keep"), F.lit("token")).otherwise(summary[1]).alias("kind"),
+            F.when(F.col("keep"), F.get("words", F.col("_p"))).alias("token"), "vec")
     read = token_rows(segments.where("keep").select(key, "seg_idx", "words"), size).withColumns({
         "vec_id": pooling.token_vector_id(F.col("token"), table.rows), "cnt": F.lit(1).cast("long")})
     kept = attach_vectors(read, table, missing).select(
         key, "seg_idx", F.col("pos").alias("src_pos"), F.lit("token").alias("kind"), "token", "vec")
-    skims = skim_vectors(segments, table, key, missing).select(
-        key, "seg_idx", F.lit(-1).cast("long").alias("src_pos"), F.lit("summary").alias("kind"),
-        F.lit(None).cast("string").alias("token"), F.col("skim_vec").alias("vec"))
+    skims = skim_vectors(segments, table, key, missing).select(key, "seg_idx", *summary, F.col("skim_vec").alias("vec"))
     return kept.unionByName(skims)
 
 

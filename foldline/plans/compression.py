@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import dot, l2_normalize
+from ..functions.vectors import l2_normalize
 from ..operators import pooling as P, selection as R
 from ..operators.assembly import drawn_ratio, pad_memories as pad_lists
 from ..operators.segments import placed, segment_rows, slices, token_rows
@@ -23,7 +23,9 @@ class Job:
     def __init__(self, spark, sf):
         self.table = vectors(spark, sf)
         self.examples = qa(spark, sf)
-        self.records = placed(self.examples.select("example_id", "question", "document"), "example_id")
+        records = self.examples.select("example_id", "question", "document")
+        # what is worked out in the record's row needs no placing
+        self.records = records.where("example_id is not null") if self.table.fits_broadcast else placed(records, "example_id")
         self.segments = self.cut(SEGMENT)
         self.tokens = token_rows(self.segments, SEGMENT)
 
@@ -33,7 +35,7 @@ class Job:
 
     def chosen(self, ratio: float) -> DataFrame:
         """The document segments with their keep flag."""
-        return R.chosen_segments(self.records, R.choices(self.ranked, ratio), SEGMENT)
+        return R.chosen_segments(self.records, self.table, ratio, SEGMENT)
 
     @property
     def dim(self) -> int:
@@ -47,14 +49,22 @@ class Job:
     def sims(self) -> DataFrame:
         return R.segment_similarity(self.pooled)
 
+    @property
+    def light_sims(self) -> DataFrame:
+        """Similarities without vectors."""
+        return R.similarities(self.records, self.table, SEGMENT).select(*KEY, "n_tokens", "sim")
+
     @property
     def ranked(self) -> DataFrame:
-        return R.ranked_segments(self.sims)
+        return R.ranked_segments(self.light_sims)
 
     def chunks(self, merge: int) -> DataFrame:
-        """Document tokens with vectors, by chunk: a chunk is a segment of ``merge`` tokens."""
-        rows = self.cut(merge).where("seg_idx >= 0").withColumnRenamed("seg_idx", "chunk")
-        return R.segment_vectors(rows, self.table)
+        """The document's chunks: a chunk is a segment of ``merge`` tokens."""
+        return self.cut(merge).where("seg_idx >= 0").withColumnRenamed("seg_idx", "chunk")
+
+    def chunk_pool(self, merge: int, **how) -> DataFrame:
+        """Means of ``merge`` consecutive vectors; the tail is averaged over its own length."""
+        return P.pool_groups(self.chunks(merge), ["example_id", "chunk"], self.table, R.word_ids(self.table), **how)
 
 
 def flagship(spark, sf) -> DataFrame:
@@ -73,10 +83,9 @@ def mean_pool(spark, sf):
 SELECT example_id, seg_idx::BIGINT AS seg_idx, {sql_vec('vec')} AS vec FROM m""")
 def masked_mean_pool(spark, sf):
     job = Job(spark, sf)
-    parts = F.transform("words", lambda w: F.struct(
-        P.token_vector_id(w, job.table.rows).alias("vec_id"), (F.length(w) > 3).alias("mask")))
-    rows = R.segment_vectors(job.segments, job.table, parts=parts)
-    return P.masked_mean(rows, KEY, job.dim, F.col("mask")).select("example_id", SEG, vec_text(F.col("vec")).alias("vec"))
+    mask = F.transform("words", lambda w: (F.length(w) > 3).cast("double"))
+    pooled = P.pool_groups(job.segments, KEY, job.table, R.word_ids(job.table), mask)
+    return pooled.select("example_id", SEG, vec_text(F.col("vec")).alias("vec"))
 
 
 CHUNK_SQL = VECTOR_SQL + """,
@@ -90,13 +99,13 @@ def chunk_rows(df):
 @query("chunk_pool", f"WITH {CHUNK_SQL}, m AS ({sql_mean('ch', 'example_id, chunk')}) SELECT example_id, chunk, {sql_vec('vec')} AS vec FROM m")
 def chunk_pool(spark, sf):
     job = Job(spark, sf)
-    return chunk_rows(P.chunk_pool(job.chunks(8), "example_id", 8, job.dim))
+    return chunk_rows(job.chunk_pool(8))
 
 
 @query("chunk_pool_padded", f"WITH {CHUNK_SQL}, m AS ({sql_mean('ch', 'example_id, chunk', '1.0', '8.0')}) SELECT example_id, chunk, {sql_vec('vec')} AS vec FROM m")
 def chunk_pool_padded(spark, sf):
     job = Job(spark, sf)
-    return chunk_rows(P.chunk_pool(job.chunks(8), "example_id", 8, job.dim, padded=True))
+    return chunk_rows(job.chunk_pool(8, fixed=8.0))
 
 
 @query("pad_memories", f"""WITH {VECTOR_SQL}, n AS (SELECT example_id, (count(*) + 63) // 64 AS n FROM tv WHERE seg_idx >= 0 GROUP BY example_id),
@@ -105,7 +114,7 @@ SELECT example_id, width::BIGINT AS width, repeat('1', n::INT) || repeat('0', (w
 def pad_memories(spark, sf):
     """Memories of 64 tokens each as one list per record, padded in batches of four."""
     job = Job(spark, sf)
-    pooled = P.chunk_pool(job.chunks(64), "example_id", 64, job.dim)
+    pooled = job.chunk_pool(64)
     lists = pooled.groupBy("example_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "vec"))).alias("_l")).select(
         "example_id", F.expr("example_id div 4").alias("batch"), F.col("_l.vec").alias("memories"))
     return pad_lists(lists, "memories", "batch", job.dim).select(
@@ -120,8 +129,7 @@ def weighted_chunk_pool(spark, sf):
     job = Job(spark, sf)
     asked = job.pooled.where("seg_idx = -1").select("example_id", F.col("vec").alias("query_vec"))
     rows = job.chunks(8).join(asked, "example_id")
-    score = dot(F.col("vec"), F.col("query_vec"))
-    return chunk_rows(P.softmax_pool(rows, ["example_id", "chunk"], score, job.dim))
+    return chunk_rows(P.pool_groups(rows, ["example_id", "chunk"], job.table, R.word_ids(job.table), query="query_vec", score="dot"))
 
 
 MEMORY_SQL = VECTOR_SQL + f""",
@@ -137,14 +145,14 @@ def cumulative_memory(spark, sf):
     job = Job(spark, sf)
     parts = F.transform(slices(F.col("words"), 8), lambda w, i: F.struct(i.alias("chunk"), w.alias("words")))
     chunks = job.segments.where("seg_idx >= 0").select("example_id", SEG, F.inline(parts))
-    pooled = P.weighted_mean(R.segment_vectors(chunks, job.table), [*KEY, "chunk"], job.dim)
+    pooled = P.pool_groups(chunks, [*KEY, "chunk"], job.table, R.word_ids(job.table))
     return R.visible_memories(pooled).select("example_id", SEG, "mem_pos", "visible", vec_text(F.col("vec")).alias("vec"))
 
 
 @query("minmax_scale", f"""WITH {SIM_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx,
 round(2.0 * (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w + 1e-8), 4) AS scaled FROM sims WINDOW w AS (PARTITION BY example_id)""")
 def minmax_scale(spark, sf):
-    sims = Job(spark, sf).sims.select(*KEY, "sim")
+    sims = Job(spark, sf).light_sims
     return P.minmax_scale(sims, "example_id", "sim", 2.0).select("example_id", SEG, r4("scaled").alias("scaled"))
 
 
@@ -177,13 +185,13 @@ def l2_normalized(spark, sf):
 
 @query("segment_similarity", f"WITH {SIM_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, n_tokens, round(sim, 4) AS sim FROM sims")
 def segment_similarity(spark, sf):
-    return Job(spark, sf).sims.select("example_id", SEG, "n_tokens", r4("sim").alias("sim"))
+    return Job(spark, sf).light_sims.select("example_id", SEG, "n_tokens", r4("sim").alias("sim"))
 
 
 @query("segment_probs", f"""WITH {SIM_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx,
 round(exp(sim) / sum(exp(sim)) OVER (PARTITION BY example_id), 4) AS prob FROM sims""")
 def segment_probs(spark, sf):
-    sims = Job(spark, sf).sims.select(*KEY, "sim")
+    sims = Job(spark, sf).light_sims
     return R.softmax_share(sims, "example_id", "sim", "prob").select("example_id", SEG, r4("prob").alias("prob"))
 
 
@@ -234,13 +242,23 @@ def skim_vector(spark, sf):
 
 HYBRID_SQL = SKIM_SQL + """,
 hybrid AS (
-  SELECT example_id, seg_idx, pos AS src_pos, 'token' AS kind, token, v AS vec FROM tv JOIN picked USING (example_id, seg_idx) WHERE keep
+  SELECT example_id, seg_idx, pos AS src_pos, 'token' AS kind, token FROM tk JOIN picked USING (example_id, seg_idx) WHERE keep
+  UNION ALL
+  SELECT example_id, seg_idx, -1, 'summary', NULL FROM skim)"""
+
+# A digest holds every value of a vector: whole ten-thousandths, each times its place. A word's is worked out once.
+DIGEST = "list_dot_product(list_transform({0}, lambda x: floor(x * 10000 + 0.5)), range(1, len({0}) + 1)::DOUBLE[])::BIGINT"
+DIGEST_SQL = SKIM_SQL + f""",
+digests AS MATERIALIZED (SELECT vec_id, {DIGEST.format('v')} AS digest FROM ve),
+hybrid AS (
+  SELECT example_id, seg_idx, pos AS src_pos, 'token' AS kind, token, digest
+  FROM tid JOIN picked USING (example_id, seg_idx) JOIN digests USING (vec_id) WHERE keep
   UNION ALL
-  SELECT example_id, seg_idx, -1, 'summary', NULL, vec FROM skim)"""
+  SELECT example_id, seg_idx, -1, 'summary', NULL, {DIGEST.format('vec')} FROM skim)"""
 
 
-@query("hybrid_context", f"""WITH {HYBRID_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, src_pos::BIGINT AS src_pos, kind, token,
-list_sum(list_transform(vec, lambda x, i: floor(x * 10000 + 0.5)::BIGINT * i))::BIGINT AS digest FROM hybrid""")
+@query("hybrid_context", f"""WITH {DIGEST_SQL} SELECT example_id, seg_idx::BIGINT AS seg_idx, src_pos::BIGINT AS src_pos, kind, token,
+digest FROM hybrid""")
 def hybrid_context(spark, sf):
     """``digest`` holds every value of a row's vector: whole ten-thousandths, each times its place."""
     job = Job(spark, sf)
@@ -294,7 +312,7 @@ loss AS (SELECT example_id, count(*) FILTER (positive) AS n_positive,
 
 
 def example_losses(spark, sf):
-    return R.contrastive_loss(Job(spark, sf).sims.select(*KEY, "sim"), positives(spark, sf))
+    return R.contrastive_loss(Job(spark, sf).light_sims, positives(spark, sf))
 
 
 @query("contrastive_loss", f"WITH {LOSS_SQL} SELECT example_id, n_positive, round(loss, 4) + 0.0 AS loss FROM loss")
@@ -372,7 +390,6 @@ def compression_stats_empty(spark, sf):
     """Every third document is empty: one segment without tokens, whose place in the sequence is one memory."""
     job = Job(spark, sf)
     records = job.records.withColumn("document", F.expr(EMPTIED))
-    segments = segment_rows(records, "example_id", "question", "document", SEGMENT)
-    ranked = R.ranked_segments(R.segment_similarity(R.pooled_segments(segments, job.table)))
+    ranked = R.ranked_segments(R.similarities(records, job.table, SEGMENT))
     return R.compression_per_example(ranked.select(*KEY, "n_tokens", "n_segments", "rank"), [1.0]).select(
         "example_id", "n_segments", "n_kept", "org_len", "comp_len")

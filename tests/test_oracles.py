@@ -5,12 +5,11 @@ from check_oracles import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
 from foldline.plans import ORACLES, QUERIES
-from conftest import SMALL
 
 
 @pytest.fixture(scope="module")
-def con():
-    return connect(SMALL)
+def con(sf):
+    return connect(sf)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -77,9 +77,22 @@ def exchanges(df):
 
 
 @pytest.mark.parametrize("name", ["topk_keep", "segment_probs", "compression_stats"])
-def test_the_compression_shuffles_records_once(spark, sf, name):
+def test_the_compression_shuffles_light_rows_once(spark, sf, name):
     moved = [line for line in exchanges(QUERIES[name](spark, sf)) if "example_id" in line]
-    assert len(moved) == 1, moved
+    assert len(moved) == 1 and "REPARTITION" not in moved[0], moved
+
+
+@pytest.mark.parametrize("name", ["skim_vector", "hybrid_context", "mean_pool", "chunk_pool"])
+def test_a_record_keeps_to_its_row(spark, sf, name):
+    """With a vector table that is sent to the workers, nothing is shuffled by example, and no vector or text is."""
+    assert not [line for line in exchanges(QUERIES[name](spark, sf)) if "example_id" in line]
+
+
+@pytest.mark.parametrize("name", ["topk_keep", "segment_probs", "compression_stats"])
+def test_with_a_large_table_records_are_placed_once(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(P, "BROADCAST_BYTES", 0)
+    moved = ran_exchanges(QUERIES[name](spark, sf))
+    assert len({line.split("[plan_id")[-1] for line in moved}) == 1, moved
 
 
 def ran_exchanges(df):
@@ -90,7 +103,8 @@ def ran_exchanges(df):
 
 
 @pytest.mark.parametrize("name", ["skim_vector", "compact_sequence", "hybrid_context"])
-def test_the_second_pass_reads_the_same_shuffle(spark, sf, name):
+def test_with_a_large_table_the_second_pass_reads_the_same_shuffle(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(P, "BROADCAST_BYTES", 0)
     moved = ran_exchanges(QUERIES[name](spark, sf))
     assert len({line.split("[plan_id")[-1] for line in moved}) == 1, moved
 
