@@ -82,7 +82,7 @@ def finder() -> Callable[[str], list[Span]]:
         spans = list(emails(text)) if "@" in text else []
         if digit.search(text):
             for m in ip.finditer(text):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
                     spans.append((m.start(), 1, m.end()))
             for m in card.finditer(text):
                 digits = m[0].replace(" ", "").replace("-", "")

@@ -3,15 +3,15 @@
 Everything is column expressions. Positions come from one expression per pattern, which takes the text apart into the gaps and
 the matches between them, so offsets are running sums of lengths in code points.
 
-Candidate strings are maximal runs of base64-like characters of at least ``WINDOW``. A candidate belongs to the narrowest class
+Candidate strings are runs of base64-like characters of at least ``WINDOW``, from the end of a string of a fixed kind to the beginning of the next. A candidate belongs to the narrowest class
 that holds all its characters: hexadecimal, letters and digits, or base64. A window of ``WINDOW`` characters slides over it; going
 on by one takes one from a count and adds one to another, and with the sum of c * log2(c) over the counts, kept up to date
 from these two changes alone, the entropy is log2(WINDOW) - sum / WINDOW. A candidate becomes a span where the largest
 entropy of its windows reaches its class's threshold, unless the allow-list knows it: identifiers with a fixed form (UUIDs), dotted or
-sloped paths of plain words, runs of plain alphabets, placeholder words. Digits alone and letters of one case alone are no candidates.
+sloped paths of plain words, and placeholder words and plain alphabets, which take their own part of the run with them. Digits alone and letters of one case alone are no candidates.
 
 Defined results: a null text counts as the empty one; rows with a null doc_id keep it; repeated rows are scanned each;
-an empty table gives no rows.
+an empty table gives no rows. A very long text costs time in proportion to its length and matches, whose positions are prefix sums built in blocks.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import prefix_sums
 from .common import let, texts
 
 # Fixed values of the contract: patterns, in this order, and the least length of what they must hold.
@@ -32,16 +33,16 @@ HEX_LEAST = 32
 
 KINDS = ("assign", "access", "hex")
 WINDOW = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{" + str(WINDOW) + ",}"
 # Bits of entropy that some window must reach. Random strings of a class reach nearly their alphabet's share of log2(20) = 4.3.
 THRESHOLDS = {"hexa": 2.9, "alnum": 3.6, "base64": 3.7}
-# Strings that look random and are public: known placeholders and forms.
-ALLOWED = [
+# Strings that look random and are public: forms of whole runs, and words. A word that is glued to what stands before it makes its run known;
+# otherwise only its own part of the run, from one / or = to the next, is.
+KNOWN_FORMS = [
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example|placeholder|changeme|your[_-]?(token|key|secret)|xxxxxx|dummy",
-    r"(?i)abcdefghij|0123456789|1234567890",
-    r"^([A-Za-z]+[/_=-]+)*[A-Za-z]+[0-9]{0,4}$",
+    r"^[A-Za-z]++(?:[/_=-]++[A-Za-z]++)*+[0-9]{0,4}$",
 ]
+KNOWN_WORDS = r"(?i)(?:example|placeholder|changeme|your[_-]?(?:token|key|secret)|xxxxxx|dummy|abcdefghij|0123456789|1234567890)"
+GLUED = KNOWN_WORDS.replace("(?i)", "(?i)[0-9a-z]")
 
 
 def matches(text: Column, pattern: str, groups: int = 0) -> Column:
@@ -54,15 +55,13 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     def place(gaps: Column, found: Column) -> Column:
         values = F.regexp_extract_all(text, F.lit(cut), F.lit(3)) if groups else found
         pieces = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value")), lambda p: p["hit"] != "")
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
 
-        def step(state: Column, p: Column) -> Column:
-            begin = state["at"] + F.char_length(p["gap"])
-            end = begin + F.char_length(p["hit"])
-            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(
-                begin.alias("start"), end.alias("stop"), p["value"].alias("value")))).alias("spans"))
+        def spans(hits: Column) -> Column:
+            lengths = F.transform(hits, lambda p: (F.char_length(p["gap"]) + F.char_length(p["hit"])).cast("long"))
+            return let(prefix_sums(lengths), lambda ends: F.transform(hits, lambda p, i: F.struct(
+                (F.get(ends, i) - F.char_length(p["hit"])).alias("start"), F.get(ends, i).alias("stop"), p["value"].alias("value"))))
 
-        return F.aggregate(pieces, start, step, lambda state: state["spans"])
+        return let(pieces, spans)
 
     gaps, found = (F.regexp_extract_all(text, F.lit(cut), F.lit(g)) for g in (1, 2))
     none = F.array().cast(SPANS)
@@ -122,16 +121,50 @@ def string_class(value: Column) -> Column:
 
 
 def entropy_spans(text: Column) -> Column:
-    """Candidates with a window of high entropy that the allow-list doesn't know: (start, stop, value)."""
+    """Candidates with a window of high entropy that the allow-list doesn't know: (start, stop, value).
+
+    A candidate ends where a string of a fixed kind begins, and begins after it.
+    """
     limit = F.create_map(*[F.lit(x) for pair in THRESHOLDS.items() for x in pair])
+    fixed = "|".join((ASSIGN[:-2] + f"{{{ASSIGN_LEAST},}})", ACCESS[:-1] + f"{{{ACCESS_LEAST - 4},}}", HEX[:-1] + f"{{{HEX_LEAST},}}"))
+    fixed = fixed.replace("([A-Za-z0-9+/_.=-]", "(?:[A-Za-z0-9+/_.=-]")
+    candidate = rf"(?:{fixed})|((?:(?!{fixed})[A-Za-z0-9+/_=-]){{{WINDOW},}})"
+
+    def random(part: Column) -> Column:
+        kind = string_class(part)
+        known = part.rlike("|".join(f"(?:{p})" for p in KNOWN_FORMS))
+        return F.coalesce(F.when(kind.isNotNull() & ~known, window_entropy(part) >= F.element_at(limit, kind)), F.lit(False))
 
-    def random(m: Column) -> Column:
+    def suspicious(m: Column) -> Column:
         value = m["value"]
-        known = value.rlike("|".join(f"(?:{p})" for p in ALLOWED))
-        kind = string_class(value)
-        return F.coalesce(F.when(kind.isNotNull() & ~known, window_entropy(value) >= F.element_at(limit, kind)), F.lit(False))
+        parts = F.transform(F.split(value, "[/=]"), lambda p: F.when(p.rlike(KNOWN_WORDS), F.lit(" ")).otherwise(p))
+        left = F.when(value.rlike(KNOWN_WORDS), F.split(F.array_join(parts, "/"), " ")).otherwise(F.array(value))
+        forms = value.rlike("|".join(f"(?:{p})" for p in KNOWN_FORMS)) | value.rlike(GLUED)
+        return (value != "") & ~forms & F.exists(left, random)
+
+    return F.filter(matches(text, candidate, 1), suspicious)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans, ordered and disjoint, that overlap none of the others. All ends are sorted once and counted from left to right."""
+    # at the same place: an other's end, a span's start, a span's end, an other's start
+    def events(of: Column, field: str, kind: int) -> Column:
+        return F.transform(of, lambda s: F.struct(s[field].cast("long").alias("at"), F.lit(kind).alias("kind")))
+
+    line = F.array_sort(F.concat(events(others, "stop", 0), events(spans, "start", 1), events(spans, "stop", 2), events(others, "start", 3)))
+
+    def counted(kind: int, of: Column) -> Column:
+        return prefix_sums(F.transform(of, lambda e: (e["kind"] == kind).cast("long")))
+
+    def at(kind: int, of: Column, counts: Column) -> Column:
+        both = F.arrays_zip(of.alias("event"), counts.alias("count"))
+        return F.transform(F.filter(both, lambda x: x["event"]["kind"] == kind), lambda x: x["count"])
+
+    def free(of: Column) -> Column:
+        begun, ended = at(2, of, counted(3, of)), at(1, of, counted(0, of))
+        return let(begun, lambda b: let(ended, lambda e: F.filter(spans, lambda s, i: F.get(b, i) == F.get(e, i))))
 
-    return F.filter(matches(text, CANDIDATE), random)
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(line, free)).otherwise(spans)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -148,9 +181,8 @@ def scan(docs: DataFrame) -> DataFrame:
             m["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), m["stop"].alias("stop")))
 
     base = F.array_sort(F.concat(*[labelled(k, i) for i, k in enumerate(KINDS)]))
-    more = F.filter(labelled("entropy", len(KINDS)), lambda e: ~F.exists(
-        "base", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"])))
-    return found.withColumn("base", base).select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
+    found = found.withColumn("base", base).withColumn("more", labelled("entropy", len(KINDS)))
+    return found.select("doc_id", "base", F.array_sort(F.concat("base", apart(F.col("more"), F.col("base")))).alias("spans"))
 
 
 def span_list(spans: str) -> Column:

@@ -153,3 +153,11 @@ def test_edges(edges, empty, documents, model):
     assert got[2].text is None and got[3].text == "clean text 12"
     find = personal.finder()
     assert not any(find(r.text or "") for r in got.values())
+
+
+def test_parts_of_any_length():
+    """An address part of thousands of digits: zeros in front count for nothing, others are too many."""
+    find = personal.finder()
+    for part, good in (("0" * 5000 + "4", True), ("0" * 5000, True), ("4" * 5000, False), ("256", False), ("0255", True)):
+        text = f"at 1.2.3.{part} now"
+        assert ((3, 1, len(text) - 4) in find(text)) == good
