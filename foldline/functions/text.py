@@ -56,6 +56,30 @@ def runs(items: Column) -> Column:
     return let(F.array_sort(items), counted)
 
 
+def prefix_sums(values: Column, block: int = 128) -> Column:
+    """Running sums of an array of longs, the element itself included.
+
+    An array that grows by an element per step is copied per step, so sums are built in blocks and the blocks are put together: an element
+    is copied ``block`` / 2 times at most, a block once per later block.
+    """
+    def inside(part: Column, before: Column) -> Column:
+        start = F.struct(before.alias("total"), F.array().cast("array<bigint>").alias("sums"))
+        return F.aggregate(part, start, lambda state, x: F.struct(
+            (state["total"] + x).alias("total"), F.concat(state["sums"], F.array(state["total"] + x)).alias("sums")))
+
+    def whole(items: Column) -> Column:
+        starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<array<bigint>>").alias("blocks"))
+
+        def step(state: Column, at: Column) -> Column:
+            return let(inside(F.slice(items, at, F.lit(block)), state["total"]), lambda done: F.struct(
+                done["total"].alias("total"), F.concat(state["blocks"], F.array(done["sums"])).alias("blocks")))
+
+        return F.aggregate(starts, start, step, lambda state: F.flatten(state["blocks"]))
+
+    return let(values, whole)
+
+
 def stable_draw(key: Column, seed: int, n: Column | int) -> Column:
     """Reproducible draw in [0, n) for one key; does not depend on partitions or retries."""
     n = n if isinstance(n, Column) else F.lit(n)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import let, tokens
+from ..functions.text import let, prefix_sums, tokens
 from .ordering import assemble_text, positions
 from .prompts import STYLES, by_style, context, finish, head, piece
 
@@ -224,31 +224,31 @@ def masked_spans(prompt: Column, template: Column) -> Column:
         return turn
 
     def spans(rule: Column) -> Column:
-        turns = F.transform(split_literal(prompt, rule["sep"]), measured(rule))
         total = n_tokens(prompt) + rule["bos"]
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("open"), F.array().cast(SPANS).alias("spans"))
 
-        def step(state: Column, t: Column) -> Column:
-            good = state["open"] & ~t["bad"]
-            span = F.struct(F.greatest(state["at"] + rule["left"], F.lit(0)).cast("long").alias("start"),
-                            F.least(state["at"] + t["instr"], total).cast("long").alias("stop"))
-            return F.struct((state["at"] + F.when(good, t["len"]).otherwise(0)).alias("at"), good.alias("open"),
-                            F.when(good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        def span(start: Column, stop: Column) -> Column:
+            return F.struct(F.greatest(start + rule["left"], F.lit(0)).cast("long").alias("start"), stop.cast("long").alias("stop"))
+
+        def of_turns(good: Column) -> Column:
+            def placed(ends: Column) -> Column:
+                own = F.transform(good, lambda t, i: span(F.get(ends, i) - t["len"], F.least(F.get(ends, i) - t["len"] + t["instr"], total)))
+                rest = span(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)), total)
+                return F.filter(F.concat(own, F.array(rest)), lambda s: s["start"] < s["stop"])
+
+            return let(prefix_sums(F.transform(good, lambda t: t["len"])), placed)
 
-        def closed(state: Column) -> Column:
-            rest = F.struct(F.greatest(state["at"] + rule["left"], F.lit(0)).cast("long").alias("start"), total.cast("long").alias("stop"))
-            return F.filter(F.concat(state["spans"], F.array(rest)), lambda s: s["start"] < s["stop"])
+        def until_bad(turns: Column) -> Column:
+            bad = F.array_position(F.transform(turns, lambda t: t["bad"]), True).cast("int")
+            return F.slice(turns, F.lit(1), F.when(bad > 0, bad - 1).otherwise(F.size(turns)))
 
-        return F.aggregate(turns, start, step, closed)
+        turns = F.transform(split_literal(prompt, rule["sep"]), measured(rule))
+        return let(let(turns, until_bad), of_turns)
 
     rule = F.struct(_rule("turn_sep", template).alias("sep"), _rule("role_sep", template).alias("role_sep"),
                     _rule("bos", template).alias("bos"), _rule("left", template).alias("left"))
     return let(rule, spans)
 
 
-SPANS = "array<struct<start:bigint,stop:bigint>>"
-
-
 def token_labels(prompts: DataFrame, ids: Callable[[Column], Column], bos: str = "<s>") -> DataFrame:
     """Tokens of a rendered prompt with their label: the token's id, or -100 inside a masked span. Nothing leaves the prompt's row.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from foldline.functions import metrics
-from foldline.functions.text import let, normalize_text, runs, tokens
+from foldline.functions.text import prefix_sums, let, normalize_text, runs, tokens
 from foldline.functions.vectors import cosine, dot, l2_normalize
 from foldline.operators import assembly as A, pooling as P, selection as R
 from foldline.operators.segments import inner_words, segment_count, segment_slots, slices, split_segments, tail_slots, valid_tokens
@@ -236,3 +236,27 @@ def test_f1_of_long_answers(one):
     from collections import Counter
     shared = sum((Counter(said.split()) & Counter(truth.split())).values())
     assert one(lambda: metrics.token_f1(C("p"), C("a")), p=said, a=[truth]) == pytest.approx(2 * shared / 6000)
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
+def test_prefix_sums(spark, n):
+    from itertools import accumulate
+    values = [(i * 7) % 5 for i in range(n)]
+    got = spark.createDataFrame([(values,)], "v array<long>").select(prefix_sums(C("v"))).first()[0]
+    assert got == list(accumulate(values))
+
+
+def test_spans_of_many_turns(spark):
+    """Time grows with the turns and not with their square; 8,000 turns in one prompt."""
+    import time
+    from foldline.operators.conversations import masked_spans
+    seconds = []
+    for n in (1000, 8000):
+        prompt = "".join(f"[INST] question {i} [/INST] an answer </s><s>" for i in range(n))
+        df = spark.createDataFrame([("llama-2", prompt)], "t string, p string")
+        begun = time.perf_counter()
+        spans = df.select(masked_spans(C("p"), C("t"))).first()[0]
+        seconds.append(time.perf_counter() - begun)
+        assert len(spans) >= n
+        assert all(a.stop <= b.start + 4 for a, b in zip(spans, spans[1:]))
+    assert seconds[1] < 12 * seconds[0] + 2
