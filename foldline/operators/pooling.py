@@ -10,18 +10,23 @@ group are counted inside its row before that. Both ways give the same rows and c
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import runs, stable_hash
 from ..functions.vectors import EPS, dot, norm
 from .lookup import skew_join
 
+# what runs inside tasks travels to the executors by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BROADCAST_BYTES = 128 << 20
 BLOCK = 64
 VALUES_AT_ONCE = 1 << 21
@@ -285,6 +290,48 @@ def gather_similarities(table: VectorTable, missing: str = "error") -> Callable[
     return F.arrow_udf(compare, "query_vec array<double>, sims array<double>")
 
 
+def gather_products(table: VectorTable, missing: str = "error") -> Callable[[Column, Column], Column]:
+    """A column function of (ids by query, ids by segment) that gives the cosines, segments by query: one matrix product in a record's row."""
+    sent, dim = table.sent, table.dim
+
+    def directions(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        known, vectors = sent.value
+        of_record = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, lengths = _lists(lists.flatten())
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        places, found = _places(flat, known, missing)
+        sums = _sums(vectors, places, owner, found.astype(np.float64), len(lengths)) if len(flat) else np.zeros((len(lengths), dim))
+        means = sums / np.maximum(np.bincount(owner, found, len(lengths)), 1.0)[:, None]
+        length = np.maximum(np.sqrt(np.einsum("ij,ij->i", means, means)), EPS)[:, None]
+        return means / length, np.concatenate(([0], np.cumsum(of_record)))
+
+    def products(queries: pa.Array, segments: pa.Array) -> pa.Array:
+        (asked, at), (read, begin) = directions(queries), directions(segments)
+        rows = []
+        for i in range(len(queries)):
+            rows.extend(asked[at[i]:at[i + 1]] @ read[begin[i]:begin[i + 1]].T)
+        flat = np.concatenate(rows) if rows else np.zeros(0)
+        ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+        inner = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), inner)
+
+    return F.arrow_udf(products, "array<array<double>>")
+
+
+def batch_losses(temperature: float) -> Callable[[Column, Column], Column]:
+    """A column function of a batch's (query vectors, memory vectors) that gives a loss for each query: the cross-entropy of its own memory
+    against those of the whole batch, on plain dot products, as one matrix product."""
+    def losses(queries: pa.Array, memories: pa.Array) -> pa.Array:
+        found = []
+        for q, m in zip(queries, memories):
+            scores = np.array(q.as_py(), np.float64) @ np.array(m.as_py(), np.float64).T / temperature
+            top = scores.max(axis=1)
+            found.append(np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top - scores.diagonal())
+        return pa.array(found, pa.list_(pa.float64()))
+
+    return F.arrow_udf(losses, "array<double>")
+
+
 def pool_groups(groups: DataFrame, keys: list[str], table: VectorTable, ids: Column, weights: Column | None = None, query: str | None = None,
                 score: str | None = None, guard: float = 1.0, fixed: float | None = None, missing: str = "error", out: str = "vec") -> DataFrame:
     """(keys, n_tokens, out) of rows that are a group each, with the ids of its tokens; the arguments are those of ``gather_pool``.

@@ -222,15 +222,43 @@ def softmax_share(df: DataFrame, key: str, score: str, out: str) -> DataFrame:
     return df.withColumn("_e", shifted).withColumn(out, F.col("_e") / F.sum("_e").over(group)).drop("_e")
 
 
-def contrastive_loss(sims: DataFrame, positives: DataFrame, temperature: float = 0.05, key: str = "example_id") -> DataFrame:
-    """Loss per example; ids without a segment are ignored, and so are examples without any positive."""
-    wanted = positives.select(key, F.explode("pos_seg_ids").alias("seg_idx")).distinct().withColumn("positive", F.lit(1))
-    weighed = sims.join(wanted, [key, "seg_idx"], "left").withColumn("_e", F.exp(F.col("sim") / temperature))
-    summed = weighed.groupBy(key).agg(
+def query_similarities(records: DataFrame, table: VectorTable, size: int, key: str = "example_id", queries: str = "queries",
+                       document: str = "document", missing: str = "error") -> DataFrame:
+    """(key, query_id, seg_idx, sim) for records that ask several queries, an array of texts; a record without any has no row.
+
+    With a table that is sent to the workers, the product of queries and segments is one matrix product in the record's row.
+    """
+    if table.fits_broadcast:
+        nothing = F.array(F.array().cast("array<string>"))
+        cut = let(slices(tokens(F.col(document)), size), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(nothing))
+
+        def ids(lists: Column) -> Column:
+            return F.transform(lists, lambda words: F.transform(words, lambda w: pooling.token_vector_id(w, table.rows)))
+
+        both = records.where(F.size(queries) > 0).select(key, ids(F.transform(queries, tokens)).alias("_asked"), ids(cut).alias("_read"))
+        sims = both.select(key, F.posexplode(pooling.gather_products(table, missing)("_asked", "_read")).alias("query_id", "_sims"))
+        return sims.select(key, F.col("query_id").cast("long").alias("query_id"), F.posexplode("_sims").alias("seg_idx", "sim")).select(
+            key, "query_id", F.col("seg_idx").cast("long").alias("seg_idx"), "sim")
+    # each query beside the document's segments, both already placed by their record
+    asked = records.select(key, F.posexplode(queries).alias("query_id", "_query")).select(
+        key, F.col("query_id").cast("long").alias("query_id"), tokens(F.col("_query")).alias("words"))
+    asked = pooling.pool_groups(asked, [key, "query_id"], table, word_ids(table), missing=missing, out="query_vec")
+    read = segment_rows(records.withColumn("_none", F.lit("")), key, "_none", document, size).where("seg_idx >= 0")
+    read = pooled_segments(read, table, key, missing)
+    return read.join(asked.select(key, "query_id", "query_vec"), key).select(
+        key, "query_id", "seg_idx", F.coalesce(cosine(F.col("query_vec"), F.col("vec")), F.lit(0.0)).alias("sim"))
+
+
+def contrastive_loss(sims: DataFrame, positives: DataFrame, temperature: float = 0.05, key: str | list[str] = "example_id") -> DataFrame:
+    """Loss per example, or per query of an example by ``key``; ids without a segment are ignored, and so is what has no positive."""
+    keys = [key] if isinstance(key, str) else key
+    wanted = positives.select(*keys, F.explode("pos_seg_ids").alias("seg_idx")).distinct().withColumn("positive", F.lit(1))
+    weighed = sims.join(wanted, [*keys, "seg_idx"], "left").withColumn("_e", F.exp(F.col("sim") / temperature))
+    summed = weighed.groupBy(*keys).agg(
         F.sum(F.when(F.col("positive") == 1, F.col("_e")).otherwise(0.0)).alias("_pos"),
         F.sum("_e").alias("_all"), F.count("positive").alias("n_positive"))
     return summed.where("n_positive > 0").select(
-        key, "n_positive", (-F.log((F.col("_pos") + 1e-8) / (F.col("_all") + 1e-8))).alias("loss"))
+        *keys, "n_positive", (-F.log((F.col("_pos") + 1e-8) / (F.col("_all") + 1e-8))).alias("loss"))
 
 
 def mean_loss(losses: DataFrame) -> DataFrame:
@@ -250,6 +278,18 @@ def infonce_loss(scored: DataFrame, positive: Column, temperature: float = 0.1,
     return summed.where("_pos is not null").select(key, (F.log("_sum") + F.col("_top") - F.col("_pos")).alias("loss"))
 
 
+def batch_infonce(pairs: DataFrame, batch: str, temperature: float = 0.1, key: str = "example_id") -> DataFrame:
+    """(batch, key, loss) of rows with ``query_vec`` and ``memory_vec``: each query's own memory against those of all others of its batch.
+
+    A batch comes together in one row, as it is of a fixed size, and its products are one matrix product; pairs are no rows. A batch of one has the loss 0.
+    """
+    row = F.struct(key, "query_vec", "memory_vec")
+    batches = pairs.groupBy(batch).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    losses = pooling.batch_losses(temperature)
+    with_loss = batches.select(batch, F.col(f"_rows.{key}").alias("_keys"), losses(F.col("_rows.query_vec"), F.col("_rows.memory_vec")).alias("_losses"))
+    return with_loss.select(batch, F.inline(F.arrays_zip(F.col("_keys").alias(key), F.col("_losses").alias("loss"))))
+
+
 def similarity_share(scored: DataFrame, key: str = "example_id") -> DataFrame:
     """Dot product with the query over the sum of all dot products; null when that sum is 0."""
     dots = scored.withColumn("_x", dot(F.col("query_vec"), F.col("vec")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import l2_normalize
@@ -10,13 +10,22 @@ from ..operators import pooling as P, selection as R
 from ..operators.assembly import drawn_ratio, pad_memories as pad_lists
 from ..operators.segments import placed, segment_rows, slices, token_rows
 from .catalog import query
-from .fixtures import (POOLED_SQL, RANK_SQL, RATIOS, SEGMENT, SIM_SQL, VECTOR_SQL, positives, qa, r4, sql_draw, sql_mean,
+from .fixtures import (POOLED_SQL, RANK_SQL, RATIOS, SEGMENT, SIM_SQL, VECTOR_SQL, positives, qa, r4, sql_draw, sql_hash, sql_mean,
                        sql_tokens, sql_vec, vec_text, vectors)
 
 SEG = "seg_idx"
 KEY = ["example_id", "seg_idx"]
 
 
+# A digest holds every value of a vector: whole ten-thousandths, each times its place.
+DIGEST = "list_dot_product(list_transform({0}, lambda x: floor(x * 10000 + 0.5)), range(1, len({0}) + 1)::DOUBLE[])::BIGINT"
+
+
+def vec_digest(vec) -> Column:
+    places = F.transform(vec, lambda x, i: F.floor(x * 10000 + 0.5) * (i + 1))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda total, x: total + x)
+
+
 class Job:
     """The steps of the compression over one set of examples, each built from the one before."""
 
@@ -108,18 +117,22 @@ def chunk_pool_padded(spark, sf):
     return chunk_rows(job.chunk_pool(8, fixed=8.0))
 
 
-@query("pad_memories", f"""WITH {VECTOR_SQL}, n AS (SELECT example_id, (count(*) + 63) // 64 AS n FROM tv WHERE seg_idx >= 0 GROUP BY example_id),
+@query("pad_memories", f"""WITH {VECTOR_SQL}, ch AS (SELECT example_id, pos // 64 AS chunk, v FROM tv WHERE seg_idx >= 0),
+m AS ({sql_mean('ch', 'example_id, chunk')}),
+n AS (SELECT example_id, count(*) AS n, sum((chunk + 1) * {DIGEST.format('vec')})::BIGINT AS digest FROM m GROUP BY example_id),
 w AS (SELECT *, max(n) OVER (PARTITION BY example_id // 4) AS width FROM n)
-SELECT example_id, width::BIGINT AS width, repeat('1', n::INT) || repeat('0', (width - n)::INT) AS mask FROM w""")
+SELECT example_id, width::BIGINT AS width, repeat('1', n::INT) || repeat('0', (width - n)::INT) AS mask, digest FROM w""")
 def pad_memories(spark, sf):
-    """Memories of 64 tokens each as one list per record, padded in batches of four."""
+    """Memories of 64 tokens each as one list per record, padded in batches of four; ``digest`` holds every padded value, each times its places."""
     job = Job(spark, sf)
     pooled = job.chunk_pool(64)
     lists = pooled.groupBy("example_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "vec"))).alias("_l")).select(
         "example_id", F.expr("example_id div 4").alias("batch"), F.col("_l.vec").alias("memories"))
+    rows = F.transform("padded", lambda vec, i: vec_digest(vec) * (i + 1))
     return pad_lists(lists, "memories", "batch", job.dim).select(
         "example_id", F.size("padded").cast("long").alias("width"),
-        F.array_join(F.col("mask").cast("array<string>"), "").alias("mask"))
+        F.array_join(F.col("mask").cast("array<string>"), "").alias("mask"),
+        F.aggregate(rows, F.lit(0).cast("long"), lambda total, x: total + x).alias("digest"))
 
 
 @query("weighted_chunk_pool", f"""WITH {CHUNK_SQL}, q AS ({sql_mean('(SELECT * FROM tv WHERE seg_idx = -1)', 'example_id')}),
@@ -246,8 +259,7 @@ hybrid AS (
   UNION ALL
   SELECT example_id, seg_idx, -1, 'summary', NULL FROM skim)"""
 
-# A digest holds every value of a vector: whole ten-thousandths, each times its place. A word's is worked out once.
-DIGEST = "list_dot_product(list_transform({0}, lambda x: floor(x * 10000 + 0.5)), range(1, len({0}) + 1)::DOUBLE[])::BIGINT"
+# a word's digest is worked out once
 DIGEST_SQL = SKIM_SQL + f""",
 digests AS MATERIALIZED (SELECT vec_id, {DIGEST.format('v')} AS digest FROM ve),
 hybrid AS (
@@ -262,10 +274,8 @@ digest FROM hybrid""")
 def hybrid_context(spark, sf):
     """``digest`` holds every value of a row's vector: whole ten-thousandths, each times its place."""
     job = Job(spark, sf)
-    places = F.transform("vec", lambda x, i: F.floor(x * 10000 + 0.5) * (i + 1))
-    digest = F.aggregate(places, F.lit(0).cast("long"), lambda total, x: total + x)
     return R.hybrid_vectors(job.chosen(0.25), job.table, SEGMENT).select(
-        "example_id", SEG, "src_pos", "kind", "token", digest.alias("digest"))
+        "example_id", SEG, "src_pos", "kind", "token", vec_digest("vec").alias("digest"))
 
 
 @query("compact_sequence", f"""WITH {HYBRID_SQL} SELECT example_id, row_number() OVER (PARTITION BY example_id ORDER BY seg_idx, src_pos) - 1 AS new_pos,
@@ -325,6 +335,54 @@ def contrastive_loss_mean(spark, sf):
     return R.mean_loss(example_losses(spark, sf)).select("n_valid", r4("loss").alias("loss"))
 
 
+# No, one or three queries by example: the question, and the question's halves; the positive of a query is the segment of its number.
+MANY_SQL = VECTOR_SQL + f""",
+many AS (SELECT example_id, unnest(generate_series(0, len(q) - 1)) AS query_id, unnest(q) AS query FROM (
+  SELECT example_id, CASE example_id % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [question] ELSE [question, answers[1], answers[2]] END AS q FROM qa)),
+mt AS (SELECT example_id, query_id, {sql_hash('w')} % (SELECT count(*) FROM embeddings) AS vec_id
+       FROM (SELECT example_id, query_id, unnest({sql_tokens('query')}) AS w FROM many)),
+mv AS (SELECT example_id, query_id, v FROM mt JOIN ve USING (vec_id)),
+mq AS ({sql_mean('mv', 'example_id, query_id')}),
+pooled AS ({sql_mean('(SELECT * FROM tv WHERE seg_idx >= 0)', 'example_id, seg_idx')}),
+z AS (SELECT m.example_id, m.query_id, exp(list_cosine_similarity(q.vec, p.vec) / 0.05) AS e,
+        p.seg_idx = m.query_id AND m.example_id % 5 <> 0 AS positive
+      FROM many m JOIN mq q USING (example_id, query_id) JOIN pooled p ON p.example_id = m.example_id),
+loss AS (SELECT example_id, query_id, count(*) FILTER (positive) AS n_positive,
+  -ln((coalesce(sum(e) FILTER (positive), 0) + 1e-8) / (sum(e) + 1e-8)) AS loss FROM z GROUP BY ALL HAVING n_positive > 0)"""
+
+
+def many_queries(job: Job) -> DataFrame:
+    """Records with no, one or three queries."""
+    question, halves = F.array("question"), F.array("question", F.col("answers")[0], F.col("answers")[1])
+    queries = F.when(F.col("example_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("example_id") % 3 == 1, question).otherwise(halves)
+    records = job.examples.where("example_id is not null").select("example_id", queries.alias("queries"), "document")
+    return records if job.table.fits_broadcast else placed(records, "example_id")
+
+
+@query("contrastive_loss_queries", f"WITH {MANY_SQL} SELECT example_id, query_id::BIGINT AS query_id, n_positive, round(loss, 4) + 0.0 AS loss FROM loss")
+def contrastive_loss_queries(spark, sf):
+    """A loss for each of an example's queries."""
+    job = Job(spark, sf)
+    sims = R.query_similarities(many_queries(job), job.table, SEGMENT)
+    wanted = sims.select("example_id", "query_id").distinct().where("example_id % 5 <> 0").withColumn(
+        "pos_seg_ids", F.array(F.col("query_id"), F.lit(999_999).cast("long")))
+    losses = R.contrastive_loss(sims, wanted, key=["example_id", "query_id"])
+    return losses.select("example_id", "query_id", "n_positive", (r4("loss") + F.lit(0.0)).alias("loss"))
+
+
+@query("infonce_batch", f"""WITH {POOLED_SQL},
+q AS (SELECT example_id, vec FROM pooled WHERE seg_idx = -1), m AS (SELECT example_id, vec FROM pooled WHERE seg_idx = 0),
+x AS (SELECT q.example_id, m.example_id = q.example_id AS own, list_dot_product(q.vec, m.vec) / 0.1 AS x
+      FROM q JOIN m ON m.example_id // 8 = q.example_id // 8)
+SELECT example_id, round(ln(sum(exp(x))) - max(x) FILTER (own), 4) + 0.0 AS loss FROM x GROUP BY 1""")
+def infonce_batch(spark, sf):
+    """A question against the first segments of its batch of eight examples."""
+    sides = Job(spark, sf).pooled.where("seg_idx <= 0").groupBy("example_id").agg(
+        F.max_by("vec", -F.col("seg_idx")).alias("query_vec"), F.max_by("vec", "seg_idx").alias("memory_vec"))
+    losses = R.batch_infonce(sides.withColumn("batch", F.expr("example_id div 8")), "batch")
+    return losses.select("example_id", (r4("loss") + F.lit(0.0)).alias("loss"))
+
+
 @query("infonce_loss", f"""WITH {SIM_SQL}, x AS (SELECT example_id, seg_idx, list_dot_product(vec, query_vec) / 0.1 AS x FROM sims)
 SELECT example_id, round(ln(sum(exp(x))) - max(x) FILTER (seg_idx = 0), 4) + 0.0 AS loss FROM x GROUP BY 1""")
 def infonce_loss(spark, sf):

@@ -73,14 +73,15 @@ def write_qa_jsonl(spark, sf):
     return flat_record(S.read_qa_records(spark, path, **ID))
 
 
-@query("read_qa_records", f"""WITH {QA_SQL} SELECT example_id, len(question)::BIGINT AS n_question, len(document)::BIGINT AS n_text,
-2::BIGINT AS n_answers FROM qa""")
+@query("read_qa_records", f"""WITH {QA_SQL} SELECT example_id, md5(question) AS question, md5(document) AS text, '' AS title,
+array_to_string(answers, '|') AS answers FROM qa""")
 def read_qa_records(spark, sf):
     path = new_folder(spark, "qa")
     S.write_json_lines(S.to_qa_record(S.read_raw_qa(spark, written_raw_qa(spark, sf), **ID)), path)
+    ctx = F.col("ctxs")[0]
     return S.read_qa_records(spark, path, **ID).select(
-        "example_id", F.length("question").cast("long").alias("n_question"),
-        F.length(F.col("ctxs")[0]["text"]).cast("long").alias("n_text"), F.size("answers").cast("long").alias("n_answers"))
+        "example_id", F.md5("question").alias("question"), F.md5(ctx["text"]).alias("text"), ctx["title"].alias("title"),
+        F.array_join("answers", "|").alias("answers"))
 
 
 @query("append_jsonl", f"WITH {PREDICTION_SQL} SELECT example_id, generation FROM predictions")
