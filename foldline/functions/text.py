@@ -27,9 +27,11 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, WHITESPACE), "")
 
 
-def first_tokens(text: Column, n: int | None) -> Column:
-    """The first ``n`` tokens as text, or the text itself when ``n`` is None."""
-    return text if n is None else F.array_join(F.slice(tokens(text), 1, n), " ")
+def first_tokens(text: Column, n: int | None, tokeniser=None) -> Column:
+    """The first ``n`` tokens as text, or the text itself when ``n`` is None; words between white space, unless a tokeniser is given."""
+    if n is None:
+        return text
+    return F.array_join(F.slice(tokens(text), 1, n), " ") if tokeniser is None else tokeniser.head(text, n)
 
 
 def normalize_text(text: Column) -> Column:

@@ -102,7 +102,7 @@ class Subwords:
     def ids(self, text: Column) -> Column:
         encode = self._encode
         return self._column(lambda codec, texts: pa.array(
-            [e and e.ids for e in encode(codec, texts)], pa.list_(pa.int64())), "array<long>")(text)
+            [None if e is None else e.ids for e in encode(codec, texts)], pa.list_(pa.int64())), "array<long>")(text)
 
     def offsets(self, text: Column) -> Column:
         encode = self._encode

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import let, prefix_sums, tokens
+from ..functions.tokenisers import WHITESPACE, Tokeniser
 from .ordering import assemble_text, positions
 from .prompts import STYLES, by_style, context, finish, head, piece
 
@@ -201,69 +202,71 @@ def _rule(name: str, of: Column) -> Column:
     return F.create_map(*[F.lit(x) for t, r in LABEL_RULES.items() for x in (t, r[name])])[of]
 
 
-def masked_spans(prompt: Column, template: Column) -> Column:
+def masked_spans(prompt: Column, template: Column, tokeniser: Tokeniser = WHITESPACE) -> Column:
     """Token spans (start, stop) of a rendered prompt that carry no label, stop exclusive: an array, worked out inside the row.
 
     The prompt is cut at the turn separator. Up to the first turn that is empty or does not split into
-    exactly two parts, the instruction part of every turn is masked; so is all that follows the last turn.
+    exactly two parts, the instruction part of every turn is masked; so is all that follows the last turn. Lengths are the tokeniser's.
     """
     def split_literal(text: Column, sep: Column) -> Column:
         return F.split(text, F.concat(F.lit("\\Q"), sep, F.lit("\\E")), -1)
 
-    def n_tokens(text: Column) -> Column:
-        return F.size(tokens(text)).cast("long")
-
-    def measured(rule: Column):
-        def turn(t: Column, i: Column) -> Column:
-            parts = split_literal(t, rule["role_sep"])
-            first = F.when(i == 0, rule["bos"]).otherwise(F.lit(0))
-            return let(parts, lambda p: F.struct(
-                ((t == "") | (F.size(p) != 2)).alias("bad"),
-                (n_tokens(t) + first + n_tokens(rule["sep"])).cast("long").alias("len"),
-                (n_tokens(F.concat(p[0], rule["role_sep"])) + first).cast("long").alias("instr")))
-        return turn
+    turn_sep, role_sep, bos, left = (_rule(name, template) for name in ("turn_sep", "role_sep", "bos", "left"))
+    turns = split_literal(prompt, turn_sep)
+    heads = F.transform(turns, lambda t: F.concat(split_literal(t, role_sep)[0], role_sep))
+    bad = F.transform(turns, lambda t: (t == "") | (F.size(split_literal(t, role_sep)) != 2))
+    # all counts are taken before any of them is used, so that a tokeniser may be a function of whole batches
+    zipped = F.arrays_zip(bad.alias("bad"), tokeniser.counts(turns).alias("len"), tokeniser.counts(heads).alias("instr"))
+    others = tokeniser.counts(F.array(turn_sep, prompt))
+    row = F.struct(zipped.alias("turns"), F.get(others, F.lit(0)).alias("sep"), (F.get(others, F.lit(1)) + bos).alias("total"),
+                   bos.alias("bos"), left.alias("left"))
+
+    def spans(row: Column) -> Column:
+        def span(start: Column, stop: Column) -> Column:
+            return F.struct(F.greatest(start + row["left"], F.lit(0)).cast("long").alias("start"), stop.cast("long").alias("stop"))
 
-    def spans(rule: Column) -> Column:
-        total = n_tokens(prompt) + rule["bos"]
+        def measured(t: Column, i: Column) -> Column:
+            first = F.when(i == 0, row["bos"]).otherwise(F.lit(0))
+            return F.struct(t["bad"].alias("bad"), (t["len"] + first + row["sep"]).cast("long").alias("len"),
+                            (t["instr"] + first).cast("long").alias("instr"))
 
-        def span(start: Column, stop: Column) -> Column:
-            return F.struct(F.greatest(start + rule["left"], F.lit(0)).cast("long").alias("start"), stop.cast("long").alias("stop"))
+        def until_bad(turns: Column) -> Column:
+            at = F.array_position(F.transform(turns, lambda t: t["bad"]), True).cast("int")
+            return F.slice(turns, F.lit(1), F.when(at > 0, at - 1).otherwise(F.size(turns)))
 
         def of_turns(good: Column) -> Column:
             def placed(ends: Column) -> Column:
-                own = F.transform(good, lambda t, i: span(F.get(ends, i) - t["len"], F.least(F.get(ends, i) - t["len"] + t["instr"], total)))
-                rest = span(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)), total)
+                own = F.transform(good, lambda t, i: span(
+                    F.get(ends, i) - t["len"], F.least(F.get(ends, i) - t["len"] + t["instr"], row["total"])))
+                rest = span(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)), row["total"])
                 return F.filter(F.concat(own, F.array(rest)), lambda s: s["start"] < s["stop"])
 
             return let(prefix_sums(F.transform(good, lambda t: t["len"])), placed)
 
-        def until_bad(turns: Column) -> Column:
-            bad = F.array_position(F.transform(turns, lambda t: t["bad"]), True).cast("int")
-            return F.slice(turns, F.lit(1), F.when(bad > 0, bad - 1).otherwise(F.size(turns)))
-
-        turns = F.transform(split_literal(prompt, rule["sep"]), measured(rule))
-        return let(let(turns, until_bad), of_turns)
+        return let(let(F.transform(row["turns"], measured), until_bad), of_turns)
 
-    rule = F.struct(_rule("turn_sep", template).alias("sep"), _rule("role_sep", template).alias("role_sep"),
-                    _rule("bos", template).alias("bos"), _rule("left", template).alias("left"))
-    return let(rule, spans)
+    return let(row, spans)
 
 
-def token_labels(prompts: DataFrame, ids: Callable[[Column], Column], bos: str = "<s>") -> DataFrame:
+def token_labels(prompts: DataFrame, ids: Callable[[Column], Column] | None = None, bos: str = "<s>", bos_id: int = 0,
+                 tokeniser: Tokeniser = WHITESPACE) -> DataFrame:
     """Tokens of a rendered prompt with their label: the token's id, or -100 inside a masked span. Nothing leaves the prompt's row.
 
-    ``ids`` gives a token's id in the vocabulary at hand.
+    ``ids`` gives a token's id in the vocabulary at hand; without it the tokeniser's own ids are taken.
     """
-    rows = prompts.select("conv_id", F.concat(F.array(F.lit(bos)), tokens(F.col("prompt"))).alias("_words"),
-                          masked_spans(F.col("prompt"), F.col("template")).alias("_spans"))
+    prompt = F.col("prompt")
+    own = F.lit(None).cast("array<long>") if ids else F.concat(F.array(F.lit(bos_id).cast("long")), tokeniser.ids(prompt))
+    rows = prompts.select("conv_id", F.concat(F.array(F.lit(bos)), tokeniser.pieces(prompt)).alias("_words"), own.alias("_ids"),
+                          masked_spans(prompt, F.col("template"), tokeniser).alias("_spans"))
     inside = F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"].cast("int"), s["stop"].cast("int") - 1)))
     every = F.sequence(F.lit(0), F.size("_words") - 1)
     masked = F.transform(F.array_intersect(every, inside), lambda i: F.struct(i.alias("pos"), F.lit(True).alias("masked")))
     open_ = F.transform(F.array_except(every, inside), lambda i: F.struct(i.alias("pos"), F.lit(False).alias("masked")))
-    placed = rows.select("conv_id", "_words", F.inline(F.concat(masked, open_))).select(
-        "conv_id", "pos", "masked", F.get("_words", F.col("pos")).alias("token"))
+    placed = rows.select("conv_id", "_words", "_ids", F.inline(F.concat(masked, open_))).select(
+        "conv_id", "pos", "masked", F.get("_words", F.col("pos")).alias("token"), F.get("_ids", F.col("pos")).alias("id"))
+    known = ids(F.col("token")) if ids else F.col("id")
     return placed.select("conv_id", "pos", "token", F.when(
-        F.col("masked"), F.lit(IGNORED).cast("long")).otherwise(ids(F.col("token"))).alias("label"))
+        F.col("masked"), F.lit(IGNORED).cast("long")).otherwise(known).alias("label"))
 
 
 def with_examples(messages: DataFrame, heads: DataFrame, templates: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.metrics import METRICS, metric
+from ..functions.metrics import METRICS, scored
 from .ordering import running_totals
 
 REPORT_ORDER = ("compression_ratio", "accuracy", "em", "f1")
@@ -13,8 +13,7 @@ REPORT_ORDER = ("compression_ratio", "accuracy", "em", "f1")
 def score_predictions(predictions: DataFrame, examples: DataFrame, names: list[str] | None = None,
                       key: str = "example_id") -> DataFrame:
     """Pairs predictions with answers by example and computes the metrics."""
-    joined = predictions.join(examples, key)
-    return joined.withColumns({n: metric(n)(F.col("generation"), F.col("answers")) for n in (names or list(METRICS))})
+    return scored(predictions.join(examples, key), names)
 
 
 def metric_averages(scores: DataFrame, groups: list[str], names: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import let, tokens
+from ..functions.text import let
+from ..functions.tokenisers import WHITESPACE, Tokeniser
 
 # Tail slots by merge size.
 TAIL_SLOTS = {4: 128, 8: 64}
@@ -68,14 +69,15 @@ def placed(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def segment_rows(records: DataFrame, key: str, query: str, document: str, size: int, kept: list[str] | None = None) -> DataFrame:
-    """One row per segment with its ``words``: the query as segment -1, the document's segments from 0.
+def segment_rows(records: DataFrame, key: str, query: str, document: str, size: int, kept: list[str] | None = None,
+                 tokeniser: Tokeniser = WHITESPACE) -> DataFrame:
+    """One row per segment with its ``words``, the tokeniser's pieces: the query as segment -1, the document's segments from 0.
 
     A document without tokens has one segment without words.
     """
-    asked = F.struct(F.lit(-1).cast("long").alias("seg_idx"), tokens(F.col(query)).alias("words"))
+    asked = F.struct(F.lit(-1).cast("long").alias("seg_idx"), tokeniser.pieces(F.col(query)).alias("words"))
     nothing = F.array(F.array().cast("array<string>"))
-    cut = let(slices(tokens(F.col(document)), size), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(nothing))
+    cut = let(slices(tokeniser.pieces(F.col(document)), size), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(nothing))
     numbered = F.transform(cut, lambda w, i: F.struct(i.cast("long").alias("seg_idx"), w.alias("words")))
     return records.select(key, *(kept or []), F.inline(F.concat(F.array(asked), numbered)))
 

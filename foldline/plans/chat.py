@@ -8,6 +8,7 @@ from ..functions.text import stable_hash
 from ..operators import conversations as C
 from ..operators.prompts import STYLES, with_image_marks
 from .catalog import query
+from .records import subwords
 from .fixtures import CHAT_SQL, chats, sql_hash, sql_text, sql_tokens, table, with_images
 from .templates import REGISTRY
 
@@ -220,6 +221,14 @@ def turn_label_spans(spark, sf):
     return labels.select("conv_id", F.col("pos").cast("long").alias("pos"), "label")
 
 
+@query("label_spans_subwords")
+def label_spans_subwords(spark, sf):
+    """The same labels by a subword vocabulary, whose counts the left offsets are made for."""
+    messages, heads, templates = talk(spark, sf, CHAT_NAMES)
+    labels = C.token_labels(C.render(messages, heads, templates, ["LLAMA2", "LLAMA3"]), tokeniser=subwords(spark))
+    return labels.select("conv_id", F.col("pos").cast("long").alias("pos"), "token", "label")
+
+
 VICUNA = REGISTRY.get("vicuna_v1.1").system
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from ..functions.text import first_tokens, stable_hash, tokens
+from ..functions.tokenisers import Subwords
 from ..operators import assembly as A, segments as G
 from ..session import new_folder, stored
 from ..sources import jsonl as S
@@ -86,19 +87,20 @@ def read_qa_records(spark, sf):
 
 @query("append_jsonl", f"WITH {PREDICTION_SQL} SELECT example_id, generation FROM predictions")
 def append_jsonl(spark, sf):
-    """Two appends to one log give all rows."""
+    """Two batches to one log, one of them appended again, give all rows once."""
     path, said = new_folder(spark, "log"), predictions(qa(spark, sf))
-    S.append_json_lines(said.where("example_id % 2 = 0"), path)
-    S.append_json_lines(said.where("example_id % 2 = 1"), path)
-    return S.read_json_lines(spark, path, T.StructType([T.StructField("example_id", T.LongType()),
-                                                        T.StructField("generation", T.StringType())]))
+    S.append_json_lines(said.where("example_id % 2 = 0"), path, batch=0)
+    for _ in range(2):
+        S.append_json_lines(said.where("example_id % 2 = 1"), path, batch=1)
+    return S.read_log(spark, path, T.StructType([T.StructField("example_id", T.LongType()), T.StructField("generation", T.StringType())]))
 
 
 @query("append_text", f"WITH {QA_SQL} SELECT value, count(*) AS n FROM (SELECT question AS value FROM qa UNION ALL SELECT dataset FROM qa) GROUP BY value")
 def append_text(spark, sf):
     path, rows = new_folder(spark, "lines"), qa(spark, sf)
-    S.append_text(rows.select("question"), path)
-    S.append_text(rows.select("dataset"), path)
+    S.append_text(rows.select("question"), path, batch="questions")
+    for _ in range(2):
+        S.append_text(rows.select("dataset"), path, batch="names")
     return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -168,6 +170,43 @@ def restatement_pairs(spark, sf):
     return A.restatement_pairs(docs, "docs", 4, 200).select("example_id", "context", "instruction", "target")
 
 
+def subwords(spark) -> Subwords:
+    """The codec of a public vocabulary file."""
+    import public_tokenizers
+
+    return Subwords(spark, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("tokenize_subwords")
+def tokenize_subwords(spark, sf):
+    """Ids, pieces and offsets of all documents by a subword vocabulary."""
+    codec, text = subwords(spark), F.coalesce("text", F.lit(""))
+    rows = table(spark, sf, "documents").select("doc_id", F.arrays_zip(
+        codec.ids(text).alias("id"), codec.pieces(text).alias("piece"), codec.offsets(text).alias("place")).alias("_t"))
+    rows = rows.select("doc_id", F.posexplode("_t").alias("pos", "_t"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "_t.id", "_t.piece", "_t.place.start", "_t.place.stop")
+
+
+@query("subword_round_trip", "SELECT doc_id, true AS same FROM documents")
+def subword_round_trip(spark, sf):
+    """Every document's ids decode to its text."""
+    codec, text = subwords(spark), F.coalesce("text", F.lit(""))
+    rows = table(spark, sf, "documents").select("doc_id", text.alias("text"), codec.ids(text).alias("ids"))
+    return rows.select("doc_id", (codec.text(F.col("ids")) == F.col("text")).alias("same"))
+
+
+@query("trunc_subwords")
+def trunc_subwords(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", first_tokens(F.coalesce("text", F.lit("")), 20, subwords(spark)).alias("first20"))
+
+
+@query("segments_subwords")
+def segments_subwords(spark, sf):
+    """Questions and documents in segments of 50 subwords."""
+    rows = G.segment_rows(qa(spark, sf), "example_id", "question", "document", SEGMENT, tokeniser=subwords(spark))
+    return rows.select("example_id", "seg_idx", F.size("words").cast("long").alias("n_tokens"), F.array_join("words", "").alias("text"))
+
+
 @query("tokenize", f"""SELECT doc_id, unnest(generate_series(0, len(w) - 1)) AS pos, unnest(w) AS token
 FROM (SELECT doc_id, {sql_tokens('text')} AS w FROM documents)""")
 def tokenize(spark, sf):

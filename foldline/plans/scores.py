@@ -10,7 +10,8 @@ from ..operators import scoring as M, selection as R
 from ..operators.assembly import assign_batches
 from ..session import new_folder, stored
 from ..sources import jsonl as S
-from .catalog import query
+from ..streaming.averages import PREDICTIONS, last_averages, start_running_scores
+from .catalog import ORACLES, query
 from .compression import Job, STATS_SQL, light_ranked
 from .fixtures import PREDICTION_SQL, QA_SQL, predictions, qa, r4, sql_norm, table
 
@@ -131,6 +132,32 @@ def result_rows(spark, sf):
 
 @query("write_results", f"WITH {RESULT_SQL}")
 def write_results(spark, sf):
+    """Written, and written again for one ratio, as a rerun does: each row is there once."""
     path, rows = new_folder(spark, "results"), benchmark_rows(spark, sf)
     S.write_results(rows, path)
-    return flat_results(S.read_json_lines(spark, path, rows.schema))
+    S.write_results(rows.where("ratio = 0.25"), path)
+    return flat_results(S.read_results(spark, path, rows.schema))
+
+
+def streamed(spark, sf) -> DataFrame:
+    """Running scores of a stream that reads a folder twice: the second time it has grown, and the state goes on."""
+    examples = qa(spark, sf)
+    said = predictions(examples).join(examples.select("example_id", "dataset", "answers"), "example_id")
+    rows = stored(assign_batches(said, "dataset", "example_id", F.lit(8)), "said")
+    paths = {name: new_folder(spark, f"stream-{name}") for name in ("in", "out", "state")}
+    for part in ("batch_id < 3", "batch_id >= 3"):
+        rows.where(part).select(*PREDICTIONS.names).write.mode("append").json(paths["in"])
+        start_running_scores(spark, paths["in"], paths["out"], paths["state"]).awaitTermination()
+    return spark.read.parquet(paths["out"])
+
+
+@query("streaming_metrics", ORACLES["running_metrics"])
+def streaming_metrics(spark, sf):
+    """The running means by a stream with a state per data set."""
+    return streamed(spark, sf).select("dataset", "batch_id", "n_so_far", *[r4(m).alias(m) for m in METRICS])
+
+
+@query("streaming_averages", ORACLES["metric_averages"])
+def streaming_averages(spark, sf):
+    """The averages as the stream's last word on each data set."""
+    return last_averages(streamed(spark, sf)).select("dataset", "n", *[r4(m).alias(m) for m in METRICS])

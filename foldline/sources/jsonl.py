@@ -54,18 +54,48 @@ def write_json_lines(df: DataFrame, path: str, partitions: list[str] | None = No
     (writer.partitionBy(*partitions) if partitions else writer).json(path)
 
 
-def append_json_lines(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def _batch_folder(path: str, batch: str | int) -> str:
+    name = str(batch)
+    if not name or any(c in name for c in "/=\\%:") or name.startswith((".", "_")):
+        raise ValueError(f"{batch!r} can't name a batch")
+    return f"{path}/batch={name}"
 
 
-def append_text(lines: DataFrame, path: str) -> None:
-    """Appends a one-column frame of strings."""
-    lines.write.mode("append").text(path)
+def append_json_lines(df: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Appends to a log. With a ``batch``, its name or number, a repeated append replaces what the earlier one has left:
+    the batch is in the log once, or, where its write failed, not at all."""
+    if batch is None:
+        df.write.mode("append").json(path)
+    else:
+        df.write.mode("overwrite").json(_batch_folder(path, batch))
 
 
-def write_results(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Benchmark rows in one folder per data set and ratio."""
-    write_json_lines(rows, path, ["dataset", "ratio"], mode)
+def append_text(lines: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Appends a one-column frame of strings; ``batch`` as in ``append_json_lines``."""
+    if batch is None:
+        lines.write.mode("append").text(path)
+    else:
+        lines.write.mode("overwrite").text(_batch_folder(path, batch))
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches of a log."""
+    return read_json_lines(spark, path, schema).select(*schema.names)
+
+
+RESULT_PARTS = ["dataset", "ratio", "index"]
+
+
+def write_results(rows: DataFrame, path: str, index: int = 0) -> None:
+    """Benchmark rows in one folder per data set, ratio and index of the run. A rerun replaces the folders that it has rows for and leaves
+    all others as they are."""
+    rows.withColumn("index", F.lit(index)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *RESULT_PARTS).json(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Result rows of all runs, with their ``index``; ``schema`` is that of the rows that were written."""
+    return read_json_lines(spark, path, with_fields(schema, index=T.IntegerType()))
 
 
 def dataset_from_path(path: Column) -> Column:

@@ -3,14 +3,14 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from foldline.operators.scoring import metric_averages
 from foldline.plans.scores import scores
 from foldline.plans.fixtures import predictions, qa
 from foldline.session import _delete, new_folder, shared_folder
 from foldline.sources import jsonl as S
-from foldline.streaming.averages import start_averages, streaming_averages
+from foldline.streaming.averages import last_averages, start_running_scores
 
 
 def test_raw_lines(spark, tmp_path):
@@ -50,13 +50,53 @@ def test_scratch_folders_can_be_deleted(spark):
         spark.read.parquet(path)
 
 
-def test_the_stream_ends_with_the_batch_averages(spark, sf, tmp_path):
+def said(spark, sf):
     examples = qa(spark, sf)
     rows = predictions(examples).join(examples.select("example_id", "dataset", "answers"), "example_id")
-    rows.repartition(3).select("example_id", "dataset", "generation", "answers").write.json(str(tmp_path / "in"))
-    running = start_averages(streaming_averages(spark, str(tmp_path / "in")), "averages_now", str(tmp_path / "state"))
-    running.awaitTermination(120)
-    streamed = {r.dataset: r for r in spark.table("averages_now").collect()}
+    return rows.withColumn("batch_id", F.expr("example_id div 30")).select("example_id", "dataset", "batch_id", "generation", "answers")
+
+
+def test_the_stream_ends_with_the_batch_averages(spark, sf, tmp_path):
+    folder, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in ("batch_id < 2", "batch_id >= 2"):
+        said(spark, sf).where(part).repartition(3).write.mode("append").json(folder)
+        start_running_scores(spark, folder, sink, state).awaitTermination()
+    start_running_scores(spark, folder, sink, state).awaitTermination()  # nothing is new: nothing is added
+    rows = spark.read.parquet(sink)
+    streamed = {r.dataset: r for r in last_averages(rows).collect()}
     for row in metric_averages(scores(spark, sf), ["dataset"]).collect():
         assert streamed[row.dataset].n == row.n
         assert streamed[row.dataset].f1 == pytest.approx(row.f1)
+    assert rows.groupBy("dataset", "batch_id").count().where("count > 1").count() == 0
+
+
+LINE = T.StructType([T.StructField("k", T.LongType())])
+
+
+def test_an_append_that_is_repeated_is_there_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    S.append_json_lines(spark.range(5).withColumnRenamed("id", "k"), path, batch="a")
+    for _ in range(2):
+        S.append_json_lines(spark.range(5, 9).withColumnRenamed("id", "k"), path, batch="b")
+    assert sorted(r.k for r in S.read_log(spark, path, LINE).collect()) == list(range(9))
+    with pytest.raises(ValueError, match="name a batch"):
+        S.append_json_lines(spark.range(1), path, batch="../x")
+
+
+def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    S.append_json_lines(spark.range(5).withColumnRenamed("id", "k"), path, batch=1)
+    broken = spark.range(0, 40, 1, 4).select(F.when(F.col("id") == 39, F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("id")).alias("k"))
+    with pytest.raises(Exception, match="broken"):
+        S.append_json_lines(broken, path, batch=2)
+    assert sorted(r.k for r in S.read_log(spark, path, LINE).collect()) == list(range(5))
+
+
+def test_a_rerun_replaces_its_own_results(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("a", 0.5, 1), ("a", 0.25, 2), ("b", 0.5, 3)], "dataset string, ratio double, value long")
+    S.write_results(rows, path)
+    S.write_results(rows, path, index=1)
+    S.write_results(rows.where("dataset = 'a'").withColumn("value", F.col("value") * 10), path)
+    got = {(r.dataset, r.ratio, r["index"], r.value) for r in S.read_results(spark, path, rows.schema).collect()}
+    assert got == {("a", 0.5, 0, 10), ("a", 0.25, 0, 20), ("b", 0.5, 0, 3), ("a", 0.5, 1, 1), ("a", 0.25, 1, 2), ("b", 0.5, 1, 3)}

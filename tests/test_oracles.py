@@ -18,8 +18,11 @@ def test_matches_sql(spark, con, sf, name):
     assert good, text
 
 
+BY_HAND = {"tokenize_subwords", "trunc_subwords", "segments_subwords", "label_spans_subwords"}  # tests/test_tokenisers.py
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES) | BY_HAND and set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry_has_a_stable_schema(spark):
