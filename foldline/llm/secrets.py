@@ -120,15 +120,19 @@ def string_class(value: Column) -> Column:
         .when(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), F.lit("base64")))
 
 
-def entropy_spans(text: Column) -> Column:
+def entropy_spans(text: Column, fixed_kinds: Column) -> Column:
     """Candidates with a window of high entropy that the allow-list doesn't know: (start, stop, value).
 
-    A candidate ends where a string of a fixed kind begins, and begins after it.
+    A candidate ends where a string of a fixed kind begins, and begins after it; ``fixed_kinds`` tells whether the text has any, as
+    without them the plain runs are the candidates.
     """
     limit = F.create_map(*[F.lit(x) for pair in THRESHOLDS.items() for x in pair])
     fixed = "|".join((ASSIGN[:-2] + f"{{{ASSIGN_LEAST},}})", ACCESS[:-1] + f"{{{ACCESS_LEAST - 4},}}", HEX[:-1] + f"{{{HEX_LEAST},}}"))
     fixed = fixed.replace("([A-Za-z0-9+/_.=-]", "(?:[A-Za-z0-9+/_.=-]")
-    candidate = rf"(?:{fixed})|((?:(?!{fixed})[A-Za-z0-9+/_=-]){{{WINDOW},}})"
+    run = f"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+    between = rf"(?:{fixed})|((?:(?!{fixed})[A-Za-z0-9+/_=-]){{{WINDOW},}})"
+    found = F.when(~F.regexp_like(text, F.lit(run)), F.array().cast(SPANS)).when(
+        fixed_kinds, matches(text, between, 1)).otherwise(matches(text, run))
 
     def random(part: Column) -> Column:
         kind = string_class(part)
@@ -142,7 +146,7 @@ def entropy_spans(text: Column) -> Column:
         forms = value.rlike("|".join(f"(?:{p})" for p in KNOWN_FORMS)) | value.rlike(GLUED)
         return (value != "") & ~forms & F.exists(left, random)
 
-    return F.filter(matches(text, candidate, 1), suspicious)
+    return F.filter(found, suspicious)
 
 
 def apart(spans: Column, others: Column) -> Column:
@@ -173,8 +177,9 @@ def scan(docs: DataFrame) -> DataFrame:
     An entropy span that overlaps a span of the fixed kinds adds nothing and is left out.
     """
     own = texts(docs)
-    found = own.select("doc_id", *[c.alias(k) for k, c in base_spans(F.col("text")).items()],
-                       entropy_spans(F.col("text")).alias("entropy"))
+    found = own.select("doc_id", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    some = F.greatest(*[F.size(k) for k in KINDS]) > 0
+    found = found.select("doc_id", *KINDS, entropy_spans(F.col("text"), some).alias("entropy"))
 
     def labelled(kind: str, order: int) -> Column:
         return F.transform(kind, lambda m: F.struct(
