@@ -69,6 +69,12 @@ def placed(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where they come from fewer files than there are cores, as a file of one row group is one task; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def segment_rows(records: DataFrame, key: str, query: str, document: str, size: int, kept: list[str] | None = None,
                  tokeniser: Tokeniser = WHITESPACE) -> DataFrame:
     """One row per segment with its ``words``, the tokeniser's pieces: the query as segment -1, the document's segments from 0.

@@ -8,7 +8,7 @@ from ..functions.text import tokens
 from ..functions.vectors import l2_normalize
 from ..operators import pooling as P, selection as R
 from ..operators.assembly import drawn_ratio, pad_memories as pad_lists
-from ..operators.segments import placed, segment_rows, slices, token_rows
+from ..operators.segments import placed, segment_rows, slices, spread, token_rows
 from .catalog import query
 from .fixtures import (POOLED_SQL, RANK_SQL, RATIOS, SEGMENT, SIM_SQL, VECTOR_SQL, positives, qa, r4, sql_draw, sql_hash, sql_mean,
                        sql_tokens, sql_vec, vec_text, vectors)
@@ -34,7 +34,7 @@ class Job:
         self.examples = qa(spark, sf)
         records = self.examples.select("example_id", "question", "document")
         # what is worked out in the record's row needs no placing
-        self.records = records.where("example_id is not null") if self.table.fits_broadcast else placed(records, "example_id")
+        self.records = spread(records.where("example_id is not null")) if self.table.fits_broadcast else placed(records, "example_id")
         self.segments = self.cut(SEGMENT)
         self.tokens = token_rows(self.segments, SEGMENT)
 
@@ -356,7 +356,7 @@ def many_queries(job: Job) -> DataFrame:
     question, halves = F.array("question"), F.array("question", F.col("answers")[0], F.col("answers")[1])
     queries = F.when(F.col("example_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("example_id") % 3 == 1, question).otherwise(halves)
     records = job.examples.where("example_id is not null").select("example_id", queries.alias("queries"), "document")
-    return records if job.table.fits_broadcast else placed(records, "example_id")
+    return spread(records) if job.table.fits_broadcast else placed(records, "example_id")
 
 
 @query("contrastive_loss_queries", f"WITH {MANY_SQL} SELECT example_id, query_id::BIGINT AS query_id, n_positive, round(loss, 4) + 0.0 AS loss FROM loss")
