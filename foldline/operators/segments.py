@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import let
 from ..functions.tokenisers import WHITESPACE, Tokeniser
@@ -10,6 +10,8 @@ from ..functions.tokenisers import WHITESPACE, Tokeniser
 # Tail slots by merge size.
 TAIL_SLOTS = {4: 128, 8: 64}
 
+PLACED_BYTES = 32 << 20  # of text in a partition
+
 
 def segment_count(length: Column, size: int) -> Column:
     """ceil(length / size); a sequence without tokens is an error."""
@@ -56,17 +58,36 @@ def valid_tokens(ids: Column, mask: Column) -> Column:
     return let(mask, lambda m: F.filter(ids, lambda t, i: F.get(m, i) == 1))
 
 
-def placed(df: DataFrame, key: str) -> DataFrame:
-    """Puts rows into the task of their key, in as many partitions as the session's shuffles have.
+def bytes_of(df: DataFrame) -> Column:
+    """A row's size: the bytes of its texts, also of those in arrays, and eight for any other value."""
+    def size(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            own = F.octet_length(field.name).cast("long")
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StringType):
+            own = F.aggregate(field.name, F.lit(0).cast("long"), lambda n, text: n + F.coalesce(F.octet_length(text), F.lit(0)))
+        elif isinstance(field.dataType, T.ArrayType):
+            own = 8 * F.size(field.name).cast("long")
+        else:
+            own = F.lit(8).cast("long")
+        return F.coalesce(own, F.lit(0).cast("long"))
+
+    return sum((size(f) for f in df.schema.fields), F.lit(0).cast("long"))
+
+
+def placed(df: DataFrame, key: str, part_bytes: int = PLACED_BYTES) -> DataFrame:
+    """Puts rows into the task of their key, in partitions of about ``part_bytes``, as many as the session's shuffles have at least.
 
     This is the one shuffle of the compression: every later grouping, window and join on the key finds its rows
-    in place. A record is one row, so a key is never larger than a row can be. The number is given, because
-    partitions sized by their bytes would be too few: a kilobyte of text becomes a hundred of vectors. A given number is
-    neither coalesced nor split later: set ``spark.sql.shuffle.partitions`` to the input's size over 32 MB or so.
+    in place. A record is one row, so a key is never larger than a row can be. The input's bytes are summed first, a pass that shuffles one number
+    a task; left to itself a shuffle would be sized by its own bytes, too few parts as a kilobyte of text becomes a hundred of vectors.
+    A given number is neither coalesced nor split later.
 
     Rows without a key are left out here, so that a later join adds no filter below the shuffle and finds it done.
     """
-    return df.where(F.col(key).isNotNull()).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    keyed = df.where(F.col(key).isNotNull())
+    measured = keyed.agg(F.sum(bytes_of(keyed))).first()[0] or 0
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(max(least, -(-measured // part_bytes)), key)
 
 
 def spread(df: DataFrame) -> DataFrame:

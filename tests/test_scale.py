@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foldline.operators import lookup as L, ordering as O, pooling as P
+from foldline.operators import lookup as L, ordering as O, pooling as P, segments as S
 from foldline.plans import compression
 from foldline.plans.catalog import QUERIES
 
@@ -109,6 +109,16 @@ def test_with_a_large_table_the_second_pass_reads_the_same_shuffle(spark, sf, na
     assert len({line.split("[plan_id")[-1] for line in moved}) == 1, moved
 
 
+def test_partitions_grow_with_the_bytes_placed(spark):
+    """Fifty times the input has fifty times the partitions, whatever number the session's shuffles have."""
+    def parts(rows):
+        df = spark.range(rows).select(F.when(C("id") % 10 > 0, C("id")).alias("k"), F.repeat(F.lit("é"), 500).alias("text"),
+                                      F.array(F.lit("ab"), F.lit(None).cast("string")).alias("more"))
+        return S.placed(df, "k", part_bytes=9 * 1010).rdd.getNumPartitions()
+
+    assert (parts(0), parts(10), parts(1000), parts(50_000)) == (8, 8, 100, 5000)
+
+
 def test_labels_stay_in_the_row(spark):
     from foldline.functions.text import stable_hash
     from foldline.operators.conversations import token_labels
