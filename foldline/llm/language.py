@@ -8,9 +8,12 @@ length is exact. The language whose tree gives the shortest code is the predicti
 code length is read as a probability.
 
 The trees are fitted on a bounded sample, for each language the documents of least hash: ``SAMPLE_DOCS`` and ``SAMPLE_BYTES`` at
-most. A document of more than an eighth of these bytes counts there with its beginning alone, so that none fills the sample. Every text is scored whole, in lower case; code lengths are worked out once per distinct gram of a task.
+most, and an even share of ``ALL_DOCS`` and ``ALL_BYTES``, the bounds over all languages. ``MOST_LANGUAGES`` are learned, those with the most
+ids, then by name. So what the driver and each worker hold doesn't grow with the number of languages. A document of more than an eighth of its
+language's bytes counts there with its beginning alone, so that none fills the sample. Every text is scored whole, in lower case; code lengths
+are worked out once per distinct gram of a task as long as ``KEPT_VALUES`` hold them, and one language after the other beyond that.
 
-Defined results: a null text or one without a letter, or a corpus without a labelled row, gives ``und`` and score 0; rows with a
+Defined results: of equal code lengths the first language by name is predicted; a null text or one without a letter, or a corpus without a labelled row, gives ``und`` and score 0; rows with a
 null doc_id are predicted, not learned from, and not held out; repeated rows are predicted each, and of a language's rows that share an id
 one is learned from, by least hash of the text; an empty table gives no rows.
 """
@@ -30,30 +33,37 @@ from .common import id_remainder, small
 ORDER = 3
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 1 << 22
-FEW_LANGUAGES = 100_000
+ALL_DOCS = 1 << 18
+ALL_BYTES = 1 << 25
+MOST_LANGUAGES = 4096
+KEPT_VALUES = 1 << 22  # code lengths of grams that a task keeps, for all languages together
 UNKNOWN = "und"
 
 
-def sample(learn: DataFrame, docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(lang, text): for each language its documents of least hash, within both bounds."""
+def sample(learn: DataFrame, docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES, all_docs: int = ALL_DOCS, all_bytes: int = ALL_BYTES,
+           most_languages: int = MOST_LANGUAGES) -> DataFrame:
+    """(lang, text): for each language its documents of least hash, within all bounds."""
+    learn = learn.withColumn("mix", F.xxhash64("doc_id", F.lit(7)))
+    sizes = stored(learn.groupBy("lang").agg(F.approx_count_distinct("mix").alias("ids")).orderBy(
+        F.col("ids").desc(), "lang").limit(most_languages), "languages")
+    languages = max(1, sizes.count())
+    docs, most_bytes = max(1, min(docs, all_docs // languages)), max(64, min(most_bytes, all_bytes // languages))
     slice_bytes = most_bytes // 8
     # a character has four bytes at most
     learn = learn.withColumn("text", F.when(F.octet_length("text") > slice_bytes, F.substring("text", 1, slice_bytes // 4)).otherwise(
         F.col("text")))
     learn = learn.withColumn("body", F.xxhash64("text"))
-    keyed = learn.select("doc_id", "lang", "body", F.octet_length("text").cast("long").alias("size"),
-                         F.xxhash64("doc_id", F.lit(7)).alias("mix"))
-    # a language may hold most rows: those of small hash are told by its number of ids, about four times as many as are wanted
+    keyed = learn.select("doc_id", "lang", "body", F.octet_length("text").cast("long").alias("size"), "mix")
+    # a language may hold most rows: those of small hash are told by its number of ids, about four times as many as are wanted,
+    # before they are shuffled; ``most_languages`` rows are sent
     share = F.pmod("mix", F.lit(1 << 30)) / (1 << 30)
-    sizes = stored(keyed.groupBy("lang").agg(F.approx_count_distinct("mix").alias("ids")), "languages")
-    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes  # a few MB; with it, ids are told before they are shuffled
-    candidates = keyed.join(sizes, "lang").withColumn("share", share).where(F.col("share") * F.col("ids") < 4 * docs).groupBy(
+    candidates = keyed.join(F.broadcast(sizes), "lang").withColumn("share", share).where(F.col("share") * F.col("ids") < 4 * docs).groupBy(
         "lang", "doc_id", "mix", "share").agg(F.min_by("size", "body").alias("size"), F.min("body").alias("body"))
     first = Window.partitionBy("lang").orderBy("share", "mix", "doc_id")
     chosen = candidates.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= docs).withColumn(
         "upto", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0))).where(
         (F.col("upto") <= most_bytes) | (F.col("rank") == 1)).select("lang", "doc_id", "body")
-    # a few thousand ids for each language: bounded by ``docs``; equal rows are one
+    # ``all_docs`` ids at most; equal rows are one
     return learn.join(F.broadcast(chosen), ["lang", "doc_id", "body"], "left_semi").groupBy("lang", "doc_id", "body").agg(
         F.first("text").alias("text")).select("lang", "text")
 
@@ -126,7 +136,7 @@ def code_lengths(levels: list[Level], codes: np.ndarray) -> np.ndarray:
 
 def identify(docs: DataFrame, counts: DataFrame, depth: int = ORDER) -> DataFrame:
     """Adds lang_pred, score and bits_per_byte to ``docs`` (with ``text``), from the gram counts of a bounded sample."""
-    found = counts.toArrow().to_pandas()  # as many rows as the sample has distinct grams, at most
+    found = counts.toArrow().to_pandas()  # as many rows as the sample has distinct grams, ``ALL_BYTES`` at most
     names = sorted(found["lang"].unique())
     trees = [tree(g["code"].to_numpy().astype("u8"), g["n"].to_numpy(), depth)
              for g in (found[found["lang"] == n].sort_values("code") for n in names)]
@@ -135,6 +145,7 @@ def identify(docs: DataFrame, counts: DataFrame, depth: int = ORDER) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, trees = model.value
+        most_known = KEPT_VALUES // max(1, len(names))
         known, lengths = np.zeros(0, np.uint64), np.zeros((0, len(names)))
         for batch in small(batches):
             texts = batch.column("text").to_pylist()
@@ -142,17 +153,20 @@ def identify(docs: DataFrame, counts: DataFrame, depth: int = ORDER) -> DataFram
             bits = np.zeros((len(data), len(names)))
             for codes, owner in pieces(data, depth) if names else ():
                 distinct, inverse = np.unique(codes, return_inverse=True)
-                new = distinct[~np.isin(distinct, known, assume_unique=True)]
-                if len(new):
-                    if len(known) > 1 << 20:
-                        known, lengths, new = known[:0], lengths[:0], distinct
-                    at = np.searchsorted(known, new)
-                    known = np.insert(known, at, new)
-                    lengths = np.insert(lengths, at, np.stack([code_lengths(t, new) for t in trees], axis=1), axis=0)
-                own = lengths[np.searchsorted(known, distinct)]
                 first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                for k in range(len(names)):
-                    bits[owner[first], k] += np.add.reduceat(own[:, k][inverse], first)
+                if len(distinct) > most_known:
+                    by_name = (code_lengths(t, distinct) for t in trees)
+                else:
+                    new = distinct[~np.isin(distinct, known, assume_unique=True)]
+                    if len(known) + len(new) > most_known:
+                        known, lengths, new = known[:0], lengths[:0], distinct
+                    if len(new):
+                        at = np.searchsorted(known, new)
+                        known = np.insert(known, at, new)
+                        lengths = np.insert(lengths, at, np.stack([code_lengths(t, new) for t in trees], axis=1), axis=0)
+                    by_name = lengths[np.searchsorted(known, distinct)].T
+                for k, column in enumerate(by_name):
+                    bits[owner[first], k] += np.add.reduceat(column[inverse], first)
             best = bits.argmin(axis=1) if names else np.zeros(len(data), int)
             least = bits[np.arange(len(data)), best] if names else np.zeros(len(data))
             share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1) if names else np.zeros(len(data))

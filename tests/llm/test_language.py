@@ -109,3 +109,28 @@ def test_edges(edges, empty):
 
     unlabelled = language.predict(edges.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"}
+
+
+def test_many_languages_share_the_bounds(spark, monkeypatch):
+    """300 labels: the sample's bytes and documents stay within the bounds over all; the most frequent labels are learned."""
+    rows = [(1000 * k + i, f"l{k:03}", f"{chr(97 + k % 26) * 9}{chr(97 + k // 26) * 5} word {i}") for k in range(300) for i in range(3 + (k < 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language.sample(docs, all_docs=600, all_bytes=300 * 64).collect()
+    assert len({r.lang for r in got}) == 300 and len(got) <= 600 and sum(len(r.text) for r in got) <= 300 * 64
+    kept = language.sample(docs, most_languages=40).collect()
+    assert {r.lang for r in kept} == {f"l{k:03}" for k in range(40)} and len(kept) == 160
+
+    def pred():
+        counts = language.gram_counts(language.sample(docs))
+        return {r.doc_id: (r.lang_pred, r.score, r.bits_per_byte) for r in language.identify(docs.select("doc_id", "text"), counts).collect()}
+
+    whole = pred()
+    assert sum(whole[i][0] == lang for i, lang, _ in rows) > 0.9 * len(rows)
+    monkeypatch.setattr(language, "KEPT_VALUES", 300 * 40)  # now and then more grams than are kept, and kept ones given up
+    assert pred() == whole
+
+
+def test_equal_code_lengths_take_the_first_name(spark):
+    docs = spark.createDataFrame([(1, "b", "same text"), (3, "a", "same text")], "doc_id long, lang string, text string")
+    got = language.identify(docs, language.gram_counts(docs)).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("a", 0.5)}
