@@ -5,7 +5,8 @@ the number of documents. It runs on that histogram. A node takes the largest len
 undominated fillings around it, those of least waste first; a filling is used as often as the counts allow, so a node
 uses up one length at least. The first descent is a best-fit solution, the incumbent; a branch ends when the sequences
 so far and the waste bound of what is left cannot beat the incumbent, and the search ends at the lower bound or after
-``most_nodes`` more nodes. It gives patterns (lengths, times). Pieces get their places by their rank among the pieces of the same
+``most_nodes`` more nodes, each of which looks at ``width`` fillings. It gives patterns (lengths, times). The result says how many sequences
+there are and the lower bound: where the two are equal the packing is the best there is, else their difference is what the two limits may have cost. Pieces get their places by their rank among the pieces of the same
 length, a distributed numbering in which no length is a hot key.
 
 Defined results: a null text counts as the empty one and has the closing id alone; rows with a null doc_id keep it and
@@ -14,6 +15,7 @@ are packed like any other; repeated rows are packed each; an empty table gives n
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +30,12 @@ END_ID = 0
 KEPT_PARTS = 250_000  # of about 200 bytes each, for each Python worker
 KEPT_LENGTH = 48
 PUNCTUATION = b'.,!?;:"()[]{}#$%&*+-/=@_~'
+# Fixed values of the vocabulary file whose words are encoded apart: how it normalises and splits a text.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 MOST_NODES = 2_000  # after the first descent, of about 2 ms each
 WIDTH = 64  # fillings that a node may try
 MOST_BUCKETS = 1 << 16
@@ -37,8 +45,9 @@ BUCKET_ROWS = 64
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids): a document's ids and the closing one, cut where they are more than ``size``.
 
-    ``ids`` are unsigned little-endian 32-bit numbers. The tokenizer drops white space and never joins what it
+    ``ids`` are unsigned little-endian 32-bit numbers. A tokenizer with the rules above drops white space and never joins what it
     separates, so the ids of a text are those of its parts between white space; a worker keeps the ids of parts that come again.
+    A file with any other rules encodes texts whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,6 +74,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
         run, "doc_id long, piece int, start long, length long, ids binary")
 
 
+def encodes_words_apart(file: str) -> bool:
+    """Whether a tokenizer's JSON has the rules by which words are encoded one by one, and special tokens that match as they are written."""
+    rules = json.loads(file)
+    special = all(t["content"] in ("<|startoftext|>", "<|endoftext|>") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])
+                  for t in rules["added_tokens"])
+    return special and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
+
+
 def _encoder(tokenizer_path: str, end_id: int) -> Callable[[str], bytes]:
     """A function from a text to its ids and the closing one, as little-endian bytes.
 
@@ -80,9 +97,16 @@ def _encoder(tokenizer_path: str, end_id: int) -> Callable[[str], bytes]:
 
     kept = sys.modules.setdefault("_kept_ids", types.ModuleType("_kept_ids")).__dict__
     if kept.get("path") != tokenizer_path:
-        kept.update(path=tokenizer_path, tokenizer=Tokenizer.from_file(tokenizer_path), ids={})
+        loaded = Tokenizer.from_file(tokenizer_path)
+        kept.update(path=tokenizer_path, tokenizer=loaded, ids={}, apart=encodes_words_apart(loaded.to_str()))
     tokenizer, model = kept["tokenizer"], kept["tokenizer"].model
     closing = struct.pack("<I", end_id)
+    if not kept["apart"]:
+        def whole_ids_of(text: str) -> bytes:
+            ids = tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            return struct.pack(f"<{len(ids)}I", *ids) + closing
+
+        return whole_ids_of
     # the vocabulary is written in a letter for each byte: printable ones stand for themselves, the others follow from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
@@ -198,7 +222,7 @@ def fillings(largest: int, size: int, counts: list[int], most_waste: int, width:
                     return
 
 
-def patterns(counts: list[int], size: int = SIZE, most_nodes: int = MOST_NODES) -> list[tuple[tuple[int, ...], int]]:
+def patterns(counts: list[int], size: int = SIZE, most_nodes: int = MOST_NODES, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, times): sequences that hold every piece of the histogram ``counts`` (index: length) once."""
     left, total = list(counts), sum(a * n for a, n in enumerate(counts))
     floor = least_sequences(left, size)
@@ -212,7 +236,7 @@ def patterns(counts: list[int], size: int = SIZE, most_nodes: int = MOST_NODES)
         largest = next((a for a in range(size, 0, -1) if left[a]), 0)
         # sequences that may still be used if the incumbent is to be beaten, in tokens, less what is left to place
         spare = (best_n - 1 - used) * size - (total - volume) if best else size
-        choices.append(((w, (largest, *f)) for w, f in fillings(largest, size, left, spare)) if largest else iter(()))
+        choices.append(((w, (largest, *f)) for w, f in fillings(largest, size, left, spare, width)) if largest else iter(()))
 
     def undo() -> None:
         nonlocal used, volume
@@ -262,13 +286,18 @@ def places(solution: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]
     return {n: np.array([r[i] for r in rows], np.int64) for i, n in enumerate(("length", "rank", "base", "offset"))}
 
 
-def pack(pieces: DataFrame, size: int = SIZE, most_nodes: int = MOST_NODES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length and more). Reads ``pieces`` more than once."""
+def pack(pieces: DataFrame, size: int = SIZE, most_nodes: int = MOST_NODES, width: int = WIDTH) -> DataFrame:
+    """Adds sequence_id, offset, and for all rows alike n_sequences and least_sequences, to pieces (doc_id, piece, length and more).
+
+    Reads ``pieces`` more than once.
+    """
     counted = pieces.groupBy("length").count().collect()  # at most ``size`` rows
     counts = [0] * (size + 1)
     for row in counted:
         counts[row["length"]] = row["count"]
-    found = places(patterns(counts, size, most_nodes))
+    solution = patterns(counts, size, most_nodes, width)
+    n_sequences, floor = sum(times for _, times in solution), least_sequences(counts, size)
+    found = places(solution)
     rows = sum(counts)
     buckets = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
@@ -289,14 +318,16 @@ def pack(pieces: DataFrame, size: int = SIZE, most_nodes: int = MOST_NODES) -> D
             yield pa.RecordBatch.from_arrays(own + more, [*names, "sequence_id", "offset"])
 
     shape = ranked.drop("_rank").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    return ranked.mapInArrow(run, shape)
+    return ranked.mapInArrow(run, shape).withColumns(
+        {"n_sequences": F.lit(n_sequences).cast("long"), "least_sequences": F.lit(floor).cast("long")})
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID, most_nodes: int = MOST_NODES,
+                   width: int = WIDTH) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, least_sequences) for every piece of every document."""
     pieces = stored(token_pieces(docs, tokenizer_path, size, end_id).select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack(pieces, size)
+    return pack(pieces, size, most_nodes, width)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

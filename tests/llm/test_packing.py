@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -34,6 +35,7 @@ def test_whole_table(spark, sf, plain_rows, tokenizer):
     rows = packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer).collect()
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == plain_pieces(plain_rows, tokenizer)
     assert holds(rows) == -(-sum(r.length for r in rows) // 2048)  # nothing can be less
+    assert {(r.n_sequences, r.least_sequences) for r in rows} == {(holds(rows), holds(rows))}
 
 
 @pytest.mark.parametrize("text", [
@@ -97,3 +99,21 @@ def test_edges(edges, empty, tokenizer):
     assert [r.length for r in rows if r.doc_id in (1, 2, 3)] == [1, 1, 1]
     holds(rows)
     assert packing.pack_documents(empty, tokenizer).count() == 0
+
+
+@pytest.mark.parametrize("text", ["it's  two spaces\nÉ İ ", "<|endoftext|> a.b 3.14", "漢字 😀"])
+def test_a_file_with_other_rules_encodes_texts_whole(spark, tokenizer, text):
+    other = str(Path(tokenizer).with_name("byte_bpe_50k.json"))
+    rules = Tokenizer.from_file(tokenizer).to_str(), Tokenizer.from_file(other).to_str()
+    assert [packing.encodes_words_apart(r) for r in rules] == [True, False]
+    rows = packing.token_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), other).collect()
+    assert np.frombuffer(bytes(rows[0].ids), "<u4").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_the_gap_to_the_bound_is_told(spark):
+    """No search at all after the first descent: pieces are whole, and the two numbers say what is not proven."""
+    lengths = [12, 12, 11, 9, 9, 8, 7, 7, 6, 6, 5, 4, 3] * 3
+    pieces = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    rows = packing.pack(pieces, 24, most_nodes=0, width=1).collect()
+    n = len({r.sequence_id for r in rows})
+    assert {(r.n_sequences, r.least_sequences) for r in rows} == {(n, -(-sum(lengths) // 24))} and len(rows) == len(lengths)
