@@ -11,9 +11,12 @@ A number is read over spaces, dots, brackets, dashes and slashes between its dig
 groups before those digits as long as all its digits, without zeros in front, are the end of an observed number. E-mails and other tokens
 with an @ resemble each other by the same local part, domain or whole, in lower case.
 
-All candidates that resemble each other, directly or by way of others, share one hub for each kind that is observed among them, and one of no
-kind if none is; the skip edges go from the hubs to the candidates. A hub's label is known, so distance and the number of other
-candidates don't matter, edges are in proportion to candidates, and without loops the marginals are exact. A candidate with an
+All candidates that resemble each other, directly or by way of others, share one hub, a variable of its own, and the skip edges go from it to
+each of them: any two are two steps apart, and edges are in proportion to candidates. The hub's label is one of the kinds that are observed
+among them, or any label, none too, if no kind is. So what a group has in common isn't outvoted by its number of bare mentions, and a group with
+several kinds settles for one by the evidence of all its members. Neighbours and hubs make loops: messages are passed until none moves by
+``SETTLED``. As many rounds as there are edges, after which all have settled where there is no loop and marginals are exact, take whole steps; after them steps
+get smaller as long as messages don't calm down, down to ``LEAST_STEP``, so that every text ends. A candidate with an
 observed one among those it resembles, whose marginal for a kind reaches ``SURE``, becomes a span.
 
 Weights are fitted by pseudo-likelihood on the tokens of ``SAMPLE_DOCS`` documents at most (those of least hash that hold a
@@ -31,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,9 @@ SAMPLE_DOCS = 4000
 SAMPLE_TOKENS = 64
 SURE = 0.5
 TAIL = 6
+SETTLED = 1e-9
+LEAST_STEP = 1e-3
+CALM_ROUNDS = 16
 N_LABELS = len(KINDS) + 1  # 0: none
 
 Span = tuple[int, int, int]  # start, index of the kind, end
@@ -275,7 +282,7 @@ def group_labels(observed: np.ndarray, groups: np.ndarray) -> np.ndarray:
 
 
 def hub_labels(counts: np.ndarray) -> np.ndarray:
-    """Which hubs there are: one for each kind in the group, of no kind if there is no other."""
+    """The labels that a group's hub speaks for: each kind in the group, none if there is no kind."""
     hubs = counts > 0
     hubs[:, 0] &= ~hubs[:, 1:].any(axis=1)
     return hubs
@@ -365,12 +372,14 @@ def fit(rows: pa.Table, steps: int = 400, rate: float = 0.5, ridge: float = 1e-3
     return {"unary": w[:n], "chain": (chain_w + chain_w.T) / 2, "skip": (skip_w + skip_w.T) / 2}
 
 
-def marginals(model: Model, shapes: np.ndarray, observed: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Each token's probability of each label, by message passing; exact where the edges between unobserved tokens make no loop.
+def marginals(model: Model, shapes: np.ndarray, observed: np.ndarray, edges: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Each variable's probability of each label, by loopy message passing; exact where the edges between unobserved ones make no loop.
 
-    edges: (first, second, 0 neighbours or 1 skip).
+    edges: (first, second, 0 neighbours or 1 skip); allowed: the labels that a variable may have, all if not given.
     """
     unary = shapes @ model["unary"]
+    if allowed is not None:
+        unary[~allowed] = -np.inf
     seen = observed >= 0
     unary[seen] = np.where(np.arange(N_LABELS) == observed[seen][:, None], 0.0, -np.inf)
     if len(edges):
@@ -379,7 +388,7 @@ def marginals(model: Model, shapes: np.ndarray, observed: np.ndarray, edges: np.
         kind = np.tile(edges[:, 2], 2)
         pair = np.stack([model["chain"], model["skip"]])
         # an observed token says the same in every round
-        known = seen[source]
+        known = seen[source] & ~seen[target]
         np.add.at(unary, target[known], pair[kind[known], observed[source[known]]])
         free = ~seen[source] & ~seen[target]
         source, target, pair = source[free], target[free], pair[kind[free]]
@@ -387,32 +396,41 @@ def marginals(model: Model, shapes: np.ndarray, observed: np.ndarray, edges: np.
         back = np.concatenate([np.arange(half) + half, np.arange(half)])
         message = np.zeros((len(source), N_LABELS))
         belief = unary
-        for _ in range(half + 1):  # without loops no path is longer, and all have settled by then
+        step, calm = 1.0, np.inf
+        for turn in count():
             sent = belief[source] - message[back]
             new = np.logaddexp.reduce(sent[:, :, None] + pair, axis=1)
             new -= np.logaddexp.reduce(new, axis=1)[:, None]
             moved = np.abs(new - message).max(initial=0)
-            message = new
+            message = message + step * (new - message)
             belief = unary.copy()
             np.add.at(belief, target, message)
-            if moved < 1e-9:
+            if moved < SETTLED or step < LEAST_STEP:
                 break
+            if turn > half and turn % CALM_ROUNDS == 0:  # without loops no path is longer, and all have settled by then
+                if moved > calm / 2:
+                    step *= 0.7
+                calm = min(calm, moved)
         unary = belief
     unary = np.exp(unary - unary.max(axis=1, keepdims=True))
     return unary / unary.sum(axis=1, keepdims=True)
 
 
-def with_hubs(shapes: np.ndarray, observed: np.ndarray, chain: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shapes, observed, edges) of the candidates and, behind them, the hubs of groups of two or more."""
-    counts = group_labels(observed, groups)
-    group, label = np.nonzero(hub_labels(counts) & (counts.sum(axis=1) > 1)[:, None])
-    number = np.full((len(groups), N_LABELS), -1)
-    number[group, label] = len(observed) + np.arange(len(group))
-    free = np.flatnonzero(observed < 0)
-    at, to = np.nonzero(number[groups[free]] >= 0)
-    skips = np.stack([number[groups[free[at]], to], free[at], np.ones(len(at), int)], axis=1)
+def with_hubs(shapes: np.ndarray, observed: np.ndarray, chain: np.ndarray, groups: np.ndarray) \
+        -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shapes, observed, edges, allowed) of the candidates and, behind them, the hub of each group of two or more."""
+    counts, n = group_labels(observed, groups), len(observed)
+    shared = np.flatnonzero(counts.sum(axis=1) > 1)
+    number = np.full(n, -1)
+    number[shared] = n + np.arange(len(shared))
+    kinds = hub_labels(counts[shared])
+    may = kinds | kinds[:, :1]  # no kind: any label
+    label = np.where(may.sum(axis=1) == 1, may.argmax(axis=1), -1)
+    members = np.flatnonzero(number[groups] >= 0)
+    skips = np.stack([number[groups[members]], members, np.ones(len(members), int)], axis=1)
     edges = np.concatenate([np.hstack([chain, np.zeros((len(chain), 1), int)]), skips])
-    return np.concatenate([shapes, np.zeros((len(group), len(SHAPES)))]), np.concatenate([observed, label]), edges
+    return (np.concatenate([shapes, np.zeros((len(shared), len(SHAPES)))]), np.concatenate([observed, label]), edges,
+            np.concatenate([np.ones((n, N_LABELS), bool), may]))
 
 
 def added_spans(text: str, base: list[Span], find: Callable[[str], list[Span]], model: Model | None, sure: float = SURE) -> list[Span]:

