@@ -2,7 +2,7 @@
 
 What the search needs of a corpus is how many pieces there are of each length: at most ``size`` numbers, whatever
 the number of documents. It runs on that histogram. A node takes the largest length that is left and enumerates the
-undominated fillings around it, those of least waste first; a filling is used as often as the counts allow, so a node
+undominated fillings (by single pieces and by pairs) around it, those of least waste first; a filling is used as often as the counts allow, so a node
 uses up one length at least. The first descent is a best-fit solution, the incumbent; a branch ends when the sequences
 so far and the waste bound of what is left cannot beat the incumbent, and the search ends at the lower bound or after
 ``most_nodes`` more nodes, each of which looks at ``width`` fillings. It gives patterns (lengths, times). The result says how many sequences
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -194,14 +195,20 @@ def _exactly(total: int, have: list[int], lengths: list[int], reach: list[int])
         yield chosen
 
 
-def _undominated(filling: tuple[int, ...], waste: int, have: list[int], lengths: list[int]) -> bool:
-    """No piece at hand fits into the waste, and none that is larger could take the place of one in the filling."""
-    if not waste:
-        return True
+def _undominated(filling: tuple[int, ...], waste: int, have: list[int]) -> bool:
+    """No piece at hand fits into the waste, none that is larger could take the place of one in the filling, and none could take that of
+    two. What would dominate is looked at before: it wastes less, or its pieces are larger and so come first."""
     left = have.copy()
     for a in filling:
         left[a] -= 1
-    return not any(left[b] > 0 for a in {0, *filling} for b in range(a + 1, a + waste + 1) if b < len(left))
+    if waste and any(left[b] > 0 for a in {0, *filling} for b in range(a + 1, a + waste + 1) if b < len(left)):
+        return False
+    return not any(left[c] > 0 for s in {a + b for a, b in combinations(_by_twos(filling), 2)} for c in range(s, s + waste + 1) if c < len(left))
+
+
+def _by_twos(filling: tuple[int, ...]) -> list[int]:
+    """The pieces, of equal ones two at most: all different pairs are among them."""
+    return [a for a in set(filling) for _ in range(min(2, filling.count(a)))]
 
 
 def fillings(largest: int, size: int, counts: list[int], most_waste: int, width: int = WIDTH) -> Iterator[tuple[int, tuple[int, ...]]]:
@@ -216,7 +223,7 @@ def fillings(largest: int, size: int, counts: list[int], most_waste: int, width:
         if reach[-1] >> (room - waste) & 1:
             for filling in _exactly(room - waste, have, lengths, reach):
                 looked += 1
-                if _undominated(filling, waste, have, lengths):
+                if _undominated(filling, waste, have):
                     yield waste, filling
                 if looked >= width:
                     return

@@ -82,6 +82,26 @@ def test_search_finds_the_least_number(seed):
     assert sum(t for _, t in found) == least_bins(lengths, 24) >= packing.least_sequences(counts, 24)
 
 
+def test_dominance_by_pairs():
+    have = [0] * 25
+    for a in (3, 4, 5, 7, 9):
+        have[a] += 1
+    have[4] += 1
+    left_of = {(4, 3): False, (7,): True, (4, 4): True, (5, 4): False, (9,): True, (4, 5, 3): False}
+    for filling, good in left_of.items():
+        assert packing._undominated(filling, 0, have) == good, filling
+    assert not packing._undominated((4, 4), 1, have)  # the 9 fits in their place
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_the_first_filling_is_never_dominated(seed):
+    draw = np.random.default_rng(seed)
+    have = np.bincount(draw.integers(1, 40, 60), minlength=65).tolist()
+    largest = max(a for a, n in enumerate(have) if n)
+    every = list(packing.fillings(largest, 64, have, 64, width=1))
+    assert len(every) == 1
+
+
 def test_hot_length_and_round_trip(spark, documents, tokenizer):
     docs = documents([(i, "one two three four five" if i % 3 else f"text number {i} " * (i % 40), "en", "a") for i in range(600)])
     held = packing.token_pieces(docs, tokenizer).cache()
