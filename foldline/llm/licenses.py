@@ -4,7 +4,8 @@ A template is a word sequence with a label and mandatory key phrases. The index
 ``RARE`` words of highest inverse document frequency in the corpus, with their positions. Each place in a file where such a word
 stands is looked up; a posting (template, position) there proposes that the template begins at place - position. Proposals
 are intersected by relative position: other rare words of the template must stand at theirs. What is left is verified word by
-word at the mandatory key phrases. Places are found for all occurrences, with no bound on their number.
+word at the mandatory key phrases. Places are found for all occurrences, with no bound on their number. Templates are short notices,
+passages of the licences' own texts, each of a stretch in which nothing varies, and identifier lines; an identifier is told by how it begins.
 
 The corpus contributes one number per template word (a few hundred words, whatever its size); these alone come to the driver.
 Everything is column expressions; a file's work is linear in its words.
@@ -16,11 +17,13 @@ are scanned each and count each in the frequencies; an empty table gives no rows
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import let, texts
+from .licence_texts import IDENTIFIERS, PASSAGES
 
 RARE = 3
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -81,6 +84,25 @@ NOTICES = [
 ]
 
 
+def plain_words(text: str) -> str:
+    """A template's words as ``words_of`` gives those of a file."""
+    return re.sub(NOT_WORD, " ", text.lower()).strip()
+
+
+def passage(label: str, text: str, *key_phrases: str) -> Template:
+    """A template of a passage; its first and its last five words are mandatory if no phrases are named."""
+    words = plain_words(text)
+    return Template.of(label, words, *(key_phrases or (" ".join(words.split()[:5]), " ".join(words.split()[-5:]))))
+
+
+def identifier(label: str, name: str) -> Template:
+    line = plain_words(f"SPDX-License-Identifier: {name}")
+    return Template.of(label, line, line)
+
+
+NOTICES += [passage(*p) for p in PASSAGES] + [identifier(label, name) for name, label in IDENTIFIERS.items()]
+
+
 def words_of(text: Column) -> Column:
     """Words in lower case. Full lower-casing agrees with that of A to Z on every ASCII word, and keeps word borders."""
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")

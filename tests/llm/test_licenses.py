@@ -50,3 +50,33 @@ def test_edges(edges, empty):
     assert len(rows) == edges.count()
     assert {r.n_words for r in rows if r.doc_id in (1, 2, 3)} == {0}
     assert licenses.digest(licenses.scan(empty)).count() == 0
+
+
+BODIES = {
+    1: "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+       "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+       "in the documentation and/or other materials provided with the distribution.\n\n"
+       'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES',
+    2: "in the documentation and/or other materials provided with the distribution.\n3. Neither the name of the University nor the names of its "
+       "contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+       'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"',
+    3: "it under the terms of the GNU Affero General Public License as published by\n# the Free Software Foundation, either version 3 of the License",
+    4: "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    5: "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    6: "// SPDX-License-Identifier: GPL-3.0-or-later", 7: "/* SPDX-License-Identifier: BSD-2-Clause */ SPDX-License-Identifier: ISC",
+    8: "The origin of this software must not be claimed; you wrote the original software", 9: "spdx license identifier unknown",
+}
+
+
+def test_bodies_and_identifiers(spark):
+    rows = licenses.digest(licenses.scan(spark.createDataFrame(list(BODIES.items()), "doc_id long, text string"))).collect()
+    check(rows, BODIES)
+    assert {r.doc_id: r.labels for r in rows} == {
+        1: "bsd,bsd-2-clause", 2: "bsd-3-clause", 3: "agpl,gpl", 4: "gpl,lgpl", 5: "gpl,gpl-2.0", 6: "gpl-3.0", 7: "bsd-2-clause,isc", 8: "", 9: ""}
+
+
+def test_every_template_finds_its_own_words(spark):
+    texts = {i: " ".join(t.words) for i, t in enumerate(licenses.NOTICES)}
+    rows = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    for r in rows:
+        assert (licenses.NOTICES[r.doc_id].label, 0, 1.0) in {(p.label, p.start, p.share) for p in r.notices}
