@@ -9,7 +9,10 @@ weight Pe / 2 Pw goes to its own estimate, the rest to the longer contexts. A co
 
 How it is spread out. Texts are dealt into blocks of about ``BLOCK_BYTES``. A block gives its distinct grams (a byte after
 ``DEPTH`` others) and words with their learned counts, packed in one row per bucket of their hash; there are as many buckets as blocks, so
-a bucket of all blocks is about as large as a block. Buckets are summed over the corpus. The two longest levels of the
+a bucket of all blocks is about as large as a block. Beyond ``FAN`` blocks pieces go in two steps, for blocks by buckets would be too many:
+a block gives a row per range of buckets, a root of the blocks many; as many blocks make a bundle, in which a range's pieces are summed and
+cut by bucket, and what comes back for a bundle is dealt to its blocks the same way. So pieces grow as the blocks to the power of one and
+a half, and each is read in a task that holds about a block. Buckets are summed over the corpus. The two longest levels of the
 trees are worked out in parts of the distinct grams that share their nearest ``DEPTH`` - 2 bytes; the shorter ones are tables keyed by
 (context, node), in which a parent has at most 256 children, so neither sums up nor joins down have a hot key. Each
 distinct gram's value then goes back by bucket to the blocks that hold it, and meets their texts there. No task holds more of the
@@ -38,6 +41,8 @@ from .common import id_remainder
 DEPTH = 5
 LOCAL = 2  # levels that are worked out inside a part
 BLOCK_BYTES = 1 << 23
+FAN = 1024  # blocks whose pieces go straight to the buckets
+MOST_TASKS = 1 << 15
 PART_GRAMS = 200_000
 LN_HALF = math.log(0.5)
 END_WORD = b""  # no word is empty: it stands for the end of a text
@@ -58,6 +63,11 @@ def log_kt(zeros: Any, ones: Any, log: Callable[[Any], Any]) -> Any:
     return log_gamma(zeros + 0.5, log) + log_gamma(ones + 0.5, log) - log_gamma(zeros + ones + 1.0, log) - math.log(math.pi)
 
 
+def spread(rows: DataFrame, groups: int, key: str) -> DataFrame:
+    """Rows by key in as many partitions as there are groups, so that a task's share doesn't grow with the corpus."""
+    return rows.repartition(max(1, min(groups, MOST_TASKS)), key)
+
+
 # ---- inside a part: levels of ``DEPTH`` down to DEPTH - LOCAL, for all grams with the same nearest bytes
 
 Level = dict[str, np.ndarray]
@@ -145,7 +155,8 @@ def left_by(levels: list[DataFrame]) -> DataFrame:
 def values(grams: DataFrame, depth: int = DEPTH, part_grams: int = PART_GRAMS) -> DataFrame:
     """(code, log10): the logarithm of each distinct gram's last byte's probability after the others.
 
-    ``grams``: (code, n) with n the learned count; grams that are asked for only have n = 0. Read three times.
+    ``grams``: (code, n) with n the learned count; grams that are asked for only have n = 0. Read three times. A part's size has a bound
+    that no corpus moves: bytes alone can differ, two before the nearest and the last one, which is 2^24 grams at the very most.
     """
     shortest = depth - LOCAL
     parts = max(1, -(-grams.count() // part_grams))
@@ -160,7 +171,7 @@ def values(grams: DataFrame, depth: int = DEPTH, part_grams: int = PART_GRAMS) -
         level = local_levels(table.column("code").to_numpy().view("u8"), table.column("n").to_numpy(), depth, shortest)[0][0]
         return pa.table({"key": level["key"].view("i8"), "zeros": level["zeros"], "ones": level["ones"], "log_pw": level["log_pw"]})
 
-    border = stored(dealt.groupBy("part").applyInArrow(up, "key long, zeros double, ones double, log_pw double"), "level")
+    border = stored(spread(dealt, parts, "part").groupBy("part").applyInArrow(up, "key long, zeros double, ones double, log_pw double"), "level")
     above = left_by(shorter_levels(border, shortest)).withColumnRenamed("key", "up")
     given = border.select("key", parent(shortest - 1).alias("up")).join(above, "up").select(
         part_of(F.shiftrightunsigned("key", 8)).alias("part"), "key", "sure", "rest")
@@ -171,7 +182,8 @@ def values(grams: DataFrame, depth: int = DEPTH, part_grams: int = PART_GRAMS) -
         found = local_values(codes.view("u8"), table.column("n").to_numpy(), depth, shortest, keys.view("u8"), sure, rest)
         return pa.table({"code": codes, "log10": found})
 
-    return dealt.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(down, "code long, log10 double")
+    return spread(dealt, parts, "part").groupBy("part").cogroup(spread(given, parts, "part").groupBy("part")).applyInArrow(
+        down, "code long, log10 double")
 
 
 # ---- blocks of texts, and buckets of what they hold
@@ -210,14 +222,30 @@ def bucket_mix(oldest: Any, number: Callable[[int], Any]) -> Any:
 
 
 PIECES = "block long, bucket long, codes binary, counts binary, words binary, word_counts binary"
-
-
-def block_pieces(rows: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+PIECE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), *[(n, pa.binary()) for n in ("codes", "counts", "words", "word_counts")]])
+
+
+def cut(block: int, codes: np.ndarray, counts: np.ndarray, words: Counter, buckets: int) -> pa.Table:
+    """Ascending distinct grams and words with their counts, a row for each bucket that has any."""
+    # grams with the same oldest bytes share a bucket, so that their steps are small
+    of_code = (bucket_mix(codes >> np.uint64(16), np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(of_code, kind="stable")
+    of_code = of_code[order]
+    by_bucket: dict[int, list[bytes]] = {}
+    for w in words:
+        by_bucket.setdefault(zlib.crc32(w) % buckets, []).append(w)
+    out = []
+    for k in sorted({*by_bucket, *np.unique(of_code).tolist()}):
+        own, mine = order[slice(*np.searchsorted(of_code, (k, k + 1)))], sorted(by_bucket.get(k, ()))
+        out.append((block, k, shrink_codes(codes[own]), _shrink(counts[own]), shrink_words(mine) if mine else None,
+                    _shrink(np.array([words[w] for w in mine], "<u8")) if mine else None))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), PIECE.types)], schema=PIECE)
+
+
+def block_pieces(rows: DataFrame, blocks: int, buckets: int, depth: int = DEPTH) -> DataFrame:
     """Each block's distinct grams and words with their learned counts, a row per bucket, from (block, learn, text)."""
-    names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
         learn = np.array(table.column("learn").to_pylist(), bool)
         data = [t.as_py().encode("utf-8", "replace").lower() for t in table.column("text")]  # bytes: A to Z alone
         found, counts = [], []
@@ -228,11 +256,7 @@ def block_pieces(rows: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame
             found.append(codes[first])
             counts.append(np.add.reduceat(learn[owner[order]].astype(np.int64), first))
         codes, inverse = np.unique(np.concatenate(found), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(counts)).astype("<u4")
-        # grams with the same oldest bytes share a bucket, so that their steps are small
-        of_code = (bucket_mix(codes >> np.uint64(16), np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(of_code, kind="stable")
-        ends = np.searchsorted(of_code[order], np.arange(buckets + 1))
+        counts = np.bincount(inverse, np.concatenate(counts)).astype("<u8")
         words: Counter = Counter()
         for d, counted in zip(data, learn):
             if counted:
@@ -240,87 +264,118 @@ def block_pieces(rows: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame
             else:
                 words.update(dict.fromkeys(d.split(), 0))
         words[END_WORD] = int(learn.sum())
-        by_bucket: dict[int, list[bytes]] = {}
-        for w in words:
-            by_bucket.setdefault(zlib.crc32(w) % buckets, []).append(w)
-        out = []
-        for k in range(buckets):
-            own, mine = order[ends[k]:ends[k + 1]], sorted(by_bucket.get(k, ()))
-            if len(own) or mine:
-                out.append((block, k, shrink_codes(codes[own]), _shrink(counts[own]),
-                            shrink_words(mine) if mine else None,
-                            _shrink(np.array([words[w] for w in mine], "<u4")) if mine else None))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.binary()] * 4))], names)
+        return cut(table.column("block")[0].as_py(), codes, counts, words, buckets)
+
+    return spread(rows, blocks, "block").groupBy("block").applyInArrow(run, PIECES)
+
+
+def bundle_pieces(held: DataFrame, ranges: int, buckets: int) -> DataFrame:
+    """Pieces by block and range of buckets summed by bundle of blocks, a row per bundle and bucket. As many bundles as ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        codes, counts = _sum_codes(table)
+        return cut(table.column("block")[0].as_py() % ranges, codes, counts, _sum_words(table), buckets)
+
+    return _bundled(held, ranges).groupBy("bundle", "bucket").applyInArrow(run, PIECES)
+
+
+def _bundled(held: DataFrame, ranges: int) -> DataFrame:
+    rows = held.withColumn("bundle", F.pmod("block", F.lit(ranges)))
+    return rows.repartition(min(ranges * ranges, MOST_TASKS), "bundle", "bucket")
 
-    return rows.groupBy("block").applyInArrow(run, PIECES)
+
+def _sum_codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    codes, inverse = np.unique(np.concatenate([grow_codes(c) for c in table.column("codes").to_pylist()]), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([_grow(c, "<u8") for c in table.column("counts").to_pylist()]), len(codes))
+    return codes, counts.astype("<u8")
 
 
 def _sum_words(table: pa.Table) -> Counter:
     total: Counter = Counter()
     for words, counts in zip(table.column("words").to_pylist(), table.column("word_counts").to_pylist()):
         if words is not None:
-            for w, n in zip(grow_words(words), _grow(counts, "<u4").tolist()):
+            for w, n in zip(grow_words(words), _grow(counts, "<u8").tolist()):
                 total[w] += n
     return total
 
 
-def bucket_sums(held: DataFrame) -> DataFrame:
+def bucket_sums(held: DataFrame, buckets: int) -> DataFrame:
     """(code, n) of the corpus, and with a null code one row per bucket: (n, kinds) of its learned words."""
 
     def run(table: pa.Table) -> pa.Table:
-        codes, inverse = np.unique(np.concatenate([grow_codes(c) for c in table.column("codes").to_pylist()]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([_grow(c, "<u4") for c in table.column("counts").to_pylist()]), len(codes))
+        codes, n = _sum_codes(table)
         words = _sum_words(table).values()
         return pa.table({"code": pa.array([*codes.view("i8").tolist(), None], pa.int64()),
                          "n": pa.array([*n.astype("i8").tolist(), sum(words)], pa.int64()),
                          "kinds": pa.array([None] * len(codes) + [sum(c > 0 for c in words)], pa.int64())})
 
-    return held.groupBy("bucket").applyInArrow(run, "code long, n long, kinds long")
+    return spread(held, buckets, "bucket").groupBy("bucket").applyInArrow(run, "code long, n long, kinds long")
+
+
+GIVEN = "block long, bucket long, codes binary, values binary, words binary, word_counts binary"
+
+
+def _answers(table: pa.Table, codes: np.ndarray, log10: np.ndarray, words: dict[bytes, int]) -> pa.Table:
+    """Each piece's grams and words with their values, which are looked up among ascending codes and in the words."""
+    values, word_counts = [], []
+    for own, mine in zip(table.column("codes").to_pylist(), table.column("words").to_pylist()):
+        values.append(log10[np.searchsorted(codes, grow_codes(own))].astype("<f4").tobytes())
+        word_counts.append(None if mine is None else _shrink(np.array([words[w] for w in grow_words(mine)], "<u8")))
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "codes": table.column("codes"),
+                     "values": pa.array(values, pa.binary()), "words": table.column("words"), "word_counts": pa.array(word_counts, pa.binary())})
+
+
+def _told(given: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """Ascending codes, their values, and the words' counts, of pieces that came back."""
+    codes = np.concatenate([grow_codes(c) for c in given.column("codes").to_pylist()])
+    value = np.concatenate([np.frombuffer(v, "<f4") for v in given.column("values").to_pylist()])
+    order = np.argsort(codes)
+    words: dict[bytes, int] = {}
+    for own, counts in zip(given.column("words").to_pylist(), given.column("word_counts").to_pylist()):
+        if own is not None:
+            words.update(zip(grow_words(own), _grow(counts, "<u8").tolist()))
+    return codes[order], value[order], words
 
 
 def give_back(held: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
-    """(block, codes, values, words, word_counts): what each block's grams and words come to in the corpus."""
+    """(block, bucket, codes, values, words, word_counts): what each block's grams and words come to in the corpus."""
     bucket = bucket_mix(F.shiftrightunsigned("code", 16), F.lit) % F.lit(buckets)
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         codes, log10 = found.column("code").to_numpy().view("u8"), found.column("log10").to_numpy()
         order = np.argsort(codes)
-        codes, log10 = codes[order], log10[order]
-        words = _sum_words(table)
-        values, word_counts = [], []
-        for own, mine in zip(table.column("codes").to_pylist(), table.column("words").to_pylist()):
-            values.append(log10[np.searchsorted(codes, grow_codes(own))].astype("<f4").tobytes())
-            word_counts.append(None if mine is None else _shrink(np.array([words[w] for w in grow_words(mine)], "<u8")))
-        return pa.table({"block": table.column("block"), "codes": table.column("codes"), "values": pa.array(values, pa.binary()),
-                         "words": table.column("words"), "word_counts": pa.array(word_counts, pa.binary())})
+        return _answers(table, codes[order], log10[order], _sum_words(table))
+
+    found = spread(found.withColumn("bucket", bucket), buckets, "bucket")
+    return spread(held, buckets, "bucket").groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, GIVEN)
+
 
-    return held.groupBy("bucket").cogroup(found.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(
-        run, "block long, codes binary, values binary, words binary, word_counts binary")
+def hand_down(held: DataFrame, given: DataFrame, ranges: int) -> DataFrame:
+    """What came back for bundles of blocks, dealt to the pieces of their blocks."""
 
+    def run(table: pa.Table, given: pa.Table) -> pa.Table:
+        return _answers(table, *_told(given))
 
-def score_blocks(rows: DataFrame, given: DataFrame, tokens: int, kinds: int, depth: int = DEPTH) -> DataFrame:
+    # a bundle's number is below that of bundles, and a bucket's range is its remainder
+    given = _bundled(given.withColumn("bucket", F.pmod("bucket", F.lit(ranges))), ranges)
+    return _bundled(held, ranges).groupBy("bundle", "bucket").cogroup(given.groupBy("bundle", "bucket")).applyInArrow(run, GIVEN)
+
+
+def score_blocks(rows: DataFrame, given: DataFrame, blocks: int, tokens: int, kinds: int, depth: int = DEPTH) -> DataFrame:
     """Rows (block, doc_id, held_out, text) meet what ``give_back`` has for their block, and are summed up."""
     bottom = tokens + 0.5 * (kinds + 1)
 
     def run(docs: pa.Table, given: pa.Table) -> pa.Table:
-        codes = np.concatenate([grow_codes(c) for c in given.column("codes").to_pylist()])
-        value = np.concatenate([np.frombuffer(v, "<f4") for v in given.column("values").to_pylist()]).astype(float)
-        order = np.argsort(codes)
-        codes, value = codes[order], value[order]
-        of_word: dict[bytes, float] = {}
-        unknown: set[bytes] = set()
-        for words, counts in zip(given.column("words").to_pylist(), given.column("word_counts").to_pylist()):
-            if words is not None:
-                counts, words = _grow(counts, "<u8"), grow_words(words)
-                of_word.update(zip(words, np.log10((counts + 0.5) / bottom).tolist()))
-                unknown.update(words[i] for i in np.flatnonzero(counts == 0))
+        codes, value, counts = _told(given)
+        of_word = dict(zip(counts, np.log10((np.fromiter(counts.values(), float, len(counts)) + 0.5) / bottom).tolist()))
+        unknown = {w for w, n in counts.items() if n == 0}
         data = [t.as_py().encode("utf-8", "replace").lower() for t in docs.column("text")]
         score = np.zeros(len(data))
         for asked, owner in pieces(data, depth):
             order = np.argsort(asked)
             asked, owner = asked[order], owner[order]
             first = np.flatnonzero(np.concatenate(([True], asked[1:] != asked[:-1])))
-            own = value[np.searchsorted(codes, asked[first])]
+            own = value[np.searchsorted(codes, asked[first])].astype(float)
             score += np.bincount(owner, np.repeat(own, np.diff(np.append(first, len(asked)))), minlength=len(data))
         n_tokens, n_known, base = [], [], []
         for d in data:
@@ -334,11 +389,11 @@ def score_blocks(rows: DataFrame, given: DataFrame, tokens: int, kinds: int, dep
             "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score),
             "bits_per_byte": pa.array(-score / math.log10(2) / np.array([len(d) + 1 for d in data], float))})
 
-    return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(
+    return spread(rows, blocks, "block").groupBy("block").cogroup(spread(given, blocks, "block").groupBy("block")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
 
 
-def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS, fan: int = FAN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row.
 
     score is the log10 of a text's probability, its end included; texts whose id's remainder modulo 5 is 1 aren't learned from.
@@ -349,10 +404,16 @@ def score(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, p
     size = own.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     rows = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    held = stored(block_pieces(rows.select("block", "learn", "text"), blocks, depth), "pieces")
-    sums = stored(bucket_sums(held), "sums")
+    ranges = blocks if blocks <= fan else math.isqrt(blocks - 1) + 1
+    held = stored(block_pieces(rows.select("block", "learn", "text"), blocks, ranges, depth), "pieces")
+    buckets = -(-blocks // ranges) * ranges  # so that a bucket's remainder is its range
+    summed = held if buckets == ranges else stored(bundle_pieces(held, ranges, buckets), "bundles")
+    sums = stored(bucket_sums(summed, buckets), "sums")
     tokens, kinds = sums.where("code is null").agg(F.sum("n"), F.sum("kinds")).first()
     tokens, kinds = tokens or 0, kinds or 0
     found = values(sums.where("code is not null").select("code", "n"), depth, part_grams)
-    scored = score_blocks(rows.select("block", "doc_id", "held_out", "text"), give_back(held, found, blocks), tokens, kinds, depth)
+    given = give_back(summed, found, buckets)
+    if summed is not held:
+        given = hand_down(held, given, ranges)
+    scored = score_blocks(rows.select("block", "doc_id", "held_out", "text"), given, blocks, tokens, kinds, depth)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

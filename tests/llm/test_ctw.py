@@ -67,11 +67,12 @@ def held_out(i):
     return zlib.crc32(str(i).encode()) % 5 == 1
 
 
-@pytest.mark.parametrize("depth, part_grams, block_bytes", [(5, 200_000, 1 << 23), (4, 50, 700), (3, 20, 1 << 23)])
-def test_as_the_definition_says(spark, plain_rows, depth, part_grams, block_bytes):
+@pytest.mark.parametrize("depth, part_grams, block_bytes, fan", [
+    (5, 200_000, 1 << 23, ctw.FAN), (4, 300, 700, ctw.FAN), (4, 2000, 400, 2), (3, 100, 1 << 23, 1)])
+def test_as_the_definition_says(spark, plain_rows, depth, part_grams, block_bytes, fan):
     rows = [(i, t[:150]) for i, t, *_ in plain_rows[:25]] + [(1000, None), (1001, "zzz Ünseen ÿ"), (1004, "The the THE")]
     plain = Plain([t or "" for i, t in rows if not held_out(i)], depth)
-    got = ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), depth, block_bytes, part_grams).collect()
+    got = ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), depth, block_bytes, part_grams, fan).collect()
     assert {r.doc_id for r in got} == {i for i, _ in rows}
     texts = dict(rows)
     for r in got:
@@ -106,6 +107,24 @@ def test_base_over_whole_table(spark, sf, plain_rows):
         assert r.score < 0
 
 
+def test_pieces_in_two_steps(spark):
+    """Twenty blocks by five ranges, then five bundles by twenty buckets: 200 rows at most instead of 400, with the same sums."""
+    rows = spark.range(2000).selectExpr("pmod(id, 20) as block", "id % 5 <> 1 as learn", "concat('word', id % 97, ' and word', id) as text")
+    straight = ctw.block_pieces(rows, 20, 20).cache()
+    held = ctw.block_pieces(rows, 20, 5).cache()
+    bundles = ctw.bundle_pieces(held, 5, 20).cache()
+    assert held.count() <= 100 and bundles.count() <= 100 and straight.count() > 200
+    sums = [sorted(ctw.bucket_sums(x, 20).where("code is not null").select("code", "n").collect()) for x in (straight, bundles)]
+    assert sums[0] == sums[1]
+    tokens = [ctw.bucket_sums(x, 20).where("code is null").selectExpr("sum(n)", "sum(kinds)").first() for x in (straight, bundles)]
+    assert tokens[0] == tokens[1]
+
+
+def test_tasks_follow_the_blocks(spark):
+    rows = spark.range(10).selectExpr("id as block", "true as learn", "'a b' as text")
+    assert ctw.block_pieces(rows, 50, 50).rdd.getNumPartitions() == 50 and ctw.spread(rows, 10**9, "block").rdd.getNumPartitions() == ctw.MOST_TASKS
+
+
 def test_edges(edges, empty):
     rows = ctw.score(edges).collect()
     assert len(rows) == edges.count()
