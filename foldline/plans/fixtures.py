@@ -49,10 +49,10 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy(F.expr("doc_id div 5").alias("example_id")).agg(F.sort_array(F.collect_list(ctx)).alias("ctxs"))
 
 
-def predictions(examples: DataFrame, *kept: str) -> DataFrame:
-    """A made-up answer per example: near copies, wrapped answers, partial ones, and whole documents."""
+def predictions(examples: DataFrame, *kept: str, shift: Column | None = None) -> DataFrame:
+    """A made-up answer per example: near copies, wrapped answers, partial ones, and whole documents, in turn from ``shift`` on."""
     a1, a2 = F.col("answers")[0], F.col("answers")[1]
-    kind = F.col("example_id") % 4
+    kind = (F.col("example_id") + (F.lit(0) if shift is None else shift)) % 4
     said = (
         F.when(kind == 0, F.concat(F.lit("The "), F.upper(a1), F.lit("!")))
         .when(kind == 1, F.concat(F.lit("x "), a2, F.lit(" y")))
@@ -62,6 +62,12 @@ def predictions(examples: DataFrame, *kept: str) -> DataFrame:
     return examples.select("example_id", *kept, said.alias("generation"))
 
 
+def predictions_by_ratio(examples: DataFrame, ratios: list[float]) -> DataFrame:
+    """Predictions that carry the keep ratio they were made at, another kind of answer for each: example_id, ratio, generation."""
+    each = examples.select("*", F.posexplode(F.array(*map(F.lit, ratios))).alias("_nth", "ratio"))
+    return predictions(each, "ratio", shift=F.col("_nth"))
+
+
 def positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive segments per example; 999 has no segment."""
     ids = F.when(F.col("toxic") == 1, F.array(F.lit(0), F.lit(999))).when(F.col("quality") == 1, F.array(F.lit(0))).otherwise(

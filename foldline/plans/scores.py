@@ -13,7 +13,7 @@ from ..sources import jsonl as S
 from ..streaming.averages import PREDICTIONS, last_averages, start_running_scores
 from .catalog import ORACLES, query
 from .compression import Job, STATS_SQL, light_ranked
-from .fixtures import PREDICTION_SQL, QA_SQL, predictions, qa, r4, sql_norm, table
+from .fixtures import PREDICTION_SQL, QA_SQL, predictions, predictions_by_ratio, qa, r4, sql_norm, table
 
 REPORT_RATIOS = [0.25, 0.125]
 
@@ -104,6 +104,27 @@ def summary_report(spark, sf):
     return report.select("dataset", "ratio", F.col("line").cast("long").alias("line"), "metric", r4("value").alias("value"))
 
 
+RATIO_REPORT_SQL = (
+    REPORT_SQL.replace("SELECT example_id, CASE example_id % 4", "SELECT example_id, ratio, CASE (example_id + nth) % 4")
+    .replace("AS generation FROM qa)", "AS generation FROM qa CROSS JOIN (VALUES (0, 0.25), (1, 0.125)) AS v(nth, ratio))")
+    .replace("SELECT example_id, dataset,", "SELECT example_id, dataset, ratio,"))
+
+
+@query("ratio_report", f"""WITH {RATIO_REPORT_SQL}, a AS (
+  SELECT dataset, ratio, avg(accuracy) AS accuracy, avg(em) AS em, avg(f1) AS f1 FROM scores GROUP BY dataset, ratio),
+j AS (SELECT * FROM corpus JOIN a USING (dataset, ratio))
+SELECT dataset, ratio::DOUBLE AS ratio, unnest([0, 1, 2, 3])::BIGINT AS line, unnest(['compression_ratio', 'accuracy', 'em', 'f1']) AS metric,
+round(unnest([compression_ratio, accuracy, em, f1]), 4) AS value FROM j""")
+def ratio_report(spark, sf):
+    """Predictions are made at a keep ratio: each ratio's report has the scores of its own."""
+    examples, groups = qa(spark, sf), ["dataset", "ratio"]
+    told = predictions_by_ratio(examples, REPORT_RATIOS)
+    scored = M.score_predictions(told, examples.select("example_id", "dataset", "answers"))
+    report = M.summary_report(M.metric_averages(scored, groups), M.corpus_compression(lengths(spark, sf), groups), groups)
+    return report.select("dataset", F.col("ratio").cast("double").alias("ratio"), F.col("line").cast("long").alias("line"), "metric",
+                         r4("value").alias("value"))
+
+
 RESULT_SQL = STATS_SQL + "," + PREDICTION_SQL.replace(QA_SQL + ",", "", 1) + """,
 rows AS (
   SELECT example_id, ratio, dataset, org_len / 1000.0 AS compression_time, (example_id % 7) / 10.0 AS infer_time, generation, answers, org_len, comp_len
