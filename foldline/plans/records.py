@@ -181,9 +181,10 @@ def subwords(spark) -> Subwords:
 def tokenize_subwords(spark, sf):
     """Ids, pieces and offsets of all documents by a subword vocabulary."""
     codec, text = subwords(spark), F.coalesce("text", F.lit(""))
-    rows = table(spark, sf, "documents").select("doc_id", F.arrays_zip(
-        codec.ids(text).alias("id"), codec.pieces(text).alias("piece"), codec.offsets(text).alias("place")).alias("_t"))
-    rows = rows.select("doc_id", F.posexplode("_t").alias("pos", "_t"))
+    rows = table(spark, sf, "documents").select("doc_id", codec.encoded(text).alias("_e"))
+    # zipped where it is exploded: a column that is exploded as such gets a filter on its size, for which texts would be encoded again
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip(
+        F.col("_e.ids").alias("id"), F.col("_e.pieces").alias("piece"), F.col("_e.offsets").alias("place"))).alias("pos", "_t"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "_t.id", "_t.piece", "_t.place.start", "_t.place.stop")
 
 
