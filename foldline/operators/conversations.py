@@ -215,10 +215,10 @@ def masked_spans(prompt: Column, template: Column, tokeniser: Tokeniser = WHITES
     turns = split_literal(prompt, turn_sep)
     heads = F.transform(turns, lambda t: F.concat(split_literal(t, role_sep)[0], role_sep))
     bad = F.transform(turns, lambda t: (t == "") | (F.size(split_literal(t, role_sep)) != 2))
-    # all counts are taken before any of them is used, so that a tokeniser may be a function of whole batches
-    zipped = F.arrays_zip(bad.alias("bad"), tokeniser.counts(turns).alias("len"), tokeniser.counts(heads).alias("instr"))
-    others = tokeniser.counts(F.array(turn_sep, prompt))
-    row = F.struct(zipped.alias("turns"), F.get(others, F.lit(0)).alias("sep"), (F.get(others, F.lit(1)) + bos).alias("total"),
+    # all counts are taken at once before any of them is used, so that a tokeniser may be a function of whole batches
+    n, counts = F.size(turns), tokeniser.counts(F.concat(F.array(turn_sep, prompt), turns, heads))
+    zipped = F.arrays_zip(bad.alias("bad"), F.slice(counts, F.lit(3), n).alias("len"), F.slice(counts, n + 3, n).alias("instr"))
+    row = F.struct(zipped.alias("turns"), F.get(counts, F.lit(0)).alias("sep"), (F.get(counts, F.lit(1)) + bos).alias("total"),
                    bos.alias("bos"), left.alias("left"))
 
     def spans(row: Column) -> Column:
@@ -255,8 +255,9 @@ def token_labels(prompts: DataFrame, ids: Callable[[Column], Column] | None = No
     ``ids`` gives a token's id in the vocabulary at hand; without it the tokeniser's own ids are taken.
     """
     prompt = F.col("prompt")
-    own = F.lit(None).cast("array<long>") if ids else F.concat(F.array(F.lit(bos_id).cast("long")), tokeniser.ids(prompt))
-    rows = prompts.select("conv_id", F.concat(F.array(F.lit(bos)), tokeniser.pieces(prompt)).alias("_words"), own.alias("_ids"),
+    read = tokeniser.encoded(prompt)
+    own = F.lit(None).cast("array<long>") if ids else F.concat(F.array(F.lit(bos_id).cast("long")), read["ids"])
+    rows = prompts.select("conv_id", F.concat(F.array(F.lit(bos)), read["pieces"]).alias("_words"), own.alias("_ids"),
                           masked_spans(prompt, F.col("template"), tokeniser).alias("_spans"))
     inside = F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"].cast("int"), s["stop"].cast("int") - 1)))
     every = F.sequence(F.lit(0), F.size("_words") - 1)

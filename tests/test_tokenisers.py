@@ -125,3 +125,36 @@ def test_queries_over_the_tables(spark, sf, plain):
     segments = QUERIES["segments_subwords"](spark, sf).where("seg_idx >= 0").groupBy("example_id").agg(F.sum("n_tokens").alias("n")).collect()
     assert {r.example_id: r.n for r in segments} == {i: len(plain.encode(t, add_special_tokens=False).ids) for i, t in docs.items()}
     assert QUERIES["label_spans_subwords"](spark, sf).where("label <> -100").count() > 0
+
+
+def test_a_batch_is_encoded_in_parts(spark, plain, monkeypatch):
+    """Parts of some bytes, a text longer than that, empty texts and nulls: the same ids, pieces and places, and no part of the whole batch."""
+    import pyarrow as pa
+
+    from foldline.functions import tokenisers as S
+
+    texts = TEXTS * 3
+    assert [len(p) for p in S.parts_of(pa.array(texts, pa.string()), 100)] != [len(texts)]
+    assert sum((p.to_pylist() for p in S.parts_of(pa.array(texts, pa.string()), 100)), []) == texts
+    lists = [["a" * 90, None], None, [], ["b"], ["c" * 300]]
+    assert sum((p.to_pylist() for p in S.parts_of(pa.array(lists, pa.list_(pa.string())), 100)), []) == lists
+    assert list(S.parts_of(pa.array([], pa.string()), 100)) == []
+    monkeypatch.setattr(Subwords, "PART", 100)
+    codec, t = Subwords(spark, PATH), F.col("t")
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1).select(
+        "k", codec.encoded(t).alias("e"), codec.text(codec.ids(t)).alias("back"), codec.counts(F.array(t, t)).alias("counts")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.k]
+        want = plain.encode(text or "", add_special_tokens=False)
+        assert r.back == text and r.counts == [len(want.ids)] * 2
+        if text is None:
+            assert r.e.ids is None and r.e.pieces is None and r.e.offsets is None
+        else:
+            assert r.e.ids == want.ids and [tuple(o) for o in r.e.offsets] == want.offsets and r.e.pieces == [text[a:b] for a, b in want.offsets]
+
+
+def test_texts_are_encoded_once(spark, sf):
+    """A query's plan has one pass for the tokens, and labels one more for all counts."""
+    for name, passes in (("tokenize_subwords", 1), ("segments_subwords", 2), ("label_spans_subwords", 2)):
+        assert QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == passes
