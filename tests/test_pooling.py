@@ -100,3 +100,58 @@ def test_slices_of_a_long_group(monkeypatch):
     whole = P._sums(vectors, places, owner, weights, 5)
     monkeypatch.setattr(P, "VALUES_AT_ONCE", 21)
     assert np.allclose(P._sums(vectors, places, owner, weights, 5), whole) and not whole[[1, 4]].any()
+
+
+def test_batches_are_worked_on_in_parts(spark, drawn, monkeypatch):
+    """Parts of a few tokens give what whole batches give, in all gathered forms."""
+    import pyarrow as pa
+
+    vectors, rows = drawn
+    table = P.vector_table(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"))
+    asked = [(g, ids, w, q or [0.0] * DIM, [ids[:3], ids[3:]], g % 2 == 0) for g, ids, w, q in rows]
+    df = spark.createDataFrame(asked, "g long, ids array<long>, w array<double>, q array<double>, segs array<array<long>>, keep boolean").coalesce(1)
+
+    def results():
+        both = df.select("g", P.gather_or_pool(table)("ids", "keep", "q").alias("both"), P.gather_similarities(table)("ids", "segs").alias("sims"),
+                         P.gather_products(table)("segs", "segs").alias("products"), P.gather_pool(table, "cosine")(F.col("ids"), F.col("w"), F.col("q")).alias("one"))
+        return both.orderBy("g").collect()
+
+    flat = lambda x: [v for y in x for v in flat(y)] if isinstance(x, (list, tuple)) else [x]
+    whole = results()
+    assert P._cuts(np.array([len(r[1]) for r in rows]), DIM) == [(0, len(rows))]
+    monkeypatch.setattr(P, "VALUES_AT_ONCE", 20 * DIM)
+    assert len(P._cuts(np.array([len(r[1]) for r in rows]), DIM)) > 5 and P._cuts(np.array([], int), DIM) == []
+    parts = results()
+    assert [len(flat(r)) for r in parts] == [len(flat(r)) for r in whole] and flat(parts) == pytest.approx(flat(whole), abs=1e-12)
+    held = []
+    lists = pa.array([ids for _, ids, _, _ in rows], pa.list_(pa.int64()))
+    P._in_parts(lambda ids: held.append(len(ids)) or ids, DIM, lists, tokens=P._tokens(lists))
+    assert sum(held) == len(rows) and max(held) < len(rows) / 2
+    nested = pa.array([[[1, 2], []], None, [], [[3]]], pa.list_(pa.list_(pa.int64())))
+    assert P._tokens(nested).tolist() == [2, 0, 0, 1]
+
+
+def test_a_segment_carries_its_own_words_only(spark, drawn):
+    """Rows of a record's segments, which meet Python next, don't have the record's words each."""
+    import re
+
+    from foldline.operators import selection as R
+
+    table = P.vector_table(spark.createDataFrame(list(drawn[0].items()), "vec_id long, embedding array<double>"))
+    records = spark.createDataFrame([(1, "a b", "c d e f")], "example_id long, question string, document string")
+    plan = R.chosen_segments(records, table, 0.5, 2)._jdf.queryExecution().executedPlan().toString()
+    carried = re.findall(r"Generate inline\(.*\), \[([^\]]*)\], false, \[", plan)
+    assert carried and not any("words" in c for c in carried)
+
+
+def test_vectors_as_text_and_digest(spark):
+    from foldline.plans.compression import row_digest, vec_digest
+    from foldline.plans.fixtures import vec_text
+
+    rows = [(0, [0.12345, -0.00005, 1e300, -1e300, float("nan"), float("inf"), -0.0]), (1, []), (2, None), (3, [1.0, None, 2.00004999]), (4, [0.1] * 40)]
+    df = spark.createDataFrame(rows, "k long, v array<double>").coalesce(1)
+    plain = F.array_join(F.transform("v", lambda x: F.floor(x * 10000 + 0.5).cast("string")), ",")
+    assert all(r.a == r.b for r in df.select(vec_text(F.col("v")).alias("a"), plain.alias("b")).collect())
+    digests = df.where("k <> 3 and k <> 0").union(spark.createDataFrame([(5, [0.12345, -0.00005, -7.5])], df.schema))
+    got = digests.select("v", row_digest("v").alias("a"), vec_digest("v").alias("b")).collect()
+    assert all(r.a == r.b for r in got if r.v is not None) and len(got) == 4
