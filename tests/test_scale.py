@@ -129,3 +129,17 @@ def test_labels_stay_in_the_row(spark):
 def test_records_are_scanned_with_few_columns(spark, sf):
     plan = compression.flagship(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_memories_are_numbered_without_a_shuffle(spark, sf):
+    """Positions and prefixes follow from a segment's own row; segments of 10 with memories of 4 words, 23 words in all."""
+    from foldline.operators import selection as R
+
+    words = [f"w{i}" for i in range(23)]
+    segments = spark.createDataFrame([(1, 2, words[20:]), (1, 0, words[:10]), (2, 0, []), (1, 1, words[10:20])], "example_id long, seg_idx long, words array<string>")
+    found = sorted((r.mem_pos, r.seg_idx, r.chunk, r.visible, r.words) for r in R.visible_memories(segments, 10, 4).collect())
+    parts = [(i, k, words[i * 10:(i + 1) * 10][k * 4:k * 4 + 4]) for i in range(3) for k in range(3)]
+    parts = [p for p in parts if p[2]]
+    assert found == [(n, i, k, sum(p[0] <= i for p in parts), w) for n, (i, k, w) in enumerate(parts)]
+    plan = QUERIES["cumulative_memory"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
