@@ -153,8 +153,8 @@ def result_rows(spark, sf):
 
 @query("write_results", f"WITH {RESULT_SQL}")
 def write_results(spark, sf):
-    """Written, and written again for one ratio, as a rerun does: each row is there once."""
-    path, rows = new_folder(spark, "results"), benchmark_rows(spark, sf)
+    """Written, and written again for one ratio, as a rerun does: each row is there once. The rows are stored, as both writes read them."""
+    path, rows = new_folder(spark, "results"), stored(benchmark_rows(spark, sf), "rows")
     S.write_results(rows, path)
     S.write_results(rows.where("ratio = 0.25"), path)
     return flat_results(S.read_results(spark, path, rows.schema))
