@@ -5,7 +5,8 @@ the number of documents. It runs on that histogram. A node takes the largest len
 undominated fillings (by single pieces and by pairs) around it, those of least waste first; a filling is used as often as the counts allow, so a node
 uses up one length at least. The first descent is a best-fit solution, the incumbent; a branch ends when the sequences
 so far and the waste bound of what is left cannot beat the incumbent, and the search ends at the lower bound or after
-``most_nodes`` more nodes, each of which looks at ``width`` fillings. It gives patterns (lengths, times). The result says how many sequences
+``most_nodes`` more nodes, each of which looks at ``width`` fillings. The nodes of a branch are thousands; only the last ``KEPT_NODES``
+hold their enumeration, the others their place in it, and begin again when the search comes back. It gives patterns (lengths, times). The result says how many sequences
 there are and the lower bound: where the two are equal the packing is the best there is, else their difference is what the two limits may have cost. Pieces get their places by their rank among the pieces of the same
 length, a distributed numbering in which no length is a hot key.
 
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from dataclasses import dataclass
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 MOST_NODES = 2_000  # after the first descent, of about 2 ms each
 WIDTH = 64  # fillings that a node may try
+KEPT_NODES = 8  # that hold an enumeration, up to about 1 MB each
 MOST_BUCKETS = 1 << 16
 BUCKET_ROWS = 64
 
@@ -229,6 +232,16 @@ def fillings(largest: int, size: int, counts: list[int], most_waste: int, width:
                     return
 
 
+@dataclass(slots=True)
+class _Node:
+    """A step of the search: its largest length, the waste it may have, how many fillings it gave, and the others as long as they are kept."""
+
+    largest: int
+    spare: int
+    given: int = 0
+    ways: Iterator[tuple[int, tuple[int, ...]]] | None = None
+
+
 def patterns(counts: list[int], size: int = SIZE, most_nodes: int = MOST_NODES, width: int = WIDTH) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, times): sequences that hold every piece of the histogram ``counts`` (index: length) once."""
     left, total = list(counts), sum(a * n for a, n in enumerate(counts))
@@ -237,13 +250,24 @@ def patterns(counts: list[int], size: int = SIZE, most_nodes: int = MOST_NODES,
     best_n = sum(left) + 1
     path: list[tuple[tuple[int, ...], int]] = []
     used = volume = nodes = 0
-    choices: list[Iterator[tuple[int, tuple[int, ...]]]] = []
+    choices: list[_Node] = []
 
     def open_node() -> None:
         largest = next((a for a in range(size, 0, -1) if left[a]), 0)
         # sequences that may still be used if the incumbent is to be beaten, in tokens, less what is left to place
         spare = (best_n - 1 - used) * size - (total - volume) if best else size
-        choices.append(((w, (largest, *f)) for w, f in fillings(largest, size, left, spare, width)) if largest else iter(()))
+        choices.append(_Node(largest, spare))
+        if len(choices) > KEPT_NODES:
+            choices[-1 - KEPT_NODES].ways = None
+
+    def next_filling(node: _Node) -> tuple[int, ...] | None:
+        if not node.largest:
+            return None
+        if node.ways is None:  # ``left`` is again what it was when the node was opened
+            node.ways = islice(fillings(node.largest, size, left, node.spare, width), node.given, None)
+        _, filling = next(node.ways, (0, None))
+        node.given += 1
+        return None if filling is None else (node.largest, *filling)
 
     def undo() -> None:
         nonlocal used, volume
@@ -259,8 +283,9 @@ def patterns(counts: list[int], size: int = SIZE, most_nodes: int = MOST_NODES,
                 best, best_n = list(path), used
             if best_n <= floor:
                 break
-        found = next(choices[-1], None)
-        if found is None or best and used + -(-(total - volume) // size) >= best_n:
+        hopeless = best and used + -(-(total - volume) // size) >= best_n
+        lengths = None if hopeless else next_filling(choices[-1])
+        if lengths is None:
             choices.pop()
             if path:
                 undo()
@@ -268,7 +293,6 @@ def patterns(counts: list[int], size: int = SIZE, most_nodes: int = MOST_NODES,
         nodes += 1
         if best and nodes > most_nodes:
             break
-        lengths = found[1]
         times = min(left[a] // lengths.count(a) for a in set(lengths))
         for a in lengths:
             left[a] -= times
