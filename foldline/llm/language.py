@@ -12,6 +12,7 @@ most, and an even share of ``ALL_DOCS`` and ``ALL_BYTES``, the bounds over all l
 ids, then by name. So what the driver and each worker hold doesn't grow with the number of languages. A document of more than an eighth of its
 language's bytes counts there with its beginning alone, so that none fills the sample. Every text is scored whole, in lower case; code lengths
 are worked out once per distinct gram of a task as long as ``KEPT_VALUES`` hold them, and one language after the other beyond that.
+A worker reads its texts in pieces of ``PIECE`` bytes, and holds what it works out about one piece besides the kept values.
 
 Defined results: of equal code lengths the first language by name is predicted; a null text or one without a letter, or a corpus without a labelled row, gives ``und`` and score 0; rows with a
 null doc_id are predicted, not learned from, and not held out; repeated rows are predicted each, and of a language's rows that share an id
@@ -37,6 +38,7 @@ ALL_DOCS = 1 << 18
 ALL_BYTES = 1 << 25
 MOST_LANGUAGES = 4096
 KEPT_VALUES = 1 << 22  # code lengths of grams that a task keeps, for all languages together
+PIECE = 1 << 18  # bytes of text, of about 100 bytes each while they are worked on
 UNKNOWN = "und"
 
 
@@ -72,12 +74,12 @@ def gram_counts(learn: DataFrame, depth: int = ORDER) -> DataFrame:
     """(lang, code, n) of all grams of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 by_lang.setdefault(lang, []).append(text.lower().encode("utf-8", "replace"))
             for lang, data in by_lang.items():
-                for codes, _ in pieces(data, depth):
+                for codes, _ in pieces(data, depth, PIECE):
                     code, n = np.unique(codes, return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(code), pa.string()), pa.array(code.view("i8")), pa.array(n.astype("i8"))],
@@ -134,6 +136,38 @@ def code_lengths(levels: list[Level], codes: np.ndarray) -> np.ndarray:
     return bits + np.where(open_, never, 0)
 
 
+class KnownLengths:
+    """Code lengths of the grams seen so far, a row of all languages for each gram, ``most`` grams at most.
+
+    Rows are added behind the others and never moved; only their grams are held in order.
+    """
+
+    def __init__(self, trees: list[list[Level]], most: int) -> None:
+        self.trees, self.most = trees, most
+        self.rows = np.empty((most, len(trees)))  # memory is taken as rows are written
+        self.grams, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def of(self, distinct: np.ndarray) -> Iterator[np.ndarray]:
+        """One array for each language: bits of the grams, which are ascending and different."""
+        if len(distinct) > self.most:
+            return (code_lengths(t, distinct) for t in self.trees)
+        at = np.searchsorted(self.grams, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.grams):
+            new = self.grams[np.minimum(at, len(self.grams) - 1)] != distinct
+        if len(self.grams) + np.count_nonzero(new) > self.most:
+            self.grams, self.places = self.grams[:0], self.places[:0]
+            at, new = np.zeros(len(distinct), np.int64), np.ones(len(distinct), bool)
+        if new.any():
+            held, added = len(self.grams), distinct[new]
+            for k, t in enumerate(self.trees):
+                self.rows[held:held + len(added), k] = code_lengths(t, added)
+            self.grams = np.insert(self.grams, at[new], added)
+            self.places = np.insert(self.places, at[new], np.arange(held, held + len(added)))
+        places = self.places[np.searchsorted(self.grams, distinct)]
+        return (self.rows[places, k] for k in range(len(self.trees)))
+
+
 def identify(docs: DataFrame, counts: DataFrame, depth: int = ORDER) -> DataFrame:
     """Adds lang_pred, score and bits_per_byte to ``docs`` (with ``text``), from the gram counts of a bounded sample."""
     found = counts.toArrow().to_pandas()  # as many rows as the sample has distinct grams, ``ALL_BYTES`` at most
@@ -145,27 +179,15 @@ def identify(docs: DataFrame, counts: DataFrame, depth: int = ORDER) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, trees = model.value
-        most_known = KEPT_VALUES // max(1, len(names))
-        known, lengths = np.zeros(0, np.uint64), np.zeros((0, len(names)))
+        known = KnownLengths(trees, KEPT_VALUES // max(1, len(names)))
         for batch in small(batches):
             texts = batch.column("text").to_pylist()
             data = [(t or "").lower().encode("utf-8", "replace") for t in texts]
             bits = np.zeros((len(data), len(names)))
-            for codes, owner in pieces(data, depth) if names else ():
+            for codes, owner in pieces(data, depth, PIECE) if names else ():
                 distinct, inverse = np.unique(codes, return_inverse=True)
                 first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                if len(distinct) > most_known:
-                    by_name = (code_lengths(t, distinct) for t in trees)
-                else:
-                    new = distinct[~np.isin(distinct, known, assume_unique=True)]
-                    if len(known) + len(new) > most_known:
-                        known, lengths, new = known[:0], lengths[:0], distinct
-                    if len(new):
-                        at = np.searchsorted(known, new)
-                        known = np.insert(known, at, new)
-                        lengths = np.insert(lengths, at, np.stack([code_lengths(t, new) for t in trees], axis=1), axis=0)
-                    by_name = lengths[np.searchsorted(known, distinct)].T
-                for k, column in enumerate(by_name):
+                for k, column in enumerate(known.of(distinct)):
                     bits[owner[first], k] += np.add.reduceat(column[inverse], first)
             best = bits.argmin(axis=1) if names else np.zeros(len(data), int)
             least = bits[np.arange(len(data)), best] if names else np.zeros(len(data))

@@ -50,12 +50,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
     """(doc_id, piece, start, length, ids): a document's ids and the closing one, cut where they are more than ``size``.
 
     ``ids`` are unsigned little-endian 32-bit numbers. A tokenizer with the rules above drops white space and never joins what it
-    separates, so the ids of a text are those of its parts between white space; a worker keeps the ids of parts that come again.
+    separates, so the ids of a text are those of its parts between white space; a worker keeps the ids of parts that come again,
+    and the vocabulary, in its copy of a broadcast: Spark drops it there when the worker's next task is another query's.
     A file with any other rules encodes texts whole.
     """
+    learned = docs.sparkSession.sparkContext.broadcast({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(tokenizer_path, end_id)
+        ids_of = _encoder(tokenizer_path, end_id, learned.value)
         step = 4 * size
         for batch in small(batches):
             out: list[tuple] = []
@@ -86,23 +88,20 @@ def encodes_words_apart(file: str) -> bool:
     return special and rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
 
 
-def _encoder(tokenizer_path: str, end_id: int) -> Callable[[str], bytes]:
+def _encoder(tokenizer_path: str, end_id: int, kept: dict) -> Callable[[str], bytes]:
     """A function from a text to its ids and the closing one, as little-endian bytes.
 
-    What it learns about words serves all tasks of a worker process.
+    What it learns about words is put into ``kept``, and serves all tasks of the query in a worker process.
     """
     import os
     import struct
-    import sys
-    import types
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    kept = sys.modules.setdefault("_kept_ids", types.ModuleType("_kept_ids")).__dict__
-    if kept.get("path") != tokenizer_path:
+    if not kept:
         loaded = Tokenizer.from_file(tokenizer_path)
-        kept.update(path=tokenizer_path, tokenizer=loaded, ids={}, apart=encodes_words_apart(loaded.to_str()))
+        kept.update(tokenizer=loaded, ids={}, apart=encodes_words_apart(loaded.to_str()))
     tokenizer, model = kept["tokenizer"], kept["tokenizer"].model
     closing = struct.pack("<I", end_id)
     if not kept["apart"]:

@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foldline.llm import bytegrams, language
@@ -134,3 +136,21 @@ def test_equal_code_lengths_take_the_first_name(spark):
     docs = spark.createDataFrame([(1, "b", "same text"), (3, "a", "same text")], "doc_id long, lang string, text string")
     got = language.identify(docs, language.gram_counts(docs)).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("a", 0.5)}
+
+
+def test_a_worker_holds_what_it_works_out_for_a_piece_only(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, n, d.decode()) for k, d in enumerate(DATA) for n in "ab"], "doc_id long, lang string, text string")
+    counts = language.gram_counts(docs)
+    asked = docs.select("doc_id", "text")
+    monkeypatch.setattr(type(asked), "mapInArrow", lambda self, run, shape: run)
+    monkeypatch.setattr(language, "KEPT_VALUES", 1 << 19)  # 4 MB
+    run = language.identify(asked, counts)
+    texts = ["".join(random.Random(k).choices("abcdefghijklmnopqrst ", k=8000)) for k in range(500)]  # 4 MB
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": texts})
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert rows == 500 and peak < 64e6

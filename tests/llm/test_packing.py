@@ -2,6 +2,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -180,3 +181,18 @@ def test_enumerations_begun_again_go_on_where_they_were(monkeypatch, size):
     monkeypatch.setattr(packing, "islice", Counted)
     assert packing.patterns(counts, size) == whole
     assert again
+
+
+def test_words_of_a_packing_do_not_stay_with_the_workers(spark, documents, tokenizer):
+    docs = documents([(k, f"word{k} and w{k * k} of document {k}", "en", "a") for k in range(300)])
+    assert packing.token_pieces(docs, tokenizer).agg({"length": "sum"}).first()[0] > 300
+
+    def left(batches):  # another query's task in the same workers
+        import gc
+
+        gc.collect()
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(type(o).__name__ == "Parts" for o in gc.get_objects())], pa.int64())})
+
+    found = [r.n for _ in range(3) for r in spark.range(0, 64, 1, 8).mapInArrow(left, "n long").collect()]
+    assert max(found) == 0
