@@ -376,8 +376,9 @@ def split_segments(spark, sf):
 @query("segment_count", f"""WITH t AS (SELECT doc_id, len({sql_tokens('text')}) AS n FROM documents)
 SELECT doc_id, (n + 49) // 50 AS by50, (n + 6) // 7 AS by7, (n + 999) // 1000 AS by1000 FROM t""")
 def segment_count(spark, sf):
+    """A document without tokens, as a larger corpus has it, has no segment, and one without a text no count."""
     length = table(spark, sf, "documents").select("doc_id", F.size(tokens(F.col("text"))).alias("n"))
-    return length.select("doc_id", *[G.segment_count(F.col("n"), s).alias(f"by{s}") for s in (50, 7, 1000)])
+    return length.select("doc_id", *[G.segment_count(F.col("n"), s, empty=0).alias(f"by{s}") for s in (50, 7, 1000)])
 
 
 @query("segment_slots", f"""WITH {SEG_SQL}, q AS (SELECT *, (128 + n - 1) // n AS quota FROM s)
